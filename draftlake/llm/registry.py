@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from draftlake.llm import language, licenses, mpeg_audio, quality
+from draftlake.llm import language, licenses, line_dedup, mpeg_audio, ngram_join, quality
 from draftlake.llm.common import table
 from draftlake.llm.encode_decode import encode_and_decode
 from draftlake.llm.packing import pack
@@ -18,6 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_columns(table(spark, sf_dir, "documents"))
 
@@ -44,8 +49,24 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_media_columns, op4_quality_classifier, op5_language_id, op6_license_scan, op7_token_counts, op8_bpe_encode_decode)}
+    every = (
+        op1_best_fit_packing,
+        op2_ngram_jaccard_join,
+        op3_media_columns,
+        op4_quality_classifier,
+        op5_language_id,
+        op6_license_scan,
+        op7_token_counts,
+        op8_bpe_encode_decode,
+        op9_line_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
