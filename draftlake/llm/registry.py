@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import language, licenses, line_dedup, mpeg_audio, ngram_join, quality
+from draftlake.llm import language, licenses, line_dedup, mpeg_audio, nearest, ngram_join, quality
 from draftlake.llm.common import table
 from draftlake.llm.encode_decode import encode_and_decode
 from draftlake.llm.packing import pack
@@ -54,6 +54,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_token_counts,
         op8_bpe_encode_decode,
         op9_line_dedup,
+        op10_approximate_nearest_neighbours,
     )
     return {f.__name__: f for f in every}
 
