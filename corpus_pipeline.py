@@ -1,14 +1,69 @@
-"""The corpus pipeline; its stages are added with their operators."""
+"""A corpus pipeline of five operators: quality, language, line dedup, near-duplicates, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
+reads again as the next stage's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from draftlake.llm import language, line_dedup, ngram_join, packing, quality
+from draftlake.llm.common import shared_table, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the quality classifier predicts as good."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=COLUMNS).where("predicted = 1").select("kept.*")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is known: not `und`, and at least half of the posterior."""
+    model = language.train(docs)
+    return language.identify(docs, model, keep=COLUMNS).where("lang_pred != 'und' and score >= 0.5").select("kept.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete repeated runs of lines; a document of which nothing but white space is left goes."""
+    out = line_dedup.dedup(docs.select(*COLUMNS))
+    out = out.where(F.col("text").isNull() | (F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
+    return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one whose doc_id names the group, once."""
+    groups = ngram_join.join(docs).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(groups, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    return kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-from draftlake.llm.registry import op1_best_fit_packing
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("best-fit packing", packing_stage),
+]
+#: No SQL expresses the learned stages; tests hold the others against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1_best_fit_packing(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = shared_table(docs, name.replace(" ", "-"))
+    return docs
