@@ -31,7 +31,9 @@ WORDS = 5
 NUM, DEN = 80, 100  # the threshold as a fraction
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
-HELD, FEW = 1_000_000, 32
+HELD, FEW = 500_000, 32
+#: Bytes of text that a task hashes at a time, and index partitions for each shuffle partition: both bound memory.
+TEXT, FINE = 500_000, 3
 #: Nodes up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -177,7 +179,7 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
 
         for batch in rows:
             _, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, TEXT):
                 values, sizes = shingles(*utf8(batch.column("text").slice(a, b - a)))
                 nodes = digests(values, sizes)
                 new = np.zeros(len(sizes), bool)
@@ -209,6 +211,7 @@ def buckets(routed: DataFrame) -> DataFrame:
             entries = batch.column("entries")
             full = np.asarray(entries.is_valid())
             held += [np.frombuffer(x, ENTRY) for x in entries.drop_null().to_pylist()]
+            del entries
             rest = batch.filter(pa.array(~full))
             if rest.num_rows:
                 none = pa.nulls(rest.num_rows, pa.int64())
@@ -217,12 +220,13 @@ def buckets(routed: DataFrame) -> DataFrame:
             return
         e = np.concatenate(held)
         held.clear()
-        e = e[np.argsort(e["sig"], kind="stable")]
-        sig = e["sig"]
+        order = np.argsort(e["sig"])
+        sig = e["sig"][order]
         twin = np.zeros(len(e), bool)
         twin[1:] = sig[1:] == sig[:-1]
         twin[:-1] |= twin[1:]
-        e = e[twin]
+        e = e[order[twin]]
+        del order, sig, twin
         e = e[np.lexsort((e["node"], e["sig"]))]
         again = np.zeros(len(e), bool)
         again[1:] = (e["sig"][1:] == e["sig"][:-1]) & (e["node"][1:] == e["node"][:-1])
@@ -241,7 +245,7 @@ def buckets(routed: DataFrame) -> DataFrame:
                 names=[x.split()[0] for x in FOUND.split(", ")],
             )
 
-    return routed.repartition(partitions(routed), "part").mapInArrow(run, FOUND)
+    return routed.repartition(FINE * partitions(routed), "part").mapInArrow(run, FOUND)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -253,7 +257,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             _, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, TEXT):
                 values, sizes = shingles(*utf8(batch.column("text").slice(a, b - a)))
                 ends = np.cumsum(sizes)
                 own = digests(values, sizes).view(np.int64)
@@ -344,7 +348,7 @@ def join(docs: DataFrame) -> DataFrame:
     with a null doc_id is kept and makes no links; its component is that of the documents with its set, else null. An
     empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    found = shared_table(buckets(route(docs, partitions(docs))), "buckets")
+    found = shared_table(buckets(route(docs, FINE * partitions(docs))), "buckets")
     members = found.where("sig is null").select("doc_id", "node", "size", "short")
     entries = found.where("sig is not null").select("sig", "node", "leader", "members")
     reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"))
