@@ -4,7 +4,8 @@ A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) t
 nearest to the result is its bucket. Each of several tables rotates anew; where a table has more vectors than its axes
 can part, two rotations together name the bucket. A query looks into its own bucket and then into those of the next
 nearest axes, in order. How many it needs for the wanted recall is measured against brute force on a bounded sample of
-queries. What the buckets hold is ranked by the exact inner product in double precision.
+queries. What the buckets hold is ranked by the exact inner product in double precision. Every query is also compared
+with a bounded reference sample, whose k-th best score is a floor below which no task has to report what it finds.
 
 Equal vectors are one class with its smallest ids; a large bucket is dealt over several keys, and the queries go to
 all of them, so no bucket is too large for a task and none is cut. Vectors of unequal length get one more dimension
@@ -24,6 +25,7 @@ from draftlake.llm.common import partitions, shared_table
 
 TABLES, WIDE = 6, 5_000_000
 SHARE = 4000  # vectors of a bucket under one key
+REFERENCE = 4000  # vectors that every query is compared with first, for a floor under its k-th best score
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -132,6 +134,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         return empty
     hasher = Hasher(dim, longest, longest > shortest * 1.001, 1 if n <= WIDE else 2, tables)
     probed = probes(classes, hasher, few, k, recall)
+    some = classes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(REFERENCE).select("id", "v").toArrow().combine_chunks()
+    some_ids, some_v = some.column("id").to_numpy(), matrix(some.column("v").combine_chunks(), dim)
+
+    def first(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k + 1 best of the reference for each query: row, id, score."""
+        return tuple(map(np.concatenate, zip(*best(v, some_v, some_ids, k + 1), strict=True)))
+
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, near, score = first(matrix(batch.column("v"), dim))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(near), pa.array(score)], names=["target", "near", "score"])
+
     sizes = np.zeros((tables, hasher.buckets), np.int64)
     for r in counted(classes, hasher).collect():  # a row for each bucket: a constant number
         sizes[r["t"], r["bucket"]] = r["n"]
@@ -144,6 +159,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
                     part = batch.slice(at, 512)
                     v, ids = matrix(part.column("v"), dim), part.column("id").to_numpy()
                     codes = None if query else hasher.codes(v)
+                    floor = np.full(len(v), -np.inf)
+                    if query and len(some_ids) > k:
+                        floor = first(v)[2].reshape(len(v), -1)[:, -1]
                     for t in range(tables):
                         if query:
                             near = np.argsort(-hasher.affinity(v, t), axis=1, kind="stable")[:, :probed]
@@ -157,11 +175,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
                             row, bucket = np.arange(len(v)), codes[:, t]
                             salt = (ids * 0x9E3779B1 >> 16) % salts[t, bucket]
                         key = (salt * tables + t) * hasher.buckets + bucket
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), query)), pa.array(ids[row]), part.column("v").take(pa.array(row))], names=["key", "query", "id", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), query)), pa.array(ids[row]), pa.array(floor[row]), part.column("v").take(pa.array(row))], names=["key", "query", "id", "floor", "v"])
 
         return run
 
-    schema = "key long, query boolean, id long, v array<double>"
+    schema = "key long, query boolean, id long, floor double, v array<double>"
     dealt = classes.select("id", "v").mapInArrow(deal(False), schema).union(targets.mapInArrow(deal(True), schema))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         if held is None:
             return
         held = held.combine_chunks()
-        key, query, ids = (held.column(c).to_numpy() for c in ("key", "query", "id"))
+        key, query, ids, floor = (held.column(c).to_numpy() for c in ("key", "query", "id", "floor"))
         v = matrix(held.column("v").combine_chunks(), dim)
         turn = np.argsort(key, kind="stable")
         found: list[np.ndarray] = []
@@ -189,8 +207,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             if not len(q) or not len(c):
                 continue
             for row, near, score in best(v[q], v[c], ids[c], k + 1):
-                e = np.empty(len(row), pair)
-                e["q"], e["s"], e["c"] = ids[q][row], score, near
+                high = score >= floor[q][row]
+                e = np.empty(int(high.sum()), pair)
+                e["q"], e["s"], e["c"] = ids[q][row[high]], score[high], near[high]
                 found.append(e)
             if sum(map(len, found)) > 400_000:
                 merge()
@@ -199,7 +218,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             e = found[0]
             yield pa.RecordBatch.from_arrays([pa.array(e["q"].copy()), pa.array(e["c"].copy()), pa.array(e["s"].copy())], names=["target", "near", "score"])
 
-    hits = dealt.repartition(partitions(dealt), "key").mapInArrow(look, "target long, near long, score double").distinct()
+    hits = dealt.repartition(partitions(dealt), "key").mapInArrow(look, "target long, near long, score double")
+    hits = hits.union(targets.mapInArrow(refer, "target long, near long, score double")).distinct()
     top = Window.partitionBy("target").orderBy(F.desc("score"), "near")
     hits = hits.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1)
     names = classes.select(F.col("id").alias("near"), "ids")
