@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import U64, chunks, id_and_text, mix, partitions, ragged, shared_table, span_hashes, utf8
+from draftlake.llm.common import U64, chunks, id_and_text, mix, partitions, ragged, release, shared_table, span_hashes, utf8
 
 WORDS = 5
 NUM, DEN = 80, 100  # the threshold as a fraction
@@ -198,6 +198,7 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
                     yield from flush()
                 yield batch_of(np.arange(len(sizes)) % parts, batch.column("doc_id").slice(a, b - a), nodes.view(np.int64), sizes, short, [None] * len(sizes))
         yield from flush()
+        release()
 
     return id_and_text(docs).mapInArrow(run, ROUTED)
 
@@ -244,6 +245,8 @@ def buckets(routed: DataFrame) -> DataFrame:
                 [none, pa.array(own["node"].view(np.int64)), none, pa.nulls(len(cut), pa.bool_()), pa.array(own["sig"].view(np.int64)), pa.array(leader[cut].view(np.int64)), pa.array(members[cut])],
                 names=[x.split()[0] for x in FOUND.split(", ")],
             )
+        del e, own
+        release()
 
     return routed.repartition(FINE * partitions(routed), "part").mapInArrow(run, FOUND)
 
@@ -264,6 +267,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 same = own == batch.column("node").slice(a, b - a).to_numpy(zero_copy_only=False)
                 raw = [values[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).filter(pa.array(same)), pa.array(raw, pa.binary()).filter(pa.array(same))], names=["node", "items"])
+        release()
 
     return texts.mapInArrow(run, "node long, items binary")
 
@@ -288,6 +292,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep[k] = DEN * common >= NUM * (len(x) + len(y) - common)
             cut = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(cut), batch.column("b").filter(cut)], names=["a", "b"])
+        release()
 
     return shared_table(both.mapInArrow(run, "a long, b long"), "links")
 
