@@ -29,6 +29,7 @@ from draftlake.llm.common import U64, chunks, id_and_text, mix, partitions, ragg
 
 WORDS = 5
 NUM, DEN = 80, 100  # the threshold as a fraction
+BITS = 1024
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
 HELD, FEW = 500_000, 32
@@ -150,8 +151,15 @@ def digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-ROUTED = "part int, doc_id long, node long, size long, short boolean, entries binary"
-FOUND = "doc_id long, node long, size long, short boolean, sig long, leader long, members long"
+def parities(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set, the parity of its elements in each of BITS cells: two sets differ by at least as many elements."""
+    cell = np.repeat(np.arange(len(sizes)), sizes) * BITS + (values & U64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(cell, minlength=len(sizes) * BITS).astype(np.uint8) & 1
+    return [r.tobytes() for r in np.packbits(odd.reshape(-1, BITS), axis=1)]
+
+
+ROUTED = "part int, doc_id long, node long, size long, short boolean, bits binary, entries binary"
+FOUND = "doc_id long, node long, size long, short boolean, bits binary, sig long, leader long, members long"
 
 
 def route(docs: DataFrame, parts: int) -> DataFrame:
@@ -161,8 +169,8 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
-        def batch_of(part, doc, node, size, short, entries):
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.bool_()), pa.array(entries, pa.binary())], names=["part", "doc_id", "node", "size", "short", "entries"])
+        def batch_of(part, doc, node, size, short, bits, entries):
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.bool_()), pa.array(bits, pa.binary()), pa.array(entries, pa.binary())], names=[x.split()[0] for x in ROUTED.split(", ")])
 
         def flush():
             if not held:
@@ -175,7 +183,7 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
             full = np.flatnonzero(np.diff(cuts))
             blocks = [e[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full]
             none = [None] * len(full)
-            yield batch_of(full, pa.array(none, pa.int64()), none, none, none, blocks)
+            yield batch_of(full, pa.array(none, pa.int64()), none, none, none, none, blocks)
 
         for batch in rows:
             _, offsets = utf8(batch.column("text"))
@@ -193,10 +201,13 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
                 entries, lacking = index(values[pick], sizes[new], nodes[new])
                 short = np.zeros(len(sizes), bool)
                 short[new] = lacking
+                bits: list[bytes | None] = [None] * len(sizes)
+                for k, b_of in zip(np.flatnonzero(new).tolist(), parities(values[pick], sizes[new]), strict=True):
+                    bits[k] = b_of
                 held.append(entries)
                 if sum(map(len, held)) > HELD:
                     yield from flush()
-                yield batch_of(np.arange(len(sizes)) % parts, batch.column("doc_id").slice(a, b - a), nodes.view(np.int64), sizes, short, [None] * len(sizes))
+                yield batch_of(np.arange(len(sizes)) % parts, batch.column("doc_id").slice(a, b - a), nodes.view(np.int64), sizes, short, bits, [None] * len(sizes))
         yield from flush()
         release()
 
@@ -216,7 +227,7 @@ def buckets(routed: DataFrame) -> DataFrame:
             rest = batch.filter(pa.array(~full))
             if rest.num_rows:
                 none = pa.nulls(rest.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("doc_id", "node", "size", "short")), none, none, none], names=[x.split()[0] for x in FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in ("doc_id", "node", "size", "short", "bits")), none, none, none], names=[x.split()[0] for x in FOUND.split(", ")])
         if not held:
             return
         e = np.concatenate(held)
@@ -242,7 +253,7 @@ def buckets(routed: DataFrame) -> DataFrame:
             own = e[cut]
             none = pa.nulls(len(cut), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, pa.array(own["node"].view(np.int64)), none, pa.nulls(len(cut), pa.bool_()), pa.array(own["sig"].view(np.int64)), pa.array(leader[cut].view(np.int64)), pa.array(members[cut])],
+                [none, pa.array(own["node"].view(np.int64)), none, pa.nulls(len(cut), pa.bool_()), pa.nulls(len(cut), pa.binary()), pa.array(own["sig"].view(np.int64)), pa.array(leader[cut].view(np.int64)), pa.array(members[cut])],
                 names=[x.split()[0] for x in FOUND.split(", ")],
             )
         del e, own
@@ -272,6 +283,23 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, items binary")
 
 
+def plausible(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that their sizes and parities leave possible."""
+    a, b = (reps.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(f"size_a * {DEN} >= size_b * {NUM} and size_b * {DEN} >= size_a * {NUM}")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = pa.array(differ * (DEN + NUM) <= batch.column("total").to_numpy() * (DEN - NUM))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
+
+    return both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("total"), "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
     pairs = shared_table(pairs, "pairs")
@@ -354,14 +382,11 @@ def join(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Columns other than doc_id and text are not read.
     """
     found = shared_table(buckets(route(docs, FINE * partitions(docs))), "buckets")
-    members = found.where("sig is null").select("doc_id", "node", "size", "short")
+    members = found.where("sig is null").select("doc_id", "node", "size", "short", "bits")
     entries = found.where("sig is not null").select("sig", "node", "leader", "members")
-    reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"))
-    sizes = reps.select("node", "size")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        a, b = (sizes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").where(f"size_a * {DEN} >= size_b * {NUM} and size_b * {DEN} >= size_a * {NUM}").select("a", "b")
+    reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bits").alias("bits"))
+    reps = shared_table(reps, "nodes")
+    fitting = lambda pairs: plausible(reps, pairs)
 
     stars = entries.where("leader != node").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
     tested = fitting(stars)
