@@ -22,17 +22,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.llm.common import U64, chunks, id_and_text, mix, partitions, ragged, release, shared_table, span_hashes, utf8
 
 WORDS = 5
 NUM, DEN = 80, 100  # the threshold as a fraction
-BITS = 1024
+BITS, QUICK = 1024, 4
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
-HELD, FEW = 500_000, 32
+HELD, FEW = 500_000, 256
 #: Bytes of text that a task hashes at a time, and index partitions for each shuffle partition: both bound memory.
 TEXT, FINE = 500_000, 3
 #: Nodes up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, a shuffled join.
@@ -151,15 +151,28 @@ def digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each set, the parity of its elements in each of BITS cells: two sets differ by at least as many elements."""
     cell = np.repeat(np.arange(len(sizes)), sizes) * BITS + (values & U64(BITS - 1)).astype(np.int64)
     odd = np.bincount(cell, minlength=len(sizes) * BITS).astype(np.uint8) & 1
-    return [r.tobytes() for r in np.packbits(odd.reshape(-1, BITS), axis=1)]
+    return np.packbits(odd.reshape(-1, BITS), axis=1).view(np.int64)
 
 
-ROUTED = "part int, doc_id long, node long, size long, short boolean, bits binary, entries binary"
-FOUND = "doc_id long, node long, size long, short boolean, bits binary, sig long, leader long, members long"
+def quick(a: str, b: str) -> Column:
+    """Whether sizes and parities of cells taken together leave a pair possible: a bound on the sets' difference."""
+    x, y = F.col(f"size_{a}"), F.col(f"size_{b}")
+    differ = sum((F.bit_count(F.col(f"q{k}_{a}").bitwiseXOR(F.col(f"q{k}_{b}"))) for k in range(1, QUICK)), F.bit_count(F.col(f"q0_{a}").bitwiseXOR(F.col(f"q0_{b}"))))
+    return (x * DEN >= y * NUM) & (y * DEN >= x * NUM) & (differ * (DEN + NUM) <= (x + y) * (DEN - NUM))
+
+
+def facts(reps: DataFrame, to: str, bits: bool = False) -> DataFrame:
+    """Size and folded parities of nodes under names that end in _<to>."""
+    own = [F.col("size").alias(f"size_{to}"), *[F.col(f"q{k}").alias(f"q{k}_{to}") for k in range(QUICK)]]
+    return reps.select(F.col("node").alias(to), *own, *([F.col("bits").alias(f"bits_{to}")] if bits else []))
+
+
+ROUTED = "part int, doc_id long, node long, size long, short boolean, bits array<long>, entries binary"
+FOUND = "doc_id long, node long, size long, short boolean, bits array<long>, sig long, leader long, members long"
 
 
 def route(docs: DataFrame, parts: int) -> DataFrame:
@@ -170,7 +183,7 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def batch_of(part, doc, node, size, short, bits, entries):
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.bool_()), pa.array(bits, pa.binary()), pa.array(entries, pa.binary())], names=[x.split()[0] for x in ROUTED.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(short, pa.bool_()), pa.array(bits, pa.list_(pa.int64())), pa.array(entries, pa.binary())], names=[x.split()[0] for x in ROUTED.split(", ")])
 
         def flush():
             if not held:
@@ -201,7 +214,7 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
                 entries, lacking = index(values[pick], sizes[new], nodes[new])
                 short = np.zeros(len(sizes), bool)
                 short[new] = lacking
-                bits: list[bytes | None] = [None] * len(sizes)
+                bits: list[np.ndarray | None] = [None] * len(sizes)
                 for k, b_of in zip(np.flatnonzero(new).tolist(), parities(values[pick], sizes[new]), strict=True):
                     bits[k] = b_of
                 held.append(entries)
@@ -253,7 +266,7 @@ def buckets(routed: DataFrame) -> DataFrame:
             own = e[cut]
             none = pa.nulls(len(cut), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, pa.array(own["node"].view(np.int64)), none, pa.nulls(len(cut), pa.bool_()), pa.nulls(len(cut), pa.binary()), pa.array(own["sig"].view(np.int64)), pa.array(leader[cut].view(np.int64)), pa.array(members[cut])],
+                [none, pa.array(own["node"].view(np.int64)), none, pa.nulls(len(cut), pa.bool_()), pa.nulls(len(cut), pa.list_(pa.int64())), pa.array(own["sig"].view(np.int64)), pa.array(leader[cut].view(np.int64)), pa.array(members[cut])],
                 names=[x.split()[0] for x in FOUND.split(", ")],
             )
         del e, own
@@ -285,14 +298,13 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def plausible(reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that their sizes and parities leave possible."""
-    a, b = (reps.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(f"size_a * {DEN} >= size_b * {NUM} and size_b * {DEN} >= size_a * {NUM}")
+    both = pairs.join(facts(reps, "a", True), "a").join(facts(reps, "b", True), "b").where(quick("a", "b"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+            x, y = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64) for c in ("bits_a", "bits_b"))
             differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             keep = pa.array(differ * (DEN + NUM) <= batch.column("total").to_numpy() * (DEN - NUM))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
@@ -350,7 +362,7 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def prefix_pairs(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates among nodes (node, component): those of different components that share an item of their prefixes."""
-    sets = sets_of(docs, reps.join(nodes, "node", "left_semi"))
+    sets = sets_of(docs, reps.join(nodes, "node", "left_semi")).dropDuplicates(["node"])  # a repeated row would count twice
 
     def items(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -364,12 +376,13 @@ def prefix_pairs(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFram
     alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "item")) + alone
     length = F.col("size") - F.ceil(F.col("size") * NUM / DEN) + 1
-    prefix = ranked.withColumn("rank", rank).where(F.col("rank") <= length).select("node", "item", "size")
+    prefix = ranked.withColumn("rank", rank).where(F.col("rank") <= length).select("node", "item", "rank")
     prefix = shared_table(prefix.join(nodes, "node"), "prefixes")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node"))
-    fits &= (F.col("a.size") * DEN >= F.col("b.size") * NUM) & (F.col("b.size") * DEN >= F.col("a.size") * NUM)
-    return a.join(b, (F.col("a.item") == F.col("b.item")) & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    a, b = (prefix.select("item", F.col("node").alias(x), F.col("component").alias(f"in_{x}"), F.col("rank").alias(f"rank_{x}")).join(facts(reps, x), x) for x in "ab")
+    # what the first common item leaves after its place in either set must suffice
+    rest = 1 + F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b"))
+    fits = (F.col("in_a") != F.col("in_b")) & (F.col("a") < F.col("b")) & (rest * (DEN + NUM) >= (F.col("size_a") + F.col("size_b")) * NUM) & quick("a", "b")
+    return a.join(b, "item").where(fits).select("a", "b").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -385,7 +398,8 @@ def join(docs: DataFrame) -> DataFrame:
     members = found.where("sig is null").select("doc_id", "node", "size", "short", "bits")
     entries = found.where("sig is not null").select("sig", "node", "leader", "members")
     reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bits").alias("bits"))
-    reps = shared_table(reps, "nodes")
+    folded = [F.aggregate(F.expr(f"transform(sequence({k}, {BITS // 64 - 1}, {QUICK}), i -> bits[i])"), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"q{k}") for k in range(QUICK)]
+    reps = shared_table(reps.select("*", *folded), "nodes")
     fitting = lambda pairs: plausible(reps, pairs)
 
     stars = entries.where("leader != node").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
@@ -401,8 +415,9 @@ def join(docs: DataFrame) -> DataFrame:
     wide = labelled(entries.where("members > 2"), labels)
     spread = wide.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("components")).where("components > 1")
     wide = shared_table(wide.join(spread, "sig").select("sig", "node", "leader", "component", "components"), "wide")
-    a, b = (wide.where(f"components <= {FEW} and leader != node").select("sig", F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
-    across = a.join(b, "sig").where("in_a != in_b and a < b").select("a", "b").distinct()
+    tried = wide.where(f"components <= {FEW} and leader != node").select("sig", "node", "component")
+    a, b = (tried.select("sig", F.col("node").alias(x), F.col("component").alias(f"in_{x}")).join(facts(reps, x), x) for x in "ab")
+    across = a.join(b, "sig").where((F.col("in_a") != F.col("in_b")) & (F.col("a") < F.col("b")) & quick("a", "b")).select("a", "b").distinct()
     hot = wide.where(f"components > {FEW}").select("node").union(reps.where("short").select("node")).distinct()
     hot = shared_table(labelled(hot, labels), "hot")
     last = across if hot.isEmpty() else across.union(prefix_pairs(docs, reps, hot)).distinct()
