@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from draftlake.functions.text import token_set
 
@@ -89,7 +90,7 @@ def best_extent(query: str | None, text: str | None) -> float | None:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([best_extent(q, t) for q, t in zip(query, text, strict=True)])
 
@@ -134,7 +135,7 @@ def hash_vector(text: Column, width: int = 64) -> Column:
     return F.when(norm > 0, F.transform(counts, lambda x: F.round(x / norm, 8))).otherwise(counts)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def signed_hash_vector(text: pd.Series) -> pd.Series:
     """1024 dimensions, 16 signed bumps for each token with repeats; unit length, rounded to 6 places; e0 if empty."""
     import re

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = "[0-9A-Za-z가-힣]+"
 
@@ -230,7 +231,7 @@ def slug(text: Column) -> Column:
     return F.when(own == "", "unknown").otherwise(F.coalesce(own, F.lit("unknown")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_folded(text: pd.Series) -> pd.Series:
     """NFC and case folding, for scripts where lower case is not enough."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
