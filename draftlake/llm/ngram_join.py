@@ -32,10 +32,10 @@ NUM, DEN = 80, 100  # the threshold as a fraction
 BITS, QUICK = 1024, 4
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
-HELD, FEW = 500_000, 256
+HELD, FEW = 500_000, 1024
 #: Bytes of text that a task hashes at a time, and index partitions for each shuffle partition: both bound memory.
 TEXT, FINE = 500_000, 3
-#: Nodes up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, a shuffled join.
+#: Rows of one or two longs up to which they are broadcast; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 FOLD = np.arange(256, dtype=np.uint8)
@@ -357,7 +357,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the component of their node; a node without links is its own."""
-    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
+    return rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def prefix_pairs(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -400,28 +401,29 @@ def join(docs: DataFrame) -> DataFrame:
     reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bits").alias("bits"))
     folded = [F.aggregate(F.expr(f"transform(sequence({k}, {BITS // 64 - 1}, {QUICK}), i -> bits[i])"), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"q{k}") for k in range(QUICK)]
     reps = shared_table(reps.select("*", *folded), "nodes")
-    fitting = lambda pairs: plausible(reps, pairs)
-
-    stars = entries.where("leader != node").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-    tested = fitting(stars)
-    links = verified(docs, reps, tested)
+    pairs = entries.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = shared_table(plausible(reps, pairs), "plausible")
+    # a first star for each node; then its other pairs, unless they are in one component by now
+    stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verified(docs, reps, stars)
     labels = components(links)
-    # every other pair of a bucket with its least member, unless already in one component
-    more = labelled(entries.where("leader != node"), labels).withColumnsRenamed({"node": "b", "component": "y", "leader": "node"})
-    more = labelled(more, labels).where("component != y").select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(verified(docs, reps, fitting(more)))
+    more = labelled(pairs.join(stars, ["a", "b"], "left_anti").withColumnRenamed("b", "node"), labels).withColumnsRenamed({"node": "b", "component": "y", "a": "node"})
+    more = labelled(more, labels).where("component != y").select(F.col("node").alias("a"), "b")
+    links = links.union(verified(docs, reps, more))
     labels = components(links)
     # buckets of three and more that still span components
     wide = labelled(entries.where("members > 2"), labels)
     spread = wide.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("components")).where("components > 1")
     wide = shared_table(wide.join(spread, "sig").select("sig", "node", "leader", "component", "components"), "wide")
     tried = wide.where(f"components <= {FEW} and leader != node").select("sig", "node", "component")
-    a, b = (tried.select("sig", F.col("node").alias(x), F.col("component").alias(f"in_{x}")).join(facts(reps, x), x) for x in "ab")
+    tried = shared_table(tried.join(facts(reps, "node"), "node"), "tried")
+    own = [f"size_node as size_{{x}}", *[f"q{k}_node as q{k}_{{x}}" for k in range(QUICK)]]
+    a, b = (tried.selectExpr("sig", f"node as {x}", f"component as in_{x}", *[c.format(x=x) for c in own]) for x in "ab")
     across = a.join(b, "sig").where((F.col("in_a") != F.col("in_b")) & (F.col("a") < F.col("b")) & quick("a", "b")).select("a", "b").distinct()
     hot = wide.where(f"components > {FEW}").select("node").union(reps.where("short").select("node")).distinct()
     hot = shared_table(labelled(hot, labels), "hot")
     last = across if hot.isEmpty() else across.union(prefix_pairs(docs, reps, hot)).distinct()
-    links = links.union(verified(docs, reps, fitting(last)))
+    links = links.union(verified(docs, reps, plausible(reps, last)))
     labels = components(links)
     whole = labelled(reps.select("node", "rep"), labels)
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
