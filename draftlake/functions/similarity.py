@@ -129,10 +129,16 @@ def hash_buckets(text: Column, width: int = 64) -> Column:
 
 def hash_vector(text: Column, width: int = 64) -> Column:
     """Unit vector of token buckets, rounded to 8 places; zeros for a text without tokens."""
-    buckets = hash_buckets(text, width)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: F.round(x / norm, 8))).otherwise(counts)
+    zeros = F.array_repeat(F.lit(0.0), width)
+
+    def add(counts, bucket):
+        return F.transform(counts, lambda x, i: F.when(i == bucket, x + 1).otherwise(x))
+
+    def unit(counts):
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return F.when(norm > 0, F.transform(counts, lambda x: F.round(x / norm, 8))).otherwise(counts)
+
+    return F.aggregate(hash_buckets(text, width), zeros, add, unit)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

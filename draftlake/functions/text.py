@@ -145,7 +145,7 @@ def mark(text: Column) -> Column:
 
 def room(text: Column) -> Column:
     """Key under which room names merge: no white space, no edge punctuation, lower case; null if nothing is left."""
-    key = F.lower(F.trim(F.lit(" .:-_"), F.regexp_replace(text, r"\s+", "")))
+    key = F.lower(F.btrim(F.regexp_replace(text, r"\s+", ""), F.lit(" .:-_")))
     return F.when(key != "", key)
 
 
@@ -156,7 +156,7 @@ def section(text: Column) -> Column:
     parts = F.filter(F.split(F.regexp_extract(own, r"^(BH|SHS|RHS|PIPE|FB|PL|H|I|C|L|T)-?(\d.*)$", 2), "X"), lambda x: x != "")
     numbers = F.transform(parts, lambda x: x.try_cast("double"))
     numbers = F.when(shape.isin("PL", "FB") & (F.size(numbers) == 2), F.array_sort(numbers)).otherwise(numbers)
-    shown = F.transform(numbers, lambda x: F.regexp_replace(F.format_number(x, "0.######"), r"\.0*$", ""))
+    shown = F.transform(numbers, lambda x: F.regexp_replace(x.cast("string"), r"\.0$", ""))
     bad = F.exists(numbers, lambda x: x.isNull())
     return F.when(text.isNull() | (text == ""), F.lit(None)).when((shape == "") | bad, own).otherwise(F.concat(shape, F.lit("-"), F.array_join(shown, "x")))
 
@@ -227,7 +227,7 @@ def slug(text: Column) -> Column:
     """Readable key: no #, separators as single dashes, lower case; `unknown` if nothing is left."""
     own = F.trim(F.regexp_replace(F.trim(text), r"^#+|#+$", ""))
     own = F.regexp_replace(F.regexp_replace(own, r"[\s,_/\\]+", "-"), "-{2,}", "-")
-    own = F.lower(F.trim(F.lit("-"), own))
+    own = F.lower(F.btrim(own, F.lit("-")))
     return F.when(own == "", "unknown").otherwise(F.coalesce(own, F.lit("unknown")))
 
 

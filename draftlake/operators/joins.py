@@ -53,11 +53,11 @@ def overlapping(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
 
 def within(a: DataFrame, b: DataFrame, distance: float, size: float) -> DataFrame:
     """Pairs of rows whose boxes are at most a distance apart, with the distance."""
-    grown = a.withColumns({"_x": F.col("min_x"), "_y": F.col("min_y"), "_X": F.col("max_x"), "_Y": F.col("max_y"), "min_x": F.col("min_x") - distance, "min_y": F.col("min_y") - distance, "max_x": F.col("max_x") + distance, "max_y": F.col("max_y") + distance})
+    grown = a.withColumns({"_x1": F.col("min_x"), "_y1": F.col("min_y"), "_x2": F.col("max_x"), "_y2": F.col("max_y"), "min_x": F.col("min_x") - distance, "min_y": F.col("min_y") - distance, "max_x": F.col("max_x") + distance, "max_y": F.col("max_y") + distance})
     pairs = overlapping(grown, b, size)
-    own = [F.col(c) for c in ("_x", "_y", "_X", "_Y")]
+    own = [F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")]
     pairs = pairs.withColumn("distance", spatial.box_distance(own, spatial.box("b_"))).where(F.col("distance") <= distance)
-    return pairs.drop("min_x", "min_y", "max_x", "max_y").withColumnsRenamed({"_x": "min_x", "_y": "min_y", "_X": "max_x", "_Y": "max_y"})
+    return pairs.drop("min_x", "min_y", "max_x", "max_y").withColumnsRenamed({"_x1": "min_x", "_y1": "min_y", "_x2": "max_x", "_y2": "max_y"})
 
 
 def nearest(a: DataFrame, b: DataFrame, distance: float, size: float) -> DataFrame:

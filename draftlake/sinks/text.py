@@ -56,9 +56,9 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def svg_lines(entities: DataFrame) -> DataFrame:
     """Preview element of each entity: line, polyline or circle."""
-    at = lambda k, a: F.format_number(F.col("points")[k][a], "0.###")
-    circle = F.concat(F.lit('<circle cx="'), at(0, 0), F.lit('" cy="'), at(0, 1), F.lit('" r="'), F.format_number("radius", "0.###"), F.lit('"/>'))
-    points = F.array_join(F.transform("points", lambda p: F.concat_ws(",", F.format_number(p[0], "0.###"), F.format_number(p[1], "0.###"))), " ")
+    at = lambda k, a: F.round(F.col("points")[k][a], 3).cast("string")
+    circle = F.concat(F.lit('<circle cx="'), at(0, 0), F.lit('" cy="'), at(0, 1), F.lit('" r="'), F.round("radius", 3).cast("string"), F.lit('"/>'))
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(",", F.round(p[0], 3).cast("string"), F.round(p[1], 3).cast("string"))), " ")
     shape = F.when(F.col("entity_type").isin("CIRCLE", "ARC"), circle).otherwise(F.concat(F.lit('<polyline points="'), points, F.lit('"/>')))
     return entities.where(F.size("points") > 0).select("path", shape.alias("line"))
 

@@ -262,7 +262,7 @@ def parse_dxf(path: str, content: bytes) -> Iterator[dict]:
 def dxf(spark: SparkSession, path: str) -> DataFrame:
     """Normalised entities of DXF files with their boxes."""
     rows = parsed(binary(spark, path, "*.dxf"), parse_dxf, DXF)
-    xs, ys = (F.transform("points", lambda p, k=k: p[k]) for k in (0, 1))
+    xs, ys = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
     grow = F.when(F.col("entity_type").isin("CIRCLE", "ARC"), F.coalesce("radius", F.lit(0.0))).otherwise(0.0)
     return rows.select("*", (F.array_min(xs) - grow).alias("min_x"), (F.array_min(ys) - grow).alias("min_y"), (F.array_max(xs) + grow).alias("max_x"), (F.array_max(ys) + grow).alias("max_y"))
 
