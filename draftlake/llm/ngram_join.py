@@ -32,9 +32,9 @@ NUM, DEN = 80, 100  # the threshold as a fraction
 BITS, QUICK = 1024, 4
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
-HELD, FEW = 500_000, 1024
+HELD, FEW = 300_000, 1024
 #: Bytes of text that a task hashes at a time, and index partitions for each shuffle partition: both bound memory.
-TEXT, FINE = 500_000, 3
+TEXT, FINE = 300_000, 3
 #: Rows of one or two longs up to which they are broadcast; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -151,11 +151,27 @@ def digests(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set, the parity of its elements in each of BITS cells: two sets differ by at least as many elements."""
-    cell = np.repeat(np.arange(len(sizes)), sizes) * BITS + (values & U64(BITS - 1)).astype(np.int64)
-    odd = np.bincount(cell, minlength=len(sizes) * BITS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(-1, BITS), axis=1).view(np.int64)
+def parities(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each set, the parity of its elements in cells, BITS or more for larger sets, a power of two.
+
+    Two sets differ by at least as many elements as their parities do; halves laid over one another give fewer cells.
+    """
+    if not len(sizes):
+        return []
+    cells = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.cumsum(cells) - cells
+    cell = np.repeat(begin, sizes) + (values & np.repeat(cells - 1, sizes).astype(U64)).astype(np.int64)
+    odd = np.bincount(cell, minlength=int(cells.sum())).astype(np.uint8) & 1
+    packed = np.packbits(odd).view(np.int64)
+    return np.split(packed, begin[1:] // 64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
 
 
 def quick(a: str, b: str) -> Column:
@@ -276,10 +292,7 @@ def buckets(routed: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its set (ascending 64-bit hashes as bytes) for nodes (node, rep), from the text of document rep."""
-    picked = nodes.select("node", F.col("rep").alias("doc_id"))
-    few = picked.count() <= BROADCAST_IDS
-    texts = id_and_text(docs).join(F.broadcast(picked) if few else picked, "doc_id").select("node", "text")
+    """node and its set (ascending 64-bit hashes as bytes) for nodes (node, rep)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -287,13 +300,13 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for a, b in chunks(offsets, TEXT):
                 values, sizes = shingles(*utf8(batch.column("text").slice(a, b - a)))
                 ends = np.cumsum(sizes)
-                own = digests(values, sizes).view(np.int64)
-                same = own == batch.column("node").slice(a, b - a).to_numpy(zero_copy_only=False)
+                node = batch.column("node").slice(a, b - a)
+                same = pa.array(digests(values, sizes).view(np.int64) == node.to_numpy(zero_copy_only=False))
                 raw = [values[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a).filter(pa.array(same)), pa.array(raw, pa.binary()).filter(pa.array(same))], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([node.filter(same), pa.array(raw, pa.binary()).filter(same)], names=["node", "items"])
         release()
 
-    return texts.mapInArrow(run, "node long, items binary")
+    return texts_of(docs, nodes).mapInArrow(run, "node long, items binary")
 
 
 def plausible(reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -304,32 +317,48 @@ def plausible(reps: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in rows:
             if not batch.num_rows:
                 continue
-            x, y = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1).view(np.uint64) for c in ("bits_a", "bits_b"))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            x, y = (batch.column(c) for c in ("bits_a", "bits_b"))
+            differ = np.array([differing(x[k].values.to_numpy(), y[k].values.to_numpy()) for k in range(batch.num_rows)])
             keep = pa.array(differ * (DEN + NUM) <= batch.column("total").to_numpy() * (DEN - NUM))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
 
     return both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("total"), "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and the text of its representative document, for nodes (node, rep)."""
+    picked = nodes.select("node", F.col("rep").alias("doc_id"))
+    few = picked.count() <= BROADCAST_IDS
+    return id_and_text(docs).join(F.broadcast(picked) if few else picked, "doc_id").select("node", "text")
+
+
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+    """The pairs (a, b) of nodes whose sets are similar enough, by their whole texts."""
     pairs = shared_table(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(docs, reps.join(ends, "node", "left_semi"))
-    one = pairs.join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
-    both = one.join(sets.withColumnsRenamed({"node": "a", "items": "items_a"}), "a").select("a", "b", "items_a", "items_b")
+    texts = texts_of(docs, reps.join(ends, "node", "left_semi"))
+    one = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    both = one.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
+            if not batch.num_rows:
+                continue
+            offsets = sum(utf8(batch.column(c))[1] for c in ("text_a", "text_b"))
             keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("items_a"), batch.column("items_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep[k] = DEN * common >= NUM * (len(x) + len(y) - common)
+            for at, end in chunks(offsets, TEXT):
+                part = batch.slice(at, end - at)
+                (x, m), (y, n) = (shingles(*utf8(part.column(c))) for c in ("text_a", "text_b"))
+                own = (digests(v, k).view(np.int64) == part.column(c).to_numpy() for c, v, k in (("a", x, m), ("b", y, n)))
+                same = np.logical_and(*own)  # not another row that has the doc_id of a representative
+                p = q = 0
+                for k in range(end - at):
+                    u, v = x[p : p + m[k]], y[q : q + n[k]]
+                    p, q = p + m[k], q + n[k]
+                    if not same[k] or DEN * min(len(u), len(v)) < NUM * max(len(u), len(v)):
+                        continue
+                    common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                    keep[at + k] = DEN * common >= NUM * (len(u) + len(v) - common)
             cut = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(cut), batch.column("b").filter(cut)], names=["a", "b"])
         release()
@@ -399,7 +428,7 @@ def join(docs: DataFrame) -> DataFrame:
     members = found.where("sig is null").select("doc_id", "node", "size", "short", "bits")
     entries = found.where("sig is not null").select("sig", "node", "leader", "members")
     reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bits").alias("bits"))
-    folded = [F.aggregate(F.expr(f"transform(sequence({k}, {BITS // 64 - 1}, {QUICK}), i -> bits[i])"), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"q{k}") for k in range(QUICK)]
+    folded = [F.aggregate(F.expr(f"transform(sequence({k}, size(bits) - 1, {QUICK}), i -> bits[i])"), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"q{k}") for k in range(QUICK)]
     reps = shared_table(reps.select("*", *folded), "nodes")
     pairs = entries.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = shared_table(plausible(reps, pairs), "plausible")
