@@ -27,7 +27,7 @@ def binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def whole_text(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, value: one row a file."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
@@ -351,7 +351,7 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
 
 def sections_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Rows of CP949 section tables with eleven fields or more; the first of each key counts."""
-    rows = spark.read.option("encoding", "cp949").option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    rows = spark.read.option("encoding", "cp949").text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     rows = rows.select("line", F.split(F.trim("text"), r"\s+").alias("w")).where(F.size("w") >= 11)
     return rows.select("line", F.col("w")[0].alias("key"), F.transform(F.slice("w", 2, 100), lambda x: x.try_cast("double")).alias("numbers")).groupBy("key").agg(F.min_by("numbers", "line").alias("numbers"))
 
