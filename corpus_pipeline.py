@@ -16,18 +16,23 @@ from draftlake.llm import language, line_dedup, ngram_join, packing, quality
 from draftlake.llm.common import shared_table, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BESIDE = ["doc_id", "lang", "source", "n_chars"]
+
+
+def rejoined(df: DataFrame) -> DataFrame:
+    return df.select("kept.doc_id", "text", "kept.lang", "kept.source", "kept.n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality classifier predicts as good."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=COLUMNS).where("predicted = 1").select("kept.*")
+    return rejoined(quality.score(docs, model, keep=BESIDE).where("predicted = 1"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known: not `und`, and at least half of the posterior."""
     model = language.train(docs)
-    return language.identify(docs, model, keep=COLUMNS).where("lang_pred != 'und' and score >= 0.5").select("kept.*")
+    return rejoined(language.identify(docs, model, keep=BESIDE).where("lang_pred != 'und' and score >= 0.5"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,15 +15,25 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Characters that one numpy pass holds at a time; bounds the memory of a Python worker.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Let no Arrow batch of this session hold more rows than that: a batch of texts stays a few megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators read, so that extra columns never reach Python."""
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -173,3 +183,4 @@ def batches(rows: Iterator[pa.RecordBatch], fn: Callable[[pa.RecordBatch], dict
             out = fn(batch.slice(a, b - a))
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in schema], schema=schema)
+    release()

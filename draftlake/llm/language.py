@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import U64, Entries, batches, chunks, utf8
+from draftlake.llm.common import U64, Entries, batches, chunks, release, small_batches, utf8
 
 ORDER = 3
 FOLD = np.arange(256, dtype=np.uint8)
@@ -187,11 +187,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     A text that is null or has no letters is `und` with score 0, and so is every text where nothing was learned. A null
     doc_id is kept and not held out; repeated rows give repeated results; an empty table gives none. Equal code lengths
-    go to the language first in alphabetical order. With `keep`, those columns are returned too in a struct `kept`.
+    go to the language first in alphabetical order. With `keep`, those columns are returned too in a struct `kept`, and text beside it.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")]
-    own = docs.select(*columns, *([F.struct(*keep).alias("kept")] if keep else []))
-    more = [f"kept {own.schema['kept'].dataType.simpleString()}"] if keep else []
+    own = small_batches(docs).select(*columns, *([F.struct(*keep).alias("kept")] if keep else []))
+    more = [f"kept {own.schema['kept'].dataType.simpleString()}", "text string"] if keep else []
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -199,8 +199,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             out = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores), pa.array(rates)]
             names = ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"]
             if keep:
-                out, names = [*out, batch.column("kept")], [*names, "kept"]
+                out, names = [*out, batch.column("kept"), batch.column("text")], [*names, "kept", "text"]
             yield pa.RecordBatch.from_arrays(out, names=names)
+        release()
 
     return own.mapInArrow(run, ", ".join([SCHEMA, *more]))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import chunks, shared_table, span_hashes, utf8
+from draftlake.llm.common import chunks, release, shared_table, small_batches, span_hashes, utf8
 
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 WINDOW = "fp long, window long, doc long, digest long, first int, last int, place int, chosen boolean"
@@ -101,6 +101,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
                     [pa.array(found["fp"]), pa.array(found["window"]), part.column("doc").take(who), part.column("digest").take(who), *(pa.array(found[k]) for k in ("first", "last", "place", "chosen"))],
                     names=["fp", "window", "doc", "digest", "first", "last", "place", "chosen"],
                 )
+        release()
 
     source = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "digest", "text")
     made = shared_table(source.mapInArrow(run, WINDOW), "windows")
@@ -129,7 +130,8 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spans = runs(repeats(docs, min_words))
     plain = docs.drop("n_lines", "n_deleted")
     names = plain.columns
-    own = keyed(plain.select(F.struct(*names).alias("kept"), "doc_id", F.col("text").cast("string").alias("text")))
+    rest = [F.col(c) for c in names if c != "text"]
+    own = keyed(small_batches(plain).select(F.struct(*rest).alias("kept"), "doc_id", F.col("text").cast("string").alias("text")))
     joined = own.join(spans, ["doc", "digest"], "left").select("kept", "text", "spans")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +152,7 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 texts.append("\n".join(stays))
                 gone.append(len(own) - len(stays))
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=["kept", "text", "n_lines", "n_deleted"])
+        release()
 
     out = joined.mapInArrow(run, f"kept {joined.schema['kept'].dataType.simpleString()}, text string, n_lines long, n_deleted long")
     return out.select(*[F.col("text") if c == "text" else F.col(f"kept.`{c}`").alias(c) for c in names], "n_lines", "n_deleted")

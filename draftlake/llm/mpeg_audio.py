@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import chunks, utf8
+from draftlake.llm.common import chunks, release, small_batches, utf8
 
 UNIT = 576
 #: kbit/s by index 1 to 14 (ISO/IEC 11172-3 and 13818-3); fixed values.
@@ -230,12 +230,13 @@ def store(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             _, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets, 8_000_000):
+            for a, b in chunks(offsets, 2_000_000):
                 data, own = utf8(batch.column("text").slice(a, b - a))
                 raw, own = data.tobytes(), own.tolist()
                 texts = [raw[x:y] for x, y in zip(own[:-1], own[1:], strict=True)]
                 media = [encode(payload(t), len(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        release()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -272,6 +273,7 @@ def facts(stored_media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = [x.split()[0] for x in FACTS.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
+        release()
 
     return stored_media.select("doc_id", "media").mapInArrow(run, FACTS)
 
@@ -282,4 +284,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     A null text counts as empty; a null doc_id is kept; repeated rows give repeated, equal results; an empty table
     gives none. Columns other than doc_id and text are not read.
     """
-    return facts(store(docs))
+    return facts(store(small_batches(docs)))

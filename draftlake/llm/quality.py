@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import batches, chunks, id_and_text, span_hashes, utf8
+from draftlake.llm.common import batches, chunks, id_and_text, release, small_batches, span_hashes, utf8
 
 #: Byte classes: white space, line end, lower, upper, digit, ., ',', other sentence marks, quotes, brackets, |, !, and the rest.
 _KINDS = [b" \t\x0b\x0c\r", b"\n", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"?;:", b"\"'`", b"()[]{}<>", b"|", b"!", b"#$%&*+-/=@\\^_~"]
@@ -155,11 +155,12 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     A null or empty text has score 0. A null doc_id is kept and not held out; repeated rows give repeated results; an
-    empty table gives none. With `keep`, those columns of docs are returned too; no other column is read.
+    empty table gives none. With `keep`, those columns of docs are returned too in a struct `kept`, and text beside it;
+    no other column is read.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")]
-    own = docs.select(*columns, *([F.struct(*keep).alias("kept")] if keep else []))
-    kept = [f"kept {own.schema['kept'].dataType.simpleString()}"] if keep else []
+    own = small_batches(docs).select(*columns, *([F.struct(*keep).alias("kept")] if keep else []))
+    kept = [f"kept {own.schema['kept'].dataType.simpleString()}", "text string"] if keep else []
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -173,7 +174,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             out = [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             names = ["doc_id", "held_out", "score", "predicted"]
             if keep:
-                out, names = [*out, batch.column("kept")], [*names, "kept"]
+                out, names = [*out, batch.column("kept"), batch.column("text")], [*names, "kept", "text"]
             yield pa.RecordBatch.from_arrays(out, names=names)
+        release()
 
     return own.mapInArrow(run, ", ".join([SCHEMA, *kept]))
