@@ -74,8 +74,8 @@ def bbox_overlap(t, spark):
     return t("objects").where(catalog.ElementFilter(window=(100, 40, 120, 60)).condition()).select("id")
 
 
-@query("F-10", """SELECT o.id FROM {objects} o WHERE o.category = 'plan' OR EXISTS (SELECT 1 FROM {objects} v WHERE v.kind = 'View' AND v.category = 'plan' AND v.document_id = o.document_id AND v.layout = o.layout)
- OR EXISTS (SELECT 1 FROM {drawings} d WHERE d.document_id = o.document_id AND d.category = 'plan')""")
+@query("F-10", """WITH h AS (SELECT o.id FROM {objects} o WHERE o.category = 'plan' OR EXISTS (SELECT 1 FROM {objects} v WHERE v.kind = 'View' AND v.category = 'plan' AND v.document_id = o.document_id AND v.layout = o.layout)
+ OR EXISTS (SELECT 1 FROM {drawings} d WHERE d.document_id = o.document_id AND d.category = 'plan')) SELECT id FROM {objects} WHERE id IN (SELECT id FROM h)""")
 def category_filter_semi(t, spark):
     return catalog.in_category(t("objects"), t("drawings"), "plan").select("id")
 
