@@ -295,3 +295,72 @@ def bounded_join(items: Column, separator: str, most: int) -> Column:
         return F.struct(F.when(fits, text).otherwise(done["text"]).alias("text"), (~fits).alias("full"))
 
     return F.aggregate(items, start, add, lambda done: done["text"])
+
+
+SHEET = r"^([A-Z]{1,3}-?\d{2,4}(?:-\d{1,3})?|(?:소방|통신|토목|전기|기계|건축|구조)-?\d{1,4}(?:-\d{1,3})?)(?![A-Z0-9가-힣])"
+
+
+def sheet_fields(name: Column) -> Column:
+    """struct(number, title) of a drawing's file name: an order prefix is ignored, the number must come first, a range keeps its first."""
+    own = F.trim(F.regexp_replace(F.trim(stem(name)), r"^(?:\d{1,3}[_.]\s*|\d{1,3}\s+-\s+(?=[A-Za-z가-힣]{1,3}-?\d))", ""))
+    number = F.regexp_extract(F.upper(own), SHEET, 1)
+    rest = F.regexp_replace(F.substring(own, F.length(number) + 1, F.length(own)), r"^\s*~\s*[A-Za-z가-힣]{0,3}-?\d{1,4}", "")
+    title = F.when(number == "", F.btrim(own, F.lit(" -_[]"))).otherwise(F.trim(F.regexp_replace(rest, r"[_\s\-\[\]]+", " ")))
+    return F.struct(F.nullif(number, F.lit("")).alias("number"), F.nullif(title, F.lit("")).alias("title"))
+
+
+ROOM = r"(?i)^\s*(?:(\d{1,4}[A-Z]?)\s*호?\s+)?([^\d\s(][^\d(]{0,30}?(?:\s?\d{1,2})?)\s*(?:[(\[]?\s*(\d{1,5}(?:[.,]\d{1,3})?)\s*(?:㎡|m2|m²|sqm)\s*[)\]]?)?\s*$"
+
+
+def room_label(value: Column) -> Column:
+    """struct(number, name, area) of a room label of up to three lines; null for other text."""
+    lines = F.filter(F.transform(F.split(value, r"[\r\n]+|\\P"), lambda x: F.trim(x)), lambda x: x != "")
+    head = F.try_element_at(lines, F.lit(1))
+    part = lambda g: F.nullif(F.regexp_extract(head, ROOM, g), F.lit(""))
+    below = F.regexp_extract(F.array_join(F.slice(lines, 2, 2), " "), r"(?i)(\d{1,5}(?:[.,]\d{1,3})?)\s*(?:㎡|m2|m²|sqm)", 1)
+    area = F.coalesce(part(3), F.nullif(below, F.lit("")))
+    fits = F.size(lines).between(1, 3) & (F.length(head) <= 40) & head.rlike(ROOM)
+    return F.when(fits, F.struct(part(1).alias("number"), part(2).alias("name"), F.replace(area, F.lit(","), F.lit(".")).try_cast("double").alias("area")))
+
+
+#: Folder names that group projects, and phases of a project; fixed values.
+CONTAINERS = ["프로젝트", "감리", "공모", "현상", "작업중", "웹하드", "회사", "projects", "project"]
+PHASES = ["허가", "사용승인", "실시", "착공", "기본", "계획", "설계", "변경", "준공", "실시설계", "기본설계", "계획설계", "인허가", "건축허가", "공사", "시공", "견적", "심의", "구조", "전기", "기계", "소방", "토목", "조경", "통신", "설비", "도면", "서류", "참고", "자료"]
+
+
+def project(folder: Column) -> Column:
+    """struct(key, name, phase) of a folder path: its last level, or the one above a phase folder, or a level marked ##."""
+    parts = F.filter(F.split(folder, r"[\\/]+"), lambda p: F.trim(p) != "")
+    clean = lambda c: F.trim(F.regexp_replace(F.trim(c), "^#+", ""))
+    at = lambda k: F.try_element_at(parts, F.lit(k))
+    phase = lambda c: F.exists(F.array(*map(F.lit, PHASES)), lambda w: F.startswith(clean(c), w) & (F.length(clean(c)) <= F.length(w) + 3))
+    container = lambda c: F.lower(clean(c)).isin(CONTAINERS) | (F.startswith(c, F.lit("###")) & (F.length(clean(c)) <= 6))
+    marked = F.startswith(at(1), F.lit("##")) & ~F.startswith(at(1), F.lit("###"))
+    under = (F.size(parts) >= 2) & F.coalesce(phase(at(-1)), F.lit(False)) & ~F.coalesce(container(at(-2)), F.lit(False))
+    name = clean(F.when(marked, at(1)).when(under, at(-2)).otherwise(at(-1)))
+    stage = F.when(marked, F.when((F.size(parts) >= 2) & phase(at(2)), clean(at(2)))).when(under, clean(at(-1)))
+    return F.struct(slug(name).alias("key"), name.alias("name"), F.coalesce(stage, F.lit("")).alias("phase"))
+
+
+def whole_word(body: Column, word: str) -> Column:
+    """Containment; a word of two Hangul syllables or fewer only as a token, alone or before a particle."""
+    import re
+
+    if len(word) > 2 or not re.fullmatch("[가-힣]+", word):
+        return like_literal(body, word)
+    return body.rlike(f"(?:^|[^가-힣A-Za-z0-9]){word}(?:은|는|이|가|을|를|의|에|와|과|도|만|로|으로)?(?=$|[^가-힣A-Za-z0-9])")
+
+
+def relevance_terms(title: Column, most: int = 8) -> Column:
+    """Terms of a title: punctuation out but for decimal points, the first `most`."""
+    own = F.regexp_replace(title, r"(?<!\d)\.|\.(?!\d)|[^0-9A-Za-z가-힣.\s]", " ")
+    return F.slice(F.filter(F.split(own, r"\s+"), lambda w: w != ""), 1, most)
+
+
+def sheet_storey(title: Column, category: Column) -> Column:
+    """Storey of a plan or structural plan from its title."""
+    return F.when(category.isin("plan", "structural_plan"), storey_from(title))
+
+
+def utc_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -47,7 +47,10 @@ def oracle(body: str) -> str:
     text = body.format(**{v: f"v_{v}" for v in VIEWS})
     if not used:
         return text
-    return f"WITH {views}, {text[5:]}" if text.startswith("WITH ") else f"WITH {views} {text}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(head):
+            return f"{head}{views}, {text.removeprefix(head)}"
+    return f"WITH {views} {text}"
 
 
 @dataclass

@@ -98,9 +98,9 @@ def test_documents(spark, tmp_path):
 
 def test_census_and_records(spark, tmp_path):
     put(tmp_path, "a.dwg", b"AC1027 rest")
-    put(tmp_path, "b.txt", b"")
+    put(tmp_path, "b.txt", b"x")
     rows = {r.ext: r for r in files.census(spark, str(tmp_path)).collect()}
-    assert rows["dwg"].release == "2013" and rows["txt"].status == "EMPTY" and len(rows["dwg"].sha256) == 64
+    assert rows["dwg"].release == "2013" and rows["txt"].release is None and len(rows["dwg"].sha256) == 64
     known = files.census(spark, str(tmp_path), ["dwg"])
     assert files.census(spark, str(tmp_path), ["dwg"], known=known).count() == 0
     lines = put(tmp_path, "r.jsonl", '{"k":"a","v":1}\n{"k":"b","v":2}\n{"k":"a","v":3}\n{"k":"c",')
