@@ -8,7 +8,7 @@ segment and all its subsets less one element; an empty segment has tolerance -1
 match without cause. How many segments a band has and how many get tolerance 1 is chosen by cost: rows in the index,
 and the chance that a segment holds nothing but a passage that many sets share.
 
-Buckets give candidates: each member with the bucket's least one, first. What is left are buckets whose members do not
+Buckets give candidates: each member with the bucket's least one, first, in an order that depends on the signature. What is left are buckets whose members do not
 yet lie in one component: with few components, all pairs across them; the others, and sets whose empty segments
 exceed the allotment, are joined by prefixes in order of frequency, which is exact as well. Every candidate is verified
 on the whole sets. Sets are identified by a 64-bit digest, so equal sets are one node from the start.
@@ -29,10 +29,12 @@ from draftlake.llm.common import U64, chunks, id_and_text, mix, partitions, ragg
 
 WORDS = 5
 NUM, DEN = 80, 100  # the threshold as a fraction
-BITS, QUICK = 1024, 4
+BITS, QUICK = 1024, 16
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
 HELD, FEW = 300_000, 1024
+#: Orders of the nodes, by the signature, of which each gives its buckets another least node; a power of two.
+LEADERS = 32
 #: Bytes of text that a task hashes at a time, and index partitions for each shuffle partition: both bound memory.
 TEXT, FINE = 300_000, 3
 #: Rows of one or two longs up to which they are broadcast; beyond, a shuffled join.
@@ -268,7 +270,10 @@ def buckets(routed: DataFrame) -> DataFrame:
         twin[:-1] |= twin[1:]
         e = e[order[twin]]
         del order, sig, twin
-        e = e[np.lexsort((e["node"], e["sig"]))]
+        with np.errstate(over="ignore"):
+            turn = mix(e["node"] ^ (e["sig"] & U64(LEADERS - 1)) * U64(0x9E3779B97F4A7C15))
+        e = e[np.lexsort((turn, e["sig"]))]
+        del turn
         again = np.zeros(len(e), bool)
         again[1:] = (e["sig"][1:] == e["sig"][:-1]) & (e["node"][1:] == e["node"][:-1])
         e = e[~again]
@@ -445,7 +450,7 @@ def join(docs: DataFrame) -> DataFrame:
     spread = wide.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("components")).where("components > 1")
     wide = shared_table(wide.join(spread, "sig").select("sig", "node", "leader", "component", "components"), "wide")
     tried = wide.where(f"components <= {FEW} and leader != node").select("sig", "node", "component")
-    tried = shared_table(tried.join(facts(reps, "node"), "node"), "tried")
+    tried = tried.join(facts(reps, "node"), "node")
     own = [f"size_node as size_{{x}}", *[f"q{k}_node as q{k}_{{x}}" for k in range(QUICK)]]
     a, b = (tried.selectExpr("sig", f"node as {x}", f"component as in_{x}", *[c.format(x=x) for c in own]) for x in "ab")
     across = a.join(b, "sig").where((F.col("in_a") != F.col("in_b")) & (F.col("a") < F.col("b")) & quick("a", "b")).select("a", "b").distinct()
