@@ -41,7 +41,7 @@ def release(content: Column) -> Column:
 
 
 def census(spark: SparkSession, path: str, extensions: list[str] | None = None, exclude: str | None = None, known: DataFrame | None = None) -> DataFrame:
-    """path, ext, size, modified, sha256, release, status of every file; files whose (path, size, modified) are known are not read."""
+    """path, ext, size, modified, sha256, release of every file but empty ones; files whose (path, size, modified) are known are not read."""
     files = binary(spark, path).withColumn("ext", extension(F.col("path")))
     if extensions:
         files = files.where(F.col("ext").isin(extensions))
@@ -49,7 +49,7 @@ def census(spark: SparkSession, path: str, extensions: list[str] | None = None,
         files = files.where(~F.col("path").rlike(exclude))
     if known is not None:
         files = files.join(known.select("path", F.col("size").alias("length"), F.col("modified").alias("modificationTime")), ["path", "length", "modificationTime"], "left_anti")
-    return files.select("path", "ext", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), release(F.col("content")).alias("release"), F.when(F.col("length") == 0, "EMPTY").otherwise("OK").alias("status"))
+    return files.select("path", "ext", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), release(F.col("content")).alias("release"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
