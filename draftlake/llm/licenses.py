@@ -7,6 +7,7 @@ lies within the bounds that the threshold puts on it: t / (2 - t) to (2 - t) / t
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,11 @@ def templates() -> list[tuple[str, list[str]]]:
     return [(name, bigrams(t)) for name, texts in TEMPLATES.items() for t in texts]
 
 
+def size_bounds(n: int, threshold: float) -> tuple[int, int]:
+    """Least and largest number of bigrams of a unit that can reach the threshold with a template of n."""
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+
+
 def words_of(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), "[^0-9a-z]+", " ")), " ")
 
@@ -61,8 +67,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     matches; an empty table gives none. Columns other than doc_id and text are not read.
     """
     known = templates()
-    most = max(len(b) for _, b in known) * (2 - threshold) / threshold
-    least = min(len(b) for _, b in known) * threshold / (2 - threshold)
+    bounds = [size_bounds(len(b), threshold) for _, b in known]
+    least, most = min(a for a, _ in bounds), max(b for _, b in bounds)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("unit_no"), x.alias("body")))
     blocks = F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("block").alias("unit"), i.alias("unit_no"), x.alias("body")))
@@ -77,7 +83,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scores: dict[str, list[Column]] = {}
     for name, grams in known:
         k = len(grams)
-        within = F.col("n_bigrams").between(k * threshold / (2 - threshold), k * (2 - threshold) / threshold)
+        within = F.col("n_bigrams").between(*size_bounds(k, threshold))
         dice = F.size(F.array_intersect("own", F.array(*map(F.lit, grams)))) * 2.0 / (F.col("n_bigrams") + k)
         scores.setdefault(name, []).append(F.when(within, dice))
     each = [F.struct(F.lit(name).alias("license"), (F.greatest(*own) if len(own) > 1 else own[0]).alias("dice")) for name, own in scores.items()]
@@ -108,6 +114,6 @@ own AS (
 scored AS (
   SELECT doc_id, unit, unit_no, license, CAST(len(own.grams) AS INTEGER) AS n_bigrams,
          2.0::DOUBLE * len(list_intersect(own.grams, t.grams)) / (len(own.grams) + len(t.grams)) AS dice
-  FROM own JOIN templates t ON len(own.grams) BETWEEN len(t.grams) * {threshold}::DOUBLE / (2 - {threshold}::DOUBLE) AND len(t.grams) * (2 - {threshold}::DOUBLE) / {threshold}::DOUBLE)
+  FROM own JOIN templates t ON len(own.grams) BETWEEN ceil(len(t.grams) * {threshold}::DOUBLE / (2 - {threshold}::DOUBLE) - 1e-9) AND floor(len(t.grams) * (2 - {threshold}::DOUBLE) / {threshold}::DOUBLE + 1e-9))
 SELECT doc_id, unit, unit_no, license, max(dice) AS dice, n_bigrams FROM scored WHERE dice >= {threshold}::DOUBLE
 GROUP BY doc_id, unit, unit_no, license, n_bigrams"""

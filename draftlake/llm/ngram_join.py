@@ -290,7 +290,7 @@ def buckets(routed: DataFrame) -> DataFrame:
                 [none, pa.array(own["node"].view(np.int64)), none, pa.nulls(len(cut), pa.bool_()), pa.nulls(len(cut), pa.list_(pa.int64())), pa.array(own["sig"].view(np.int64)), pa.array(leader[cut].view(np.int64)), pa.array(members[cut])],
                 names=[x.split()[0] for x in FOUND.split(", ")],
             )
-        del e, own
+        del e
         release()
 
     return routed.repartition(FINE * partitions(routed), "part").mapInArrow(run, FOUND)
