@@ -173,6 +173,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What workers keep between tasks only to save work; an operator that needs the memory lets it go.
+KEPT: list = []
+
+
+def forget() -> None:
+    for kept in KEPT:
+        kept.clear()
+    release()
+
+
 def batches(rows: Iterator[pa.RecordBatch], fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Apply fn to slices of each batch that hold about CHUNK bytes of text."""
     for batch in rows:

@@ -25,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import U64, chunks, id_and_text, mix, partitions, ragged, release, shared_table, span_hashes, utf8
+from draftlake.llm.common import U64, chunks, forget, id_and_text, mix, partitions, ragged, release, shared_table, span_hashes, utf8
 
 WORDS = 5
 NUM, DEN = 80, 100  # the threshold as a fraction
 BITS, QUICK = 1024, 16
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on; components in a bucket up to which all pairs are tried.
-HELD, FEW = 300_000, 1024
+HELD, FEW = 200_000, 1024
 #: Orders of the nodes, by the signature, of which each gives its buckets another least node; a power of two.
 LEADERS = 32
 #: Bytes of text that a task hashes at a time, and index partitions for each shuffle partition: both bound memory.
-TEXT, FINE = 300_000, 3
+TEXT, FINE = 200_000, 3
 #: Rows of one or two longs up to which they are broadcast; beyond, a shuffled join.
 BROADCAST_IDS = 1_000_000
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -197,6 +197,7 @@ def route(docs: DataFrame, parts: int) -> DataFrame:
     """Members (doc_id, node, size, short) and, for each of `parts` ranges of signatures, blocks of index entries."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         held: list[np.ndarray] = []
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import batches, id_and_text, shared_table
-from draftlake.llm.word_bpe import WordTable, encoded, vocabulary
+from draftlake.llm.common import batches, id_and_text, release, shared_table
+from draftlake.llm.word_bpe import WordTable, encoded, special_tokens
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # multiplicity, (length, copies) from the largest length down
 
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int) ->
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, specials = word_ids(vocabulary_path), vocabulary(vocabulary_path).specials
+        words, specials = word_ids(vocabulary_path), special_tokens(vocabulary_path)
         end = np.array([end_id], "<u4").tobytes()
 
         def one(batch: pa.RecordBatch) -> dict:
@@ -227,6 +227,7 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 4096, end_id: in
                 [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(plan["sequence"][at] + nth // copies), pa.array(plan["offset"][at] + nth % copies * length)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
+        release()
 
     columns = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return columns.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")

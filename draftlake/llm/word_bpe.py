@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from draftlake.llm.common import Entries, span_hashes, utf8
+from draftlake.llm.common import KEPT, Entries, span_hashes, utf8
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
@@ -106,6 +106,13 @@ class Vocabulary:
         self.base = {s: i for s, i in by_form.items() if len(s) == 1}
 
 
+@lru_cache(2)
+def special_tokens(path: str) -> dict[str, int]:
+    """The special strings and their ids, without the tables of the whole vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -121,13 +128,17 @@ class WordTable:
 
     def __init__(self, encode, shape):
         self.encode, self.shape = encode, shape
-        self.entries, self.values = Entries(), []
+        self.entries, self.values = Entries(most=300_000), []
+        KEPT.append(self)
+
+    def clear(self) -> None:
+        self.entries.clear()
+        self.values.clear()
 
     def rows(self, array: pa.Array):
         """Yield, for each text of the column, the list of the entries' values in its order."""
         if self.entries.full():
-            self.entries.clear()
-            self.values.clear()
+            self.clear()
         low, begins = normalised(array)
         points, starts, ends = pre_tokens(low)
 
