@@ -49,7 +49,9 @@ def area_labels(spaces: DataFrame, labels: DataFrame, tolerance: float) -> DataF
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rooms, texts, used, out = rows[rows.idx >= 0].sort_values("idx"), rows[rows.idx < 0], set(), []
         for r in rooms.itertuples():
-            near = [(((r.x - t.x) ** 2 + (r.y - t.y) ** 2) ** 0.5, t.id, t.value) for t in texts.itertuples() if t.id not in used and 0 < r.y - t.y <= tolerance and abs(r.x - t.x) <= tolerance]
+            below = r.y - texts.y
+            close = texts[(below > 0) & (below <= tolerance) & ((r.x - texts.x).abs() <= tolerance)]
+            near = [(((r.x - t.x) ** 2 + (r.y - t.y) ** 2) ** 0.5, t.id, t.value) for t in close.itertuples() if t.id not in used]
             if near:
                 _, label, value = min(near)
                 used.add(label)

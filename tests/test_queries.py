@@ -47,3 +47,15 @@ def test_query(spark, duck, name):
 
 def test_every_query_names_its_operators():
     assert all(q.operators for q in QUERIES.values())
+
+
+def test_queries_without_sql_read_every_row(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert QUERIES["hash_vector1024"].run(spark, DATA).count() == docs.count()
+    assert max(r.id for r in QUERIES["wall_face_pairs"].run(spark, DATA).collect() if r.id < 1_000_000) >= 23
+
+
+def test_area_labels_of_late_frames(spark, tmp_path):
+    spark.createDataFrame([(920, 5)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert [tuple(r) for r in QUERIES["greedy_area_labels"].run(spark, str(tmp_path)).collect()] == [(920, 1, 10.0)]
