@@ -60,27 +60,42 @@ class Planner:
         found: dict[tuple, int] = {}
         looks = self.looks
 
-        def search(room: int, top: int) -> None:
+        def record(own: dict[int, int], room: int) -> None:
+            found.setdefault(tuple(sorted(((n, k) for n, k in own.items() if k), reverse=True)), room)
+
+        def finish(room: int) -> None:
+            """Record the filling with the largest pieces that still fit."""
+            own = dict(used)
+            for n in reversed(self.lengths[: bisect_right(self.lengths, room)]):
+                k = min(self.count[n] - own.get(n, 0), room // n)
+                own[n] = own.get(n, 0) + k
+                room -= k * n
+            record(own, room)
+
+        def search(room: int, top: int, all_fit: bool) -> None:
             nonlocal looks
             looks -= 1
+            if looks <= 0:
+                finish(room)
+                return
             at = bisect_right(self.lengths, min(room, top))
             grew = False
-            while at and looks > 0:
+            while at:
                 at -= 1
                 n = self.lengths[at]
-                if used.get(n, 0) >= self.count[n]:
-                    continue
-                grew = True
-                used[n] = used.get(n, 0) + 1
-                search(room - n, n)
-                used[n] -= 1
-                if 0 in found.values() and len(found) >= most:
-                    return
-            if not grew:
-                parts = tuple(sorted(((n, k) for n, k in used.items() if k), reverse=True))
-                found.setdefault(parts, room)
-
-        search(self.capacity - largest, largest)
+                before = used.get(n, 0)
+                fit = min(self.count[n] - before, room // n)
+                for k in range(fit, 0, -1):
+                    grew = True
+                    used[n] = before + k
+                    search(room - k * n, n - 1, k == fit)
+                    used[n] = before
+                    if looks <= 0 or 0 in found.values() and len(found) >= most:
+                        return
+            if not grew and all_fit:
+                record(used, room)
+
+        search(self.capacity - largest, largest, True)
         best = sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-n for n, _ in x[0]]))
         kept = [x for k, x in enumerate(best) if not k or not self.dominated(*x)][:most]
         out = []

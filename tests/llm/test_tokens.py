@@ -143,3 +143,16 @@ def test_odd_rows(odd):
     codes = {r.doc_id: r for r in encode_decode.encode_and_decode(odd, WORD).collect()}
     assert codes[4].ids_sha256 == codes[3].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert codes[1] == codes[2].__class__(**{**codes[2].asDict(), "doc_id": 1}) or codes[1].ids_sha256 == codes[2].ids_sha256
+
+
+@pytest.mark.parametrize("counts", [{1: 100_000}, {5: 50_000}, {1: 30_000, 5: 20_000, 700: 40, 3000: 7}])
+def test_planner_fills_sequences_with_short_pieces(counts):
+    plan = packing.Planner(counts, 4096).plan()
+    used = {}
+    for times, parts in plan:
+        assert sum(n * k for n, k in parts) <= 4096
+        for n, k in parts:
+            used[n] = used.get(n, 0) + times * k
+    assert used == counts
+    tokens = sum(n * c for n, c in counts.items())
+    assert sum(t for t, _ in plan) == (-(-counts[5] // 819) if list(counts) == [5] else -(-tokens // 4096))
