@@ -433,7 +433,8 @@ def join(docs: DataFrame) -> DataFrame:
     found = shared_table(buckets(route(docs, FINE * partitions(docs))), "buckets")
     members = found.where("sig is null").select("doc_id", "node", "size", "short", "bits")
     entries = found.where("sig is not null").select("sig", "node", "leader", "members")
-    reps = members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bits").alias("bits"))
+    # the row of a node that has its bits may be one without a doc_id
+    reps = members.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("short").alias("short"), F.max("bits").alias("bits")).where("rep is not null")
     folded = [F.aggregate(F.expr(f"transform(sequence({k}, size(bits) - 1, {QUICK}), i -> bits[i])"), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias(f"q{k}") for k in range(QUICK)]
     reps = shared_table(reps.select("*", *folded), "nodes")
     pairs = entries.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()

@@ -207,3 +207,11 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS, name
+
+
+def test_shingle_join_with_a_copy_without_id_first(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = spark.createDataFrame([(None, text), (1, text), (2, near)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(rows).collect()}
+    assert got == {None: 1, 1: 1, 2: 1}
