@@ -63,7 +63,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     mixed = np.zeros(max(0, len(word) - WORDS + 1), U64)
     with np.errstate(over="ignore"):
         for k in range(WORDS):
-            mixed = mixed * U64(0x9E3779B97F4A7C15) + word[k : len(word) - WORDS + 1 + k]
+            mixed = mixed * U64(0x9E3779B97F4A7C15) + word[k : k + len(mixed)]
     mixed = mix(mixed)
     for i in range(len(n)):
         a, c = int(first[i]), int(count[i])

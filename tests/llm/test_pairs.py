@@ -215,3 +215,15 @@ def test_shingle_join_with_a_copy_without_id_first(spark):
     rows = spark.createDataFrame([(None, text), (1, text), (2, near)], "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.component_id for r in ngram_join.join(rows).collect()}
     assert got == {None: 1, 1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("n", range(1, 8))
+def test_shingles_of_few_words(n):
+    text = " ".join("abcdefg"[:n]).encode()
+    values, sizes = ngram_join.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert sizes.tolist() == [max(1, n - 4)] and len(values) == sizes[0]
+
+
+def test_shingle_join_of_a_document_of_three_words(spark):
+    rows = spark.createDataFrame([(1, "one two three")], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(rows).collect()] == [(1, 1, 1)]
