@@ -25,6 +25,7 @@ from draftlake.llm.common import partitions, shared_table
 
 TABLES, WIDE = 6, 5_000_000
 SHARE = 4000  # vectors of a bucket under one key
+PAIRS = 20_000  # pairs of vectors that are multiplied at a time
 REFERENCE = 4000  # vectors that every query is compared with first, for a floor under its k-th best score
 
 
@@ -85,14 +86,19 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For blocks of queries: query rows, ids and exact scores of their k best; equal scores to the smaller id."""
-    some = min(len(ids), k + 11)
+    some, dim = min(len(ids), k), vectors.shape[1]
+    longest = np.sqrt((vectors * vectors).sum(1).max())
     for a in range(0, len(queries), block):
         q = queries[a : a + block]
         rough = q @ vectors.T
-        pick = np.argpartition(-rough, some - 1, axis=1)[:, :some] if some < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-        exact = (q[:, None, :] * vectors[pick]).sum(2)
-        order = np.lexsort((ids[pick], -exact), axis=1)[:, :k]
-        yield np.repeat(np.arange(a, a + len(q)), order.shape[1]), np.take_along_axis(ids[pick], order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
+        # either way of summing rounds by at most dim ulps of the lengths' product: none below this can be among the k best
+        slack = 8 * dim * np.finfo(float).eps * np.sqrt((q * q).sum(1)) * longest + np.finfo(float).tiny
+        least = -np.partition(-rough, some - 1, axis=1)[:, some - 1] - slack
+        row, col = np.nonzero(~(rough < least[:, None]))  # so that what is not a number stays
+        exact = np.concatenate([(q[row[at : at + PAIRS]] * vectors[col[at : at + PAIRS]]).sum(1) for at in range(0, len(row), PAIRS)])
+        order = np.lexsort((ids[col], -exact, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row, row, "left") < k]
+        yield row[order] + a, ids[col[order]], exact[order]
 
 
 def usable(vectors: DataFrame) -> DataFrame:

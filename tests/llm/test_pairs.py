@@ -227,3 +227,25 @@ def test_shingles_of_few_words(n):
 def test_shingle_join_of_a_document_of_three_words(spark):
     rows = spark.createDataFrame([(1, "one two three")], "doc_id long, text string").coalesce(1)
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(rows).collect()] == [(1, 1, 1)]
+
+
+def test_best_keeps_ties_to_the_smaller_id():
+    rng = np.random.default_rng(2)
+    vectors = np.unique(rng.integers(0, 2, (900, 12)), axis=0).astype(float)
+    ids = rng.permutation(len(vectors))
+    queries = vectors[:70]
+    got = [np.concatenate(x) for x in zip(*nearest.best(queries, vectors, ids, 5, block=32), strict=True)]
+    scores = queries @ vectors.T
+    for k in range(len(queries)):
+        want = sorted(zip((-scores[k]).tolist(), ids.tolist(), strict=True))[:5]
+        assert list(zip((-got[2][got[0] == k]).tolist(), got[1][got[0] == k].tolist(), strict=True)) == want
+
+
+def test_nearest_of_one_hot_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(int(i), [float(j == k) for j in range(64)]) for k, i in enumerate(np.random.default_rng(4).permutation(64))]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 16 == 0, k=6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for i in range(64) if i != q][:6] for q in range(0, 64, 16)}
