@@ -164,13 +164,14 @@ def read(media: bytes) -> Stream:
     """Parse a stream: tags, the variable-bitrate table, and every frame whose checksum holds."""
     out = Stream()
     at, out.tags = read_tag(media)
-    end = len(media) - (128 if len(media) >= 128 and media[-128:-125] == b"TAG" else 0)
+    end = len(media)
+    old_tag = end - 128 if end >= 128 and media[-128:-125] == b"TAG" else end  # one only if no frame reaches past its start
     synced, held = True, []
-    while at < end:
+    while at < end and at != old_tag:
         f = header(media, at)
         whole = f is not None and at + f.size <= end
         if whole and not synced:
-            whole = at + f.size == end or header(media, at + f.size) is not None
+            whole = at + f.size in (old_tag, end) or header(media, at + f.size) is not None
         if not whole:
             out.resyncs += synced
             synced = False

@@ -118,6 +118,17 @@ def test_media_resynchronises():
     assert mpeg_audio.read(b"").frames == [] and mpeg_audio.read(b"\xff" * 999).frames == []
 
 
+def test_media_with_the_mark_of_an_old_tag():
+    data = bytearray(random.Random(2).randrange(256) for _ in range(576 * 3))
+    data[576 * 2 + 460 : 576 * 2 + 463] = b"TAG"
+    media = mpeg_audio.encode(bytes(data), len(data))
+    assert media[-128:-125] == b"TAG"
+    assert mpeg_audio.stored(media, mpeg_audio.read(media)) == (bytes(data), 0)
+    tagged = mpeg_audio.encode(bytes(576), 1) + b"TAG" + b"\xff\xfb\xb0\x04" * 31 + b"x"
+    s = mpeg_audio.read(tagged)
+    assert (len(s.frames), s.skipped, s.resyncs) == (1, 0, 0) and mpeg_audio.stored(tagged, s) == (bytes(576), 0)
+
+
 def test_audio_headers_of_other_layers():
     f = mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x64]), 0)
     assert (f.version, f.layer, f.kbits, f.rate, f.size, f.samples, f.channels) == (3, 3, 128, 44100, 417, 1152, 2)
