@@ -249,3 +249,14 @@ def test_nearest_of_one_hot_vectors(spark):
     for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 16 == 0, k=6).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for i in range(64) if i != q][:6] for q in range(0, 64, 16)}
+
+
+def test_nearest_recall_comes_from_the_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nearest, "REFERENCE", 1)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(400)]
+    want = brute_nearest(rows, 6)
+    hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, k=6, recall=0.97).collect())
+    assert hits / (6 * len(want)) >= 0.9
