@@ -319,7 +319,7 @@ def application_mappings(t, spark):
     return tables.application_mappings(t("objects").where("document_id < 500"))
 
 
-@query("P-05 P-02", """SELECT event_id AS object_id, 'type' AS property_name, '{{"value":"' || event_type || '"}}' AS value_json FROM events WHERE event_id < 300 UNION ALL SELECT event_id, 'user', '{{"value":"' || user_id || '"}}' FROM events WHERE event_id < 300""")
+@query("P-05", """SELECT event_id AS object_id, 'type' AS property_name, '{{"value":"' || event_type || '"}}' AS value_json FROM events WHERE event_id < 300 UNION ALL SELECT event_id, 'user', '{{"value":"' || user_id || '"}}' FROM events WHERE event_id < 300""")
 def properties_table(t, spark):
     own = t("events").where("event_id < 300").select(F.col("event_id").alias("id"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")).alias("properties"))
     return tables.properties_table(own)

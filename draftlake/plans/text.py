@@ -150,7 +150,7 @@ def prf_by_class(t, spark):
     return out.select("label", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("A-31 A-29", "SELECT source, round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("A-31", "SELECT source, round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def extraction_accuracy(t, spark):
     own = t("labels").join(t("documents").select("doc_id", "source"), "doc_id")
     return own.groupBy("source").agg(F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count("*").alias("n"))
@@ -277,7 +277,7 @@ def bbox_parse(t, spark):
     return t("supplier").select("s_suppkey", box.alias("b")).select("s_suppkey", "b.min_x", "b.max_x")
 
 
-@query("S-38 D-06 S-43", """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS t FROM benchmark), w AS (SELECT item_id, len(t) AS n, unnest(t) AS tok FROM b),
+@query("S-38 D-06", """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS t FROM benchmark), w AS (SELECT item_id, len(t) AS n, unnest(t) AS tok FROM b),
 d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+'))) AS tok FROM documents)
 SELECT item_id, doc_id, round(count(*)::DOUBLE / max(n), 6) AS share FROM w JOIN d USING (tok) GROUP BY 1, 2 HAVING count(*)::DOUBLE / max(n) >= 0.8""")
 def benchmark_contamination(t, spark):
