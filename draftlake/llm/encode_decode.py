@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from draftlake.llm.common import batches, id_and_text
+from draftlake.llm.common import batches, id_and_text, ragged
 from draftlake.llm.word_bpe import Vocabulary, WordTable, encoded, vocabulary, word_symbols
 
 
@@ -115,21 +115,30 @@ class Forms:
 
     def __init__(self, vocab: Vocabulary):
         n = max(vocab.text) + 1
-        shown = [vocab.text.get(i, "").encode() + b" " for i in range(n)]
-        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in shown])]).tolist()
-        self.block = b"".join(shown)
+        self.shown = self.block([vocab.text.get(i, "").encode() + b" " for i in range(n)])
+        self.decimal = self.block([b"%d " % i for i in range(n)])
 
-    def decoded(self, ids: list[int]) -> bytes:
-        o, block = self.offsets, self.block
-        return b"".join([block[o[i] : o[i + 1]] for i in ids])
+    @staticmethod
+    def block(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = np.array([len(f) for f in forms], np.int64)
+        return np.frombuffer(b"".join(forms), np.uint8), np.cumsum(length) - length, length
+
+    @staticmethod
+    def joined(block: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, cuts: np.ndarray) -> Iterator[bytes]:
+        """For each row of ids its forms, without the last space."""
+        data, begin, length = block
+        own = length[ids]
+        at = np.concatenate([[0], np.cumsum(own)])[cuts].tolist()
+        raw = memoryview(data[ragged(begin[ids], own)])
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield raw[a : max(a, b - 1)]
 
 
 @lru_cache(2)
-def forms_table(path: str) -> WordTable:
-    """Number of ids, decimal ids and decoded form of pre-tokens; kept for all tasks of a worker."""
+def forms_table(path: str) -> tuple[WordTable, Forms]:
+    """Ids of pre-tokens by the encoder, and the tokens' forms; kept for all tasks of a worker."""
     own = encoder(path)
-    forms = Forms(own.v)
-    return WordTable(own.words, lambda ids: (len(ids), b"".join([b"%d " % i for i in ids]), forms.decoded(ids)))
+    return WordTable(own.words), Forms(own.v)
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -140,21 +149,18 @@ def encode_and_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     A null text counts as empty: no tokens, the digests of nothing. A row with a null doc_id keeps it; repeated rows
     give repeated results; an empty table gives none. Special strings in a text become special ids, as the library
-    does by default. Columns other than doc_id and text are not read.
+    does by default. A text of any length is encoded whole; ties cannot arise. Columns other than doc_id and text are
+    not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, specials = forms_table(vocabulary_path), vocabulary(vocabulary_path).specials
+        (words, forms), specials = forms_table(vocabulary_path), vocabulary(vocabulary_path).specials
 
         def one(batch: pa.RecordBatch) -> dict:
-            counts, ids, texts = [], [], []
-            for values in encoded(words, batch.column("text"), specials, lambda i: words.shape([i])):
-                n, a, b = zip(*values, strict=True) if values else ((), (), ())
-                counts.append(sum(n))
-                ids.append(hashlib.sha256(b"".join(a)[:-1]).hexdigest())
-                texts.append(hashlib.sha256(b"".join(b)[:-1]).hexdigest())
-            return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts}
+            ids, cuts = encoded(words, batch.column("text"), specials)
+            digests = ([hashlib.sha256(x).hexdigest() for x in forms.joined(block, ids, cuts)] for block in (forms.decimal, forms.shown))
+            return {"doc_id": batch.column("doc_id"), "n_tokens": np.diff(cuts), **dict(zip(("ids_sha256", "decoded_sha256"), digests, strict=True))}
 
         yield from batches(rows, one, schema)
 

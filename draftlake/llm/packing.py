@@ -162,7 +162,7 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 @lru_cache(2)
 def word_ids(path: str) -> WordTable:
-    """Ids of pre-tokens by the tokenizers library, as little-endian bytes; kept for all tasks of a worker."""
+    """Ids of pre-tokens by the tokenizers library; kept for all tasks of a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,13 +172,13 @@ def word_ids(path: str) -> WordTable:
     library.no_truncation()
     library.no_padding()
 
-    def encode(words: list[str]) -> list[bytes]:
+    def encode(words: list[str]) -> list[list[int]]:
         got = library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4").tobytes()
+        ids = got.ids
         cuts = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
-        return [ids[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    return WordTable(encode, lambda x: x)
+    return WordTable(encode)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -190,18 +190,20 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int) ->
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, specials = word_ids(vocabulary_path), special_tokens(vocabulary_path)
-        end = np.array([end_id], "<u4").tobytes()
 
         def one(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            values = encoded(words, batch.column("text"), specials, lambda i: np.array([i], "<u4").tobytes())
-            for doc, parts in zip(batch.column("doc_id").to_pylist(), values, strict=True):
-                ids = memoryview(b"".join(parts) + end)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    for name, v in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
-                        out[name].append(v)
-            return out
+            ids, cuts = encoded(words, batch.column("text"), specials)
+            ids = np.insert(ids, cuts[1:], end_id).astype("<u4", copy=False)
+            first = cuts[:-1] + np.arange(len(batch))
+            size = np.diff(cuts) + 1
+            per = -(-size // capacity)
+            row = np.repeat(np.arange(len(batch)), per)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            start = piece * capacity
+            length = np.minimum(capacity, size[row] - start)
+            at, raw = 4 * (first[row] + start), memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            return {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
         yield from batches(rows, one, schema)
 

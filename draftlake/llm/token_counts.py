@@ -2,12 +2,12 @@
 
 The texts of a batch are cut where no piece of the vocabulary spans the border, so that no merge can cross a cut. The
 distinct pre-tokens that are not yet known stand in one ragged array of symbols. In each round every pre-token merges
-its lowest-rank pair (the leftmost of equals), all at once; those without a pair leave. What survives is counted.
+its lowest-rank pair, wherever that stands in it without overlap, from the left up to the first merge that makes a pair
+of no higher rank: the order of single merges. Those without a pair leave. What survives is counted.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,11 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from draftlake.llm.common import Entries, batches, id_and_text, span_hashes, utf8
+from draftlake.llm.common import Entries, batches, id_and_text, ragged, utf8
 
 NONE = np.int64(1) << np.int64(62)
-#: Pre-tokens longer than this merge one by one from a heap, whose time is not quadratic.
-LONG = 512
 SPACE_MARK = 0x2581
 
 
@@ -33,6 +31,8 @@ class Pieces:
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         spec = proto.normalizer_spec
+        if any(p.type == 4 for p in proto.pieces):
+            raise ValueError("user-defined pieces are not supported")
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only a vocabulary with the identity normaliser and a prefix space is supported")
         scored = {p.piece: p.score for p in proto.pieces if p.type == 1}
@@ -52,7 +52,6 @@ class Pieces:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
-        self.pairs = pairs
         points = np.array(sorted(ord(c) for c in self.ids if len(c) == 1), np.int64)
         self.symbol = np.full(0x110000, -1, np.int32)
         self.symbol[points] = [self.ids[chr(c)] for c in points.tolist()]
@@ -77,84 +76,79 @@ class Pieces:
         hit = (self.keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
-    def heap_count(self, points: np.ndarray) -> int:
-        """The same merges for one long pre-token, from a heap."""
-        ids = self.symbol[points].tolist()
-        n = len(ids)
-        after, before, weight = list(range(1, n + 1)), list(range(-1, n - 1)), self.weight[points].tolist()
-        heap = []
-
-        def put(k):
-            if 0 <= k < n and after[k] < n and ids[k] >= 0 and ids[after[k]] >= 0:
-                found = self.pairs.get(ids[k] << 20 | ids[after[k]])
-                if found:
-                    heapq.heappush(heap, (found[0], k, ids[k], ids[after[k]], found[1]))
-
-        for k in range(n):
-            put(k)
-        while heap:
-            _, k, a, b, made = heapq.heappop(heap)
-            if weight[k] == 0 or ids[k] != a or after[k] >= n or ids[after[k]] != b:
-                continue
-            gone = after[k]
-            ids[k], weight[k], ids[gone], weight[gone] = made, 1, -1, 0
-            after[k] = after[gone]
-            if after[gone] < n:
-                before[after[gone]] = k
-            put(before[k])
-            put(k)
-        return sum(weight)
-
     def counts(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Surviving symbols of each pre-token points[start:end]."""
-        lengths = ends - starts
         out = np.zeros(len(starts), np.int64)
-        for k in np.flatnonzero(lengths > LONG).tolist():
-            out[k] = self.heap_count(points[starts[k] : ends[k]])
-        left = np.flatnonzero(lengths <= LONG)
-        size = lengths[left]
-        before = np.cumsum(size) - size
-        flat = points[np.arange(int(size.sum())) + np.repeat(starts[left] - before, size)]
-        symbol, weight = self.symbol[flat].astype(np.int64), self.weight[flat].astype(np.int64)
-        owner = np.repeat(np.arange(len(left)), size)
-        last = np.zeros(len(flat), bool)
-        last[before + size - 1] = True
-
-        def ranked(at):
-            at = at[~last[at]]
-            rank[at], made[at] = self.look(symbol[at], symbol[at + 1])
-
-        rank, made = np.full(len(flat), NONE), np.zeros(len(flat), np.int64)
-        ranked(np.arange(len(flat)))
-        while len(flat):
-            n = len(flat)
-            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            key = np.where(rank == NONE, NONE, rank * (1 << 32) + np.arange(n))
-            low = np.minimum.reduceat(key, begin)
+        size = ends - starts
+        flat = points[ragged(starts, size)]
+        run = Ragged(self.symbol[flat].astype(np.int64), self.weight[flat].astype(np.int64), np.repeat(np.arange(len(size)), size))
+        run.ranked(self, np.arange(len(flat)))
+        while run.n:
+            low = np.minimum.reduceat(run.rank, run.begin)
             on = low < NONE
             if not on.all():
-                held = np.add.reduceat(weight, begin)
-                out[left[owner[begin[~on]]]] = held[~on]
-                stay = np.repeat(on, np.diff(np.append(begin, n)))
-                moved = np.cumsum(stay) - 1
-                at = moved[low[on] & 0xFFFFFFFF]
-                symbol, weight, owner, last, rank, made, flat = (x[stay] for x in (symbol, weight, owner, last, rank, made, flat))
-            else:
-                at = low & 0xFFFFFFFF
-            if not len(at):
-                break
-            symbol[at], weight[at], last[at] = made[at], 1, last[at + 1]
-            rank[at] = NONE
-            keep = np.ones(len(flat), bool)
-            keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            symbol, weight, owner, last, rank, made, flat = (x[keep] for x in (symbol, weight, owner, last, rank, made, flat))
-            at = moved[at]
-            prior = at[at > 0] - 1
-            prior = prior[owner[prior] == owner[prior + 1]]
-            ranked(np.concatenate([at, prior]))
+                out[run.owner[run.begin[~on]]] = np.add.reduceat(run.weight, run.begin)[~on]
+                run.keep(np.repeat(on, run.size) & (run.weight > 0))
+                continue
+            hit = np.flatnonzero(run.rank == np.repeat(low, run.size))
+            self.merge(run, hit)
         return out
 
+    def merge(self, run: Ragged, hit: np.ndarray) -> None:
+        """Merge the pairs at these places, each sequence's of its lowest rank, as one after the other would."""
+        at = np.arange(len(hit))
+        overlap = np.zeros(len(hit), bool)  # begins with the symbol that ends the pair before it
+        overlap[1:] = run.next[hit[:-1]] == hit[1:]
+        hit = hit[(at - np.maximum.accumulate(np.where(overlap, 0, at))) % 2 == 0]
+        made, rank, right, left = run.made[hit], run.rank[hit], run.next[hit], run.last[hit]
+        after = run.next[right]
+        before = np.where(left >= 0, run.symbol[left], -1)
+        beside = np.flatnonzero(right[:-1] == left[1:]) + 1
+        before[beside] = made[beside - 1]
+        behind = np.where(after >= 0, run.symbol[after], -1)
+        # a merge that makes a pair of no higher rank is the last of this round in its sequence
+        stop = (self.look(before, made)[0] <= rank) | (self.look(made, behind)[0] <= rank)
+        earlier = np.cumsum(stop) - stop
+        first = np.searchsorted(run.owner[hit], run.owner[hit], "left")
+        go = earlier == earlier[first]
+        hit, made, right, after = hit[go], made[go], right[go], after[go]
+        run.symbol[hit], run.weight[hit], run.weight[right], run.rank[right] = made, 1, 0, NONE
+        run.next[hit] = after
+        run.last[after[after >= 0]] = hit[after >= 0]
+        left = run.last[hit]
+        run.ranked(self, np.concatenate([hit, left[left >= 0]]))
+        run.dead += len(hit)
+        if 2 * run.dead > run.n:
+            run.keep(run.weight > 0)
+
+
+class Ragged:
+    """Sequences of symbols in one array, each symbol linked to its neighbours, with the rank of the pair it begins."""
+
+    def __init__(self, symbol: np.ndarray, weight: np.ndarray, owner: np.ndarray):
+        n = len(symbol)
+        self.symbol, self.weight, self.owner = symbol, weight, owner
+        self.rank, self.made = np.full(n, NONE), np.zeros(n, np.int64)
+        self.link()
+
+    def link(self) -> None:
+        self.n = n = len(self.symbol)
+        self.dead = 0
+        edge = np.ones(n + 1, bool)
+        edge[1:-1] = self.owner[1:] != self.owner[:-1]
+        self.begin = np.flatnonzero(edge)[:-1]
+        self.size = np.diff(np.append(self.begin, n))
+        self.next = np.where(edge[1:], -1, np.arange(1, n + 1))
+        self.last = np.where(edge[:-1], -1, np.arange(-1, n - 1))
+
+    def keep(self, stay: np.ndarray) -> None:
+        self.symbol, self.weight, self.owner, self.rank, self.made = (x[stay] for x in (self.symbol, self.weight, self.owner, self.rank, self.made))
+        self.link()
+
+    def ranked(self, pieces: Pieces, at: np.ndarray) -> None:
+        after = self.next[at]
+        self.rank[at], self.made[at] = pieces.look(self.symbol[at], np.where(after >= 0, self.symbol[after], -1))
+
 
 @lru_cache(2)
 def pieces(path: str) -> Pieces:
@@ -184,7 +178,7 @@ class Counter:
         def make(where):
             self.values = np.append(self.values, self.v.counts(points, starts[where], ends[where]))
 
-        entry = self.entries.find(span_hashes(points, starts, ends), make)
+        entry = self.entries.spans(points, starts, ends, make)
         found = self.values[entry]
         total = np.concatenate([[0], np.cumsum(found)])
         at = np.searchsorted(starts, np.append(begins, len(points)))
@@ -205,7 +199,8 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 4096) -> Da
     """One row per document: bytes of its text in UTF-8, its tokens, and whether these exceed the limit.
 
     A null text counts as empty: 0 bytes, 0 tokens. A row with a null doc_id keeps it; repeated rows give repeated
-    results; an empty table gives none. Columns other than doc_id and text are not read.
+    results; an empty table gives none. A text of any length is counted whole; equal ranks merge from the left. Columns
+    other than doc_id and text are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 

@@ -10,11 +10,12 @@ import json
 import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from draftlake.llm.common import KEPT, Entries, span_hashes, utf8
+from draftlake.llm.common import KEPT, Entries, ragged, utf8
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
@@ -124,33 +125,46 @@ def word_symbols(word: str) -> str:
 
 
 class WordTable:
-    """Entries of distinct pre-tokens: for each, what `encode` makes of its ids."""
+    """Ids of distinct pre-tokens as one ragged array; `encode` gives the list of ids of each new word."""
 
-    def __init__(self, encode, shape):
-        self.encode, self.shape = encode, shape
-        self.entries, self.values = Entries(most=300_000), []
+    def __init__(self, encode):
+        self.encode = encode
+        self.entries = Entries(most=300_000)
+        self.clear()
         KEPT.append(self)
 
     def clear(self) -> None:
         self.entries.clear()
-        self.values.clear()
-
-    def rows(self, array: pa.Array):
-        """Yield, for each text of the column, the list of the entries' values in its order."""
-        if self.entries.full():
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, rows: list[list[int]]) -> None:
+        length = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(length.sum()))
+        at, n = self.entries.size, self.entries.size + len(rows)
+        while n > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[at:n] = self.used + np.cumsum(length) - length
+        self.length[at:n] = length
+        self.used += len(ids)
+
+    def rows(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of the column, and where each text's begin."""
+        if self.entries.full() or self.used > 32 * self.entries.most:
             self.clear()
         low, begins = normalised(array)
         points, starts, ends = pre_tokens(low)
 
         def make(where):
-            words = [low[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            self.values.extend(map(self.shape, self.encode(words)))
+            self.add(self.encode([low[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]))
 
-        found = self.entries.find(span_hashes(points, starts, ends), make)
-        cuts = np.searchsorted(starts, begins)
-        get = self.values.__getitem__
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield map(get, found[a:b].tolist())
+        found = self.entries.spans(points, starts, ends, make)
+        length = self.length[found]
+        cuts = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(starts, begins)]
+        return self.ids[ragged(self.begin[found], length)], cuts
 
 
 def special_parts(text: str, specials: dict[str, int]) -> list[str | int]:
@@ -165,19 +179,21 @@ def special_parts(text: str, specials: dict[str, int]) -> list[str | int]:
         at = p - length
 
 
-def encoded(table: WordTable, array: pa.Array, specials: dict[str, int], one) -> list[list]:
-    """The values of every row; rows that hold a special string are encoded part by part."""
+def encoded(table: WordTable, array: pa.Array, specials: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every row, one after the other, and their bounds; rows with special strings are encoded part by part."""
     data, offsets = utf8(array)
     raw = data.tobytes()
     if not any(s.encode() in raw for s in specials):
-        return [list(r) for r in table.rows(array)]
+        return table.rows(array)
     parts, owner = [], []
     for k, text in enumerate(array.fill_null("").to_pylist()):
         for p in special_parts(text, specials):
             parts.append(p)
             owner.append(k)
-    texts = table.rows(pa.array([p for p in parts if isinstance(p, str)], pa.string()))
-    out: list[list] = [[] for _ in range(len(array))]
-    for k, p in zip(owner, parts, strict=True):
-        out[k] += list(next(texts)) if isinstance(p, str) else [one(p)]
-    return out
+    ids, cuts = table.rows(pa.array([p if isinstance(p, str) else "" for p in parts], pa.string()))
+    special = np.array([k for k, p in enumerate(parts) if not isinstance(p, str)], np.int64)
+    ids = np.insert(ids, cuts[special], [parts[k] for k in special.tolist()])
+    length = np.diff(cuts)
+    length[special] = 1
+    total = np.bincount(np.array(owner, np.int64), length, len(array)).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum(total)])

@@ -56,14 +56,52 @@ def near_documents(seed, n=260):
     return docs
 
 
-@pytest.mark.parametrize("few", [32, 2])
-def test_shingle_join(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "held"), [(32, 200_000), (0, 200_000), (1, 40)])
+def test_shingle_join(spark, monkeypatch, few, held):
+    """Buckets tried in full, by prefixes, and cut into portions."""
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    monkeypatch.setattr(ngram_join, "SHARE", 3)
     docs = near_documents(few)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_components(docs)
 
 
+def test_shingle_join_parts_sets_of_one_digest(spark, monkeypatch):
+    real = ngram_join.digests
+
+    def weak(values, sizes, seed=0):
+        out = real(values, sizes, seed)
+        return out if seed else np.where(out > 0, (out & np.uint64(14)) | np.uint64(1), out)
+
+    monkeypatch.setattr(ngram_join, "digests", weak)
+    docs = near_documents(9, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+
+
+def test_shingle_join_of_words_that_a_polynomial_confuses(spark):
+    from tests.llm.test_tokens import thue_morse
+
+    rows = [(3, thue_morse("a", "b")), (4, thue_morse("b", "a")), (5, thue_morse("a", "b"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: (1, 3), 4: (1, 4), 5: (1, 3)}
+
+
+def test_hot_bucket_pairs_only_across_components(spark):
+    """A bucket of many near-copies in one component and a stranger makes about one candidate a member."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(1500):
+        t = list(base)
+        t[rng.randrange(400)] = f"x{i}"
+        docs.append((i, " ".join(t)))
+    docs.append((5000, " ".join([*base[:300], *(f"y{i}" for i in range(100))])))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 5000 else 5000 for i, _ in docs}
+
+
 def test_shingle_join_of_odd_rows(odd, none):
     rows = ngram_join.join(odd).collect()
     assert len(rows) == odd.count()

@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from draftlake.llm import encode_decode, packing, token_counts
+from draftlake.llm import common, encode_decode, packing, token_counts
 from draftlake.llm.word_bpe import encoded, special_parts
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -30,11 +30,13 @@ def test_encoding_and_decoding_equal_the_library():
     library = Tokenizer.from_file(WORD)
     own = encode_decode.encoder(WORD)
     forms = encode_decode.Forms(own.v)
-    table = encode_decode.WordTable(own.words, lambda ids: ids)
-    for text, parts in zip(texts, encoded(table, pa.array(texts), own.v.specials, lambda i: [i]), strict=True):
-        ids = list(itertools.chain.from_iterable(parts))
-        assert ids == library.encode(text, add_special_tokens=False).ids
-        assert forms.decoded(ids)[:-1].decode() == library.decode(ids, skip_special_tokens=False)
+    table = encode_decode.WordTable(own.words)
+    ids, cuts = encoded(table, pa.array(texts), own.v.specials)
+    for k, (text, form, decimal) in enumerate(zip(texts, forms.joined(forms.shown, ids, cuts), forms.joined(forms.decimal, ids, cuts), strict=True)):
+        mine = ids[cuts[k] : cuts[k + 1]].tolist()
+        assert mine == library.encode(text, add_special_tokens=False).ids
+        assert bytes(form).decode() == library.decode(mine, skip_special_tokens=False)
+        assert bytes(decimal).decode() == " ".join(map(str, mine))
 
 
 def test_compatible_pairs_equal_ordered_merges():
@@ -53,11 +55,36 @@ def test_counts_equal_the_library():
     assert got.tolist() == [len(x) for x in library.encode(texts, num_threads=1)]
 
 
-def test_long_pre_tokens_merge_from_the_heap_alike():
-    v = token_counts.pieces(PIECE)
-    points = np.array([ord(c) for c in "theinandering" * 30], np.uint32)
-    one = v.counts(points, np.array([0]), np.array([len(points)]))
-    assert one[0] == v.heap_count(points)
+def test_long_pre_tokens():
+    rng = random.Random(8)
+    texts = ["theinandering" * 300, "a" * 5000, "abab" * 3000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000)), "=" * 4001, "漢字" * 900]
+    texts += ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    got = token_counts.Counter(token_counts.pieces(PIECE)).rows(pa.array(texts))
+    assert got.tolist() == [len(x) for x in library.encode(texts, num_threads=1)]
+
+
+def thue_morse(a, b, n=2048):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_confuses():
+    """Thue-Morse words collide under any polynomial modulo 2**64: tables must compare what they find."""
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    texts = [one, two, f"{two} {one}", one, two]
+    library, counter = Tokenizer.from_file(WORD), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    points = np.frombuffer((one + two).encode("utf-32-le"), np.uint32)
+    at = np.array([0, 2048])
+    hashes = common.span_hashes(points, at, at + 2048)
+    assert hashes[0] == hashes[1]
+    own = encode_decode.encoder(WORD)
+    for encode in (own.words, packing.word_ids(WORD).encode):
+        ids, cuts = encoded(encode_decode.WordTable(encode), pa.array(texts), own.v.specials)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(cuts.tolist())] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_counts.Counter(token_counts.pieces(PIECE)).rows(pa.array(texts)).tolist() == [len(counter.encode(t)) for t in texts]
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    strong = common.byte_hashes(data, at, at + 2048)
+    assert strong[0] != strong[1]
 
 
 def test_special_strings():
