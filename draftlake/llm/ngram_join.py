@@ -11,7 +11,7 @@ and the chance that a segment holds nothing but a passage that many sets share.
 Index entries travel as blocks of a narrow slice of the signatures, sorted by slice, so that a task holds one slice at a
 time. Buckets give candidates: each member with the bucket's least one, first, in an order that depends on the
 signature. What is left are buckets whose members do not yet lie in one component: where the pairs across components are
-at most FEW times the members, all of these pairs; the others, and sets whose empty segments exceed the allotment, are
+few for the members, all of these pairs; the others, and sets whose empty segments exceed the allotment, are
 joined by prefixes in order of frequency, which is exact as well. Every candidate is verified on the words of the whole
 texts. Equal sets are one node from the start: nodes are 64-bit digests, a second digest finds sets that share one by
 chance, and these are parted.
@@ -541,18 +541,25 @@ def join(docs: DataFrame) -> DataFrame:
     links = links.union(more)
     labels = components(links)
     # buckets of three and more that still span components
-    wide = labelled(entries.where("members > 2").select("sig", "node").distinct(), labels)
+    wide = labelled(entries.where("members > 2").select("sig", "node"), labels)
     spread = wide.groupBy("sig", "component").agg(F.count("*").alias("n"))
     spread = spread.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("components")).where("components > 1")
-    spread = spread.select("sig", ((F.col("n").cast("double") * F.col("n") - F.col("within")) / 2 <= FEW * F.col("n")).alias("tried"))
-    wide = shared_table(wide.join(spread, "sig").select("sig", "node", "component", "tried"), "wide")
-    tried = wide.where("tried").select("sig", "node", "component")
-    one, two = (tried.select("sig", F.col("component").alias(f"in_{x}")).distinct() for x in "ab")
-    apart = one.join(two, "sig").where("in_a < in_b")  # pairs of components, no more than pairs across them
+    # pairs of members across components and within them
+    n, within = F.col("n"), F.col("within")
+    across = (n.cast("double") * n - within) / 2
+    way = F.when((across <= FEW * n) & (within <= 2 * across), "members").when(across <= FEW // 16 * n, "components").otherwise("prefixes")
+    wide = shared_table(wide.join(spread.select("sig", way.alias("way")), "sig").select("sig", "node", "component", "way"), "wide")
+    known = [wide.where(F.col("way") == w).select("sig", "node", "component").join(facts(reps), "node") for w in ("members", "components")]
+    one, two = (named(known[0], x, ("sig",)) for x in "ab")
+    members_of = one.join(two, "sig").where((F.col("component_a") != F.col("component_b")) & (F.col("a") < F.col("b")) & quick("a", "b")).select("a", "b")
+    # where a large component would meet itself, by pairs of components
+    one, two = (known[1].select("sig", F.col("component").alias(f"component_{x}")).distinct() for x in "ab")
+    apart = one.join(two, "sig").where("component_a < component_b")
     for x in "ab":
-        apart = apart.join(named(tried.join(facts(reps), "node"), x, ("sig",)).withColumnRenamed(f"component_{x}", f"in_{x}"), ["sig", f"in_{x}"])
-    last = apart.where(quick("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    hot = wide.where("not tried").select("node").union(reps.where("short").select("node")).distinct()
+        apart = apart.join(named(known[1], x, ("sig",)), ["sig", f"component_{x}"])
+    apart = apart.where(quick("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    last = members_of.union(apart).distinct()
+    hot = wide.where("way = 'prefixes'").select("node").union(reps.where("short").select("node")).distinct()
     hot = shared_table(labelled(hot, labels), "hot")
     if not hot.isEmpty():
         last = last.union(prefix_pairs(docs, reps, hot)).distinct()
