@@ -3,9 +3,10 @@
 A document is its sequence of non-blank lines, each hashed without the white space around it. A window is a shortest
 stretch of lines with at least `min_words` words, taken forward from each line and backward from each line, so that
 every run of that many words is a chain of windows. Each window selects its smallest line hash (the rightmost of equals)
-as fingerprint: copies of a run select the same ones. Fingerprints that occur at one place only are dropped; at the
-others the positions are joined and the windows around them compared. A window that stands at an earlier place, by
-(doc_id, line), is a repeat. Repeats on one diagonal extend each other both ways to the whole repeated run, which goes.
+as fingerprint: copies of a run select the same ones. Fingerprints that occur at one place only are dropped. At the
+others positions are joined: those whose windows agree, each with the earliest, by (doc_id, line). A match is extended
+both ways along its diagonal, from window to window of the same source, to a run; the run's lines are then compared
+with the source's, byte by byte, and only equal ones go. Nothing is deleted on the word of a hash.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import chunks, release, shared_table, small_batches, span_hashes, utf8
+from draftlake.llm.common import byte_hashes, chunks, release, shared_table, small_batches, span_hashes, utf8
 
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+BLANKS = " \t\x0b\x0c\r"
+#: Stretches up to which the requests for them are broadcast; beyond, a shuffled join.
+BROADCAST_ROWS = 200_000
 WINDOW = "fp long, window long, doc long, digest long, first int, last int, place int, chosen boolean"
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Non-blank lines of all texts: owner, number within its text, and the trimmed span."""
+    """Non-blank lines of all texts: owner, number among its text's non-blank lines, and the trimmed span."""
     n = np.diff(offsets)
     ends = np.flatnonzero(data == 10)
     per = np.diff(np.searchsorted(ends, offsets)) + (n > 0)
@@ -32,12 +36,12 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.sort(np.concatenate([offsets[:-1][some], ends + 1]), kind="stable")
     stops = np.sort(np.concatenate([ends, offsets[1:][some]]), kind="stable")
     owner = np.repeat(np.arange(len(n)), per)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     ink = np.append(np.flatnonzero(~BLANK[data]), len(data))
     a = np.searchsorted(ink, starts)
     b = np.searchsorted(ink, stops)
     full = b > a
-    return owner[full], number[full], ink[a[full]], ink[b[full] - 1] + 1
+    owner = owner[full]
+    return owner, np.arange(len(owner)) - np.searchsorted(owner, owner, "left"), ink[a[full]], ink[b[full] - 1] + 1
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict[str, np.ndarray] | None:
@@ -50,7 +54,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict[str,
     begin[starts] = True
     before = np.concatenate([[0], np.cumsum(begin)])
     words = np.concatenate([[0], np.cumsum(before[stops] - before[starts])])
-    own = span_hashes(data, starts, stops)
+    own = byte_hashes(data, starts, stops)
     n = len(owner)
     place = np.arange(n)
     first_of = np.searchsorted(owner, owner, "left")
@@ -86,7 +90,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """Windows that repeat an earlier one: doc, digest, first and last line, and the earliest place of the same lines."""
+    """Windows that repeat an earlier one: doc, digest, first and last line, and the earliest place of the same lines.
+
+    Lines are numbered from 0 among the non-blank ones.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -108,14 +115,68 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spot = F.struct("doc", "digest", "place")
     shared = made.where("chosen").groupBy("fp").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a != b").select("fp")
     near = made.join(shared, "fp").select("window", "doc", "digest", "first", "last")
-    spot = F.struct("doc", "digest", "first")
+    spot = F.struct("doc", "digest", "first", "last")
     source = near.groupBy("window").agg(F.min(spot).alias("source"), F.max(spot).alias("latest")).where("source != latest").select("window", "source")
-    return near.join(source, "window").where(F.struct("doc", "digest", "first") > F.col("source")).select("doc", "digest", "first", "last", F.col("source.doc").alias("source_doc"), F.col("source.first").alias("source_first"))
+    return near.join(source, "window").where(F.struct("doc", "digest", "first", "last") > F.col("source")).select("doc", "digest", "first", "last", "source")
+
+
+RUN = "doc long, digest long, first int, last int, sdoc long, sdigest long, sfirst int, slast int"
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """Per document its repeated windows, whose union is the repeated runs: doc, digest, spans."""
-    return found.groupBy("doc", "digest").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    """Matches extended along their diagonals: runs of lines, first to last, and where the source has them."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            every = batch.column("found")
+            flat = every.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(every.offsets.to_numpy()))
+            first, last = (flat.field(k).to_numpy() for k in (0, 1))
+            sdoc, sdigest, sfirst, slast = (flat.field(2).field(k).to_numpy() for k in range(4))
+            order = np.lexsort((last, first, first - sfirst, sdigest, sdoc, row))
+            row, first, last, sdoc, sdigest, sfirst, slast = (x[order] for x in (row, first, last, sdoc, sdigest, sfirst, slast))
+            same = (row[1:] == row[:-1]) & (sdoc[1:] == sdoc[:-1]) & (sdigest[1:] == sdigest[:-1]) & (first[1:] - sfirst[1:] == first[:-1] - sfirst[:-1])
+            same &= first[1:] <= last[:-1] + 1
+            at = np.flatnonzero(np.concatenate([[True], ~same]))
+            end = np.maximum.reduceat(last, at)
+            who = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(who), batch.column("digest").take(who), pa.array(first[at]), pa.array(end), pa.array(sdoc[at]), pa.array(sdigest[at]), pa.array(sfirst[at]), pa.array(end - first[at] + sfirst[at])],
+                names=[x.split()[0] for x in RUN.split(", ")],
+            )
+        release()
+
+    gathered = found.groupBy("doc", "digest").agg(F.collect_set(F.struct("first", "last", "source")).alias("found"))
+    return gathered.mapInArrow(run, RUN)
+
+
+def inked(text: str) -> tuple[list[int], list[str]]:
+    """Places and trimmed forms of the non-blank lines."""
+    trimmed = [x.strip(BLANKS) for x in text.split("\n")]
+    places = [k for k, x in enumerate(trimmed) if x]
+    return places, [trimmed[k] for k in places]
+
+
+def stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines of every stretch of a source that some run repeats: sdoc, sdigest, sfirst, slast, body."""
+    asked = found.groupBy(F.col("sdoc").alias("doc"), F.col("sdigest").alias("digest")).agg(F.collect_set(F.struct("sfirst", "slast")).alias("asked"))
+    few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(asked) if few else asked, ["doc", "digest"]).dropDuplicates(["doc", "digest"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out = []
+            for doc, digest, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "digest", "text", "asked")), strict=True):
+                _, lines = inked(text)
+                out += [(doc, digest, s["sfirst"], s["slast"], "\n".join(lines[s["sfirst"] : s["slast"] + 1])) for s in asked]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["sdoc", "sdigest", "sfirst", "slast", "body"])
+        release()
+
+    return texts.select("doc", "digest", "text", "asked").mapInArrow(run, "sdoc long, sdigest long, sfirst int, slast int, body string")
 
 
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -125,9 +186,13 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     in the same order at an earlier place: in a document with a smaller doc_id, or earlier in the same one. Line by
     line, exactly: the first copy stays. Blank lines stay. Rows that share a doc_id are told apart by their text;
     identical rows are one document and get the same result. A null doc_id comes first. A null text stays null, an
-    empty one empty, both with 0 lines; an empty table gives none. Columns n_lines and n_deleted of docs are replaced.
+    empty one empty, both with 0 lines; an empty table gives none. Texts of any length are read whole. Columns n_lines
+    and n_deleted of docs are replaced.
     """
-    spans = runs(repeats(docs, min_words))
+    found = shared_table(runs(repeats(docs, min_words)), "runs")
+    source = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc", "digest", "text")
+    compared = found.join(stretches(source, found), ["sdoc", "sdigest", "sfirst", "slast"])
+    spans = compared.groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "last", "body")).alias("spans"))
     plain = docs.drop("n_lines", "n_deleted")
     names = plain.columns
     rest = [F.col(c) for c in names if c != "text"]
@@ -138,19 +203,20 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
         for batch in rows:
             texts, lines, gone = [], [], []
             for text, spans_of in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                own = text.split("\n") if text else []
-                lines.append(len(own))
                 if not spans_of:
                     texts.append(text)
+                    lines.append(text.count("\n") + 1 if text else 0)
                     gone.append(0)
                     continue
-                drop = np.zeros(len(own) + 1, np.int64)
-                np.add.at(drop, [s["first"] for s in spans_of], 1)
-                np.add.at(drop, [s["last"] + 1 for s in spans_of], -1)
-                covered = np.cumsum(drop[:-1]) > 0
-                stays = [x for x, c in zip(own, covered.tolist(), strict=True) if not (c and x.strip(" \t\x0b\x0c\r"))]
-                texts.append("\n".join(stays))
-                gone.append(len(own) - len(stays))
+                own, (places, trimmed) = text.split("\n"), inked(text)
+                drop: set[int] = set()
+                for s in spans_of:
+                    a, b = s["first"], s["last"] + 1
+                    if "\n".join(trimmed[a:b]) == s["body"]:
+                        drop.update(places[a:b])
+                texts.append("\n".join([x for k, x in enumerate(own) if k not in drop]))
+                lines.append(len(own))
+                gone.append(len(drop))
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=["kept", "text", "n_lines", "n_deleted"])
         release()
 

@@ -3,9 +3,10 @@
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns a unit vector, and the signed axis
 nearest to the result is its bucket. Each of several tables rotates anew; where a table has more vectors than its axes
 can part, two rotations together name the bucket. A query looks into its own bucket and then into those of the next
-nearest axes, in order. How many it needs for the wanted recall is measured against brute force on a bounded sample of
-queries. What the buckets hold is ranked by the exact inner product in double precision. Every query is also compared
-with a bounded reference sample, whose k-th best score is a floor below which no task has to report what it finds.
+nearest axes, best first. How many it needs for the wanted recall is measured against brute force on a bounded sample of
+queries. What the buckets hold is ranked by the exact inner product in double precision. The k-th best score in a bounded
+reference sample is a floor below which no task has to report what it finds; the sample itself gives no results. A query
+that finds fewer than k looks into all buckets.
 
 Equal vectors are one class with its smallest ids; a large bucket is dealt over several keys, and the queries go to
 all of them, so no bucket is too large for a task and none is cut. Vectors of unequal length get one more dimension
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import partitions, shared_table
+from draftlake.llm.common import partitions, shared_table, small_batches
 
 TABLES, WIDE = 6, 5_000_000
 SHARE = 4000  # vectors of a bucket under one key
 PAIRS = 20_000  # pairs of vectors that are multiplied at a time
-REFERENCE = 4000  # vectors that every query is compared with first, for a floor under its k-th best score
+REFERENCE, EIGHTH = 4000, 8  # vectors in the sample that gives floors: so many, and one in so many, at most
+QUERIES = 1024  # queries of a bucket that a task holds at a time
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,13 +74,28 @@ class Hasher:
         return out
 
     def affinity(self, v: np.ndarray, table: int) -> np.ndarray:
-        """How near each query is to each bucket of a table."""
+        """How near each of a few queries is to every bucket of a table."""
         p = self.points(v, True)
         out = self.axes(p, table, 0)
         for k in range(1, self.depth):
             out = (out[:, :, None] + self.axes(p, table, k)[:, None, :]).reshape(len(v), -1)
         return out
 
+    def nearest(self, v: np.ndarray, table: int, n: int) -> np.ndarray:
+        """The n buckets of a table nearest to each query, of one or two rotations."""
+        p, n = self.points(v, True), min(n, self.buckets)
+        one = self.axes(p, table, 0)
+        if self.depth == 1:
+            return np.argpartition(-one, n - 1, axis=1)[:, :n]
+        two = self.axes(p, table, 1)
+        first, second = (np.argsort(-x, axis=1) for x in (one, two))
+        # the i-th and j-th axis together have at least (i + 1) (j + 1) - 1 pairs before them
+        i = np.repeat(np.arange(2 * self.width), [min(2 * self.width, n // (k + 1)) for k in range(2 * self.width)])
+        j = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        total = np.take_along_axis(one, first[:, i], 1) + np.take_along_axis(two, second[:, j], 1)
+        top = np.argpartition(-total, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(first, i[top], 1) * 2 * self.width + np.take_along_axis(second, j[top], 1)
+
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
@@ -115,8 +132,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     is_query is a condition on vec_id. All other rows but the query's own are candidates; with fewer than k all of
     them are returned. Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
     another dimension than the commonest (of equals the larger), nor rows with a null vec_id. Repeated rows of one
-    vec_id with one vector count once. Ties go to the smaller vec_id. An empty table gives no rows. Columns other than
-    vec_id and embedding are not read.
+    vec_id with one vector count once. Ties go to the smaller vec_id, of however many. Vectors may have any length. An
+    empty table gives no rows. Columns other than vec_id and embedding are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -140,64 +157,54 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         return empty
     hasher = Hasher(dim, longest, longest > shortest * 1.001, 1 if n <= WIDE else 2, tables)
     probed = probes(classes, hasher, few, k, recall)
-    some = classes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(REFERENCE).select("id", "v").toArrow().combine_chunks()
+    some = classes.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(min(REFERENCE, n // EIGHTH)).select("id", "v").toArrow().combine_chunks()
     some_ids, some_v = some.column("id").to_numpy(), matrix(some.column("v").combine_chunks(), dim)
-
-    def first(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k + 1 best of the reference for each query: row, id, score."""
-        return tuple(map(np.concatenate, zip(*best(v, some_v, some_ids, k + 1), strict=True)))
-
-    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row, near, score = first(matrix(batch.column("v"), dim))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(near), pa.array(score)], names=["target", "near", "score"])
-
     sizes = np.zeros((tables, hasher.buckets), np.int64)
     for r in counted(classes, hasher).collect():  # a row for each bucket: a constant number
         sizes[r["t"], r["bucket"]] = r["n"]
     salts = np.maximum(1, -(-sizes // SHARE))
 
-    def deal(query: bool):
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids, codes = part.column("id").to_numpy(), hasher.codes(matrix(part.column("v"), dim))
+                for t in range(tables):
+                    key = ((ids * 0x9E3779B1 >> 16) % salts[t, codes[:, t]] * tables + t) * hasher.buckets + codes[:, t]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(ids), bool)), part.column("id"), pa.array(np.full(len(ids), -np.inf)), part.column("v")], names=["key", "query", "id", "floor", "v"])
+
+    def asking(probed: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
                     v, ids = matrix(part.column("v"), dim), part.column("id").to_numpy()
-                    codes = None if query else hasher.codes(v)
                     floor = np.full(len(v), -np.inf)
-                    if query and len(some_ids) > k:
-                        floor = first(v)[2].reshape(len(v), -1)[:, -1]
+                    if len(some_ids) > k:
+                        floor = np.concatenate([x[2] for x in best(v, some_v, some_ids, k + 1)]).reshape(len(v), -1)[:, -1]
                     for t in range(tables):
-                        if query:
-                            near = np.argsort(-hasher.affinity(v, t), axis=1, kind="stable")[:, :probed]
-                            row, bucket = np.repeat(np.arange(len(v)), near.shape[1]), near.ravel()
-                            full = sizes[t, bucket] > 0
-                            row, bucket = row[full], bucket[full]
-                            copies = salts[t, bucket]
-                            salt = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
-                            row, bucket = np.repeat(row, copies), np.repeat(bucket, copies)
-                        else:
-                            row, bucket = np.arange(len(v)), codes[:, t]
-                            salt = (ids * 0x9E3779B1 >> 16) % salts[t, bucket]
+                        near = hasher.nearest(v, t, probed)
+                        row, bucket = np.repeat(np.arange(len(v)), near.shape[1]), near.ravel()
+                        full = sizes[t, bucket] > 0
+                        row, bucket = row[full], bucket[full]
+                        copies = salts[t, bucket]
+                        salt = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+                        row, bucket = np.repeat(row, copies), np.repeat(bucket, copies)
                         key = (salt * tables + t) * hasher.buckets + bucket
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), query)), pa.array(ids[row]), pa.array(floor[row]), part.column("v").take(pa.array(row))], names=["key", "query", "id", "floor", "v"])
+                        for a in range(0, len(key), 4096):
+                            own = pa.array(row[a : a + 4096])
+                            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 4096]), pa.array(np.ones(len(own), bool)), part.column("id").take(own), pa.array(floor[row[a : a + 4096]]), part.column("v").take(own)], names=["key", "query", "id", "floor", "v"])
 
         return run
 
-    schema = "key long, query boolean, id long, floor double, v array<double>"
-    dealt = classes.select("id", "v").mapInArrow(deal(False), schema).union(targets.mapInArrow(deal(True), schema))
+    pair = np.dtype([("q", "<i8"), ("s", "<f8"), ("c", "<i8")])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if held is None:
-            return
-        held = held.combine_chunks()
-        key, query, ids, floor = (held.column(c).to_numpy() for c in ("key", "query", "id", "floor"))
-        v = matrix(held.column("v").combine_chunks(), dim)
-        turn = np.argsort(key, kind="stable")
+        """Keys come one after the other, each with its vectors first and then its queries."""
         found: list[np.ndarray] = []
-        pair = np.dtype([("q", "<i8"), ("s", "<f8"), ("c", "<i8")])
+        vectors: list[tuple[np.ndarray, np.ndarray]] = []
+        asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        current = None
 
         def merge():
             e = np.concatenate(found)
@@ -205,29 +212,57 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             again = np.zeros(len(e), bool)
             again[1:] = (e["q"][1:] == e["q"][:-1]) & (e["c"][1:] == e["c"][:-1])
             e = e[~again]
-            start = np.searchsorted(e["q"], e["q"], "left")
-            found[:] = [e[np.arange(len(e)) - start <= k]]
+            found[:] = [e[np.arange(len(e)) - np.searchsorted(e["q"], e["q"], "left") <= k]]
+
+        def answer():
+            if asked and vectors:
+                ids, v = (np.concatenate(x) for x in zip(*vectors, strict=True))
+                vectors[:] = [(ids, v)]
+                who, floor, q = (np.concatenate(x) for x in zip(*asked, strict=True))
+                for row, near, score in best(q, v, ids, k + 1):
+                    high = score >= floor[row]
+                    e = np.empty(int(high.sum()), pair)
+                    e["q"], e["s"], e["c"] = who[row[high]], score[high], near[high]
+                    found.append(e)
+                if sum(map(len, found)) > 400_000:
+                    merge()
+            asked.clear()
 
-        for own in np.split(turn, np.flatnonzero(np.diff(key[turn])) + 1):
-            q, c = own[query[own]], own[~query[own]]
-            if not len(q) or not len(c):
-                continue
-            for row, near, score in best(v[q], v[c], ids[c], k + 1):
-                high = score >= floor[q][row]
-                e = np.empty(int(high.sum()), pair)
-                e["q"], e["s"], e["c"] = ids[q][row[high]], score[high], near[high]
-                found.append(e)
-            if sum(map(len, found)) > 400_000:
-                merge()
+        for batch in batches:
+            key, query, ids, floor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "query", "id", "floor"))
+            v = matrix(batch.column("v"), dim)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (query[1:] != query[:-1]), [True]])) if len(key) else np.zeros(0, int)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if key[a] != current:
+                    answer()
+                    vectors.clear()
+                    current = key[a]
+                if not query[a]:
+                    vectors.append((ids[a:b].copy(), v[a:b]))
+                    continue
+                for at in range(a, b, QUERIES):
+                    to = min(b, at + QUERIES)
+                    asked.append((ids[at:to].copy(), floor[at:to].copy(), v[at:to]))
+                    if sum(len(x[0]) for x in asked) >= QUERIES:
+                        answer()
+        answer()
         if found:
             merge()
             e = found[0]
             yield pa.RecordBatch.from_arrays([pa.array(e["q"].copy()), pa.array(e["c"].copy()), pa.array(e["s"].copy())], names=["target", "near", "score"])
 
-    hits = dealt.repartition(partitions(dealt), "key").mapInArrow(look, "target long, near long, score double")
-    hits = hits.union(targets.mapInArrow(refer, "target long, near long, score double")).distinct()
-    top = Window.partitionBy("target").orderBy(F.desc("score"), "near")
-    hits = hits.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1)
+    def find(queries: DataFrame, probed: int) -> DataFrame:
+        schema = "key long, query boolean, id long, floor double, v array<double>"
+        dealt = small_batches(classes).select("id", "v").mapInArrow(stored, schema).union(queries.mapInArrow(asking(probed), schema))
+        hits = dealt.repartition(partitions(dealt), "key").sortWithinPartitions("key", "query").mapInArrow(look, "target long, near long, score double").distinct()
+        top = Window.partitionBy("target").orderBy(F.desc("score"), "near")
+        return hits.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1).drop("nth")
+
+    hits = shared_table(find(targets, probed), "hits")
+    full = hits.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n)).select(F.col("target").alias("id"))
+    lacking = shared_table(targets.join(full, "id", "left_anti"), "lacking")
+    if probed < hasher.buckets and not lacking.isEmpty():
+        hits = hits.join(full.withColumnRenamed("id", "target"), "target", "left_semi").union(find(lacking, hasher.buckets))
     names = classes.select(F.col("id").alias("near"), "ids")
     wide = hits.join(names, "near").select("target", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("target").orderBy(F.desc("score"), "vec_id")

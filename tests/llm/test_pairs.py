@@ -177,6 +177,22 @@ def test_line_dedup_of_odd_rows(spark, odd, none):
     assert kept in (["p q r s", "p q r s", "x"], ["", "", "x\np q r s"])
 
 
+def test_line_dedup_of_lines_that_a_polynomial_confuses(spark):
+    from tests.llm.test_tokens import thue_morse
+
+    words = " ".join(["w"] * 60)
+    docs = [(1, f"{thue_morse('a', 'b')}\n{words} 1"), (2, f"{thue_morse('b', 'a')}\n{words} 2"), (3, f"x\n\n{thue_morse('a', 'b')}\n \n  {words} 1\nend")]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 0), 2: (docs[1][1], 0), 3: ("x\n\n \nend", 2)}
+
+
+def test_line_dedup_compares_lines(spark, monkeypatch):
+    """With one hash for all windows nothing that differs goes."""
+    monkeypatch.setattr(line_dedup, "span_hashes", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
+    docs = [(i, f"line {i} a b c\nline {i} d e f") for i in range(6)]
+    assert sum(r.n_deleted for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()) == 0
+
+
 def brute_nearest(rows, k):
     good = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
@@ -289,12 +305,34 @@ def test_nearest_of_one_hot_vectors(spark):
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for i in range(64) if i != q][:6] for q in range(0, 64, 16)}
 
 
-def test_nearest_recall_comes_from_the_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [10**9, 0])
+def test_nearest_recall_comes_from_the_buckets(spark, monkeypatch, wide):
+    """Clustered vectors, far more than the buckets looked into hold; nothing but the tables gives results."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(nearest, "REFERENCE", 1)
+    monkeypatch.setattr(nearest, "WIDE", wide)
     rng = np.random.default_rng(6)
-    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(400)]
-    want = brute_nearest(rows, 6)
-    hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, k=6, recall=0.97).collect())
-    assert hits / (6 * len(want)) >= 0.9
+    n, k = 12_000, 20
+    centres = rng.normal(size=(60, 32))
+    v = (centres[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 32))).astype(np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(rows, F.col("vec_id") % 100 == 0, k=k).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, n, 100)) and all(len(x) == k for x in got.values())
+    near = v[::100] @ v.T
+    hits = 0
+    for q, x in got.items():
+        own = near[q // 100].copy()
+        own[q] = -9
+        hits += len(x & set(np.argpartition(-own, k)[:k].tolist()))
+    assert hits / (k * len(got)) >= 0.9
+
+
+def test_probes_of_two_rotations_are_the_best():
+    hasher = nearest.Hasher(8, 1.0, False, 2, tables=1)
+    v = np.random.default_rng(1).normal(size=(20, 8))
+    near, every = hasher.nearest(v, 0, 37), hasher.affinity(v, 0)
+    for k in range(20):
+        assert np.allclose(np.sort(every[k, near[k]]), np.sort(every[k])[-37:])
