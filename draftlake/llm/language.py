@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import U64, Entries, batches, chunks, release, small_batches, utf8
+from draftlake.llm.common import U64, Entries, batches, chunks, release, share_of, small_batches, utf8
 
 ORDER = 3
 FOLD = np.arange(256, dtype=np.uint8)
@@ -115,18 +115,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, most: int = 1500) -> Model:
-    """Count byte contexts in about `most` documents of each language at most, chosen by a hash of doc_id.
+def train(docs: DataFrame, most: int = 1500, most_bytes: int = 24 << 20) -> Model:
+    """Count byte contexts in about `most` documents and `most_bytes` bytes of each language at most, by a hash of doc_id.
 
-    Only rows with a text, a lang and a doc_id outside the held-out quarter teach.
+    Both bounds hold on average; they bound the counts that reach the driver, at most one for each byte. Only rows with a text, a lang and a doc_id outside the held-out quarter teach.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    totals = own.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    sizes = {r["lang"]: min(1.0, most / r["n"], most_bytes / max(1, r["size"])) for r in totals.collect()}  # a row a language
     if not sizes:
         return Model([], [], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, most / n)))])
-    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    chosen = own.where(share_of(F.col("doc_id")) <= share[F.col("lang")])
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     A text that is null or has no letters is `und` with score 0, and so is every text where nothing was learned. A null
     doc_id is kept and not held out; repeated rows give repeated results; an empty table gives none. Equal code lengths
-    go to the language first in alphabetical order. With `keep`, those columns are returned too in a struct `kept`, and text beside it.
+    go to the language first in alphabetical order. Texts of any length are coded whole. With `keep`, those columns are returned too in a struct `kept`, and text beside it.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")]
     own = small_batches(docs).select(*columns, *([F.struct(*keep).alias("kept")] if keep else []))

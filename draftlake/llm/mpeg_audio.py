@@ -133,6 +133,7 @@ class Frame:
     channels: int
     crc: bool
     samples: int
+    bound: int  # subbands that Layer I codes for each channel
 
 
 def header(media: bytes, at: int) -> Frame | None:
@@ -147,7 +148,7 @@ def header(media: bytes, at: int) -> Frame | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     pad = b2 >> 1 & 1
     size = (12 * kbits * 1000 // hertz + pad) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hertz + pad
-    return Frame(at, size, version, layer, hertz, kbits, 1 if b3 >> 6 == 3 else 2, not b1 & 1, samples)
+    return Frame(at, size, version, layer, hertz, kbits, 1 if b3 >> 6 == 3 else 2, not b1 & 1, samples, 4 * (1 + (b3 >> 4 & 3)) if b3 >> 6 == 1 else 32)
 
 
 @dataclass
@@ -160,8 +161,28 @@ class Stream:
     resyncs: int = 0
 
 
+def checked_bytes(f: Frame) -> int:
+    """Bytes behind the CRC-16 that it covers, 0 if there is none or (Layer II) it depends on allocation tables."""
+    if not f.crc or f.layer == 2:
+        return 0
+    if f.layer == 3:
+        return (SIDE if f.version == 3 else 17) if f.channels == 2 else (17 if f.version == 3 else 9)
+    return (32 + f.bound) // 2 if f.channels == 2 else 16
+
+
+def vbri(media: bytes, at: int) -> dict:
+    """The other variable-bitrate table: bytes and frames, and entries of bytes for so many frames each."""
+    _, _, _, size, frames, n, scale, width, per = struct.unpack_from(">HHHIIHHHH", media, at + 4) if at + 26 <= len(media) else (0,) * 9
+    raw = media[at + 26 : at + 26 + n * width]
+    steps = [scale * int.from_bytes(raw[k : k + width], "big") for k in range(0, len(raw) - width + 1, width)] if width else []
+    return {"frames": frames, "bytes": size, "frames_per_entry": per, "entries": steps}
+
+
 def read(media: bytes) -> Stream:
-    """Parse a stream: tags, the variable-bitrate table, and every frame whose checksum holds."""
+    """Parse a stream: tags, the variable-bitrate table, and every frame whose checksum holds.
+
+    Checksums are those of Layers I and III; frames of Layer II count as good.
+    """
     out = Stream()
     at, out.tags = read_tag(media)
     end = len(media)
@@ -192,15 +213,17 @@ def read(media: bytes) -> Stream:
                     out.table["seek"] = media[p : p + 100]
                 at += f.size
                 continue
+            if media[at + 36 : at + 40] == b"VBRI":
+                out.table = vbri(media, at + 36)
+                at += f.size
+                continue
         held.append(f)
         at += f.size
-    protected = [f for f in held if f.crc and f.layer == 3]
-    good = {f.at for f in held} - {f.at for f in protected}
-    for side in {(SIDE if f.version == 3 else 17) if f.channels == 2 else (17 if f.version == 3 else 9) for f in protected}:
-        own = [f for f in protected if ((SIDE if f.version == 3 else 17) if f.channels == 2 else (17 if f.version == 3 else 9)) == side]
-        starts = np.array([f.at for f in own])
-        data = np.frombuffer(media, np.uint8)
-        rows = data[np.minimum(starts[:, None] + np.concatenate([[2, 3], np.arange(6, 6 + side)]), len(data) - 1)]
+    good = {f.at for f in held if not checked_bytes(f)}
+    data = np.frombuffer(media, np.uint8)
+    for n in {checked_bytes(f) for f in held} - {0}:
+        starts = np.array([f.at for f in held if checked_bytes(f) == n])
+        rows = data[np.minimum(starts[:, None] + np.concatenate([[2, 3], np.arange(6, 6 + n)]), len(data) - 1)]
         ok = crc16(rows) == data[starts + 4].astype(np.uint16) << np.uint16(8) | data[starts + 5]
         good |= set(starts[ok].tolist())
     out.frames = [f for f in held if f.at in good]
@@ -243,14 +266,15 @@ def store(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate int, seek_offsets array<long>"
 
 
 def facts(stored_media: DataFrame) -> DataFrame:
     """Read the column `media` back: digests of the payload and of the stored form, exact duration, seek offsets.
 
     `feature` names frames, samples and rate (the exact duration is their ratio), checksum failures, resyncs, the
-    first and the last frame's offset with a CRC-32 of all offsets, and the mean and deviation of the samples.
+    first and the last frame's offset with a CRC-32 of all offsets, and the mean and deviation of the samples. The exact
+    duration is duration_samples / sample_rate seconds, and seek_offsets holds where each frame begins.
     """
 
     def one(media: bytes) -> tuple:
@@ -265,13 +289,13 @@ def facts(stored_media: DataFrame) -> DataFrame:
             f"mean={samples.mean() if len(samples) else 0:.6f};sd={samples.std() if len(samples) else 0:.6f}"
         )
         n = int(s.tags.get("payload-bytes", -1))
-        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), what
+        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), what, sum(f.samples for f in s.frames), rate, offsets
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             got = [one(m.as_buffer().to_pybytes()) for m in batch.column("media")]
-            cols = list(zip(*got, strict=True)) if got else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = list(zip(*got, strict=True)) if got else [()] * 10
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             names = [x.split()[0] for x in FACTS.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
         release()
@@ -283,6 +307,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Store every text and read it back: one row per document, see `facts`.
 
     A null text counts as empty; a null doc_id is kept; repeated rows give repeated, equal results; an empty table
-    gives none. Columns other than doc_id and text are not read.
+    gives none. Texts of any length are stored whole; nothing is ranked, so ties cannot arise. Columns other than doc_id and text are not read.
     """
     return facts(store(small_batches(docs)))

@@ -214,7 +214,8 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 4096, end_id: in
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece that holds only the end id. Repeated rows are packed each; a null doc_id is kept;
-    an empty table gives no rows. Columns other than doc_id and text are not read. Pieces of equal length are
+    an empty table gives no rows. A text of any length is cut into pieces of `capacity`. Columns other than doc_id and
+    text are not read. Pieces of equal length are
     interchangeable for the plan, so ties cannot change the number of sequences.
 
     `share`: rows of one length that one task ranks; a commoner length is split over salts.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import batches, chunks, id_and_text, release, small_batches, span_hashes, utf8
+from draftlake.llm.common import batches, chunks, id_and_text, release, share_of, small_batches, span_hashes, utf8
 
 #: Byte classes: white space, line end, lower, upper, digit, ., ',', other sentence marks, quotes, brackets, |, !, and the rest.
 _KINDS = [b" \t\x0b\x0c\r", b"\n", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"?;:", b"\"'`", b"()[]{}<>", b"|", b"!", b"#$%&*+-/=@\\^_~"]
@@ -113,7 +113,16 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = 60_000, ridge: float = 1e-
     value = len(down) * below_bad + len(up) * above_good
     best = np.flatnonzero(value == value.max())
     threshold = float(cuts[best[len(best) // 2]])
-    return Model(mean, scale, weight, threshold, float(max(np.std(s), 1e-9)) / 4)
+    return Model(mean, scale, weight, threshold, calibrated(s - threshold, good))
+
+
+def calibrated(distance: np.ndarray, good: np.ndarray) -> float:
+    """The spread by which the logistic function of distance / spread fits the labels best (least log loss, a grid)."""
+    unit = float(max(np.std(distance), 1e-9))
+    spreads = unit * np.exp2(np.linspace(-6, 4, 81))
+    signed = np.where(good, distance, -distance)
+    loss = [np.logaddexp(0, -signed / x).mean() for x in spreads]
+    return float(spreads[int(np.argmin(loss))])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     total = known.count()
     if total > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / total))
+        known = known.where(share_of(F.col("doc_id")) < most / total)
     # at most about `most` ids of 12 bytes: a bounded broadcast
     chosen = id_and_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -155,7 +164,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     A null or empty text has score 0. A null doc_id is kept and not held out; repeated rows give repeated results; an
-    empty table gives none. With `keep`, those columns of docs are returned too in a struct `kept`, and text beside it;
+    empty table gives none. Texts of any length are read whole; equal texts score equally, so ties change nothing. With `keep`, those columns of docs are returned too in a struct `kept`, and text beside it;
     no other column is read.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")]

@@ -138,6 +138,9 @@ def test_audio_headers_of_other_layers():
 
 def test_license_scan(spark, odd, none):
     extra = [(20, "Released under the MIT License."), (21, "x\nreleased under the mit license\ny"), (22, "Licensed under the Apache\nLicense, Version 2.0."), (23, "All rights reserved.\n\nAll rights reserved.")]
+    mit = f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{licenses.MIT_GRANT}\n\n{licenses.MIT_NOTICE}\n\n{licenses.MIT_WARRANTY.replace('. IN', '. ' + chr(10) + 'IN')}"
+    bsd = "\n \n".join([licenses.BSD_GRANT, licenses.BSD_ONE, licenses.BSD_TWO, licenses.BSD_THREE, *licenses.BSD_WARRANTY.split(". ", 1), "the end", "of it"])
+    extra += [(24, mit), (25, f"some prose\n\n{mit}\n\nmore prose of another kind"), (26, bsd), (27, "licence cc by 4.0")]
     docs = odd.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {(r.doc_id, r.unit, r.unit_no, r.license): r.dice for r in licenses.scan(docs).collect()}
     t, want = licenses.THRESHOLD, {}
@@ -146,7 +149,10 @@ def test_license_scan(spark, odd, none):
     for doc, text in [(r.doc_id, r.text) for r in docs.collect()]:
         if text is None:
             continue
-        units = [("line", k, x) for k, x in enumerate(text.split("\n"))] + [("block", k, x) for k, x in enumerate(re.split(r"\n[ \t\r]*\n", text)) if "\n" in x]
+        parts = re.split(r"\n[ \t\r]*\n", text)
+        units = [("line", k, x) for k, x in enumerate(text.split("\n"))] + [("block", k, x) for k, x in enumerate(parts) if "\n" in x]
+        units += [(f"block{n}", k, " ".join(parts[k : k + n])) for n in licenses.WINDOWS for k in range(len(parts) - n + 1)]
+        units += [("text", 0, text)] if len(parts) > licenses.WINDOWS[-1] else []
         for unit, k, body in units:
             own = set(licenses.bigrams(body))
             for name, grams in licenses.templates():
@@ -154,10 +160,69 @@ def test_license_scan(spark, odd, none):
                 if dice >= t:
                     want[doc, unit, k, name] = max(want.get((doc, unit, k, name), 0), dice)
     assert got == want and (20, "line", 0, "MIT") in got and (22, "block", 0, "Apache-2.0") in got
+    assert (24, "block5", 0, "MIT-text") in got and (25, "block5", 1, "MIT-text") in got and (26, "text", 0, "BSD-3-Clause-text") in got
     assert licenses.scan(none).count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_no_unit_reaches_the_threshold_without_a_marker():
+    chosen = set(licenses.markers(licenses.THRESHOLD))
+    for _, grams in licenses.templates():
+        own = [g for g in grams if not chosen & set(g.split())]
+        for n in range(len(own), licenses.size_bounds(len(grams), licenses.THRESHOLD)[1] + 1):
+            if n >= licenses.size_bounds(len(grams), licenses.THRESHOLD)[0]:
+                assert 2 * len(own) / (n + len(grams)) < licenses.THRESHOLD
+
+
+def test_media_columns_hold_durations_and_offsets(spark):
+    r = mpeg_audio.media_columns(spark.createDataFrame([(1, "x" * 2000)], "doc_id long, text string")).first()
+    media = mpeg_audio.encode(mpeg_audio.payload(b"x" * 2000), 2000)
+    assert (r.duration_samples, r.sample_rate) == (4 * 1152, 44100)
+    assert r.seek_offsets == [f.at for f in mpeg_audio.read(media).frames] and all(media[a : a + 4] == mpeg_audio.HEADER for a in r.seek_offsets)
+
+
+def test_other_table_and_layer_one_checksums():
+    entries = b"".join(x.to_bytes(2, "big") for x in (5, 6, 7))
+    table = mpeg_audio.OPEN_HEADER + bytes(32) + b"VBRI" + b"\0\1\0\0\0\x4b" + (9999).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"\0\3\0\2\0\2\0\1" + entries
+    frame = (mpeg_audio.OPEN_HEADER).ljust(mpeg_audio.SIZE, b"\1")
+    s = mpeg_audio.read(table.ljust(mpeg_audio.SIZE, b"\0") + frame * 3)
+    assert s.table == {"frames": 3, "bytes": 9999, "frames_per_entry": 1, "entries": [10, 12, 14]} and len(s.frames) == 3
+    head = bytes([0xFF, 0xFE, 0x90, 0x04])  # Layer I, protected, stereo
+    f = mpeg_audio.header(head, 0)
+    body = bytes(range(1, 33))
+    crc = int(mpeg_audio.crc16(np.frombuffer(head[2:] + body, np.uint8)[None])[0]).to_bytes(2, "big")
+    good = (head + crc + body).ljust(f.size, b"\2")
+    bad = (head + crc + body[:-1] + b"\0").ljust(f.size, b"\2")
+    s = mpeg_audio.read(good + bad + good)
+    assert (f.layer, len(s.frames), s.bad_crc) == (1, 2, 1)
+
+
+def test_weights_and_threshold_against_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.zeros((60, quality.N_FEATURES))
+    x[:, :2] = rng.normal(size=(60, 2))
+    good = x[:, 0] + 0.5 * x[:, 1] + 0.6 * rng.normal(size=60) > 0
+    model = quality.fit(x, good, pairs=200_000)
+    z = (x - model.mean) / model.scale
+    gaps = np.array([z[a, :2] - z[b, :2] for a in np.flatnonzero(good) for b in np.flatnonzero(~good)])
+    loss = lambda w: np.logaddexp(0, -gaps @ w).mean() + 0.5e-3 * (w @ w)
+    grid = [(loss(np.array([a, b])), a, b) for a in np.linspace(0, 8, 161) for b in np.linspace(-2, 6, 161)]
+    assert loss(model.weight[:2]) < min(grid)[0] * 1.02
+    s = z @ model.weight
+    right = lambda t: ((s >= t) == good).sum()
+    assert right(model.threshold) == max(right(t) for t in [*s, *(s + 1e-9)])
+
+
+def test_samples_of_huge_tables_are_not_empty(spark):
+    from pyspark.sql import functions as F
+
+    from draftlake.llm.common import share_of
+
+    n = spark.range(200_000).select(share_of(F.col("id")).alias("x")).where("x < 0.0005").count()
+    assert 50 < n < 160
+    assert spark.range(1000).select(share_of(F.col("id")).alias("x")).where("x < 0 or x >= 1").count() == 0
+
+
 def test_features_of_nothing():
     assert quality.features(pa.array(["", None], pa.string())).sum() == 0
