@@ -25,11 +25,11 @@ def uuid5_url(name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def object_id(project: Column, source_format: Column, source_id: Column, kind: Column) -> Column:
-    """Stable URI of an object: project, type slug and a UUID of project|FORMAT|source id."""
+def object_id(project: Column, source_format: Column, source_id: Column, kind: Column, scheme: str = "draft") -> Column:
+    """Stable URI of an object: scheme, project, type slug and a UUID of project|FORMAT|source id."""
     seed = F.concat_ws("|", project, F.upper(source_format), source_id)
     slug = F.lower(F.regexp_replace(kind, "[^0-9A-Za-z]+", "-"))
-    return F.concat(F.lit("aec://project/"), project, F.lit("/"), slug, F.lit("/"), uuid5_url(seed))
+    return F.concat(F.lit(f"{scheme}://project/"), project, F.lit("/"), slug, F.lit("/"), uuid5_url(seed))
 
 
 def relation_id(subject: Column, predicate: Column, target: Column) -> Column:

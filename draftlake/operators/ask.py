@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.functions import similarity, text
-from draftlake.operators import knowledge, ranking
+from draftlake.operators import knowledge, ranking, routing
 
 #: Words that ask for rooms or lists, and synonyms; fixed values.
 ROOM_WORDS = {"방", "실", "룸", "공간", "방들", "room", "rooms", "space", "spaces"}
 LIST_WORDS = {"목록", "리스트", "전체", "모든", "모두", "list", "all"}
 SYNONYMS = {"h형강": ["H-", "형강"], "c형강": ["C-", "형강"], "ㄷ형강": ["C-", "형강"], "ㄱ형강": ["L-", "형강"], "앵글": ["L-", "형강"]}
-STOREYS = re.compile(r"(?i)지하\s*(\d{1,2})\s*층|(?<![A-Z0-9])B\s*(\d{1,2})F?(?![A-Z0-9])|(지붕|옥상|옥탑)|(?<![A-Z0-9~\-])(\d{1,3})\s*(?:층|(?:FL|F)(?![A-Z0-9]))")
+STOREYS = re.compile("(?i)" + "|".join(p.removeprefix("(?i)") for p in (*text.BASEMENT, text.ROOF, text.FLOOR)))
 
 
 @dataclass
@@ -82,7 +82,7 @@ def retrieve(nodes: DataFrame, question: str, route: str, most: int = 10) -> Dat
 
     The plan is one union; the template's rows come first, duplicates keep their first place.
     """
-    kinds = {"rooms": "Space", "storey_rooms": "Space", "sections": "Section", "drawings": "Drawing", "sheet": "Drawing", "revisions": "Series", "summary": "Project", "counts": "ElementGroup"}
+    kinds = {"graph:room": "Space", "graph:storey": "Space", "graph:section": "Section", "graph:drawings": "Drawing", "keyword:sheet": "Drawing", "graph:revision": "Series", "summary": "Project", "graph:elements": "ElementGroup"}
     parsed = parse(question)
     template = nodes.where(F.col("type") == kinds[route]) if route in kinds else nodes.limit(0)
     if parsed.storey:
@@ -100,7 +100,12 @@ def answer(nodes: DataFrame, questions: list[str], most: int = 5) -> DataFrame:
     """question, answer for each question of a bounded list: route, retrieve, extract; no evidence is a refusal."""
     spark, out = nodes.sparkSession, None
     for k, question in enumerate(questions):
-        route = spark.range(1).select(knowledge.route(F.lit(question)).alias("r")).first()["r"]
+        asked = spark.range(1).select(routing.linked(F.lit(question)).alias("l"))
+        route, refusal = asked.select(routing.route(F.col("l")), routing.out_of_scope(F.lit(question), F.col("l"))).first()
+        if refusal is not None:
+            row = spark.createDataFrame([(question, "no evidence")], "question string, answer string")
+            out = row if out is None else out.unionByName(row)
+            continue
         found = retrieve(nodes, question, route, most).select(F.lit(k).alias("question_id"), F.col("id").alias("cid"), "text", "score")
         got = knowledge.extract_answer(found)
         asked = spark.createDataFrame([(k, question)], "question_id int, question string").join(got, "question_id", "left")

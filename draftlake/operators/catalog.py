@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import spatial, text
@@ -92,13 +92,15 @@ def block_totals(objects: DataFrame) -> DataFrame:
 
 def block_instances(objects: DataFrame) -> DataFrame:
     """Per block: inserts, documents, layers, and the kind that most of them have."""
-    each = objects.where("block is not null").groupBy("block", "kind").agg(F.count("*").alias("n"), F.collect_set("layer").alias("layers"), F.collect_set("document_id").alias("documents"))
-    return each.groupBy("block").agg(
+    own = objects.where("block is not null")
+    each = own.groupBy("block", "kind").agg(F.count("*").alias("n"), F.collect_set("layer").alias("layers"))
+    out = each.groupBy("block").agg(
         F.sum("n").alias("inserts"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("layers")))), ",").alias("layers"),
         F.max_by("kind", F.struct("n", "kind")).alias("main_kind"),
     )
+    documents = own.select("block", "document_id").distinct().groupBy("block").agg(F.count("*").cast("int").alias("documents"))
+    return out.join(documents, "block").select("block", "inserts", "documents", "layers", "main_kind")
 
 
 def sheet_counts(objects: DataFrame) -> DataFrame:
@@ -106,10 +108,12 @@ def sheet_counts(objects: DataFrame) -> DataFrame:
 
 
 def element_groups(objects: DataFrame, most: int = 20) -> DataFrame:
-    """Per document and kind: objects, observed ones, the first ids."""
-    return objects.groupBy("document_id", "kind").agg(
-        F.count("*").alias("objects"), F.count_if(F.col("state") == "OBSERVED").alias("observed"), F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("evidence")
-    )
+    """Per document and kind: objects, observed ones, the first ids, of which no more than `most` are gathered."""
+    by = ["document_id", "kind"]
+    sizes = objects.groupBy(*by).agg(F.count("*").alias("objects"), F.count_if(F.col("state") == "OBSERVED").alias("observed"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    first = objects.select(*by, "id").withColumn("nth", nth).where(F.col("nth") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("evidence"))
+    return sizes.join(first, by)
 
 
 def vote(layers: DataFrame) -> DataFrame:

@@ -106,9 +106,9 @@ def visible(records: DataFrame, sources: DataFrame, allowed: list[str]) -> DataF
     return records.join(own, ["source", "revision"])
 
 
-def local_relations(relations: DataFrame, projects: DataFrame) -> DataFrame:
+def local_relations(relations: DataFrame, projects: DataFrame, scheme: str = "draft") -> DataFrame:
     """Relations both ends of which belong to a present project; the project id ends at a slash or the end."""
-    of = lambda c: F.regexp_extract(c, "^aec://project/([^/]+)(?:/|$)", 1)
+    of = lambda c: F.regexp_extract(c, f"^{scheme}://project/([^/]+)(?:/|$)", 1)
     known = projects.select(F.col("project_id").alias("p"))
     own = relations.withColumns({"a": of(F.col("subject")), "b": of(F.col("object"))})
     own = own.join(known.withColumnRenamed("p", "a"), "a", "left_semi").join(known.withColumnRenamed("p", "b"), "b", "left_semi")

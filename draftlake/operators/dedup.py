@@ -49,8 +49,10 @@ def collisions(rows: DataFrame, key: str, source: str) -> DataFrame:
 
 
 def capped_union(rows: DataFrame, key: str, items: str, most: int = 20) -> DataFrame:
-    """First `most` distinct items of each key's lists, ascending."""
-    return rows.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))), 1, most).alias(items))
+    """First `most` distinct items of each key's lists, ascending; no more than these are gathered."""
+    each = rows.select(key, F.explode(items).alias("item")).distinct()
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("item"))).where(F.col("nth") <= most)
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias(items))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

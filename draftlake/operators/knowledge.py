@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import identity, text
@@ -75,45 +75,27 @@ def changed(rows: DataFrame, built: DataFrame, key: str, member: Column) -> Data
 
 def communities(documents: DataFrame, least: int = 2, most: int = 80) -> DataFrame:
     """Rule-based communities: each project, and each of its disciplines with at least `least` drawings."""
-    one = documents.groupBy("project_key").agg(F.count("*").alias("members"), F.slice(F.array_sort(F.collect_list("document_id")), 1, most).alias("facts"))
-    one = one.select(F.concat(F.lit("kc:"), "project_key").alias("id"), F.lit(0).alias("level"), "members", "facts")
-    two = documents.where("discipline is not null").groupBy("project_key", "discipline").agg(F.count("*").alias("members"), F.slice(F.array_sort(F.collect_list("document_id")), 1, most).alias("facts"))
-    two = two.where(F.col("members") >= least).select(F.concat_ws(":", F.lit("kc"), "project_key", "discipline").alias("id"), F.lit(1).alias("level"), "members", "facts")
-    out = one.unionByName(two)
+    whole = first_facts(documents, ["project_key"], "document_id", most).select(F.concat(F.lit("kc:"), "project_key").alias("id"), F.lit(0).alias("level"), "members", "facts")
+    part = first_facts(documents.where("discipline is not null"), ["project_key", "discipline"], "document_id", most)
+    part = part.where(F.col("members") >= least).select(F.concat_ws(":", F.lit("kc"), "project_key", "discipline").alias("id"), F.lit(1).alias("level"), "members", "facts")
+    out = whole.unionByName(part)
     return out.withColumn("input_hash", F.sha2(F.concat_ws("|", F.lit("prompt-1"), F.array_join(F.transform("facts", lambda x: x.cast("string")), ",")), 256))
 
 
+def first_facts(rows: DataFrame, by: list[str], item: str, most: int) -> DataFrame:
+    """Per group its size and its first items; no more of them than `most` reach the gathering."""
+    size = rows.groupBy(*by).agg(F.count("*").alias("members"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(item))
+    facts = rows.select(*by, item).withColumn("nth", nth).where(F.col("nth") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("facts"))
+    return size.join(facts, by)
+
+
 def refresh(now: DataFrame, before: DataFrame) -> DataFrame:
     """id, status of communities against the stored ones: new, changed, unchanged, removed."""
     both = now.select("id", F.col("input_hash").alias("h")).join(before.select("id", F.col("input_hash").alias("g")), "id", "full_outer")
     return both.select("id", F.when(F.col("h").isNull(), "removed").when(F.col("g").isNull(), "new").when(F.col("h") == F.col("g"), "unchanged").otherwise("changed").alias("status"))
 
 
-#: Route and its pattern in order of precedence.
-ROUTES = [
-    ("revisions", "revision|revised|version|개정|변경|최신"),
-    ("summary", "summary|summar|overview|요약|개요|전체"),
-    ("sections", r"steel|section|철골|형강|\bh-\d"),
-    ("counts", "how many|count|number of|몇|개수|수량"),
-    ("storey_rooms", r"(floor|storey|층).*(room|space|실|방)|(room|space|실|방).*(floor|storey|층)"),
-    ("rooms", r"\broom|space|실\b|방\b"),
-    ("sheet", r"\b[a-z]{1,2}-?\d{3}\b"),
-    ("drawings", "drawing|sheet|plan|도면|평면|단면"),
-    ("knowledge", "rule|code|standard|규정|기준|법"),
-]
-
-
-def route(question: Column) -> Column:
-    """The first route whose pattern the question meets, else semantic."""
-    own = F.lower(question)
-    return F.coalesce(*[F.when(own.rlike(p), F.lit(r)) for r, p in ROUTES], F.lit("semantic"))
-
-
-def intents(question: Column) -> Column:
-    own = F.lower(question)
-    return F.array_compact(F.array(*[F.when(own.rlike(p), F.lit(r)) for r, p in ROUTES]))
-
-
 def citations(items: DataFrame, objects: DataFrame, documents: DataFrame) -> DataFrame:
     """Items (cid, object_ids) with their primary object (one with a box first, then the smallest id) and its document."""
     each = items.select("cid", F.explode("object_ids").alias("id")).join(objects.select("id", "document_id", F.col("min_x").isNull().alias("boxless")), "id")

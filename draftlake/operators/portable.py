@@ -95,10 +95,10 @@ def context_records(rows: DataFrame, revision: Column, external: Column, body: C
     return rows.select(F.concat(F.lit("ctx_"), identity.short_hash(revision, external, n=24)).alias("id"), external.alias("external_id"), F.coalesce(F.nullif(F.trim(body), F.lit("")), external).alias("text"))
 
 
-def ontology(classes: DataFrame, properties: DataFrame) -> DataFrame:
-    """Turtle lines of classes (name, parent) and properties (name, kind, domain)."""
-    c = classes.select(F.concat(F.lit("aec:"), "name", F.lit(" a owl:Class"), F.coalesce(F.concat(F.lit(" ; rdfs:subClassOf aec:"), "parent"), F.lit("")), F.lit(" .")).alias("line"))
-    p = properties.select(F.concat(F.lit("aec:"), "name", F.lit(" a owl:"), "kind", F.lit(" ; rdfs:domain aec:"), "domain", F.lit(" .")).alias("line"))
+def ontology(classes: DataFrame, properties: DataFrame, prefix: str = "dl") -> DataFrame:
+    """Turtle lines of classes (name, parent) and properties (name, kind, domain) under a prefix."""
+    c = classes.select(F.concat(F.lit(f"{prefix}:"), "name", F.lit(" a owl:Class"), F.coalesce(F.concat(F.lit(f" ; rdfs:subClassOf {prefix}:"), "parent"), F.lit("")), F.lit(" .")).alias("line"))
+    p = properties.select(F.concat(F.lit(f"{prefix}:"), "name", F.lit(" a owl:"), "kind", F.lit(f" ; rdfs:domain {prefix}:"), "domain", F.lit(" .")).alias("line"))
     return c.unionByName(p)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,30 @@ def cursor(key: Column) -> Column:
     return F.base64(F.encode(F.to_json(F.struct(key.alias("id"))), "UTF-8"))
 
 
-def percentile_round(values: Column, q: float) -> Column:
-    """sorted[round(q (n - 1))] with ties to even."""
-    own = F.array_sort(F.collect_list(values))
-    return F.element_at(own, (F.bround(F.lit(q) * (F.size(own) - 1), 0) + 1).cast("int"))
+def at_rank(rows: DataFrame, by: str, value: str, rank: Callable[[Column], Column], cuts: int = 64) -> DataFrame:
+    """by, n, value at the given rank (from 1, an expression of n) of each group's sorted values.
+
+    Equal values count as one row with a weight; approximate quantiles cut a group into bins, and only the bin that
+    holds the rank is sorted, so no task gathers a group.
+    """
+    each = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("w"))
+    edges = each.groupBy(by).agg(F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 10_000).alias("edges"), F.sum("w").alias("n"))
+    binned = each.join(edges, by).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
+    sizes = binned.groupBy(by, "bin").agg(F.sum("w").alias("size"), F.first("n").alias("n"))
+    upto = F.sum("size").over(Window.partitionBy(by).orderBy("bin"))  # `cuts` rows a group
+    wanted = sizes.withColumns({"upto": upto, "rank": rank(F.col("n"))}).where("rank <= upto and rank > upto - size").select(by, "bin", (F.col("rank") - F.col("upto") + F.col("size")).alias("rank"))
+    inside = binned.join(wanted, [by, "bin"]).withColumn("upto", F.sum("w").over(Window.partitionBy(by).orderBy(value)))
+    return inside.where("rank <= upto and rank > upto - w").select(by, "n", value)
+
+
+def percentile_round(q: float) -> Callable[[Column], Column]:
+    """Rank of sorted[round(q (n - 1))] with ties to even."""
+    return lambda n: (F.bround(F.lit(q) * (n - 1), 0) + 1).cast("long")
 
 
-def percentile_ceil(values: Column, q: float) -> Column:
-    """sorted[ceil(q n) - 1]."""
-    own = F.array_sort(F.collect_list(values))
-    return F.element_at(own, F.greatest(F.ceil(F.lit(q) * F.size(own)), F.lit(1)).cast("int"))
+def percentile_ceil(q: float) -> Callable[[Column], Column]:
+    """Rank of sorted[ceil(q n) - 1]."""
+    return lambda n: F.greatest(F.ceil(F.lit(q) * n), F.lit(1)).cast("long")
 
 
 def fused(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:

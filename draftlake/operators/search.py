@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +42,48 @@ def knn(vectors: DataFrame, query: list[float], key: str, column: str, k: int, l
     return own.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def knn_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, similarity for a stated set of queries (query_id, q): broadcast only up to 10 000 of them."""
-    pairs = vectors.join(broadcast_if_small(queries, 10_000)).where("id != query_id").select("query_id", "id", similarity.dot(F.col("v"), F.col("q")).alias("similarity"))
+def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query_id, rank, id, similarity for a stated set of queries (query_id, q), in blocks against all vectors (id, v).
+
+    Each block is a matrix that goes to the tasks; a task keeps its k best of each query for every Arrow batch.
+    """
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    numbered = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    found = None
+    for part in range(parts):
+        own = numbered.where(F.col("part") == part).select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow().combine_chunks()
+        if not own.num_rows:
+            continue
+        ids = own.column("query_id").to_numpy()
+        matrix = own.column("q").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        one = vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(nearest_of(ids, matrix, k), "query_id long, id long, similarity double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_of(ids: np.ndarray, matrix: np.ndarray, k: int, rows: int = 2048) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of (id, v) the pairs that can be among a query's k best: all ties at the border stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                own = batch.column("id").to_numpy(zero_copy_only=False)
+                for a in range(0, len(ids), 256):
+                    rough = matrix[a : a + 256] @ v.T
+                    rough[ids[a : a + 256, None] == own[None, :]] = -np.inf
+                    some = min(k, rough.shape[1])
+                    least = -np.partition(-rough, some - 1, axis=1)[:, some - 1]
+                    row, col = np.nonzero((rough >= least[:, None] - 1e-9 * np.abs(least[:, None])) & (rough > -np.inf))
+                    exact = (matrix[a : a + 256][row] * v[col]).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256][row]), pa.array(own[col]), pa.array(exact)], names=["query_id", "id", "similarity"])
+
+    return run
 
 
 def hybrid(objects: DataFrame, terms: list[str], vector: list[float] | None, k: int) -> DataFrame:
@@ -82,3 +124,31 @@ def similar_projects(features: DataFrame, k: int) -> DataFrame:
 def rare_terms(rows: DataFrame, key: str, body: str, most: int) -> DataFrame:
     """Tokens that at most `most` rows hold, with their document frequency."""
     return rows.select(key, F.explode(text.token_set(F.col(body))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most)
+
+
+def pack_terms(question: str, most: int = 8) -> list[str]:
+    """Words of a question for drawing names: punctuation out, decimal points kept, two characters at least."""
+    left = re.sub(r"(?<!\d)\.|\.(?!\d)", " ", re.sub(r"[?？,!]", " ", question))
+    return list(dict.fromkeys(w for w in left.split() if len(w) >= 2))[:most]
+
+
+def pack_drawings(drawings: DataFrame, body: str, question: str, common: int = 600, least: float = 0.6) -> DataFrame:
+    """Drawings by half the mean likeness of the question's terms and half that of the whole question, written apart or together.
+
+    Candidates resemble a term that no more than `common` drawings resemble; where there is none, the whole question.
+    """
+    terms = pack_terms(question)
+    if not terms:
+        return drawings.limit(0).withColumn("score", F.lit(0.0))
+    like = lambda words: similarity.word_similarity(F.lit(words), F.col(body))
+    bound = lambda words: similarity.trigram_bound(F.lit(words), F.col(body)) >= least
+    counts = drawings.agg(*[F.count_if(bound(w)).alias(f"n{k}") for k, w in enumerate(terms)]).first()
+    rare = [w for k, w in enumerate(terms) if 0 < counts[k] <= common]
+    whole, compact = " ".join(terms), "".join(terms)
+    near = F.lit(False)
+    for w in rare or [whole]:
+        near |= bound(w)
+    own = drawings.where(near)
+    kept = F.greatest(*[F.coalesce(like(w), F.lit(0.0)) for w in rare or [whole]], F.lit(0.0)) >= least
+    mean = sum((F.coalesce(like(w), F.lit(0.0)) for w in terms[1:]), F.coalesce(like(terms[0]), F.lit(0.0))) / len(terms)
+    return own.where(kept).withColumn("score", 0.5 * mean + 0.5 * F.greatest(F.coalesce(like(whole), F.lit(0.0)), F.coalesce(like(compact), F.lit(0.0))))

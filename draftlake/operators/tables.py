@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a local session without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="draftlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,6 +49,11 @@ def properties_table(objects: DataFrame) -> DataFrame:
     return objects.select(F.col("id").alias("object_id"), F.explode("properties").alias("property_name", "value")).select("object_id", "property_name", F.to_json(F.struct("value")).alias("value_json"))
 
 
-def application_mappings(objects: DataFrame, applications: tuple[str, ...] = ("FreeCAD", "Blender", "QGIS")) -> DataFrame:
+def relations_table(relations: DataFrame) -> DataFrame:
+    """subject, predicate, object, confidence (1 where none is given) and the provenance (a struct) as JSON."""
+    return relations.select("subject", "predicate", "object", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.to_json("provenance", {"ignoreNullFields": "false"}).alias("provenance_json"))
+
+
+def application_mappings(objects: DataFrame, applications: tuple[str, ...] = ("FreeCAD", "Blender", "QGIS"), status: str = "REFERENCE_ONLY") -> DataFrame:
     """Objects for each application: an explode of a literal array, no join."""
-    return objects.select(F.col("id").alias("object_id"), F.explode(F.array(*map(F.lit, applications))).alias("application"), F.lit("CAIR_REFERENCE_ONLY").alias("status"))
+    return objects.select(F.col("id").alias("object_id"), F.explode(F.array(*map(F.lit, applications))).alias("application"), F.lit(status).alias("status"))

@@ -256,12 +256,12 @@ def count_map_diff(t, spark):
 
 @query("A-24", "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER) + 1] AS p95 FROM s")
 def percentile_round_rank(t, spark):
-    return t("events").groupBy("event_type").agg(ranking.percentile_round(F.col("value"), 0.95).alias("p95"))
+    return ranking.at_rank(t("events"), "event_type", "value", ranking.percentile_round(0.95)).select("event_type", F.col("value").alias("p95"))
 
 
 @query("A-25", "WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[CAST(ceil(0.95::DOUBLE * len(v)) AS INTEGER)] AS p95 FROM s")
 def percentile_ceil_rank(t, spark):
-    return t("events").groupBy("event_type").agg(ranking.percentile_ceil(F.col("value"), 0.95).alias("p95"))
+    return ranking.at_rank(t("events"), "event_type", "value", ranking.percentile_ceil(0.95)).select("event_type", F.col("value").alias("p95"))
 
 
 @query("A-26", "SELECT event_type, median(value) AS median_value, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
@@ -314,14 +314,14 @@ def storey_backfill_sources(t, spark):
     return joins.ladder(t("drawings").select("document_id"), steps, "storey").groupBy("storey_source").agg(F.count("*").alias("n"))
 
 
-@query("P-07 SK-28", "SELECT id AS object_id, unnest(['FreeCAD', 'Blender', 'QGIS']) AS application, 'CAIR_REFERENCE_ONLY' AS status FROM {objects} WHERE document_id < 500")
+@query("P-07 SK-28", "SELECT id AS object_id, unnest(['FreeCAD', 'Blender', 'QGIS']) AS application, 'REFERENCE_ONLY' AS status FROM {objects}")
 def application_mappings(t, spark):
-    return tables.application_mappings(t("objects").where("document_id < 500"))
+    return tables.application_mappings(t("objects"))
 
 
-@query("P-05", """SELECT event_id AS object_id, 'type' AS property_name, '{{"value":"' || event_type || '"}}' AS value_json FROM events WHERE event_id < 300 UNION ALL SELECT event_id, 'user', '{{"value":"' || user_id || '"}}' FROM events WHERE event_id < 300""")
+@query("P-05", """SELECT event_id AS object_id, 'type' AS property_name, '{{"value":"' || event_type || '"}}' AS value_json FROM events UNION ALL SELECT event_id, 'user', '{{"value":"' || user_id || '"}}' FROM events""")
 def properties_table(t, spark):
-    own = t("events").where("event_id < 300").select(F.col("event_id").alias("id"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")).alias("properties"))
+    own = t("events").select(F.col("event_id").alias("id"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")).alias("properties"))
     return tables.properties_table(own)
 
 

@@ -10,27 +10,27 @@ from draftlake.operators import ask, contracts, joins, portable, ranking, relati
 from draftlake.plans.adapters import query
 
 
-@query("P-03", "SELECT id AS object_id, kind AS label, confidence FROM {objects} WHERE state = 'AI_INFERRED' AND document_id < 1000")
+@query("P-03", "SELECT id AS object_id, kind AS label, confidence FROM {objects} WHERE state = 'AI_INFERRED'")
 def classifications_table(t, spark):
     made = F.when(F.col("state") == "AI_INFERRED", F.struct(F.col("kind").alias("label"), "confidence"))
-    return portable.classifications(t("objects").where("document_id < 1000").select("id", made.alias("classification")))
+    return portable.classifications(t("objects").select("id", made.alias("classification")))
 
 
-@query("P-04", "SELECT id AS object_id, layer AS source_object, 'DXF' AS source_format FROM {objects} WHERE document_id < 1000 AND block IS NOT NULL")
+@query("P-04", "SELECT id AS object_id, layer AS source_object, 'DXF' AS source_format FROM {objects} WHERE block IS NOT NULL")
 def provenance_table(t, spark):
     made = F.when(F.col("block").isNotNull(), F.struct(F.col("layer").alias("source_object"), F.lit("DXF").alias("source_format")))
-    return portable.provenance(t("objects").where("document_id < 1000").select("id", made.alias("provenance")))
+    return portable.provenance(t("objects").select("id", made.alias("provenance")))
 
 
-@query("P-06 P-29", "SELECT id AS global_object_id, project_id, layer AS source_file, block AS source_entity_id FROM {objects} WHERE document_id < 1000")
+@query("P-06 P-29", "SELECT id AS global_object_id, project_id, layer AS source_file, block AS source_entity_id FROM {objects}")
 def source_mapping_table(t, spark):
-    return portable.source_mappings(t("objects").where("document_id < 1000").select("id", "project_id", F.struct(F.col("layer").alias("file"), F.col("block").alias("entity_id")).alias("source")))
+    return portable.source_mappings(t("objects").select("id", "project_id", F.struct(F.col("layer").alias("file"), F.col("block").alias("entity_id")).alias("source")))
 
 
-@query("P-08", "SELECT 'geom:' || coalesce(block, layer) AS geometry_ref, coalesce(block, layer) AS source_entity_id, kind AS geometry_type, 'local' AS crs FROM {objects} WHERE document_id < 1000")
+@query("P-08", "SELECT 'geom:' || coalesce(block, layer) AS geometry_ref, coalesce(block, layer) AS source_entity_id, kind AS geometry_type, 'local' AS crs FROM {objects}")
 def geometry_index_table(t, spark):
     none = F.lit(None).cast("string")
-    own = t("objects").where("document_id < 1000").select(none.alias("handle"), F.col("block").alias("source_entity_id"), F.col("layer").alias("source_id"), none.alias("feature_id"), "kind", none.alias("crs"))
+    own = t("objects").select(none.alias("handle"), F.col("block").alias("source_entity_id"), F.col("layer").alias("source_id"), none.alias("feature_id"), "kind", none.alias("crs"))
     return portable.geometry_index(own)
 
 
@@ -68,16 +68,16 @@ def storey_predicate(t, spark):
     return own.where(ask.storey_filter("3F")).select("id")
 
 
-@query("F-08", "SELECT user_id FROM (SELECT user_id, list(DISTINCT event_type) AS names FROM events WHERE value > 80 GROUP BY 1) WHERE len(list_filter(names, lambda x: x ILIKE '%ur%')) > 0")
+@query("F-08", "SELECT user_id FROM (SELECT user_id, list(DISTINCT event_type) AS names FROM events GROUP BY 1) WHERE len(list_filter(names, lambda x: x ILIKE '%ur%')) > 0")
 def array_any_match(t, spark):
-    own = t("events").where("value > 80").groupBy("user_id").agg(F.collect_set("event_type").alias("names"))
+    own = t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("names"))
     return own.where(F.exists("names", lambda x: x.ilike("%ur%"))).select("user_id")
 
 
-@query("F-16", "SELECT 'aec://project/' || project_id || '/' || id AS subject FROM {objects} WHERE project_id IN ('P1', 'P3') AND document_id < 2000")
+@query("F-16", "SELECT 'draft://project/' || project_id || '/' || id AS subject FROM {objects} WHERE project_id IN ('P1', 'P3')")
 def local_relation_filter(t, spark):
-    uri = F.concat(F.lit("aec://project/"), F.col("project_id"), F.lit("/"), F.col("id").cast("string"))
-    rel = t("objects").where("document_id < 2000").select(uri.alias("subject"), F.concat(F.lit("aec://project/"), "project_id").alias("object"))
+    uri = F.concat(F.lit("draft://project/"), F.col("project_id"), F.lit("/"), F.col("id").cast("string"))
+    rel = t("objects").select(uri.alias("subject"), F.concat(F.lit("draft://project/"), "project_id").alias("object"))
     return contracts.local_relations(rel, t("objects").where("project_id in ('P1', 'P3')").select("project_id").distinct()).select("subject")
 
 
@@ -130,11 +130,11 @@ def opening_hosts(t, spark):
     return relations.hosted(openings, walls, 10.0).select(F.col("subject").alias("id"), F.col("object").alias("host"), "confidence")
 
 
-@query("J-32 G-39", "SELECT a.doc_id AS document, b.page_id AS drawing FROM documents a JOIN pages b ON a.lang = 'en' AND a.doc_id = b.page_id WHERE a.doc_id < 100")
+@query("J-32 G-39", "SELECT a.doc_id AS document, b.page_id AS drawing FROM documents a JOIN pages b ON a.lang = 'en' AND a.doc_id = b.page_id")
 def stem_links(t, spark):
     n = lambda c, p, s: F.concat(F.lit(p), F.col(c).cast("string"), F.lit(s))
-    docs = t("documents").where("doc_id < 100 and lang = 'en'").select(F.lit("P").alias("project"), F.col("doc_id").alias("id"), n("doc_id", "Spec_No-", ".pdf").alias("name"))
-    draws = t("pages").where("page_id < 100").select(F.lit("P").alias("project"), F.col("page_id").alias("id"), n("page_id", "x/SPEC NO ", ".dwg").alias("name"))
+    docs = t("documents").where("lang = 'en'").select(F.lit("P").alias("project"), F.col("doc_id").alias("id"), n("doc_id", "Spec_No-", ".pdf").alias("name"))
+    draws = t("pages").select(F.lit("P").alias("project"), F.col("page_id").alias("id"), n("page_id", "x/SPEC NO ", ".dwg").alias("name"))
     return portable.stem_links(docs, draws)
 
 
@@ -229,7 +229,7 @@ def summary_template(t, spark):
 @query("G-30 S-34", "SELECT id FROM {nodes} WHERE contains(lower(name), 'supplier#00000001') ORDER BY length(name), name, id LIMIT 10")
 def retrieve_with_fallback(t, spark):
     own = t("nodes").select("id", "type", "name", F.col("name").alias("search_text"), F.lit("p").alias("project_key"))
-    return ask.retrieve(own, "supplier#00000001", "drawings", 10).select("id")
+    return ask.retrieve(own, "supplier#00000001", "graph:drawings", 10).select("id")
 
 
 @query("G-46 X-12 X-13", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus <> 'F' THEN 'state_mismatch' END, CASE WHEN o_totalprice > 400000 THEN 'large' END) AS reasons FROM orders")
@@ -265,7 +265,7 @@ def knowledge_pack_rows(t, spark):
     return portable.pack_tables(own, t("edges"), names, "p")[3].select("id", "project_key", "title")
 
 
-@query("SK-06 SK-08", "SELECT 'aec:' || r_name || ' a owl:Class ; rdfs:subClassOf aec:Place .' AS line FROM region UNION ALL SELECT 'aec:' || n_name || ' a owl:ObjectProperty ; rdfs:domain aec:' || r_name || ' .' FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SK-06 SK-08", "SELECT 'dl:' || r_name || ' a owl:Class ; rdfs:subClassOf dl:Place .' AS line FROM region UNION ALL SELECT 'dl:' || n_name || ' a owl:ObjectProperty ; rdfs:domain dl:' || r_name || ' .' FROM nation JOIN region ON n_regionkey = r_regionkey")
 def ontology_lines(t, spark):
     classes = t("region").select(F.col("r_name").alias("name"), F.lit("Place").alias("parent"))
     props = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.lit("ObjectProperty").alias("kind"), F.col("r_name").alias("domain"))
@@ -330,9 +330,9 @@ def metric_validation(t, spark):
     return t("events").select("event_id", F.array_join(found, ",").alias("bad"))
 
 
-@query("X-16", "SELECT user_id AS chunk, min(event_type) AS binding, count(DISTINCT event_type) > 1 AS conflict FROM events WHERE value > 95 GROUP BY 1")
+@query("X-16", "SELECT user_id AS chunk, min(event_type) AS binding, count(DISTINCT event_type) > 1 AS conflict FROM events GROUP BY 1")
 def binding_registry(t, spark):
-    return contracts.bindings(t("events").where("value > 95").select(F.col("user_id").alias("chunk"), F.col("event_type").alias("source")))
+    return contracts.bindings(t("events").select(F.col("user_id").alias("chunk"), F.col("event_type").alias("source")))
 
 
 @query("X-19", "SELECT 'MERGE (n:' || type || ' {{id: \"' || id || '\"}}) SET n.name = \"' || name || '\";' AS line FROM {nodes} ORDER BY line LIMIT 12")
@@ -354,9 +354,9 @@ def nested_walk(t, spark):
     return spark.sql("WITH RECURSIVE w(node, depth) AS (SELECT 'r1', 0 UNION ALL SELECT e.dst, depth + 1 FROM w JOIN {edges} e ON e.src = w.node WHERE depth < 8) SELECT node, depth FROM w", edges=t("edges"))
 
 
-@query("X-24 P-26", "SELECT user_id, count(*) AS tags FROM events WHERE event_id < 400 GROUP BY 1")
+@query("X-24 P-26", "SELECT user_id, count(*) AS tags FROM events GROUP BY 1")
 def attribute_maps(t, spark):
-    rows = t("events").where("event_id < 400").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), F.col("event_type").alias("tag"), F.col("props").alias("value"))
+    rows = t("events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), F.col("event_type").alias("tag"), F.col("props").alias("value"))
     return relations.attribute_map(rows).select(F.col("id").alias("user_id"), F.size("attributes").cast("long").alias("tags"))
 
 

@@ -126,12 +126,12 @@ def iou_match(t, spark):
     return joins.best_overlap(t("marks"), t("frames"), 0.05, 64.0).withColumn("iou", F.round("iou", 6))
 
 
-@query("S-50 S-51", "SELECT id, round(abs(min_y - 100.0), 6) AS distance, (min_y - 100.0) * (max_y - 100.0) < 0 AND min_x > 0 AND min_x < 1000 AS crosses FROM {frames} WHERE min_x BETWEEN 0 AND 1000")
+@query("S-50 S-51", "SELECT id, round(sqrt(greatest(0.0 - min_x, min_x - 1000.0, 0.0) ** 2 + (min_y - 100.0) ** 2), 6) AS distance, (min_y - 100.0) * (max_y - 100.0) < 0 AND min_x > 0 AND min_x < 1000 AS crosses FROM {frames}")
 def segment_geometry(t, spark):
     line = [F.lit(v) for v in (0.0, 100.0, 1000.0, 100.0)]
     d = spatial.point_segment(F.col("min_x"), F.col("min_y"), *line)
     side = [F.col("min_x"), F.col("min_y"), F.col("min_x"), F.col("max_y")]
-    return t("frames").where("min_x between 0 and 1000").select("id", F.round(d, 6).alias("distance"), spatial.crosses(line, side).alias("crosses"))
+    return t("frames").select("id", F.round(d, 6).alias("distance"), spatial.crosses(line, side).alias("crosses"))
 
 
 @query("S-52 J-19", "SELECT id, (max_x - min_x) * (max_y - min_y) AS area, 200 > min_x AND 200 <= max_x AND 205 > min_y AND 205 <= max_y AS inside FROM {frames} WHERE min_x <> 200 AND max_x <> 200 AND min_y <> 205 AND max_y <> 205")
@@ -237,9 +237,9 @@ def entity_link(t, spark):
     return t("conversations").select("conv_id", names.alias("name")).distinct()
 
 
-@query("G-31 P-19", """WITH x AS (SELECT document_id AS cid, arg_min(id, (block IS NULL, id)) AS object_id FROM {objects} WHERE document_id < 3000 GROUP BY 1) SELECT cid, object_id, name FROM x LEFT JOIN {drawings} d ON d.document_id = x.cid""")
+@query("G-31 P-19", """WITH x AS (SELECT document_id AS cid, arg_min(id, (block IS NULL, id)) AS object_id FROM {objects} GROUP BY 1) SELECT cid, object_id, name FROM x LEFT JOIN {drawings} d ON d.document_id = x.cid""")
 def ask_citations(t, spark):
-    objects = t("objects").where("document_id < 3000").select("id", "document_id", F.when(F.col("block").isNotNull(), F.col("min_x")).alias("min_x"))
+    objects = t("objects").select("id", "document_id", F.when(F.col("block").isNotNull(), F.col("min_x")).alias("min_x"))
     items = objects.groupBy(F.col("document_id").alias("cid")).agg(F.collect_list("id").alias("object_ids"))
     return knowledge.citations(items, objects, t("drawings").select("document_id", "name")).select("cid", "object_id", "name")
 

@@ -23,20 +23,20 @@ def memory_topk(t, spark):
     return search.memory(objects, "source", QUESTION, 20).withColumn("score", F.round("score", 6))
 
 
-@query("D-06 G-34 T-03", """WITH f AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS feature FROM documents WHERE doc_id < 300), s AS (SELECT source, count(*) AS n FROM f GROUP BY 1),
+@query("D-06 G-34 T-03", """WITH f AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS feature FROM documents), s AS (SELECT source, count(*) AS n FROM f GROUP BY 1),
 c AS (SELECT a.source AS project, b.source AS other, count(*) AS common FROM f a JOIN f b ON a.feature = b.feature AND a.source < b.source GROUP BY 1, 2)
 SELECT project, other, round(common::DOUBLE / (x.n + y.n - common), 6) AS score FROM c JOIN s x ON x.source = project JOIN s y ON y.source = other ORDER BY common::DOUBLE / (x.n + y.n - common) DESC, project, other LIMIT 50""")
 def similar_sources_jaccard(t, spark):
-    own = t("documents").where("doc_id < 300").select(F.col("source").alias("project"), F.explode(text.token_set(F.col("text"))).alias("feature"))
+    own = t("documents").select(F.col("source").alias("project"), F.explode(text.token_set(F.col("text"))).alias("feature"))
     return search.similar_projects(own, 50).withColumn("score", F.round("score", 6))
 
 
-@query("S-45", """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS tok FROM documents WHERE n_chars < 400),
+@query("S-45", """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]+')) AS tok FROM documents),
 b AS (SELECT doc_id, CAST(('0x' || substr(sha256(tok), 1, 16))::UBIGINT % 64 AS INTEGER) AS k, count(*) AS n FROM w GROUP BY 1, 2), z AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM b GROUP BY 1)
-SELECT doc_id, k, round(n / norm, 6) AS value FROM b JOIN z USING (doc_id)""")
+SELECT doc_id, k, round(n / norm, 8) AS value FROM b JOIN z USING (doc_id)""")
 def hash_vector64(t, spark):
-    own = t("documents").where("n_chars < 400").select("doc_id", similarity.hash_vector(F.col("text")).alias("v"))
-    return own.select("doc_id", F.posexplode("v").alias("k", "value")).where("value > 0").withColumn("value", F.round("value", 6))
+    own = t("documents").select("doc_id", similarity.hash_vector(F.col("text")).alias("v"))
+    return own.select("doc_id", F.posexplode("v").alias("k", "value")).where("value > 0")
 
 
 @query("S-46")
@@ -119,11 +119,11 @@ def knn_exact(t, spark):
     return ranking.top_k(own, 20, F.desc("similarity"), F.col("vec_id")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("F-05 T-08", """SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+@query("F-05 T-08", """SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 5""")
 def knn_batch(t, spark):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     return search.knn_batch(q, v, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -156,14 +156,14 @@ def extraction_accuracy(t, spark):
     return own.groupBy("source").agg(F.round(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("A-28 G-44", """WITH r AS (SELECT a.vec_id AS q, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
-g AS (SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND b.vec_id < 100)
+@query("A-28 G-44", """WITH r AS (SELECT a.vec_id AS q, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+g AS (SELECT a.vec_id AS q, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT g.q AS query_id, round(count(r.id)::DOUBLE / count(*), 6) AS recall FROM g LEFT JOIN (SELECT * FROM r WHERE rank <= 50) r ON r.q = g.q AND r.id = g.id GROUP BY 1""")
 def knn_label_recall(t, spark):
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     labels = t("embeddings").select("vec_id", "label")
-    gold = labels.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.where("vec_id < 100").select(F.col("vec_id").alias("id"), "label"), "label").where("id != query_id").select("query_id", "id")
+    gold = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.select(F.col("vec_id").alias("id"), "label"), "label").where("id != query_id").select("query_id", "id")
     return ranking.recall_at(search.knn_batch(q, v, 50), gold, "query_id", "id", 50).withColumn("recall", F.round("recall", 6))
 
 
@@ -233,9 +233,9 @@ def discipline_ladder(t, spark):
     return t("part").select("p_partkey", text.discipline(number, place).alias("discipline"))
 
 
-@query("S-06 P-16", "SELECT id, CASE WHEN confidence > 0.95 THEN 'AUTO_ACCEPT' WHEN confidence >= 0.75 THEN 'ACCEPT_WITH_WARNING' ELSE 'REQUIRE_VALIDATION' END AS state FROM {objects} WHERE document_id < 2000")
+@query("S-06 P-16", "SELECT id, CASE WHEN confidence > 0.95 THEN 'AUTO_ACCEPT' WHEN confidence >= 0.75 THEN 'ACCEPT_WITH_WARNING' ELSE 'REQUIRE_VALIDATION' END AS state FROM {objects}")
 def review_states(t, spark):
-    return t("objects").where("document_id < 2000").select("id", text.review_state(F.col("confidence")).alias("state"))
+    return t("objects").select("id", text.review_state(F.col("confidence")).alias("state"))
 
 
 @query("S-01 S-02 S-03 S-04 P-11", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Door' WHEN 1 THEN 'Wall' WHEN 2 THEN 'Stair' WHEN 3 THEN 'Annotation' WHEN 4 THEN 'Window' ELSE 'CADEntity' END AS label,
@@ -293,15 +293,7 @@ def rare_terms(t, spark):
     return search.rare_terms(t("documents"), "doc_id", "text", 40).where("df >= 20")
 
 
-@query("G-18 G-19 S-36 F-27", """SELECT conv_id, turn, CASE WHEN regexp_matches(q, 'revision|revised|version|개정|변경|최신') THEN 'revisions' WHEN regexp_matches(q, 'summary|summar|overview|요약|개요|전체') THEN 'summary' WHEN regexp_matches(q, 'steel|section|철골|형강|\\bh-\\d') THEN 'sections'
- WHEN regexp_matches(q, 'how many|count|number of|몇|개수|수량') THEN 'counts' WHEN regexp_matches(q, '(floor|storey|층).*(room|space|실|방)|(room|space|실|방).*(floor|storey|층)') THEN 'storey_rooms' WHEN regexp_matches(q, '\\broom|space|실|방') THEN 'rooms'
- WHEN regexp_matches(q, '\\b[a-z]{{1,2}}-?\\d{{3}}\\b') THEN 'sheet' WHEN regexp_matches(q, 'drawing|sheet|plan|도면|평면|단면') THEN 'drawings' WHEN regexp_matches(q, 'rule|code|standard|규정|기준|법') THEN 'knowledge' ELSE 'semantic' END AS route
-FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations)""")
-def ask_route(t, spark):
-    return t("conversations").select("conv_id", "turn", knowledge.route(F.col("text")).alias("route"))
-
-
-@query("G-32", "SELECT conv_id, string_agg('[c' || turn || '] ' || role, chr(10) ORDER BY -1.0 / (turn + 1), 'c' || turn) AS answer FROM conversations WHERE turn < 4 GROUP BY 1")
+@query("G-32", "SELECT conv_id, string_agg('[c' || turn || '] ' || role, chr(10) ORDER BY -1.0 / (turn + 1), 'c' || turn) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY -1.0 / (turn + 1), 'c' || turn) AS nth FROM conversations) WHERE nth <= 5 GROUP BY 1")
 def extractive_answer(t, spark):
-    own = t("conversations").where("turn < 4").select(F.col("conv_id").alias("question_id"), (1.0 / (F.col("turn") + 1)).alias("score"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("cid"), F.col("role").alias("text"))
+    own = t("conversations").select(F.col("conv_id").alias("question_id"), (1.0 / (F.col("turn") + 1)).alias("score"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("cid"), F.col("role").alias("text"))
     return knowledge.extract_answer(own).select(F.col("question_id").alias("conv_id"), "answer")

@@ -172,11 +172,11 @@ def tags(markup: Column) -> Column:
     return F.regexp_extract_all(markup, F.lit(r"<(?:[A-Za-z][\w.-]*:)?([A-Za-z][\w.-]*)"), F.lit(1))
 
 
-def gltf(spark: SparkSession, path: str) -> DataFrame:
+def gltf(spark: SparkSession, path: str, glob: str = "*.gltf") -> DataFrame:
     """Structure counts of glTF files."""
     keys = ("scenes", "nodes", "meshes", "materials", "accessors", "buffers")
     schema = "asset struct<version:string>, " + ", ".join(f"{k} array<string>" for k in keys)
-    docs = whole_text(spark, path, "*.gltf").select("path", F.from_json("value", schema).alias("d"))
+    docs = whole_text(spark, path, glob).select("path", F.from_json("value", schema).alias("d"))
     return docs.select("path", "d.asset.version", *[F.coalesce(F.size(f"d.{k}"), F.lit(0)).alias(k) for k in keys])
 
 
@@ -196,7 +196,7 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterator[dict]], sche
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-DXF = "path string, handle string, entity_type string, layer string, block string, text string, points array<array<double>>, radius double, start double, end double, layout string, error string"
+DXF = "path string, handle string, entity_type string, layer string, block string, text string, points array<array<double>>, radius double, start double, end double, layout string, owner string, attributes map<string,string>, color int, error string"
 
 
 def decoded(content: bytes) -> str:
@@ -212,61 +212,91 @@ def decoded(content: bytes) -> str:
 
 
 def parse_dxf(path: str, content: bytes) -> Iterator[dict]:
-    """Entities of the ENTITIES section: pairs of lines, a group code and its value."""
+    """Entities of ENTITIES and BLOCKS and the layers of TABLES: pairs of lines, a group code and its value.
+
+    `owner` is the block definition that an entity belongs to. A polyline takes the points of its vertices, an insert
+    the attributes that follow it.
+    """
     lines = decoded(content).splitlines()
     pairs = [(int(lines[k]), lines[k + 1].strip()) for k in range(0, len(lines) - 1, 2)]
-    section, entity = None, None
-
-    def done():
-        if entity and section == "ENTITIES":
-            xs, ys = entity.pop("xs"), entity.pop("ys")
-            yield entity | {"points": [[x, y] for x, y in zip(xs, ys, strict=False)]}
-
-    k = 0
-    while k < len(pairs):
-        code, value = pairs[k]
+    out: list[dict] = []
+    section, owner, host, entity = None, None, None, None
+    floats = {40: "radius", 50: "start", 51: "end"}
+
+    def close() -> None:
+        nonlocal owner, host
+        if entity is None:
+            return
+        kind = entity["entity_type"]
+        points = [[x, y] for x, y in zip(entity.pop("xs"), entity.pop("ys"), strict=False)]
+        if section == "BLOCKS" and kind in ("BLOCK", "ENDBLK"):
+            owner = entity.get("block") if kind == "BLOCK" else None
+        elif section == "TABLES" and kind == "LAYER":
+            out.append(entity | {"layer": entity.get("block"), "block": None, "layout": "Table", "points": []})
+        elif kind == "VERTEX" and host:
+            host["points"] += points
+        elif kind == "ATTRIB" and host:
+            host["attributes"][entity.get("block") or ""] = entity.get("text", "")
+        elif kind == "SEQEND":
+            host = None
+        elif section in ("ENTITIES", "BLOCKS"):
+            own = entity | {"points": points if kind != "POLYLINE" else [], "owner": owner, "attributes": {}}
+            if section == "BLOCKS":
+                own["layout"] = "Block"
+            out.append(own)
+            host = own if kind in ("POLYLINE", "INSERT") else None
+
+    for k, (code, value) in enumerate(pairs):
         if code == 0:
-            yield from done()
+            close()
             entity = None
-            if value == "SECTION" and k + 1 < len(pairs):
-                section, k = pairs[k + 1][1], k + 1
-            elif value == "ENDSEC":
+            if value == "ENDSEC":
                 section = None
-            else:
+            elif value != "SECTION":
                 entity = {"path": path, "entity_type": value, "layout": "Model", "xs": [], "ys": []}
-        elif entity is not None:
-            if code == 5:
-                entity["handle"] = value
-            elif code == 8:
-                entity["layer"] = value
-            elif code == 2:
-                entity["block"] = value
-            elif code in (1, 3):
-                entity["text"] = entity.get("text", "") + value
-            elif code in (10, 11):
-                entity["xs"].append(float(value))
-            elif code in (20, 21):
-                entity["ys"].append(float(value))
-            elif code == 40:
-                entity["radius"] = float(value)
-            elif code == 50:
-                entity["start"] = float(value)
-            elif code == 51:
-                entity["end"] = float(value)
-            elif code == 67 and value == "1":
-                entity["layout"] = "Paper"
-        k += 1
-    yield from done()
-
-
-def dxf(spark: SparkSession, path: str) -> DataFrame:
+            continue
+        if entity is None:
+            if code == 2 and k and pairs[k - 1] == (0, "SECTION"):
+                section = value
+            continue
+        if code in (5, 8, 2):
+            entity[{5: "handle", 8: "layer", 2: "block"}[code]] = value
+        elif code in (1, 3):
+            entity["text"] = entity.get("text", "") + value
+        elif code in (10, 11):
+            entity["xs"].append(float(value))
+        elif code in (20, 21):
+            entity["ys"].append(float(value))
+        elif code in floats:
+            entity[floats[code]] = float(value)
+        elif code == 62:
+            entity["color"] = int(value)
+        elif code == 67 and value == "1":
+            entity["layout"] = "Paper"
+    close()
+    yield from out
+
+
+def dxf(spark: SparkSession, path: str, glob: str = "*.dxf") -> DataFrame:
     """Normalised entities of DXF files with their boxes."""
-    rows = parsed(binary(spark, path, "*.dxf"), parse_dxf, DXF)
+    rows = parsed(binary(spark, path, glob), parse_dxf, DXF).where("layout is null or layout in ('Model', 'Paper')")
     xs, ys = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
     grow = F.when(F.col("entity_type").isin("CIRCLE", "ARC"), F.coalesce("radius", F.lit(0.0))).otherwise(0.0)
     return rows.select("*", (F.array_min(xs) - grow).alias("min_x"), (F.array_min(ys) - grow).alias("min_y"), (F.array_max(xs) + grow).alias("max_x"), (F.array_max(ys) + grow).alias("max_y"))
 
 
+def dxf_blocks(spark: SparkSession, path: str, glob: str = "*.dxf") -> DataFrame:
+    """Block definitions: path, name, entities, the blocks that they insert."""
+    rows = parsed(binary(spark, path, glob), parse_dxf, DXF).where("layout = 'Block'")
+    nested = F.collect_set(F.when(F.col("entity_type") == "INSERT", F.col("block")))
+    return rows.groupBy("path", F.col("owner").alias("name")).agg(F.count("*").alias("entities"), F.array_sort(nested).alias("inserts"))
+
+
+def dxf_layers(spark: SparkSession, path: str, glob: str = "*.dxf") -> DataFrame:
+    """The layer table: path, name, color, frozen or off layers with a negative color."""
+    return parsed(binary(spark, path, glob), parse_dxf, DXF).where("layout = 'Table'").select("path", F.col("layer").alias("name"), "color")
+
+
 def extents(entities: DataFrame) -> DataFrame:
     """Model-space extents of each file."""
     return entities.where("layout = 'Model'").groupBy("path").agg(F.count("*").alias("entities"), F.countDistinct("layer").alias("layers"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"))
@@ -292,8 +322,8 @@ def parse_stl(path: str, content: bytes) -> Iterator[dict]:
     yield row
 
 
-def stl(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(binary(spark, path, "*.stl"), parse_stl, STL)
+def stl(spark: SparkSession, path: str, glob: str = "*.stl") -> DataFrame:
+    return parsed(binary(spark, path, glob), parse_stl, STL)
 
 
 def parse_glb(path: str, content: bytes) -> Iterator[dict]:
@@ -309,8 +339,8 @@ def parse_glb(path: str, content: bytes) -> Iterator[dict]:
     yield {"path": path, "version": version, "chunks": chunks, "nodes": len(doc.get("nodes", [])), "meshes": len(doc.get("meshes", []))}
 
 
-def glb(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(binary(spark, path, "*.glb"), parse_glb, "path string, version int, chunks int, nodes int, meshes int, error string")
+def glb(spark: SparkSession, path: str, glob: str = "*.glb") -> DataFrame:
+    return parsed(binary(spark, path, glob), parse_glb, "path string, version int, chunks int, nodes int, meshes int, error string")
 
 
 def parse_pdf(path: str, content: bytes) -> Iterator[dict]:
@@ -321,8 +351,8 @@ def parse_pdf(path: str, content: bytes) -> Iterator[dict]:
     yield {"path": path, "version": content[5:8].decode("latin-1"), "pages": len(re.findall(rb"/Type\s*/Page(?![s\w])", content)), "images": len(re.findall(rb"/Subtype\s*/Image", content)), "width": sizes[0][2] - sizes[0][0] if sizes else None, "height": sizes[0][3] - sizes[0][1] if sizes else None}
 
 
-def pdf(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(binary(spark, path, "*.pdf"), parse_pdf, "path string, version string, pages int, images int, width double, height double, error string")
+def pdf(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    return parsed(binary(spark, path, glob), parse_pdf, "path string, version string, pages int, images int, width double, height double, error string")
 
 
 def ini(spark: SparkSession, path: str) -> DataFrame:

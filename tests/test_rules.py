@@ -96,8 +96,16 @@ def test_joins(spark):
 
 
 def test_percentiles(spark):
-    df = spark.createDataFrame([(float(x),) for x in range(1, 7)], "v double")
-    assert tuple(df.agg(ranking.percentile_round(F.col("v"), 0.5), ranking.percentile_ceil(F.col("v"), 0.5)).first()) == (3.0, 3.0)
+    df = spark.createDataFrame([("a", float(x)) for x in range(1, 7)] + [("b", 5.0)] * 300 + [("b", 1.0), ("c", None), ("d", 2.0)], "g string, v double")
+    got = {q: {r.g: r.v for r in ranking.at_rank(df, "g", "v", q).collect()} for q in (ranking.percentile_round(0.5), ranking.percentile_ceil(0.5))}
+    assert list(got.values()) == [{"a": 3.0, "b": 5.0, "d": 2.0}, {"a": 3.0, "b": 5.0, "d": 2.0}]
+    many = spark.range(5000).selectExpr("'x' as g", "cast(id * 7919 % 5003 as double) as v")
+    values = sorted(float(i * 7919 % 5003) for i in range(5000))
+    for q in (0.01, 0.5, 0.95, 1.0):
+        import math
+
+        assert ranking.at_rank(many, "g", "v", ranking.percentile_ceil(q)).first().v == values[max(1, math.ceil(q * 5000)) - 1]
+        assert ranking.at_rank(many, "g", "v", ranking.percentile_round(q)).first().v == values[round(q * 4999)]
 
 
 def test_upsert(spark):
