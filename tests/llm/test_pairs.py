@@ -2,7 +2,6 @@
 
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -257,7 +256,6 @@ def test_pipeline(spark, tmp_path):
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
     assert len(kept & good) > 0.9 * len(good) and len(kept - good) < 5
     assert not {i for i in kept if i >= 1000 and i - 1000 in kept}
-    _ = zlib
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS, name
@@ -339,3 +337,57 @@ def test_probes_of_two_rotations_are_the_best():
     near, every = hasher.nearest(v, 0, 37), hasher.affinity(v, 0)
     for k in range(20):
         assert np.allclose(np.sort(every[k, near[k]]), np.sort(every[k])[-37:])
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The learned decisions as the models give them; the rest by brute force over all rows."""
+    import corpus_pipeline
+    from draftlake.llm import language, quality
+    from tests.llm.test_text_models import corpus
+
+    docs, labels = corpus(spark, 120)
+    rng = random.Random(4)
+    rows = [tuple(r) for r in docs.collect()]
+    line = " ".join(rng.choice(["the", "and", "with", "from", "were"]) for _ in range(60)).capitalize() + "."
+    for k in range(12):  # a passage that several documents share, near copies, repeats
+        i, text, lang, source, _ = rows[rng.randrange(120)]
+        rows.append((300 + k, f"{text}\n{line}\nThe end of number {k} and of all that", lang, source, 1))
+        rows.append((400 + k, text + " and then", lang, source, 1))
+    rows += [rows[5], (900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, " \n ", "de", "s", 1), (903, "12 !", None, None, None)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    good = {(r.doc_id, r.text) for r in quality.score(docs, quality.train(docs, labels), keep=["doc_id"]).where("predicted = 1").collect()}
+    left = [r for r in rows if (r[0], r[1]) in good]
+    frame = spark.createDataFrame(left, docs.schema)
+    known = {(r.doc_id, r.text) for r in language.identify(frame, language.train(frame), keep=["doc_id"]).where("lang_pred != 'und' and score >= 0.5").collect()}
+    left = sorted({(r[0], r[1]) for r in left if (r[0], r[1]) in known})
+    gone = brute_lines(left, 50)
+    cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in left]
+    cut = [(i, t) for i, t in cut if not gone[i] or t.strip()]
+    group = brute_components(cut)
+    want = {i for i, _ in cut if group[i][1] == i}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == want and len(want) > 60
+    assert sum(r.piece == 0 for r in got) == len(want)
+    texts = dict(cut)
+    from draftlake.llm import packing
+
+    alone = packing.pack(spark.createDataFrame([(i, texts[i]) for i in want], "doc_id long, text string"), corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")).collect()
+    pieces = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert pieces(got) == pieces(alone)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("none", none)):
+        path = tmp_path / name
+        docs.write.parquet(str(path / "documents.parquet"))
+        labels.write.parquet(str(path / "labels.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(path))
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() <= docs.count()
+        rows = corpus_pipeline.run(spark, str(path)).collect()
+        assert name == "odd" or rows == []
