@@ -65,6 +65,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved."],
 }
+#: Common words, which are no markers where others will do.
+COMMON = frozenset("the of or and to in for by under with without this that any all not be is are as at on from into may shall must you your its work use".split())
 #: Numbers of blocks in a window.
 WINDOWS = (2, 3, 4, 5, 6)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,7 +98,7 @@ def markers(threshold: float) -> list[str]:
         for grams, excess in still:
             for w, n in Counter(w for g in grams for w in set(g.split())).items():
                 votes[w] += min(1.0, n / excess)
-        word = min(votes, key=lambda w: (max(0, 6 - len(w)), -votes[w], w))
+        word = min(votes, key=lambda w: (w in COMMON, max(0, 6 - len(w)), -votes[w], w))
         chosen.append(word)
         known = [{g for g in grams if word not in g.split()} for grams in known]
     return chosen
@@ -104,7 +106,9 @@ def markers(threshold: float) -> list[str]:
 
 def marked(text: Column, threshold: float) -> Column:
     low = F.lower(text)  # of A to Z the same as in words_of
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in markers(threshold)])
+    long = [F.contains(low, F.lit(w)) for w in markers(threshold) if len(w) > 4]
+    short = [w for w in markers(threshold) if len(w) <= 4]  # whole words only
+    return reduce(lambda a, b: a | b, [*long, low.rlike(f"(?<![0-9a-z])(?:{'|'.join(short)})(?![0-9a-z])")] if short else long)
 
 
 def words_of(unit: Column) -> Column:
