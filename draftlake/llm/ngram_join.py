@@ -35,8 +35,9 @@ NUM, DEN = 80, 100  # the threshold as a fraction
 BITS, QUICK = 1024, 16
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<u8")])
 #: Index entries that a task holds before it sends them on or pairs them; pairs across components, as a multiple of a
-#: bucket's members, up to which all are tried.
-HELD, FEW = 200_000, 256
+#: bucket's members, up to which all are tried: a pair's parities cost about as much as a three-hundredth of a set's way
+#: through the prefix join, which sends every element of a set through three shuffles.
+HELD, FEW = 200_000, 1024
 #: Orders of the nodes, by the signature, of which each gives its buckets another least node; a power of two.
 LEADERS = 32
 #: Bytes of text that a task hashes at a time, and slices of the signatures for each shuffle partition.
@@ -547,7 +548,7 @@ def join(docs: DataFrame) -> DataFrame:
     # pairs of members across components and within them
     n, within = F.col("n"), F.col("within")
     across = (n.cast("double") * n - within) / 2
-    way = F.when((across <= FEW * n) & (within <= 2 * across), "members").when(across <= FEW // 16 * n, "components").otherwise("prefixes")
+    way = F.when((across <= FEW * n) & (within <= 2 * across), "members").when(across <= FEW // 64 * n, "components").otherwise("prefixes")
     wide = shared_table(wide.join(spread.select("sig", way.alias("way")), "sig").select("sig", "node", "component", "way"), "wide")
     known = [wide.where(F.col("way") == w).select("sig", "node", "component").join(facts(reps), "node") for w in ("members", "components")]
     one, two = (named(known[0], x, ("sig",)) for x in "ab")
