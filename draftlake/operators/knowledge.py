@@ -7,58 +7,48 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import identity, text
 
-NODE = ["id", "project_key", "type", "name"]
+def node(id_: Column, kind: str, name: Column) -> Column:
+    return F.struct(id_.alias("id"), F.lit(kind).alias("type"), name.alias("name"))
 
 
-def node(rows: DataFrame, id_: Column, project: Column, kind: str, name: Column) -> DataFrame:
-    return rows.select(id_.alias("id"), project.alias("project_key"), F.lit(kind).alias("type"), name.alias("name")).distinct()
-
-
-def edge(rows: DataFrame, src: Column, predicate: str, dst: Column) -> DataFrame:
-    return rows.select(src.alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst")).where("src is not null and dst is not null").distinct()
-
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def edge(src: Column, predicate: str, dst: Column) -> Column:
+    """An edge, null where an end is missing."""
+    return F.when(src.isNotNull() & dst.isNotNull(), F.struct(src.alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst")))
 
 
 def build(documents: DataFrame, spaces: DataFrame, sections: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of projects, drawings, series, storeys, spaces, sections and element groups.
 
-    documents: document_id, project_key, name, date, storey; spaces: document_id, project_key, level, room;
-    sections: document_id, project_key, designation; groups: document_id, project_key, kind.
+    documents: document_id, project_key, name, date; spaces: document_id, project_key, level, room; sections:
+    document_id, project_key, designation; groups: document_id, project_key, kind. Every input row gives all of its nodes
+    or edges at once, so each input is read once and one distinct collapses them. In a series each drawing supersedes
+    the one before it, by date and id.
     """
     c = F.col
+    key = text.series_key(c("name"), F.lit(None).cast("string"))
     project, drawing = F.concat(F.lit("kg:p:"), c("project_key")), F.concat(F.lit("kg:d:"), c("document_id").cast("string"))
-    series = F.concat(F.lit("kg:se:"), c("project_key"), F.lit(":"), identity.short_hash(text.series_key(c("name"), F.lit(None).cast("string")), n=12))
-    level = F.coalesce(c("level"), F.lit("NA"))
-    storey = F.concat(F.lit("kg:st:"), c("project_key"), F.lit(":"), c("level"))
-    space = F.concat(F.lit("kg:sp:"), c("project_key"), F.lit(":"), level, F.lit(":"), identity.short_hash(text.room(c("room")), n=12))
-    section = F.concat(F.lit("kg:sec:"), c("project_key"), F.lit(":"), text.section(c("designation")))
+    series = F.concat(F.lit("kg:se:"), c("project_key"), F.lit(":"), identity.short_hash(key, n=12))
+    room, level = text.room(c("room")), c("level")
+    storey = F.when(level.isNotNull(), F.concat(F.lit("kg:st:"), c("project_key"), F.lit(":"), level))
+    space = F.when(room.isNotNull(), F.concat(F.lit("kg:sp:"), c("project_key"), F.lit(":"), F.coalesce(level, F.lit("NA")), F.lit(":"), identity.short_hash(room, n=12)))
+    designation = text.section(c("designation"))
+    section = F.concat(F.lit("kg:sec:"), c("project_key"), F.lit(":"), designation)
     group = F.concat(F.lit("kg:eg:"), c("document_id").cast("string"), F.lit(":"), c("kind"))
-    rooms = spaces.where(text.room(c("room")).isNotNull())
-    nodes = union([
-        node(documents, project, c("project_key"), "Project", c("project_key")),
-        node(documents, drawing, c("project_key"), "Drawing", c("name")),
-        node(documents, series, c("project_key"), "Series", text.series_key(c("name"), F.lit(None).cast("string"))),
-        node(spaces.where("level is not null"), storey, c("project_key"), "Storey", c("level")),
-        node(rooms, space, c("project_key"), "Space", text.room(c("room"))),
-        node(sections, section, c("project_key"), "Section", text.section(c("designation"))),
-        node(groups, group, c("project_key"), "ElementGroup", c("kind")),
-    ])
-    edges = union([
-        edge(documents, project, "hasDrawing", drawing),
-        edge(documents, drawing, "inSeries", series),
-        edge(spaces.where("level is not null"), project, "hasStorey", storey),
-        edge(rooms.where("level is not null"), storey, "hasSpace", space),
-        edge(rooms, drawing, "depicts", space),
-        edge(sections, drawing, "uses", section),
-        edge(groups, drawing, "hasGroup", group),
-    ])
-    return nodes, edges
+    made = [
+        (documents, [node(project, "Project", c("project_key")), node(drawing, "Drawing", c("name")), node(series, "Series", key)], [edge(project, "hasDrawing", drawing), edge(drawing, "inSeries", series)]),
+        (spaces, [node(storey, "Storey", level), node(space, "Space", room)], [edge(project, "hasStorey", storey), edge(storey, "hasSpace", space), edge(drawing, "depicts", space)]),
+        (sections, [node(section, "Section", designation)], [edge(drawing, "uses", section)]),
+        (groups, [node(group, "ElementGroup", c("kind"))], [edge(drawing, "hasGroup", group)]),
+    ]
+    nodes = edges = None
+    for rows, own, links in made:
+        n = rows.select("project_key", F.explode(F.array(*own)).alias("n")).select("project_key", "n.*").where("id is not null")
+        e = rows.select(F.explode(F.array_compact(F.array(*links))).alias("e")).select("e.*")
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    before = F.lag(drawing).over(Window.partitionBy("project_key", "_series").orderBy("date", "document_id"))
+    chain = documents.select("project_key", "document_id", "date", drawing.alias("src"), key.alias("_series")).withColumn("dst", before).where("dst is not null")
+    nodes = nodes.distinct().withColumn("search_text", search_text(c("type"), c("name"), c("project_key"), F.lit(None)))
+    return nodes, edges.distinct().unionByName(chain.select("src", F.lit("supersedes").alias("predicate"), "dst"))
 
 
 def search_text(kind: Column, name: Column, project: Column, words: Column) -> Column:

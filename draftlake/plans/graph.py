@@ -180,17 +180,21 @@ def _parts(t):
 KG = """WITH i AS (SELECT o.document_id, project_key, nullif(storey, '') AS level, 'room' || lower(kind) AS room, kind, n FROM {objects} o JOIN {drawings} d USING (document_id)), """
 
 
-@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39 P-20", KG + """n AS (SELECT DISTINCT 'Project' AS type, project_key, project_key AS k FROM {drawings} UNION SELECT 'Drawing', project_key, CAST(document_id AS VARCHAR) FROM {drawings} UNION SELECT 'Series', project_key, CAST(o_custkey AS VARCHAR) FROM {drawings}
- UNION SELECT 'Storey', project_key, level FROM i WHERE level IS NOT NULL UNION SELECT 'Space', project_key, coalesce(level, 'NA') || room FROM i UNION SELECT 'Section', project_key, 'H' FROM i WHERE n = 1 UNION SELECT 'ElementGroup', project_key, document_id || kind FROM i)
-SELECT project_key, type, count(*) AS nodes FROM n GROUP BY 1, 2""")
+@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39 P-20", KG + """n AS (SELECT 'kg:p:' || project_key AS id, project_key, 'Project' AS type, project_key AS name FROM {drawings} UNION ALL SELECT 'kg:d:' || document_id, project_key, 'Drawing', name FROM {drawings}
+ UNION ALL SELECT 'kg:se:' || project_key || ':' || substr(sha256('t:planx' || o_custkey), 1, 12), project_key, 'Series', 't:planx' || o_custkey FROM {drawings} UNION ALL SELECT 'kg:st:' || project_key || ':' || level, project_key, 'Storey', level FROM i WHERE level IS NOT NULL
+ UNION ALL SELECT 'kg:sp:' || project_key || ':' || coalesce(level, 'NA') || ':' || substr(sha256(room), 1, 12), project_key, 'Space', room FROM i UNION ALL SELECT 'kg:sec:' || project_key || ':H-100x50', project_key, 'Section', 'H-100x50' FROM i WHERE n = 1
+ UNION ALL SELECT 'kg:eg:' || document_id || ':' || kind, project_key, 'ElementGroup', kind FROM i) SELECT DISTINCT id, project_key, type, name, type || ' ' || name || ' ' || project_key AS search_text FROM n""")
 def kg_nodes(t, spark):
-    return _parts(t)[0].groupBy("project_key", "type").agg(F.count("*").alias("nodes"))
+    return _parts(t)[0].select("id", "project_key", "type", "name", "search_text")
 
 
-@query("G-05 G-08 G-09 G-10", KG + """e AS (SELECT 'hasDrawing' AS predicate, count(DISTINCT document_id) AS edges FROM {drawings} UNION ALL SELECT 'inSeries', count(DISTINCT document_id) FROM {drawings} UNION ALL SELECT 'hasStorey', count(DISTINCT (project_key, level)) FROM i WHERE level IS NOT NULL
- UNION ALL SELECT 'hasSpace', count(DISTINCT (project_key, level, room)) FROM i WHERE level IS NOT NULL UNION ALL SELECT 'depicts', count(DISTINCT (document_id, coalesce(level, 'NA'), room)) FROM i UNION ALL SELECT 'uses', count(DISTINCT document_id) FROM i WHERE n = 1 UNION ALL SELECT 'hasGroup', count(DISTINCT (document_id, kind)) FROM i) SELECT * FROM e""")
+@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39", KG + """s AS (SELECT *, 'kg:sp:' || project_key || ':' || coalesce(level, 'NA') || ':' || substr(sha256(room), 1, 12) AS space, 'kg:st:' || project_key || ':' || level AS storey FROM i),
+e AS (SELECT 'kg:p:' || project_key AS src, 'hasDrawing' AS predicate, 'kg:d:' || document_id AS dst FROM {drawings} UNION ALL SELECT 'kg:d:' || document_id, 'inSeries', 'kg:se:' || project_key || ':' || substr(sha256('t:planx' || o_custkey), 1, 12) FROM {drawings}
+ UNION ALL SELECT 'kg:p:' || project_key, 'hasStorey', storey FROM s WHERE level IS NOT NULL UNION ALL SELECT storey, 'hasSpace', space FROM s WHERE level IS NOT NULL UNION ALL SELECT 'kg:d:' || document_id, 'depicts', space FROM s
+ UNION ALL SELECT 'kg:d:' || document_id, 'uses', 'kg:sec:' || project_key || ':H-100x50' FROM s WHERE n = 1 UNION ALL SELECT 'kg:d:' || document_id, 'hasGroup', 'kg:eg:' || document_id || ':' || kind FROM s
+ UNION ALL SELECT src, 'supersedes', dst FROM (SELECT 'kg:d:' || document_id AS src, 'kg:d:' || lag(document_id) OVER (PARTITION BY project_key, o_custkey ORDER BY modified, document_id) AS dst FROM {drawings}) WHERE dst IS NOT NULL) SELECT DISTINCT * FROM e""")
 def kg_edges(t, spark):
-    return _parts(t)[1].groupBy("predicate").agg(F.count("*").alias("edges"))
+    return _parts(t)[1].select("src", "predicate", "dst")
 
 
 @query("W-02 G-07 G-26", """SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS place, lag(o_orderkey) OVER w AS supersedes, row_number() OVER w = count(*) OVER (PARTITION BY o_custkey) AS is_latest FROM orders

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from draftlake.plans import catalog, contracts, graph, text  # noqa: F401
+from draftlake.plans import catalog, contracts, graph, questions, readers, text  # noqa: F401
 from draftlake.plans.adapters import QUERIES, TABLES
 
 DATA = os.environ.get("DRAFTLAKE_TESTDATA", "/root/testdata/sf0.001")
