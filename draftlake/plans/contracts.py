@@ -111,13 +111,15 @@ def greedy_area_labels(t, spark):
     return relations.area_labels(spaces, labels, 60.0)
 
 
-@query("J-20 G-36", """WITH e AS (SELECT id, min_x AS x, min_y AS y FROM {marks}), l AS (SELECT id AS space, min_x AS lx, min_y + 1.5 AS ly FROM {frames} WHERE id < 12),
-w AS (SELECT 400.0 AS x1, -1000.0 AS y1, 400.0 AS x2, 3000.0 AS y2), v AS (SELECT e.id, space, sqrt((x - lx) ** 2 + (y - ly) ** 2) AS d FROM e, l, w WHERE NOT ((x - 400.0) * (lx - 400.0) < 0))
+@query("J-20 G-36", """WITH e AS (SELECT id, id // 40 AS sheet, min_x AS x, min_y AS y FROM {marks}), l AS (SELECT id AS space, id // 40 AS sheet, min_x AS lx, min_y + 1.5 AS ly FROM {frames}),
+v AS (SELECT e.id, space, sqrt((x - lx) ** 2 + (y - ly) ** 2) AS d FROM e JOIN l USING (sheet) WHERE NOT ((x - 400.0) * (lx - 400.0) < 0))
 SELECT id, arg_min(space, (d, space)) AS space, round(min(d), 6) AS distance FROM v GROUP BY 1""")
 def line_of_sight_rooms(t, spark):
-    elements = t("marks").select(F.lit("S").alias("sheet"), "id", F.col("min_x").alias("x"), F.col("min_y").alias("y"))
-    spaces = t("frames").where("id < 12").select(F.lit("S").alias("sheet"), "id", F.col("min_x").alias("x"), (F.col("min_y") + 1.5).alias("y"))
-    walls = spark.createDataFrame([("S", 400.0, -1000.0, 400.0, 3000.0)], "sheet string, x1 double, y1 double, x2 double, y2 double")
+    """Elements and rooms of one sheet that no wall parts; each sheet has one wall across."""
+    sheet = F.floor(F.col("id") / 40).cast("string").alias("sheet")
+    elements = t("marks").select(sheet, "id", F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    spaces = t("frames").select(sheet, "id", F.col("min_x").alias("x"), (F.col("min_y") + 1.5).alias("y"))
+    walls = spaces.select("sheet").distinct().select("sheet", *[F.lit(v).alias(c) for c, v in (("x1", 400.0), ("y1", -1000.0), ("x2", 400.0), ("y2", 3000.0))])
     none = spark.createDataFrame([], "sheet string, space long, idx long, ring array<struct<x:double,y:double>>")
     return relations.contents(elements, spaces, none, walls).select(F.col("object").alias("id"), F.col("subject").alias("space"), F.round("distance", 6).alias("distance"))
 
