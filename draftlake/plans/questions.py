@@ -11,7 +11,9 @@ from draftlake.plans.adapters import query
 
 
 def literal(value) -> str:
-    return "NULL" if value is None else str(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
+    if isinstance(value, float):
+        return f"{value}::DOUBLE"
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
 
 
 def values(rows: list[tuple], columns: str) -> str:

@@ -61,7 +61,7 @@ def test_questions(spark):
         [("1", "Space", "회의실", "회의실 3층", "P"), ("2", "Space", "창고", "창고 1층", "P"), ("3", "Drawing", "plan A", "plan A 회의실", "P"), ("4", "Section", "H-1", "H-100x50 steel", "P")],
         "id string, type string, name string, search_text string, project_key string",
     )
-    got = ask.retrieve(nodes, "회의실 room", "rooms").collect()
+    got = ask.retrieve(nodes, "회의실 room", "graph:room").collect()
     assert [(r.id, r.leg) for r in got] == [("1", 0), ("3", 1)]
     answers = {r.question: r.answer for r in ask.answer(nodes, ["steel section h-100x50", "zebra"]).collect()}
     assert answers["steel section h-100x50"].startswith("[4] H-1") and answers["zebra"] == "no evidence"
