@@ -289,10 +289,9 @@ def benchmark_contamination(t, spark):
     items = t("benchmark").select("item_id", text.token_set(F.col("text")).alias("own")).where("size(own) > 0")
     longest = F.transform(F.array_sort(F.transform("own", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
     keys = items.select("item_id", F.explode(F.slice(longest, F.lit(1), F.size("own") - F.ceil(F.lit(0.8) * F.size("own") - 1e-9).cast("int") + 1)).alias("tok"))
-    docs = t("documents").select("doc_id", text.token_set(F.col("text")).alias("words"))
-    met = docs.select("doc_id", F.explode("words").alias("tok")).join(tables.broadcast_if_small(keys, 100_000), "tok").select("doc_id", "item_id").distinct()
-    both = met.join(docs, "doc_id").join(tables.broadcast_if_small(items, 10_000), "item_id")
-    share = F.size(F.array_intersect("own", "words")) / F.size("own")
+    met = t("documents").select("doc_id", F.explode(text.token_set(F.col("text"))).alias("tok")).join(tables.broadcast_if_small(keys, 100_000), "tok").select("doc_id", "item_id").distinct()
+    both = met.join(t("documents").select("doc_id", "text"), "doc_id").join(tables.broadcast_if_small(items, 10_000), "item_id")
+    share = F.size(F.array_intersect("own", text.token_set(F.col("text")))) / F.size("own")
     return both.select("item_id", "doc_id", F.round(share, 6).alias("share"), share.alias("exact")).where("exact >= 0.8").drop("exact")
 
 

@@ -355,6 +355,113 @@ def pdf(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return parsed(binary(spark, path, glob), parse_pdf, "path string, version string, pages int, images int, width double, height double, error string")
 
 
+SHAPE = "path string, record long, shape string, parts int, points long, min_x double, min_y double, max_x double, max_y double, error string"
+#: Shape types by number; fixed values.
+SHAPES = {0: "Null", 1: "Point", 3: "PolyLine", 5: "Polygon", 8: "MultiPoint", 11: "PointZ", 13: "PolyLineZ", 15: "PolygonZ", 18: "MultiPointZ", 21: "PointM", 23: "PolyLineM", 25: "PolygonM", 28: "MultiPointM"}
+
+
+def parse_shp(path: str, content: bytes) -> Iterator[dict]:
+    """Records of a shapefile: big-endian record headers, little-endian shapes."""
+    if len(content) < 100 or struct.unpack(">i", content[:4])[0] != 9994:
+        raise ValueError("not a shapefile")
+    at = 100
+    while at < len(content):
+        if at + 8 > len(content):
+            raise ValueError("a record header is cut off")
+        record, words = struct.unpack(">ii", content[at : at + 8])
+        body = content[at + 8 : at + 8 + 2 * words]
+        if len(body) < 2 * words or words < 2:
+            raise ValueError(f"record {record} is cut off")
+        kind = SHAPES.get(struct.unpack("<i", body[:4])[0])
+        if kind is None:
+            raise ValueError(f"record {record} has an unknown shape")
+        row = {"path": path, "record": record, "shape": kind, "parts": 0, "points": 0}
+        if kind.startswith("Point"):
+            x, y = struct.unpack("<2d", body[4:20])
+            row |= {"parts": 1, "points": 1, "min_x": x, "min_y": y, "max_x": x, "max_y": y}
+        elif kind != "Null":
+            row |= dict(zip(("min_x", "min_y", "max_x", "max_y"), struct.unpack("<4d", body[4:36]), strict=True))
+            first, second = struct.unpack("<2i", body[36:44]) if len(body) >= 44 else (struct.unpack("<i", body[36:40])[0], 0)
+            row |= {"parts": 1, "points": first} if kind.startswith("Multi") else {"parts": first, "points": second}
+        yield row
+        at += 8 + 2 * words
+
+
+def shapefile(spark: SparkSession, path: str, glob: str = "*.shp") -> DataFrame:
+    """Records of shapefiles with their boxes."""
+    return parsed(binary(spark, path, glob), parse_shp, SHAPE)
+
+
+DBF = "path string, record long, deleted boolean, fields map<string,string>, error string"
+
+
+def parse_dbf(path: str, content: bytes) -> Iterator[dict]:
+    """Rows of a dBASE table: field descriptors of 32 bytes, then rows of fixed width."""
+    if len(content) < 33:
+        raise ValueError("not a dBASE table")
+    n, start, width = struct.unpack("<IHH", content[4:12])
+    columns, at, place = [], 32, 1
+    while at + 32 <= start and content[at] != 0x0D:
+        name = content[at : at + 11].split(b"\0")[0].decode("latin-1")
+        columns.append((name, place, place + content[at + 16]))
+        place += content[at + 16]
+        at += 32
+    for k in range(n):
+        row = content[start + k * width : start + (k + 1) * width]
+        if len(row) < width:
+            raise ValueError(f"row {k} is cut off")
+        yield {"path": path, "record": k + 1, "deleted": row[:1] == b"*", "fields": {c: decoded(row[a:b]).strip() for c, a, b in columns}}
+
+
+def dbf(spark: SparkSession, path: str, glob: str = "*.dbf") -> DataFrame:
+    """Attribute rows of shapefiles; join them by path stem and record number."""
+    return parsed(binary(spark, path, glob), parse_dbf, DBF)
+
+
+TIFF = "path string, width int, height int, bands int, bits int, pixel_x double, pixel_y double, min_x double, min_y double, max_x double, max_y double, epsg int, nodata string, error string"
+#: Bytes of a value of each TIFF field type; fixed values.
+TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
+
+
+def parse_tiff(path: str, content: bytes) -> Iterator[dict]:
+    """Size, georeference and projection code out of the tags of a GeoTIFF's first image; classic and big files."""
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    version = struct.unpack(order + "H", content[2:4])[0] if order else 0
+    if version not in (42, 43):
+        raise ValueError("not a TIFF file")
+    big = version == 43
+    at = struct.unpack(order + ("Q" if big else "I"), content[8:16] if big else content[4:8])[0]
+    head, entry, wide = (8, 20, "Q") if big else (2, 12, "I")
+    n = struct.unpack(order + ("Q" if big else "H"), content[at : at + head])[0]
+    tags: dict[int, tuple] = {}
+    letters = {1: "B", 3: "H", 4: "I", 12: "d", 16: "Q"}
+    for k in range(n):
+        e = content[at + head + k * entry : at + head + (k + 1) * entry]
+        tag, kind, count = struct.unpack(order + "HH" + wide, e[: 4 + struct.calcsize(wide)])
+        size = TIFF_SIZES.get(kind, 0) * count
+        inline = e[4 + struct.calcsize(wide) :]
+        raw = inline[:size] if size <= len(inline) else content[(p := struct.unpack(order + wide, inline)[0]) : p + size]
+        if kind == 2:
+            tags[tag] = (raw.split(b"\0")[0].decode("latin-1"),)
+        elif kind in letters:
+            tags[tag] = struct.unpack(f"{order}{count}{letters[kind]}", raw)
+    width, height = tags[256][0], tags[257][0]
+    row = {"path": path, "width": width, "height": height, "bands": tags.get(277, (1,))[0], "bits": tags.get(258, (1,))[0], "nodata": tags.get(42113, (None,))[0]}
+    if 33550 in tags and 33922 in tags:  # pixel size, and a pixel's place in the world
+        (sx, sy), (i, j, _, x, y) = tags[33550][:2], tags[33922][:5]
+        left, top = x - i * sx, y + j * sy
+        row |= {"pixel_x": sx, "pixel_y": sy, "min_x": left, "max_x": left + width * sx, "max_y": top, "min_y": top - height * sy}
+    keys = tags.get(34735, ())
+    codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    row["epsg"] = codes.get(3072, codes.get(2048))
+    yield row
+
+
+def geotiff(spark: SparkSession, path: str, glob: str = "*.tif*") -> DataFrame:
+    """Size, box and projection of rasters, from their tags; pixels are not read."""
+    return parsed(binary(spark, path, glob), parse_tiff, TIFF)
+
+
 def ini(spark: SparkSession, path: str) -> DataFrame:
     """path, section, key, value of sectioned files: the header carries down to the lines below it."""
     rows = whole_text(spark, path).select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
@@ -408,7 +515,7 @@ def knowledge_pack(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return nodes, edges, names
 
 
-READERS = {"dxf": dxf, "ifc": ifc, "geojson": geojson, "asc": ascii_grid, "dem": ascii_grid, "obj": obj, "stl": stl, "gltf": gltf, "glb": glb, "stp": step_histogram, "step": step_histogram, "svg": svg, "pdf": pdf, "ini": ini, "cfg": ini, "pat": patterns, "lin": patterns, "pgp": aliases}
+READERS = {"dxf": dxf, "ifc": ifc, "geojson": geojson, "asc": ascii_grid, "dem": ascii_grid, "obj": obj, "stl": stl, "gltf": gltf, "glb": glb, "stp": step_histogram, "step": step_histogram, "svg": svg, "pdf": pdf, "shp": shapefile, "dbf": dbf, "tif": geotiff, "tiff": geotiff, "ini": ini, "cfg": ini, "pat": patterns, "lin": patterns, "pgp": aliases}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from draftlake.operators import joins
@@ -124,3 +125,44 @@ def test_sinks(spark, tmp_path):
     assert text.count("<node") == 2 and text.count("<edge") == 1
     sinks.write_table(nodes, str(tmp_path / "t"), "csv", ["type"])
     assert spark.read.option("header", "true").csv(str(tmp_path / "t")).count() == 2
+
+
+def test_shapefile_and_its_table(spark, tmp_path):
+    import struct
+
+    ring = struct.pack("<i4d2i", 5, 0.0, 0.0, 2.0, 1.0, 1, 4) + struct.pack("<i8d", 0, 0, 0, 2, 0, 2, 1, 0, 0)
+    bodies = [struct.pack("<i2d", 1, 7.5, 8.5), ring, struct.pack("<i", 0)]
+    records = b"".join(struct.pack(">ii", k + 1, len(b) // 2) + b for k, b in enumerate(bodies))
+    (tmp_path / "a.shp").write_bytes(struct.pack(">i", 9994) + bytes(96) + records)
+    (tmp_path / "bad.shp").write_bytes(struct.pack(">i", 9994) + bytes(96) + records[:-4])
+    fields = b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([6]) + bytes(15) + b"N".ljust(11, b"\0") + b"N" + bytes(4) + bytes([3]) + bytes(15) + b"\r"
+    rows = b" " + "문".encode("cp949").ljust(6) + b" 12" + b"*" + b"gone  " + b"  1"
+    (tmp_path / "a.dbf").write_bytes(bytes(4) + struct.pack("<IHH", 2, 32 + len(fields), 10) + bytes(20) + fields + rows)
+    got = {r.record: r for r in files.shapefile(spark, str(tmp_path)).where("path like '%a.shp'").collect()}
+    assert (got[1].shape, got[1].min_x, got[1].max_y) == ("Point", 7.5, 8.5) and (got[2].parts, got[2].points, got[2].max_x) == (1, 4, 2.0) and got[3].shape == "Null"
+    assert files.shapefile(spark, str(tmp_path)).where("error is not null").count() == 1
+    table = {r.record: r for r in files.dbf(spark, str(tmp_path)).collect()}
+    assert table[1].fields["N"] == "12" and not table[1].deleted and table[2].deleted and table[2].fields["NAME"] == "gone"
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_geotiff_tags(spark, tmp_path, order):
+    import struct
+
+    scale, tie = struct.pack(order + "3d", 2.0, 3.0, 0.0), struct.pack(order + "6d", 0, 0, 0, 100.0, 500.0, 0)
+    keys = struct.pack(order + "8H", 1, 1, 0, 1, 3072, 0, 1, 5186)
+    nodata = b"-9999\0"
+    blobs, at = [scale, tie, keys, nodata], 8 + 2 + 12 * 7 + 4
+    places = []
+    for b in blobs:
+        places.append(at)
+        at += len(b)
+    short = lambda v: struct.pack(order + "HH", v, 0)
+    entries = [(256, 3, 1, short(10)), (257, 3, 1, short(20)), (258, 3, 1, short(16)), (33550, 12, 3, struct.pack(order + "I", places[0])), (33922, 12, 6, struct.pack(order + "I", places[1])), (34735, 3, 8, struct.pack(order + "I", places[2])), (42113, 2, 6, struct.pack(order + "I", places[3]))]
+    body = struct.pack(order + "H", 7) + b"".join(struct.pack(order + "HHI", t, k, n) + v for t, k, n, v in entries) + bytes(4)
+    (tmp_path / "a.tif").write_bytes({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8) + body + b"".join(blobs))
+    (tmp_path / "b.tif").write_bytes(b"no image")
+    rows = files.geotiff(spark, str(tmp_path))
+    r = rows.where("error is null").first()
+    assert (r.width, r.height, r.bits, r.min_x, r.max_x, r.min_y, r.max_y, r.epsg, r.nodata) == (10, 20, 16, 100.0, 120.0, 440.0, 500.0, 5186, "-9999")
+    assert rows.where("error like 'ValueError%'").count() == 1
