@@ -283,15 +283,19 @@ SELECT item_id, doc_id, round(count(*)::DOUBLE / max(n), 6) AS share FROM w JOIN
 def benchmark_contamination(t, spark):
     """Benchmark items most of whose words a document holds.
 
-    A document with a share of 0.8 of an item's words cannot lack all of any n - ceil(0.8 n) + 1 of them: the longest
-    ones are the item's keys, documents that hold a key are candidates, and these are counted on whole sets.
+    A document with a share of 0.8 of an item's words cannot lack all of any n - ceil(0.8 n) + 1 of them: the rarest ones
+    are the item's keys, documents that hold a key are candidates, and their shares are counted on the benchmark's words.
     """
     items = t("benchmark").select("item_id", text.token_set(F.col("text")).alias("own")).where("size(own) > 0")
-    longest = F.transform(F.array_sort(F.transform("own", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    keys = items.select("item_id", F.explode(F.slice(longest, F.lit(1), F.size("own") - F.ceil(F.lit(0.8) * F.size("own") - 1e-9).cast("int") + 1)).alias("tok"))
-    met = t("documents").select("doc_id", F.explode(text.token_set(F.col("text"))).alias("tok")).join(tables.broadcast_if_small(keys, 100_000), "tok").select("doc_id", "item_id").distinct()
-    both = met.join(t("documents").select("doc_id", "text"), "doc_id").join(tables.broadcast_if_small(items, 10_000), "item_id")
-    share = F.size(F.array_intersect("own", text.token_set(F.col("text")))) / F.size("own")
+    words = items.select(F.explode("own").alias("tok")).distinct()
+    held = tables.shared(t("documents").select("doc_id", F.explode(text.token_set(F.col("text"))).alias("tok")).join(tables.broadcast_if_small(words, 100_000), "tok", "left_semi"), "held")
+    often = held.groupBy("tok").agg(F.count("*").alias("df"))
+    each = items.select("item_id", F.size("own").alias("n"), F.explode("own").alias("tok")).join(often, "tok", "left")
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "tok"))
+    keys = each.withColumn("nth", nth).where("nth <= n - ceil(0.8 * n - 1e-9) + 1").select("item_id", "tok")
+    met = held.join(keys, "tok").select("doc_id", "item_id").distinct()
+    both = met.join(held.groupBy("doc_id").agg(F.collect_list("tok").alias("words")), "doc_id").join(tables.broadcast_if_small(items, 10_000), "item_id")
+    share = F.size(F.array_intersect("own", "words")) / F.size("own")
     return both.select("item_id", "doc_id", F.round(share, 6).alias("share"), share.alias("exact")).where("exact >= 0.8").drop("exact")
 
 
