@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import language, licenses, line_dedup, mpeg_audio, nearest, ngram_join, quality
+from draftlake.llm import fingerprints, language, licenses, line_dedup, mpeg_audio, nearest, ngram_join, quality
 from draftlake.llm.common import table
 from draftlake.llm.encode_decode import encode_and_decode
 from draftlake.llm.packing import pack
@@ -58,6 +58,12 @@ def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Dat
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.edited(table(spark, sf_dir, "documents"))
+    digest, texts = F.sha2(F.encode("edited_text", "UTF-8"), 256), (fingerprints.text_of(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint"))
+    return out.select("doc_id", "n_chars", digest.alias("edited_sha256"), *texts, "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing,
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bpe_encode_decode,
         op9_line_dedup,
         op10_approximate_nearest_neighbours,
+        op11_document_fingerprints,
     )
     return {f.__name__: f for f in every}
 
