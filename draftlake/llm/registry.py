@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm import fingerprints, language, licenses, line_dedup, mpeg_audio, nearest, ngram_join, quality
+from draftlake.llm import fingerprints, language, licenses, line_dedup, mpeg_audio, nearest, ngram_join, quality, variants
+from draftlake.llm.alignment import align
 from draftlake.llm.common import table
 from draftlake.llm.encode_decode import encode_and_decode
 from draftlake.llm.packing import pack
@@ -64,6 +65,14 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", digest.alias("edited_sha256"), *texts, "near_edited", "near_next")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.words_of(table(spark, sf_dir, "documents")))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_best_fit_packing,
@@ -77,9 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_line_dedup,
         op10_approximate_nearest_neighbours,
         op11_document_fingerprints,
+        op12_spelling_variants,
+        op13_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.oracle()}
+    return {"op6_license_scan": licenses.oracle(), "op12_spelling_variants": variants.oracle()}
