@@ -7,6 +7,7 @@ characters and the seven English contractions. Each distinct pre-token is encode
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -20,36 +21,57 @@ from draftlake.llm.common import KEPT, Entries, ragged, utf8
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
+#: A code point for private use stands for what a pattern of the library has found.
+FOUND = 0xE000
+
+
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """The class of each code point: white space, letter, number or other."""
+    """The class of each code point, as the library's own patterns see it: white space, letter, number or other."""
+    from tokenizers import Regex, normalizers
+
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
-        if kind[0] == "L":
-            out[c] = LETTER
-        elif kind[0] == "N":
-            out[c] = NUMBER
-        elif kind[0] == "Z" or 9 <= c <= 13 or c == 0x85:
-            out[c] = SPACE
+    for kind, pattern in ((NUMBER, r"\p{N}"), (LETTER, r"\p{L}"), (SPACE, r"\s")):
+        mark = normalizers.Replace(Regex(pattern), chr(FOUND))
+        for first in range(0, sys.maxunicode + 1, 1 << 15):
+            points = np.arange(first, first + (1 << 15), dtype=np.uint32)
+            points = points[(points < 0xD800) | (points > 0xDFFF)]
+            if len(points):
+                shown = np.frombuffer(mark.normalize_str(points.tobytes().decode("utf-32-le")).encode("utf-32-le"), np.uint32)
+                out[points[(shown == FOUND) & (points != FOUND)]] = kind
     return out
 
 
-def lower(text: str) -> str:
-    """Lower case without the rule for a final sigma."""
+@lru_cache(1)
+def uncertain() -> np.ndarray:
+    """Code points whose order or case the library may see otherwise than Python: marks, and those that Python does not know."""
+    kinds = (unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1))
+    return np.fromiter((k == "Cn" or k[0] == "M" for k in kinds), bool, sys.maxunicode + 1)
+
+
+@lru_cache(1)
+def library_normaliser():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
+def plain(text: str) -> str | None:
+    """NFC and lower case (without the rule for a final sigma) of a text that is composed and certain, else null."""
+    if not text.isascii() and (uncertain()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any() or not unicodedata.is_normalized("NFC", text)):
+        return None
     return text.replace("Σ", "σ").lower()
 
 
 def normalised(array: pa.Array) -> tuple[str, np.ndarray]:
-    """All rows, NFC and lower case, each followed by a line end; and where each begins."""
+    """All rows, NFC and lower case, each followed by a line end; and where each begins. What Python may see otherwise, the library does."""
     rows = array.fill_null("").to_pylist()
     joined = "\n".join(rows) + "\n"
-    if unicodedata.is_normalized("NFC", joined) and len(low := lower(joined)) == len(joined):
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
-    else:
-        rows = [lower(unicodedata.normalize("NFC", r)) for r in rows]
+    low = plain(joined)
+    if low is None or len(low) != len(joined):
+        rows = [library_normaliser().normalize_str(r) if (own := plain(r)) is None else own for r in rows]
         low = "\n".join(rows) + "\n"
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
     return low, np.concatenate([[0], np.cumsum(lengths)])
 
 
@@ -169,14 +191,10 @@ class WordTable:
 
 def special_parts(text: str, specials: dict[str, int]) -> list[str | int]:
     """The text between special strings, and their ids; the leftmost string first, the longest of those that start there."""
-    out, at = [], 0
-    while True:
-        hits = [(p, -len(s), i) for s, i in specials.items() if (p := text.find(s, at)) >= 0]
-        if not hits:
-            return [*out, text[at:]]
-        p, length, i = min(hits)
-        out += [text[at:p], i]
-        at = p - length
+    if not specials:
+        return [text]
+    parts = re.split(f"({'|'.join(map(re.escape, sorted(specials, key=len, reverse=True)))})", text)
+    return [specials[p] if k % 2 else p for k, p in enumerate(parts)]
 
 
 def encoded(table: WordTable, array: pa.Array, specials: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -39,6 +39,26 @@ def test_encoding_and_decoding_equal_the_library():
         assert bytes(decimal).decode() == " ".join(map(str, mine))
 
 
+def test_every_code_point_equals_the_library():
+    """Letters, marks and lower case newer than Python's tables too, alone and beside a mark."""
+    library, own = Tokenizer.from_file(WORD), encode_decode.encoder(WORD)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 1 << 16):
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}!" for c in points[k : k + (1 << 16)]]
+        if points[k] < 0x20000:
+            texts += [f"{chr(c)}\u0307x" for c in points[k : k + (1 << 16)]]
+        table = encode_decode.WordTable(own.words)
+        ids, cuts = encoded(table, pa.array(texts), own.v.specials)
+        lists = np.split(ids, cuts[1:-1])
+        for text, mine, want in zip(texts, lists, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert mine.tolist() == want.ids, [hex(ord(x)) for x in text]
+
+
+def test_special_strings_take_linear_time():
+    text = "<|endoftext|>a" * 100_000
+    assert len(special_parts(text, {"<|endoftext|>": 1, "<|startoftext|>": 2})) == 200_001
+
+
 def test_compatible_pairs_equal_ordered_merges():
     own = encode_decode.encoder(WORD)
     rng = random.Random(2)
