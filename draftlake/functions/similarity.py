@@ -39,14 +39,19 @@ def keyword_score(text: Column, terms: list[str]) -> Column:
     return hits / (1 + F.length(text) / 400)
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the words, each padded with two blanks before and one behind."""
+def gram_sequence(text: Column) -> Column:
+    """Trigrams of the words in order, with repeats; words are padded with two blanks before and one behind."""
 
     def of(word):
         padded = F.concat(F.lit("  "), word, F.lit(" "))
         return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
 
-    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z가-힣]+"), F.lit(0)), of)))
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z가-힣]+"), F.lit(0)), of))
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of the words."""
+    return F.array_distinct(gram_sequence(text))
 
 
 def trigram_bound(query: Column, text: Column) -> Column:
@@ -55,44 +60,33 @@ def trigram_bound(query: Column, text: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(trigrams(query), trigrams(text))) / n).otherwise(0.0)
 
 
-def _words(text: str) -> list[list[str]]:
-    out, word = [], []
-    for c in text.lower() + " ":
-        if c.isalnum():
-            word.append(c)
-        elif word:
-            padded = "  " + "".join(word) + " "
-            out.append([padded[i : i + 3] for i in range(len(padded) - 2)])
-            word = []
-    return out
-
-
-def best_extent(query: str | None, text: str | None) -> float | None:
-    """Largest share of the query's trigrams over those of a continuous extent of the text's trigram sequence."""
-    if query is None or text is None:
-        return None
-    wanted = {t for w in _words(query) for t in w}
-    sequence = [t for w in _words(text) for t in w]
-    places = [i for i, t in enumerate(sequence) if t in wanted]
-    best = 0.0
-    for k, start in enumerate(places):
-        seen: set[str] = set()
-        inside: set[str] = set()
-        at = start
-        for end in places[k:]:
-            while at <= end:
-                inside.add(sequence[at])
-                at += 1
-            seen.add(sequence[end])
-            best = max(best, len(seen) / (len(wanted) + len(inside) - len(seen)))
-            if len(inside) - len(seen) > len(wanted):
-                break
-    return best
-
-
-@F.pandas_udf(T.DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([best_extent(q, t) for q, t in zip(query, text, strict=True)])
+def extent_similarity(wanted: Column, sequence: Column) -> Column:
+    """Largest share of the wanted trigrams over those of a continuous extent of a trigram sequence.
+
+    Only extents from one wanted trigram to another need a look: a longer one has more to unite and no more to share.
+    Meant for names and labels: the work grows with the square of the wanted trigrams that a text holds.
+    """
+    hits = F.filter(F.sequence(F.lit(1), F.size(sequence)), lambda i: F.array_contains(wanted, F.element_at(sequence, i)))
+
+    def share(start: Column, end: Column) -> Column:
+        extent = F.slice(sequence, start, end - start + 1)
+        common = F.size(F.array_intersect(extent, wanted))
+        return common / (F.size(wanted) + F.size(F.array_distinct(extent)) - common)
+
+    from_start = lambda at, i: F.array_max(F.transform(F.slice(at, i + 1, F.size(at)), lambda end: share(F.get(at, i), end)))
+    best = let(hits, lambda at: F.array_max(F.transform(at, lambda _, i: from_start(at, i))))
+    known = F.when((F.size(sequence) > 0) & (F.size(wanted) > 0), best)
+    return F.when(wanted.isNotNull() & sequence.isNotNull(), F.coalesce(known, F.lit(0.0)))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_similarity(query: Column, text: Column) -> Column:
+    """Similarity of a query to the best extent of a text, 0 to 1; null if either is null."""
+    return let(trigrams(query), lambda wanted: let(gram_sequence(text), lambda sequence: extent_similarity(wanted, sequence)))
 
 
 def lexical_score(text: Column, terms: list[str]) -> Column:

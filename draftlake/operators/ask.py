@@ -101,7 +101,7 @@ def answer(nodes: DataFrame, questions: list[str], most: int = 5) -> DataFrame:
     spark, out = nodes.sparkSession, None
     for k, question in enumerate(questions):
         asked = spark.range(1).select(routing.linked(F.lit(question)).alias("l"))
-        route, refusal = asked.select(routing.route(F.col("l")), routing.out_of_scope(F.lit(question), F.col("l"))).first()
+        route, refusal = asked.select(routing.route(F.col("l")), routing.refusal(F.lit(question), F.col("l"))).first()
         if refusal is not None:
             row = spark.createDataFrame([(question, "no evidence")], "question string, answer string")
             out = row if out is None else out.unionByName(row)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import similarity, text
@@ -126,29 +125,65 @@ def rare_terms(rows: DataFrame, key: str, body: str, most: int) -> DataFrame:
     return rows.select(key, F.explode(text.token_set(F.col(body))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most)
 
 
-def pack_terms(question: str, most: int = 8) -> list[str]:
-    """Words of a question for drawing names: punctuation out, decimal points kept, two characters at least."""
-    left = re.sub(r"(?<!\d)\.|\.(?!\d)", " ", re.sub(r"[?？,!]", " ", question))
-    return list(dict.fromkeys(w for w in left.split() if len(w) >= 2))[:most]
+def gram_index(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """key, sequence: the trigrams of each row's text in order; the postings of a trigram index are its exploded sets."""
+    return rows.select(key, similarity.gram_sequence(F.col(body)).alias("sequence"))
 
 
-def pack_drawings(drawings: DataFrame, body: str, question: str, common: int = 600, least: float = 0.6) -> DataFrame:
-    """Drawings by half the mean likeness of the question's terms and half that of the whole question, written apart or together.
+def fuzzy_join(queries: DataFrame, index: DataFrame, key: str, least: float) -> DataFrame:
+    """query_id, key, similarity of every query (query_id, query) and row of an index (gram_index) whose similarity is at least `least` (above 0).
 
-    Candidates resemble a term that no more than `common` drawings resemble; where there is none, the whole question.
+    A row that similar shares at least least * n of a query's n trigrams, so it has one of any n - least * n + 1 of
+    them: candidates come from the postings of a query's rarest so many. Each is then measured exactly. Queries or rows
+    without trigrams have no partners; query_id and key must be distinct.
     """
-    terms = pack_terms(question)
-    if not terms:
-        return drawings.limit(0).withColumn("score", F.lit(0.0))
-    like = lambda words: similarity.word_similarity(F.lit(words), F.col(body))
-    bound = lambda words: similarity.trigram_bound(F.lit(words), F.col(body)) >= least
-    counts = drawings.agg(*[F.count_if(bound(w)).alias(f"n{k}") for k, w in enumerate(terms)]).first()
-    rare = [w for k, w in enumerate(terms) if 0 < counts[k] <= common]
-    whole, compact = " ".join(terms), "".join(terms)
-    near = F.lit(False)
-    for w in rare or [whole]:
-        near |= bound(w)
-    own = drawings.where(near)
-    kept = F.greatest(*[F.coalesce(like(w), F.lit(0.0)) for w in rare or [whole]], F.lit(0.0)) >= least
-    mean = sum((F.coalesce(like(w), F.lit(0.0)) for w in terms[1:]), F.coalesce(like(terms[0]), F.lit(0.0))) / len(terms)
-    return own.where(kept).withColumn("score", 0.5 * mean + 0.5 * F.greatest(F.coalesce(like(whole), F.lit(0.0)), F.coalesce(like(compact), F.lit(0.0))))
+    wanted = queries.select("query_id", similarity.trigrams(F.col("query")).alias("wanted")).where(F.size("wanted") > 0)
+    postings = index.select(key, F.explode(F.array_distinct("sequence")).alias("gram"))
+    grams = wanted.select("query_id", F.size("wanted").alias("n"), F.explode("wanted").alias("gram"))
+    found = postings.join(grams.select("gram").distinct(), "gram", "left_semi")
+    frequency = found.groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("query_id").orderBy("df", "gram")
+    rarest = grams.join(frequency, "gram").withColumn("turn", F.row_number().over(order))
+    # trigrams that no row holds come first in the order, so they have used up places of the prefix
+    missing = grams.join(frequency, "gram", "left_anti").groupBy("query_id").agg(F.count("*").alias("missing"))
+    needed = F.greatest(F.ceil(F.col("n") * least - 1e-9), F.lit(1))
+    prefix = rarest.join(missing, "query_id", "left").where(F.col("turn") + F.coalesce("missing", F.lit(0)) <= F.col("n") - needed + 1)
+    pairs = postings.join(prefix.select("query_id", "gram"), "gram").select("query_id", key).distinct()
+    both = pairs.join(wanted, "query_id").join(index, key)
+    shared = F.size(F.array_intersect("wanted", "sequence")) >= F.size("wanted") * least - 1e-9
+    out = both.where(shared).select("query_id", key, similarity.extent_similarity(F.col("wanted"), F.col("sequence")).alias("similarity"))
+    return out.where(F.col("similarity") >= least)
+
+
+def question_terms(questions: DataFrame, most: int = 8) -> DataFrame:
+    """question_id, place, term of every question (question_id, question): its first distinct terms of two characters or more."""
+    terms = F.filter(F.array_distinct(text.relevance_terms(F.col("question"), 1 << 20)), lambda w: F.length(w) >= 2)
+    return questions.select("question_id", F.posexplode(F.slice(terms, 1, most)).alias("place", "term"))
+
+
+def pack_drawings(drawings: DataFrame, key: str, body: str, questions: DataFrame, common: int = 600, least: float = 0.6) -> DataFrame:
+    """question_id, key, score: drawings by half the mean similarity of a question's terms and half that of the whole question.
+
+    The whole is written apart or together, whichever is nearer. Candidates resemble (`least`) a term that no more than
+    `common` drawings resemble; where a question has no such term, its whole. All questions are answered in one plan:
+    terms and wholes are queries of one fuzzy join, whose frequencies choose the rare ones.
+    """
+    terms = question_terms(questions)
+    place = F.struct("place", "term")
+    whole = terms.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["term"]).alias("terms"))
+    asked = whole.select("question_id", F.explode(F.array(F.struct(F.lit(-1).alias("place"), F.array_join("terms", " ").alias("term")), F.struct(F.lit(-2).alias("place"), F.array_join("terms", "").alias("term")))).alias("q")).select("question_id", "q.*")
+    asked = terms.unionByName(asked).withColumn("query_id", place_of("question_id", "place"))
+    index = gram_index(drawings, key, body)
+    near = fuzzy_join(asked.select("query_id", F.col("term").alias("query")), index, key, least).join(asked.select("query_id", "question_id", "place"), "query_id")
+    frequency = near.where("place >= 0").groupBy("question_id", "place").agg(F.count("*").alias("df")).where(F.col("df") <= common)
+    rare = near.join(frequency.select("question_id", "place"), ["question_id", "place"], "left_semi")
+    others = near.where("place = -1").join(frequency.select("question_id"), "question_id", "left_anti")
+    candidates = rare.select("question_id", key).unionByName(others.select("question_id", key)).distinct()
+    scored = candidates.join(asked.select("question_id", "place", similarity.trigrams(F.col("term")).alias("wanted")), "question_id").join(index, key)
+    scored = scored.select("question_id", key, "place", similarity.extent_similarity(F.col("wanted"), F.col("sequence")).alias("s"))
+    score = 0.5 * F.avg(F.when(F.col("place") >= 0, F.col("s"))) + 0.5 * F.max(F.when(F.col("place") < 0, F.col("s")))
+    return scored.groupBy("question_id", key).agg(score.alias("score"))
+
+
+def place_of(*columns: str) -> Column:
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in columns])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from draftlake.operators import ask, evaluation, graph, routing, rules, search
 from draftlake.operators.tables import relations_table
 from draftlake.plans.adapters import query
+from draftlake.plans.text import EXTENT, GRAMS, SEQUENCE
 
 
 def literal(value) -> str:
@@ -191,13 +192,13 @@ def ask_links(t, spark):
 @query("F-27", f"SELECT p_partkey, refusal, attribute FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
 def ask_gate(t, spark):
     own = asked(t, spark)
-    return own.select("p_partkey", F.coalesce(routing.out_of_scope(F.col("q"), F.col("link")), F.lit("")).alias("refusal"), F.coalesce(routing.asked_attribute(F.col("q")), F.lit("")).alias("attribute"))
+    return own.select("p_partkey", F.coalesce(routing.refusal(F.col("q"), F.col("link")), F.lit("")).alias("refusal"), F.coalesce(routing.attribute(F.col("q")), F.lit("")).alias("attribute"))
 
 
 @query("F-27", f"SELECT p_partkey, missing FROM part JOIN {values(GATED, 'q, c, missing')} ON p_partkey % {len(GATED)} = k")
 def ask_evidence(t, spark):
     own = cases(t, spark, GATED, "q string, c string", 2)
-    return own.select("p_partkey", routing.unsupported(F.col("q"), F.array("c")).alias("missing"))
+    return own.select("p_partkey", routing.missing(F.col("q"), F.array("c")).alias("missing"))
 
 
 @query("G-19", f"SELECT p_partkey, memory AS route FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
@@ -245,13 +246,17 @@ def rag_summary(t, spark):
     return evaluation.rag_summary(own, "kind")
 
 
-@query("S-43 G-25", """WITH d AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT unnest(['red', 'metal']) AS term), g AS (SELECT name, regexp_extract_all(lower(name), '[0-9a-z]+') AS w FROM d),
- s AS (SELECT name, (CASE WHEN list_contains(w, 'red') THEN 1.0::DOUBLE END) AS red, (CASE WHEN list_contains(w, 'metal') THEN 1.0::DOUBLE END) AS metal FROM g)
-SELECT name FROM s WHERE red IS NOT NULL OR metal IS NOT NULL""")
+@query("S-43 G-25", f"""WITH d AS (SELECT DISTINCT p_brand || ' ' || p_name AS name FROM part), w AS (SELECT r_regionkey AS question_id, unnest(CASE r_regionkey % 3 WHEN 0 THEN [['red', 'widget'], ['red widget', 'redwidget']] WHEN 1 THEN [['brand', 'bolt'], ['brand bolt', 'brandbolt']] ELSE [['brand', 'small'], ['brand small', 'brandsmall']] END) AS terms FROM region),
+ a AS (SELECT question_id, unnest(terms) AS term FROM w), p AS (SELECT a.*, (term LIKE '% %') AS apart, term IN ('redwidget', 'brandbolt', 'brandsmall') AS together FROM a), k AS (SELECT name, {SEQUENCE.format('name')} AS s FROM d), g AS (SELECT *, {GRAMS.format('term')} AS t FROM p),
+ v AS (SELECT question_id, term, apart, together, name, {EXTENT} AS v FROM g, k), f AS (SELECT question_id, term FROM v WHERE NOT apart AND NOT together AND v >= 0.6::DOUBLE GROUP BY 1, 2 HAVING count(*) <= 600),
+ c AS (SELECT DISTINCT question_id, name FROM v WHERE v >= 0.6::DOUBLE AND ((question_id, term) IN (SELECT question_id, term FROM f) OR (apart AND question_id NOT IN (SELECT question_id FROM f))))
+SELECT question_id, name, round(0.5::DOUBLE * avg(v) FILTER (WHERE NOT apart AND NOT together) + 0.5::DOUBLE * max(v) FILTER (WHERE apart OR together), 6) AS score FROM v JOIN c USING (question_id, name) GROUP BY 1, 2""")
 def pack_drawing_candidates(t, spark):
-    """Drawings that hold one of the question's terms that are rare enough; their ranking is in the tests."""
-    own = t("part").select(F.col("p_name").alias("name")).distinct()
-    return search.pack_drawings(own, "name", "red metal", 10**9, least=0.999).select("name")
+    """A question for each region, all in one plan; terms that more than 600 drawings resemble do not choose candidates."""
+    own = t("part").select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).distinct().withColumn("body", F.col("name"))
+    asked = F.when(F.col("r_regionkey") % 3 == 0, "red widget?").when(F.col("r_regionkey") % 3 == 1, "brand, bolt").otherwise("brand small!")
+    questions = t("region").select(F.col("r_regionkey").alias("question_id"), asked.alias("question"))
+    return search.pack_drawings(own, "name", "body", questions).withColumn("score", F.round("score", 6))
 
 
 @query("T-12", """WITH b AS (SELECT id, src, dst, predicate FROM (SELECT src || '>' || predicate || '>' || dst AS id, src, dst, predicate FROM {edges})), h1 AS (SELECT id, 1 AS hop, predicate FROM b WHERE src = 'r1' OR dst = 'r1' QUALIFY row_number() OVER (ORDER BY predicate = 'contains', predicate, id) <= 12),

@@ -21,6 +21,14 @@ def stored(df: DataFrame, name: str, body: Column) -> str:
     return path
 
 
+def stored_lines(df: DataFrame, name: str, order: str, line: Column) -> str:
+    """Lines in the order of a column in files under the folder of each name: parts of a folder follow one another, no row gathers lines."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/draftlake/files-{uuid.uuid4().hex}"
+    own = df.select(F.col(name).cast("string").alias("name"), F.col(order).alias("k"), line.alias("value"))
+    own.repartitionByRange("name", "k").sortWithinPartitions("name", "k").select("name", "value").write.partitionBy("name").text(path)
+    return path
+
+
 def owner(path: str = "path") -> Column:
     """The name under which a file was stored."""
     return F.regexp_extract(path, STEM, 1)
@@ -74,10 +82,12 @@ def dxf_attributes(t, spark):
     return inserts.join(rows.where("entity_type = 'POLYLINE'").select("handle", F.size("points").alias("points")), "handle")
 
 
-@query("SC-06 P-12", "SELECT CAST(s_nationkey AS VARCHAR) AS file, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'IFCWALL' ELSE 'IFCDOOR' END AS type, 'g' || s_suppkey AS global_id, s_name AS name FROM supplier")
+@query("SC-06 P-12", "SELECT CAST(s_nationkey AS VARCHAR) AS file, s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'IFCWALL' ELSE 'IFCDOOR' END AS type, 'g' || s_suppkey AS global_id, 'it''s; ' || s_name AS name FROM supplier")
 def ifc_entities(t, spark):
+    """Names hold quotes and semicolons; every fiftieth entity has a description of a megabyte full of them."""
     n = F.col("s_suppkey")
-    body = text_of("#", n, "=", F.when(n % 2 == 0, "IFCWALL").otherwise("IFCDOOR"), "('g", n, "',#5,'", F.col("s_name"), "',$,$);")
+    long = F.when(n % 50 == 0, text_of("'", F.repeat(F.lit("'';x"), F.lit(1 << 18)), "'")).otherwise("$")
+    body = text_of("#", n, "=", F.when(n % 2 == 0, "IFCWALL").otherwise("IFCDOOR"), "('g", n, "',#5,'it''s; ", F.col("s_name"), "',", long, ",$);")
     path = stored(*lines(t("supplier"), "s_nationkey", "s_suppkey", body, "ISO-10303-21;\nDATA;\n", "\nENDSEC;"))
     return files.ifc(spark, path).select(owner().alias("file"), "id", "type", "global_id", "name")
 
@@ -162,16 +172,17 @@ def jsonl_torn_lines(t, spark):
     """Each tenth line is torn: it is left out alone."""
     n = F.col("o_orderkey")
     line = text_of('{"id":', n, ',"state":"', F.col("o_orderstatus"), '"}')
-    own = t("orders").withColumn("line", F.when(n % 10 == 3, F.substring(line, 1, 9)).otherwise(line)).select((n % 8).alias("name"), "line")
-    own = own.groupBy("name").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
-    return files.jsonl(spark, stored(own, "name", F.col("body")) + "/*", "id long, state string")
+    own = t("orders").withColumn("name", n % 8)
+    return files.jsonl(spark, stored_lines(own, "name", "o_orderkey", F.when(n % 10 == 3, F.substring(line, 1, 9)).otherwise(line)) + "/*", "id long, state string")
 
 
-@query("SC-25 SC-28 W-08", "SELECT o_custkey AS id, max(o_orderkey) AS last FROM orders GROUP BY 1")
+@query("SC-25 SC-28 W-08", "SELECT o_custkey AS id, arg_max(o_orderkey, CASE WHEN o_orderkey % 10 < 6 THEN 1 WHEN o_orderkey % 10 < 9 THEN 3 ELSE 2 END * 1000000000000 + o_orderkey) AS last FROM orders GROUP BY 1")
 def last_registry_rows(t, spark):
-    own = t("orders").groupBy((F.col("o_custkey") % 8).alias("name")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey"))).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: text_of('{"id":', r["o_custkey"], ',"last":', r["o_orderkey"], "}")), "\n")
-    return files.last_per_key(spark, stored(own, "name", body) + "/*", "id long, last long", "id")
+    """The last record of a key by file and line, over files of unequal size that share their keys."""
+    n = F.col("o_orderkey")
+    own = t("orders").withColumn("name", F.when(n % 10 < 6, 1).when(n % 10 < 9, 3).otherwise(2))
+    path = stored_lines(own, "name", "o_orderkey", text_of('{"id":', F.col("o_custkey"), ',"last":', n, "}"))
+    return files.last_per_key(spark, path, "id long, last long", "id")
 
 
 @query("SC-26", "SELECT 'p' || s_nationkey AS project_id, 'o' || s_suppkey AS id, 'Wall' AS type, s_name AS label, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 0.5::DOUBLE END, 1.0::DOUBLE) AS confidence FROM supplier")

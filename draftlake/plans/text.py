@@ -77,13 +77,30 @@ def trigram_bound_topk(t, spark):
     return ranking.top_k(own, 40, F.desc("bound"), F.col("p_name"))
 
 
-@query("S-40 F-04 G-29")
+SEQUENCE = "flatten(list_transform(regexp_extract_all(lower({}), '[0-9a-z가-힣]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+#: The similarity of wanted trigrams t to the best extent of a sequence s, over all extents.
+EXTENT = "coalesce(list_max(flatten(list_transform(range(1, len(s) + 1), lambda a: list_transform(range(a, len(s) + 1), lambda z: len(list_intersect(s[a:z], t))::DOUBLE / (len(t) + len(list_distinct(s[a:z])) - len(list_intersect(s[a:z], t))))))), 0)"
+
+
+@query("S-40 F-04 G-29", f"""WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT {GRAMS.format("'red widgt'")} AS t), m AS (SELECT p_name, {SEQUENCE.format('p_name')} AS s, t FROM n, q)
+SELECT p_name, round({EXTENT}, 6) AS similarity FROM m WHERE {EXTENT} > 0.3::DOUBLE ORDER BY 2 DESC, 1 LIMIT 20""")
 def word_similarity_topk(t, spark):
-    """Exact extent similarity behind the native bound; rows only, SQL has no extent search."""
+    """Exact extent similarity behind the native bound."""
     own = search.fuzzy(t("part").select("p_name").distinct(), "p_name", "red widgt", 0.3)
     return own.select("p_name", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "p_name").limit(20)
 
 
+@query("S-40 F-04 T-09", f"""WITH l AS (SELECT DISTINCT p_name || ' ' || p_brand AS label FROM part), q AS (SELECT DISTINCT p_name AS query_id, left(p_name, 3) || substr(p_name, 5) AS query FROM part),
+ g AS (SELECT query_id, {GRAMS.format('query')} AS t FROM q), k AS (SELECT label, {SEQUENCE.format('label')} AS s FROM l), m AS (SELECT query_id, label, {EXTENT} AS v FROM g, k WHERE len(list_intersect(s, t)) >= 0.6::DOUBLE * len(t) - 1e-9)
+SELECT query_id, label, round(v, 6) AS similarity FROM m WHERE v >= 0.6::DOUBLE""")
+def fuzzy_label_join(t, spark):
+    """Every part name, misspelt, against all labels: one join over the trigram index."""
+    labels = t("part").select(F.concat_ws(" ", "p_name", "p_brand").alias("label")).distinct()
+    asked = t("part").select(F.col("p_name").alias("query_id")).distinct().withColumn("query", F.concat(F.substring("query_id", 1, 3), F.substring("query_id", 5, 100)))
+    index = search.gram_index(labels.withColumn("name", F.col("label")), "label", "name")
+    return search.fuzzy_join(asked, index, "label", 0.6).select("query_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 SEED = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
 
 

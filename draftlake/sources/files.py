@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draftlake.sources import statements
+
 #: Release names by the first six bytes of a drawing; fixed values.
 RELEASES = {"AC1006": "R10", "AC1009": "R11/R12", "AC1012": "R13", "AC1014": "R14", "AC1015": "2000", "AC1018": "2004", "AC1021": "2007", "AC1024": "2010", "AC1027": "2013", "AC1032": "2018"}
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
@@ -57,11 +59,11 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def last_per_key(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines of which the last record of each key counts, in file order."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
-    rows = rows.select("line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where(F.col(f"r.{key}").isNotNull())
-    return rows.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "line").alias("r")).select("r.*")
+def last_per_key(spark: SparkSession, path: str, schema: str, key: str, glob: str = "*") -> DataFrame:
+    """JSON lines of which the last record of each key counts, in the order of files and of lines within each."""
+    rows = statements.records(spark, path, glob)
+    rows = rows.select(statements.place().alias("place"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where(F.col(f"r.{key}").isNotNull())
+    return rows.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "place").alias("r")).select("r.*")
 
 
 def snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -132,17 +134,16 @@ def obj(spark: SparkSession, path: str) -> DataFrame:
 
 def step_histogram(spark: SparkSession, path: str) -> DataFrame:
     """Entity types of Part-21 files with counts."""
-    types = F.regexp_extract_all("value", F.lit(r"#\d+\s*=\s*([A-Z0-9_]+)\s*\("), F.lit(1))
-    return whole_text(spark, path).select("path", F.explode(types).alias("type")).groupBy("path", "type").agg(F.count("*").alias("n"))
+    return statements.entities(spark, path).groupBy("path", "type").agg(F.count("*").alias("n"))
 
 
 def ifc(spark: SparkSession, path: str) -> DataFrame:
-    """path, id, type, global_id, name of every entity of IFC files."""
-    hits = F.regexp_extract_all("value", F.lit(r"#\d+\s*=\s*IFC[A-Z0-9]+\s*\((?:[^;']|'[^']*')*\)\s*;"), F.lit(0))
-    rows = whole_text(spark, path).select("path", F.explode(hits).alias("e"))
-    part = lambda p, g: F.regexp_extract("e", p, g)
-    first = r"\(\s*'([^']*)'\s*,\s*[^,]*,\s*(?:'([^']*)'|\$)"
-    return rows.select("path", part(r"#(\d+)", 1).cast("long").alias("id"), part(r"=\s*(IFC[A-Z0-9]+)", 1).alias("type"), part(first, 1).alias("global_id"), part(first, 2).alias("name"), "e")
+    """path, id, type, global_id, name, e (the statement) of every entity of IFC files, whatever the size of either."""
+    rows = statements.entities(spark, path).where(F.startswith("type", F.lit("IFC")))
+    own = rf"\A\s*({statements.QUOTED})\s*,[^,()']*+,\s*({statements.QUOTED})?"
+    body = F.expr("substring(e, instr(e, '(') + 1)")
+    part = lambda k: F.nullif(F.regexp_extract(body, own, k), F.lit(""))
+    return rows.select("path", "id", "type", *[F.coalesce(statements.unquoted(part(k)), F.lit("")).alias(n) for k, n in ((1, "global_id"), (2, "name"))], "e")
 
 
 #: Relation classes: places of the relating and related arguments, predicate; fixed values.
@@ -151,12 +152,10 @@ IFC_RELATIONS = {"IFCRELAGGREGATES": (4, 5, "aggregates"), "IFCRELCONTAINEDINSPA
 
 def ifc_relations(entities: DataFrame) -> DataFrame:
     """subject, predicate, object ids of the relation classes."""
-    ladder = []
-    arguments = F.split(F.regexp_extract("e", r"\((.*)\)\s*;", 1), r",(?![^(]*\))(?=(?:[^']*'[^']*')*[^']*$)")
-    refs = lambda k: F.regexp_extract_all(arguments[k], F.lit(r"#(\d+)"), F.lit(1))
-    for kind, (a, b, name) in IFC_RELATIONS.items():
-        ladder.append(F.when(F.col("type") == kind, F.struct(refs(a)[0].cast("long").alias("subject"), F.lit(name).alias("predicate"), refs(b).alias("objects"))))
-    rows = entities.where(F.col("type").isin(list(IFC_RELATIONS))).select("path", F.explode(F.array(F.coalesce(*ladder))).alias("r"))
+    rows = entities.where(F.col("type").isin(list(IFC_RELATIONS))).select("path", "type", F.explode(F.array(statements.arguments(F.col("e")))).alias("a"))
+    refs = lambda k: F.regexp_extract_all(F.get("a", F.lit(k)), F.lit(r"#(\d+)"), F.lit(1))
+    ladder = [F.when(F.col("type") == kind, F.struct(F.get(refs(a), F.lit(0)).cast("long").alias("subject"), F.lit(name).alias("predicate"), refs(b).alias("objects"))) for kind, (a, b, name) in IFC_RELATIONS.items()]
+    rows = rows.select("path", F.explode(F.array(F.coalesce(*ladder))).alias("r"))
     return rows.select("path", "r.subject", "r.predicate", F.explode("r.objects").alias("object")).withColumn("object", F.col("object").cast("long"))
 
 

@@ -72,10 +72,43 @@ def test_retrieval_metrics_by_case(spark):
 
 def test_pack_drawings_rank_by_likeness(spark):
     names = ["A동 지상2층 소방설비 평면도", "A동지상2층소방설비평면도", "B동 지상3층 전기설비 평면도", "도면 목록"]
-    df = spark.createDataFrame([(n,) for n in names], "name string")
-    got = [r.name for r in search.pack_drawings(df, "name", "A동 지상2층 소방설비").orderBy(F.desc("score"), "name").collect()]
-    assert got[0] in names[:2] and "도면 목록" not in got
-    assert search.pack_drawings(df, "name", "?").count() == 0
+    df = spark.createDataFrame([(n, n) for n in names], "name string, body string")
+    asked = spark.createDataFrame([(1, "A동 지상2층 소방설비"), (2, "?"), (3, "소방설비, 평면도?")], "question_id int, question string")
+    rows = search.pack_drawings(df, "name", "body", asked).orderBy("question_id", F.desc("score"), "name").collect()
+    first = [r.name for r in rows if r.question_id == 1]
+    assert first[0] in names[:2] and "도면 목록" not in first
+    assert not [r for r in rows if r.question_id == 2] and [r for r in rows if r.question_id == 3]
+
+
+def words_of(text):
+    import re
+
+    return [[f"  {w} "[k : k + 3] for k in range(len(w) + 1)] for w in re.findall("[0-9a-z가-힣]+", text.lower())]
+
+
+def best_extent(query, text):
+    """The measure by its definition: every extent of the text's trigrams."""
+    wanted, sequence = {g for w in words_of(query) for g in w}, [g for w in words_of(text) for g in w]
+    best = 0.0
+    for a in range(len(sequence)):
+        for z in range(a + 1, len(sequence) + 1):
+            own = set(sequence[a:z])
+            best = max(best, len(own & wanted) / len(own | wanted))
+    return best
+
+
+def test_fuzzy_join_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    made = lambda n: " ".join("".join(rng.choice("abc층") for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    texts, queries = [made(rng.randrange(0, 6)) for _ in range(80)] + ["", "?!"], [made(rng.randrange(0, 3)) for _ in range(30)]
+    index = search.gram_index(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "id", "body")
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    for least in (0.05, 0.3, 0.6, 1.0):
+        got = {(r.query_id, r.id): round(r.similarity, 9) for r in search.fuzzy_join(asked, index, "id", least).collect()}
+        want = {(q, k): round(v, 9) for q, a in enumerate(queries) for k, b in enumerate(texts) if (v := best_extent(a, b)) >= least}
+        assert got == want and len(got) == len({*got})
 
 
 def test_knn_batch_equals_brute_force(spark):

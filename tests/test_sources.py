@@ -1,6 +1,7 @@
 """Readers and text sinks on small files."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from draftlake.operators import joins
 from draftlake.sinks import text as sinks
-from draftlake.sources import files
+from draftlake.sources import files, statements
 
 
 def put(folder, name, content):
@@ -166,3 +167,60 @@ def test_geotiff_tags(spark, tmp_path, order):
     r = rows.where("error is null").first()
     assert (r.width, r.height, r.bits, r.min_x, r.max_x, r.min_y, r.max_y, r.epsg, r.nodata) == (10, 20, 16, 100.0, 120.0, 440.0, 500.0, 5186, "-9999")
     assert rows.where("error like 'ValueError%'").count() == 1
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of one kilobyte, so that lines and statements of every file lie in many."""
+    keys = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_last_record_by_file_and_line(spark, tmp_path, small_splits):
+    """A later file's record counts, though the later file is smaller or larger, and so does a later line in another split."""
+    for folder, sizes in (("a", (20, 3000)), ("b", (3000, 20))):
+        for k, n in enumerate(sizes):
+            lines = [json.dumps({"k": f"k{i % 7}", "v": k * 10**6 + i}) for i in range(n)]
+            (tmp_path / folder).mkdir(exist_ok=True)
+            (tmp_path / folder / f"2026-0{k + 1}.jsonl").write_text("\n".join(lines))
+        got = {r.k: r.v for r in files.last_per_key(spark, str(tmp_path / folder), "k string, v int", "k").collect()}
+        assert got == {f"k{i}": 10**6 + max(j for j in range(sizes[1]) if j % 7 == i) for i in range(7)}
+
+
+def test_statements_across_splits(spark, tmp_path, small_splits):
+    """Quoted semicolons and quotes, statements longer than a split, an open string at the end of a file."""
+    rng = random.Random(1)
+    want = {}
+    for name in ("a.ifc", "b.ifc"):
+        body, own = ["ISO-10303-21;", "HEADER;FILE_DESCRIPTION(('x;y'),'2;1');", "DATA;"], {}
+        for i in range(1, 300):
+            text = "".join(rng.choice(["wall", "it''s", ";", "(", ")", ",", " ", "\n", "한"]) for _ in range(rng.randrange(12)))
+            more = "," + ",".join(f"#{k}" for k in range(600)) if i % 100 == 0 else ""
+            body.append(f"#{i} = IFCWALL('g{i}',#5,'{text}',$,({'#1' + more}));{' ' * rng.randrange(3)}")
+            own[i] = text.replace("''", "'")
+        (tmp_path / name).write_text("\n".join(body) + "\nENDSEC;\n#999=IFCDOOR('open; ('")
+        want[name] = own
+    rows = files.ifc(spark, str(tmp_path)).where("id < 999").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.path.rsplit("/", 1)[1], {})[r.id] = r.name
+    assert got == want and len(rows) == 598
+    assert all(r.global_id == f"g{r.id}" and r.type == "IFCWALL" for r in rows)
+
+
+def test_entity_of_a_megabyte(spark, tmp_path):
+    """No regex recurses: many references, many quoted strings, deep brackets."""
+    refs = ",".join(f"#{k}" for k in range(200_000))
+    words = ",".join("'it''s; '" for _ in range(100_000))
+    text = f"DATA;\n#1=IFCRELCONTAINEDINSPATIALSTRUCTURE('c',$,'n; (',$,({refs}),#2);\n#3=IFCPROPERTYLIST('p',$,'long',({words}),((1,(2,3)),IFCLABEL('x)')));\nENDSEC;"
+    entities = files.ifc(spark, put(tmp_path, "big.ifc", text))
+    assert {(r.id, r.name) for r in entities.collect()} == {(1, "n; ("), (3, "long")}
+    relations = files.ifc_relations(entities)
+    assert relations.count() == 200_000 and {r.subject for r in relations.select("subject").distinct().collect()} == {2}
+    got = entities.where("id = 3").select(F.size(statements.arguments(F.col("e"))).alias("n"), F.element_at(statements.arguments(F.col("e")), 5).alias("last")).first()
+    assert got.n == 5 and got.last == "((1,(2,3)),IFCLABEL('x)'))"
