@@ -56,10 +56,8 @@ def library_normaliser():
     return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
-def plain(text: str) -> str | None:
-    """NFC and lower case (without the rule for a final sigma) of a text that is composed and certain, else null."""
-    if not text.isascii() and (uncertain()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any() or not unicodedata.is_normalized("NFC", text)):
-        return None
+def lower(text: str) -> str:
+    """Lower case without the rule for a final sigma."""
     return text.replace("Σ", "σ").lower()
 
 
@@ -67,11 +65,19 @@ def normalised(array: pa.Array) -> tuple[str, np.ndarray]:
     """All rows, NFC and lower case, each followed by a line end; and where each begins. What Python may see otherwise, the library does."""
     rows = array.fill_null("").to_pylist()
     joined = "\n".join(rows) + "\n"
-    low = plain(joined)
-    if low is None or len(low) != len(joined):
-        rows = [library_normaliser().normalize_str(r) if (own := plain(r)) is None else own for r in rows]
-        low = "\n".join(rows) + "\n"
     lengths = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
+    if not joined.isascii():
+        bad = np.flatnonzero(uncertain()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        odd = set(np.unique(np.searchsorted(np.cumsum(lengths), bad, "right")).tolist())
+        if not unicodedata.is_normalized("NFC", joined):
+            odd.update(k for k, r in enumerate(rows) if not unicodedata.is_normalized("NFC", r))
+        for k in odd:
+            rows[k] = library_normaliser().normalize_str(rows[k])
+            lengths[k] = len(rows[k]) + 1
+        joined = "\n".join(rows) + "\n" if odd else joined
+    low = lower(joined)
+    if len(low) != len(joined):
+        lengths = np.fromiter((len(lower(r)) for r in rows), np.int64, len(rows)) + 1
     return low, np.concatenate([[0], np.cumsum(lengths)])
 
 
