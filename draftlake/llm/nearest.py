@@ -3,7 +3,7 @@
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns a unit vector, and the signed axis
 nearest to the result is its bucket. Each of several tables rotates anew; where a table has more vectors than its axes
 can part, two rotations together name the bucket. A query looks into its own bucket and then into those of the next
-nearest axes, best first. How many it needs for the wanted recall is measured against brute force on a bounded sample of
+nearest axes, in one order over all tables, best first. How many it needs for the wanted recall is measured against brute force on a bounded sample of
 queries. What the buckets hold is ranked by the exact inner product in double precision. The k-th best score in a bounded
 reference sample is a floor below which no task has to report what it finds; the sample itself gives no results. A query
 that finds fewer than k looks into all buckets.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from draftlake.llm.common import partitions, shared_table, small_batches
 
-TABLES, WIDE = 6, 5_000_000
+TABLES, WIDE = 6, 500_000
 SHARE = 4000  # vectors of a bucket under one key
 PAIRS = 20_000  # pairs of vectors that are multiplied at a time
 REFERENCE, EIGHTH = 4000, 8  # vectors in the sample that gives floors: so many, and one in so many, at most
@@ -81,12 +81,13 @@ class Hasher:
             out = (out[:, :, None] + self.axes(p, table, k)[:, None, :]).reshape(len(v), -1)
         return out
 
-    def nearest(self, v: np.ndarray, table: int, n: int) -> np.ndarray:
-        """The n buckets of a table nearest to each query, of one or two rotations."""
+    def table_order(self, v: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n buckets of a table nearest to each query, of one or two rotations, and how near they are."""
         p, n = self.points(v, True), min(n, self.buckets)
         one = self.axes(p, table, 0)
         if self.depth == 1:
-            return np.argpartition(-one, n - 1, axis=1)[:, :n]
+            top = np.argpartition(-one, n - 1, axis=1)[:, :n]
+            return top, np.take_along_axis(one, top, 1)
         two = self.axes(p, table, 1)
         first, second = (np.argsort(-x, axis=1) for x in (one, two))
         # the i-th and j-th axis together have at least (i + 1) (j + 1) - 1 pairs before them
@@ -94,7 +95,16 @@ class Hasher:
         j = np.arange(len(i)) - np.searchsorted(i, i, "left")
         total = np.take_along_axis(one, first[:, i], 1) + np.take_along_axis(two, second[:, j], 1)
         top = np.argpartition(-total, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(first, i[top], 1) * 2 * self.width + np.take_along_axis(second, j[top], 1)
+        return np.take_along_axis(first, i[top], 1) * 2 * self.width + np.take_along_axis(second, j[top], 1), np.take_along_axis(total, top, 1)
+
+    def nearest(self, v: np.ndarray, n: int, tables: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tables and buckets of the n nearest to each query, in one order over all tables, or over the first few."""
+        every = [self.table_order(v, t, n) for t in range(tables or self.tables)]
+        bucket, near = (np.hstack(x) for x in zip(*every, strict=True))
+        table = np.repeat(np.arange(len(every)), [b.shape[1] for b, _ in every])
+        n = min(n, len(table))
+        top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        return table[top], np.take_along_axis(bucket, top, 1)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -126,7 +136,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, sample: int = 64, tables: int = TABLES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.93, sample: int = 128, tables: int = TABLES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row that is_query names, by largest inner product.
 
     is_query is a condition on vec_id. All other rows but the query's own are candidates; with fewer than k all of
@@ -173,7 +183,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
                     key = ((ids * 0x9E3779B1 >> 16) % salts[t, codes[:, t]] * tables + t) * hasher.buckets + codes[:, t]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(ids), bool)), part.column("id"), pa.array(np.full(len(ids), -np.inf)), part.column("v")], names=["key", "query", "id", "floor", "v"])
 
-    def asking(probed: int):
+    def asking(probed: int, among: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 128):
@@ -182,18 +192,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
                     floor = np.full(len(v), -np.inf)
                     if len(some_ids) > k:
                         floor = np.concatenate([x[2] for x in best(v, some_v, some_ids, k + 1)]).reshape(len(v), -1)[:, -1]
-                    for t in range(tables):
-                        near = hasher.nearest(v, t, probed)
-                        row, bucket = np.repeat(np.arange(len(v)), near.shape[1]), near.ravel()
-                        full = sizes[t, bucket] > 0
-                        row, bucket = row[full], bucket[full]
-                        copies = salts[t, bucket]
-                        salt = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
-                        row, bucket = np.repeat(row, copies), np.repeat(bucket, copies)
-                        key = (salt * tables + t) * hasher.buckets + bucket
-                        for a in range(0, len(key), 4096):
-                            own = pa.array(row[a : a + 4096])
-                            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 4096]), pa.array(np.ones(len(own), bool)), part.column("id").take(own), pa.array(floor[row[a : a + 4096]]), part.column("v").take(own)], names=["key", "query", "id", "floor", "v"])
+                    table, bucket = hasher.nearest(v, probed, among)
+                    row, table, bucket = np.repeat(np.arange(len(v)), table.shape[1]), table.ravel(), bucket.ravel()
+                    full = sizes[table, bucket] > 0
+                    row, table, bucket = row[full], table[full], bucket[full]
+                    copies = salts[table, bucket]
+                    salt = np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
+                    row, table, bucket = (np.repeat(x, copies) for x in (row, table, bucket))
+                    key = (salt * tables + table) * hasher.buckets + bucket
+                    for a in range(0, len(key), 4096):
+                        own = pa.array(row[a : a + 4096])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 4096]), pa.array(np.ones(len(own), bool)), part.column("id").take(own), pa.array(floor[row[a : a + 4096]]), part.column("v").take(own)], names=["key", "query", "id", "floor", "v"])
 
         return run
 
@@ -251,9 +260,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             e = found[0]
             yield pa.RecordBatch.from_arrays([pa.array(e["q"].copy()), pa.array(e["c"].copy()), pa.array(e["s"].copy())], names=["target", "near", "score"])
 
-    def find(queries: DataFrame, probed: int) -> DataFrame:
+    def find(queries: DataFrame, probed: int, among: int = tables) -> DataFrame:
         schema = "key long, query boolean, id long, floor double, v array<double>"
-        dealt = small_batches(classes).select("id", "v").mapInArrow(stored, schema).union(queries.mapInArrow(asking(probed), schema))
+        dealt = small_batches(classes).select("id", "v").mapInArrow(stored, schema).union(queries.mapInArrow(asking(probed, among), schema))
         hits = dealt.repartition(partitions(dealt), "key").sortWithinPartitions("key", "query").mapInArrow(look, "target long, near long, score double").distinct()
         top = Window.partitionBy("target").orderBy(F.desc("score"), "near")
         return hits.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k + 1).drop("nth")
@@ -261,8 +270,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     hits = shared_table(find(targets, probed), "hits")
     full = hits.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n)).select(F.col("target").alias("id"))
     lacking = shared_table(targets.join(full, "id", "left_anti"), "lacking")
-    if probed < hasher.buckets and not lacking.isEmpty():
-        hits = hits.join(full.withColumnRenamed("id", "target"), "target", "left_semi").union(find(lacking, hasher.buckets))
+    if probed < tables * hasher.buckets and not lacking.isEmpty():
+        hits = hits.join(full.withColumnRenamed("id", "target"), "target", "left_semi").union(find(lacking, hasher.buckets, 1))  # all buckets of a table hold all vectors
     names = classes.select(F.col("id").alias("near"), "ids")
     wide = hits.join(names, "near").select("target", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("target").orderBy(F.desc("score"), "vec_id")
@@ -274,6 +283,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
+def share_met(hasher: Hasher, codes: np.ndarray, queries: np.ndarray, probed: int) -> float:
+    """The mean share of vectors (by their codes) that a query meets in so many buckets."""
+    met = 0
+    for q in range(len(queries)):
+        table, bucket = hasher.nearest(queries[q : q + 1], probed)
+        wanted = [set(bucket[0][table[0] == t].tolist()) for t in range(hasher.tables)]
+        met += np.logical_or.reduce([np.isin(codes[:, t], list(w)) for t, w in enumerate(wanted)]).mean()
+    return met / len(queries)
+
+
 def counted(classes: DataFrame, hasher: Hasher) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +307,7 @@ def counted(classes: DataFrame, hasher: Hasher) -> DataFrame:
 
 
 def probes(classes: DataFrame, hasher: Hasher, few: pa.Table, k: int, recall: float) -> int:
-    """Buckets a query looks into in each table, so that the sample's true neighbours are found at the wanted rate."""
+    """Buckets a query looks into, in one order over all tables, so that the sample's true neighbours are found at the wanted rate."""
     ids, v = few.column("id").to_numpy(), matrix(few.column("v").combine_chunks(), hasher.dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +328,17 @@ def probes(classes: DataFrame, hasher: Hasher, few: pa.Table, k: int, recall: fl
     if not other.any():
         return 1
     codes = hasher.codes(matrix(got.column("v").combine_chunks(), hasher.dim))
-    need = np.full(len(row), hasher.buckets)
-    for t in range(hasher.tables):
-        rank = np.argsort(np.argsort(-hasher.affinity(v, t), axis=1, kind="stable"), axis=1)
-        need = np.minimum(need, rank[row, codes[:, t]] + 1)
-    need = np.sort(need[other])
+    need = np.sort(turns(hasher, v, row, codes)[other])
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))])
+
+
+def turns(hasher: Hasher, queries: np.ndarray, row: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """How many buckets the query queries[row] looks into until it meets the vector of these codes."""
+    out = np.full(len(row), hasher.tables * hasher.buckets)
+    for q in range(len(queries)):
+        affinity = np.concatenate([hasher.affinity(queries[q : q + 1], t)[0] for t in range(hasher.tables)])
+        order = np.sort(affinity)
+        own = np.flatnonzero(row == q)
+        nearest = np.max([affinity[t * hasher.buckets + codes[own, t]] for t in range(hasher.tables)], axis=0)
+        out[own] = len(order) - np.searchsorted(order, nearest, "left")
+    return out

@@ -334,9 +334,14 @@ def test_nearest_recall_comes_from_the_buckets(spark, monkeypatch, wide):
 def test_probes_of_two_rotations_are_the_best():
     hasher = nearest.Hasher(8, 1.0, False, 2, tables=1)
     v = np.random.default_rng(1).normal(size=(20, 8))
-    near, every = hasher.nearest(v, 0, 37), hasher.affinity(v, 0)
+    (near, _), every = hasher.table_order(v, 0, 37), hasher.affinity(v, 0)
     for k in range(20):
         assert np.allclose(np.sort(every[k, near[k]]), np.sort(every[k])[-37:])
+    hasher = nearest.Hasher(8, 1.0, False, 2, tables=3)
+    table, bucket = hasher.nearest(v, 50)
+    every = np.stack([hasher.affinity(v, t) for t in range(3)], 1)
+    for k in range(20):
+        assert np.allclose(np.sort(every[k, table[k], bucket[k]]), np.sort(every[k].ravel())[-50:])
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -391,3 +396,19 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
             assert out.columns == corpus_pipeline.COLUMNS and out.count() <= docs.count()
         rows = corpus_pipeline.run(spark, str(path)).collect()
         assert name == "odd" or rows == []
+
+
+def test_share_of_vectors_met_falls():
+    """On clustered vectors a query meets a small share, and a smaller one where there are more vectors, at the same recall."""
+    shares = []
+    for n in (2_000, 20_000, 100_000):
+        rng = np.random.default_rng(7)
+        centres = rng.normal(size=(n // 50, 64))
+        v = centres[rng.integers(0, len(centres), n)] + 0.35 * rng.normal(size=(n, 64))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        hasher = nearest.Hasher(64, 1.0, False, 1)
+        codes, few = hasher.codes(v), v[:24]
+        close = np.argsort(-(few @ v.T), axis=1)[:, 1:21]
+        need = np.sort(nearest.turns(hasher, few, np.repeat(np.arange(24), 20), codes[close.ravel()]))
+        shares.append(nearest.share_met(hasher, codes, few, int(need[int(np.ceil(0.93 * len(need))) - 1])))
+    assert shares[2] < 0.1 and shares[2] <= shares[1] + 0.01 <= shares[0] + 0.02
