@@ -87,8 +87,30 @@ def representative(location: Column, insert: Column, centre_: Column, start: Col
     return F.coalesce(location, insert, centre_, start, middle)
 
 
-def cells(a: list[Column], size: float) -> Column:
+def cells(a: list[Column], size: float | Column) -> Column:
     """Grid cells that a box touches, for an equi-join of boxes."""
     xs = F.sequence(F.floor(a[0] / size), F.floor(a[2] / size))
     ys = F.sequence(F.floor(a[1] / size), F.floor(a[3] / size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
+def level(a: list[Column], size: float) -> Column:
+    """The grid of a box: cells of size * 2**level are no smaller than it, so that it touches two by two of them at most."""
+    extent = F.greatest(a[2] - a[0], a[3] - a[1])
+    return F.when(extent > size, F.ceil(F.log2(extent / size))).otherwise(0).cast("int")
+
+
+def line_cells(a: list[Column], size: Column) -> Column:
+    """Cells that a segment (x1, y1, x2, y2) runs through, column by column; edges count for both sides."""
+    x1, y1, x2, y2 = a
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    edge = size * 1e-9
+    steep = (y2 - y1) / F.when(x2 != x1, x2 - x1)
+    at = lambda x: y1 + (F.greatest(low, F.least(high, x)) - x1) * steep
+
+    def rows(cx: Column) -> Column:
+        p, q = F.coalesce(at(cx * size), y1), F.coalesce(at((cx + 1) * size), y2)
+        ys = F.sequence(F.floor((F.least(p, q) - edge) / size), F.floor((F.greatest(p, q) + edge) / size))
+        return F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((low - edge) / size), F.floor((high + edge) / size)), rows))

@@ -34,21 +34,35 @@ def prefix_match(designations: DataFrame, catalog: DataFrame, text: str, key: st
     return out.select(*designations.columns, F.coalesce("matched", "only_key").alias(key), how.alias("how"))
 
 
-def gridded(df: DataFrame, size: float) -> DataFrame:
-    return df.select("*", F.explode(spatial.cells(spatial.box(), size)).alias("_cell"))
-
-
-def overlapping(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs of rows whose boxes overlap: an equi-join of grid cells, each pair once in the cell of its first corner.
-
-    a has id and the box columns, b the same; the result has those of b with the prefix `b_`.
+def placed(df: DataFrame, size: float, other: DataFrame, own: tuple[int, int], above: int) -> DataFrame:
+    """A row for each cell of the box's own level, in the roles `own`, and of the levels above that the other side has, in the role `above`."""
+    most = other.agg(F.max(spatial.level(spatial.box(), size)).alias("_most"))  # a row; null if the other side is empty
+    at = lambda level: spatial.cells(spatial.box(), F.lit(size) * F.pow(F.lit(2.0), level))
+    def places(role: int, level: Column) -> Column:
+        return F.transform(at(level), lambda cell: F.struct(F.lit(role).alias("role"), level.alias("level"), cell.alias("cell")))
+
+    first = F.concat(*[places(role, F.col("_level")) for role in own])
+    ups = F.flatten(F.transform(F.sequence(F.col("_level") + 1, F.col("_most")), lambda up: places(above, up)))
+    rows = df.withColumn("_level", spatial.level(spatial.box(), size)).join(F.broadcast(most)).where("_most is not null")
+    every = F.when(F.col("_most") > F.col("_level"), F.concat(first, ups)).otherwise(first)
+    return rows.withColumn("_place", F.explode(every)).drop("_level", "_most")
+
+
+def overlapping(a: DataFrame, b: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose boxes overlap, and that agree in the columns `by`: an equi-join of grid cells.
+
+    A box lies in the grid of its level, by its own extent, so none touches more than four cells however large it is.
+    Two boxes meet in the grid of the larger one, in the role of equals (0), a above (1) or b above (2); each pair once,
+    in the cell of its first corner. a has id and the box columns, b the same; the result has those of b with the prefix
+    `b_`.
     """
-    b = gridded(b, size)
-    b = b.select(*[F.col(c).alias(c if c == "_cell" else f"b_{c}") for c in b.columns])
-    both = gridded(a, size).join(b, "_cell")
+    there = placed(b, size, a, (0, 2), 1)
+    there = there.select(*[F.col(c).alias(c if c in ("_place", *by) else f"b_{c}") for c in there.columns])
+    both = placed(a, size, b, (0, 1), 2).join(there, [*by, "_place"])
     x, y = spatial.box(), spatial.box("b_")
-    first = (F.col("_cell.cx") == F.floor(F.greatest(x[0], y[0]) / size)) & (F.col("_cell.cy") == F.floor(F.greatest(x[1], y[1]) / size))
-    return both.where(first & spatial.overlaps(x, y)).drop("_cell")
+    width = F.lit(size) * F.pow(F.lit(2.0), F.col("_place.level"))
+    first = (F.col("_place.cell.cx") == F.floor(F.greatest(x[0], y[0]) / width)) & (F.col("_place.cell.cy") == F.floor(F.greatest(x[1], y[1]) / width))
+    return both.where(first & spatial.overlaps(x, y)).drop("_place")
 
 
 def within(a: DataFrame, b: DataFrame, distance: float, size: float) -> DataFrame:

@@ -2,53 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import identity, text
-
-def node(id_: Column, kind: str, name: Column) -> Column:
-    return F.struct(id_.alias("id"), F.lit(kind).alias("type"), name.alias("name"))
-
-
-def edge(src: Column, predicate: str, dst: Column) -> Column:
-    """An edge, null where an end is missing."""
-    return F.when(src.isNotNull() & dst.isNotNull(), F.struct(src.alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst")))
-
-
-def build(documents: DataFrame, spaces: DataFrame, sections: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of projects, drawings, series, storeys, spaces, sections and element groups.
-
-    documents: document_id, project_key, name, date; spaces: document_id, project_key, level, room; sections:
-    document_id, project_key, designation; groups: document_id, project_key, kind. Every input row gives all of its nodes
-    or edges at once, so each input is read once and one distinct collapses them. In a series each drawing supersedes
-    the one before it, by date and id.
-    """
-    c = F.col
-    key = text.series_key(c("name"), F.lit(None).cast("string"))
-    project, drawing = F.concat(F.lit("kg:p:"), c("project_key")), F.concat(F.lit("kg:d:"), c("document_id").cast("string"))
-    series = F.concat(F.lit("kg:se:"), c("project_key"), F.lit(":"), identity.short_hash(key, n=12))
-    room, level = text.room(c("room")), c("level")
-    storey = F.when(level.isNotNull(), F.concat(F.lit("kg:st:"), c("project_key"), F.lit(":"), level))
-    space = F.when(room.isNotNull(), F.concat(F.lit("kg:sp:"), c("project_key"), F.lit(":"), F.coalesce(level, F.lit("NA")), F.lit(":"), identity.short_hash(room, n=12)))
-    designation = text.section(c("designation"))
-    section = F.concat(F.lit("kg:sec:"), c("project_key"), F.lit(":"), designation)
-    group = F.concat(F.lit("kg:eg:"), c("document_id").cast("string"), F.lit(":"), c("kind"))
-    made = [
-        (documents, [node(project, "Project", c("project_key")), node(drawing, "Drawing", c("name")), node(series, "Series", key)], [edge(project, "hasDrawing", drawing), edge(drawing, "inSeries", series)]),
-        (spaces, [node(storey, "Storey", level), node(space, "Space", room)], [edge(project, "hasStorey", storey), edge(storey, "hasSpace", space), edge(drawing, "depicts", space)]),
-        (sections, [node(section, "Section", designation)], [edge(drawing, "uses", section)]),
-        (groups, [node(group, "ElementGroup", c("kind"))], [edge(drawing, "hasGroup", group)]),
-    ]
-    nodes = edges = None
-    for rows, own, links in made:
-        n = rows.select("project_key", F.explode(F.array(*own)).alias("n")).select("project_key", "n.*").where("id is not null")
-        e = rows.select(F.explode(F.array_compact(F.array(*links))).alias("e")).select("e.*")
-        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-    before = F.lag(drawing).over(Window.partitionBy("project_key", "_series").orderBy("date", "document_id"))
-    chain = documents.select("project_key", "document_id", "date", drawing.alias("src"), key.alias("_series")).withColumn("dst", before).where("dst is not null")
-    nodes = nodes.distinct().withColumn("search_text", search_text(c("type"), c("name"), c("project_key"), F.lit(None)))
-    return nodes, edges.distinct().unionByName(chain.select("src", F.lit("supersedes").alias("predicate"), "dst"))
+from draftlake.operators import graph_build
+from draftlake.operators.tables import shared
 
 
 def search_text(kind: Column, name: Column, project: Column, words: Column) -> Column:
@@ -63,21 +24,104 @@ def changed(rows: DataFrame, built: DataFrame, key: str, member: Column) -> Data
     return both.select(key, "fingerprint", action.alias("action"))
 
 
-def communities(documents: DataFrame, least: int = 2, most: int = 80) -> DataFrame:
-    """Rule-based communities: each project, and each of its disciplines with at least `least` drawings."""
-    whole = first_facts(documents, ["project_key"], "document_id", most).select(F.concat(F.lit("kc:"), "project_key").alias("id"), F.lit(0).alias("level"), "members", "facts")
-    part = first_facts(documents.where("discipline is not null"), ["project_key", "discipline"], "document_id", most)
-    part = part.where(F.col("members") >= least).select(F.concat_ws(":", F.lit("kc"), "project_key", "discipline").alias("id"), F.lit(1).alias("level"), "members", "facts")
-    out = whole.unionByName(part)
-    return out.withColumn("input_hash", F.sha2(F.concat_ws("|", F.lit("prompt-1"), F.array_join(F.transform("facts", lambda x: x.cast("string")), ",")), 256))
+#: Facts of a community, and of them drawings of a project, drawings of a storey, spaces, sections and room names, at most.
+FACTS, PROJECT_DRAWINGS, STOREY_DRAWINGS, SPACES, SECTIONS, ROOMS = 80, 40, 30, 40, 15, 25
+PROPS = "struct<sheet_number:string,title:string,title_titleblock:string,discipline:string,phase:string,date:string,kind:string,count:long,occurrences:long,level:string,areas:array<string>,phases:array<string>,drawings:long,disciplines:map<string,long>,file_types:map<string,long>,member_kinds:map<string,long>,description:string,category:string,pack:boolean>"
 
 
-def first_facts(rows: DataFrame, by: list[str], item: str, most: int) -> DataFrame:
-    """Per group its size and its first items; no more of them than `most` reach the gathering."""
-    size = rows.groupBy(*by).agg(F.count("*").alias("members"))
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(item))
-    facts = rows.select(*by, item).withColumn("nth", nth).where(F.col("nth") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("facts"))
-    return size.join(facts, by)
+def listed(rows: DataFrame, by: list[str], order: list[Column], shown: Column, most: int, name: str) -> DataFrame:
+    """by, and the texts of the first rows of each group in order: a window limits the groups before anything is gathered."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    own = rows.select(*by, shown.alias("_s"), nth.alias("_n")).where(F.col("_n") <= most)
+    return own.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_s"))), lambda x: x["_s"]).alias(name))
+
+
+def kind_counts(groups: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, and `kind n` for the kinds of element groups, the most first."""
+    each = groups.groupBy(*by, "kind").agg(F.sum("count").alias("n"))
+    shown = F.concat_ws(" ", F.coalesce(graph_build.named(graph_build.KINDS, F.col("kind")), "kind"), "n")
+    return listed(each, by, [F.desc("n"), F.col("kind")], shown, 1 << 10, name)
+
+
+def drawing_fact(p: str = "p") -> Column:
+    c = lambda n: F.nullif(F.col(f"{p}.{n}"), F.lit(""))
+    tags = F.array_compact(F.array(graph_build.named(graph_build.DISCIPLINES, c("discipline")), c("phase"), c("date")))
+    said = F.concat_ws(" ", c("sheet_number"), F.coalesce(c("title"), c("title_titleblock"), "name"))
+    return F.concat(F.lit("도면: "), said, F.when(F.size(tags) > 0, F.concat(F.lit(" ("), F.array_join(tags, ", "), F.lit(")"))).otherwise(""))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """Rule-based communities of graph tables: id, project_key, level, title, members, facts, input_hash.
+
+    Level 0 is each project; level 1 its disciplines of `least` drawings or more, its storeys that show something, its
+    steel sections, and for an asset pack its types of nodes. Facts are the texts that a summary is made of, in a fixed
+    order; where order was left to chance, ties go to names and ids.
+    """
+    c = F.col
+    own = shared(nodes.select("id", "project_key", "type", "name", F.from_json("props", PROPS).alias("p")), "nodes")
+    edges = shared(edges.where(F.col("predicate").isin("hasSpace", "hasElements", "depictsStorey")).select("src", "predicate", "dst"), "edges")
+    of = lambda kind: own.where(c("type") == kind)
+    projects = of("Project").select("project_key", c("name").alias("project"), "p")
+    drawings, spaces, groups, steel = of("Drawing"), of("Space"), of("ElementGroup").select("id", "project_key", "p.kind", "p.count"), of("SteelSection")
+    by_sheet = [F.coalesce(F.nullif("p.sheet_number", F.lit("")), F.lit("~")), c("name"), c("id")]
+    head = lambda: F.concat(F.lit("프로젝트: "), "project")
+    pair = lambda label, values: F.when(F.size(values) > 0, F.concat(F.lit(label), F.array_join(values, ", ")))
+    korean = lambda table, code, other: F.coalesce(graph_build.named(table, code), other)
+
+    def finish(rows: DataFrame, level: int, id_: Column, title: Column, *facts: Column) -> DataFrame:
+        lines = F.slice(F.array_compact(F.flatten(F.array(*facts))), 1, FACTS)
+        return rows.select(id_.alias("id"), "project_key", F.lit(level).alias("level"), title.alias("title"), "members", lines.alias("facts"))
+
+    one = lambda *texts: F.array(*texts)
+    some = lambda name: F.coalesce(name, F.array().cast("array<string>"))
+    key = ["project_key"]
+    storey_order = text.storey_order(c("name"))
+    room_names = spaces.groupBy("project_key", "name").agg(F.count("*").alias("n"))
+    parts = [
+        listed(of("Storey"), key, [storey_order, c("name")], c("name"), 1 << 10, "storeys"),
+        listed(room_names, key, [F.desc("n"), c("name")], c("name"), ROOMS, "rooms"),
+        kind_counts(groups, key, "kinds"),
+        listed(steel, key, [F.desc("p.occurrences"), c("name")], F.concat("name", F.lit("("), c("p.occurrences"), F.lit(")")), SECTIONS, "steel"),
+        listed(drawings, key, by_sheet, drawing_fact(), PROJECT_DRAWINGS, "shown"),
+    ]
+    whole = projects
+    for more in parts:
+        whole = whole.join(more, "project_key", "left")
+    counts = F.array_sort(F.transform(F.map_entries("p.disciplines"), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("k"))))
+    disciplines = F.transform(counts, lambda x: F.concat_ws(" ", F.coalesce(graph_build.named(graph_build.DISCIPLINES, x["k"]), F.when(x["k"] == "UNKNOWN", "미분류").otherwise(x["k"])), (-x["less"]).cast("string")))
+    formats = F.transform(F.map_entries("p.file_types"), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string")))
+    facts = one(head(), F.concat(F.lit("도면 수: "), F.coalesce("p.drawings", F.lit(0))), pair("단계 폴더: ", c("p.phases")), pair("공종별 도면 수: ", disciplines), pair("파일 형식: ", formats), pair("층: ", c("storeys")), pair("주요 실: ", c("rooms")), pair("도면 요소 수(후보 포함): ", c("kinds")), pair("철골 단면: ", c("steel")))
+    out = [finish(whole.withColumn("members", F.lit(1).cast("long")), 0, F.concat(F.lit("kgc:"), "project_key", F.lit(":0")), F.concat("project", F.lit(" 프로젝트 개요")), facts, some(c("shown")))]
+
+    drawn = drawings.withColumn("code", F.coalesce(F.nullif("p.discipline", F.lit("")), F.lit("UNKNOWN")))
+    kinds = drawn.groupBy("project_key", "code").agg(F.count("*").alias("members")).where(c("members") >= least).join(projects, "project_key")
+    kinds = kinds.join(listed(drawn, ["project_key", "code"], by_sheet, drawing_fact(), FACTS - 2, "shown"), ["project_key", "code"]).withColumn("label", korean(graph_build.DISCIPLINES, c("code"), F.lit("미분류")))
+    out.append(finish(kinds, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:disc:"), "code"), F.concat("project", F.lit(" "), "label", F.lit(" 도면")), one(head(), F.concat("label", F.lit(" 도면 "), "members", F.lit("건"))), c("shown")))
+
+    towards = lambda predicate, end, ids: edges.where(c("predicate") == predicate).select(c("src" if end == "dst" else "dst").alias("storey"), c(end).alias("id")).join(ids, "id")
+    held, made, shown = towards("hasSpace", "dst", spaces), towards("hasElements", "dst", groups), towards("depictsStorey", "src", drawings)
+    area = F.get("p.areas", F.lit(0))
+    spoken = F.concat("name", F.when(area.isNotNull(), F.concat(F.lit("("), area, F.lit("㎡)"))).otherwise(""))
+    sizes = [df.groupBy("storey").agg(F.count("*").alias(n)) for df, n in ((held, "n_spaces"), (shown, "n_drawings"))]
+    storeys = of("Storey").select("project_key", c("id").alias("storey"), "name").join(projects, "project_key")
+    for more in (*sizes, listed(held, ["storey"], [c("name"), c("id")], spoken, SPACES, "rooms"), kind_counts(made, ["storey"], "kinds"), listed(shown, ["storey"], by_sheet, drawing_fact(), STOREY_DRAWINGS, "shown")):
+        storeys = storeys.join(more, "storey", "left")
+    storeys = storeys.where("rooms is not null or kinds is not null or shown is not null").withColumn("members", 1 + F.coalesce("n_spaces", F.lit(0)) + F.coalesce("n_drawings", F.lit(0)))
+    out.append(finish(storeys, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:storey:"), "name"), F.concat_ws(" ", "project", "name"), one(head(), F.concat(F.lit("층: "), "name"), pair("실: ", c("rooms")), pair("요소 수(후보 포함): ", c("kinds"))), some(c("shown"))))
+
+    uses = F.transform(F.map_entries("p.member_kinds"), lambda e: F.concat_ws(" ", F.coalesce(graph_build.named(graph_build.KINDS, e["key"]), e["key"]), e["value"].cast("string")))
+    said = F.concat_ws(", ", F.concat(F.lit("표기 "), c("p.occurrences"), F.lit("회")), F.when(F.size(uses) > 0, F.concat(F.lit("부재 "), F.array_join(uses, ", "))))
+    sections = steel.groupBy("project_key").agg(F.count("*").alias("members")).join(projects, "project_key")
+    sections = sections.join(listed(steel, key, [F.desc("p.occurrences"), c("name")], F.concat(F.lit("단면 "), "name", F.lit(": "), said), FACTS - 2, "shown"), "project_key")
+    out.append(finish(sections, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:steel")), F.concat("project", F.lit(" 철골 단면")), one(head(), F.concat(F.lit("철골 단면 "), "members", F.lit("종"))), c("shown")))
+
+    packed = own.where("type != 'Project'").join(projects.where("p.pack").select("project_key", "project"), "project_key")
+    text_of = F.coalesce(F.nullif("p.description", F.lit("")), F.nullif("p.category", F.lit("")))
+    types = packed.groupBy("project_key", "project", "type").agg(F.count("*").alias("members"))
+    types = types.join(listed(packed, ["project_key", "type"], [c("name"), c("id")], F.concat_ws(": ", "name", text_of), FACTS - 2, "shown"), ["project_key", "type"])
+    out.append(finish(types, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:type:"), "type"), F.concat_ws(" ", "project", "type"), one(head(), F.concat("type", F.lit(" "), "members", F.lit("건"))), c("shown")))
+    found = reduce(DataFrame.unionByName, out)
+    return found.withColumn("input_hash", F.sha2(F.concat(F.lit("prompt-1\n"), F.array_join("facts", "\n")), 256))
 
 
 def refresh(now: DataFrame, before: DataFrame) -> DataFrame:

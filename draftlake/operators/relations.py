@@ -6,11 +6,14 @@ or on the sheet alone where a sheet's own rooms bound the pairs.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import spatial, text
+from draftlake.operators import joins
+from draftlake.operators.tables import shared
 
 
 def relation(subject: Column, predicate: str, target: Column, confidence: Column, method: str, distance: Column | None = None) -> list[Column]:
@@ -27,39 +30,49 @@ def segments(rows: DataFrame) -> DataFrame:
 
 
 def hosted(openings: DataFrame, walls: DataFrame, tolerance: float) -> DataFrame:
-    """Openings with the nearest wall within the tolerance; ties to the wall that comes first."""
-    size = 4 * tolerance
-    reach = [F.least("x1", "x2") - tolerance, F.least("y1", "y2") - tolerance, F.greatest("x1", "x2") + tolerance, F.greatest("y1", "y2") + tolerance]
-    near = walls.select(F.col("sheet"), F.col("id").alias("wall"), "idx", "x1", "y1", "x2", "y2", F.explode(spatial.cells(reach, size)).alias("cell"))
-    points = openings.select("sheet", "id", "x", "y", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).alias("cell"))
-    distance = spatial.point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))
-    pairs = points.join(near, ["sheet", "cell"]).withColumn("distance", distance).where(F.col("distance") <= tolerance)
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "idx", "wall")).alias("m"))
-    return best.select(*relation(F.col("id"), "hostedBy", F.col("m.wall"), 0.9 - 0.3 * F.col("m.distance") / tolerance, "opening_point_on_wall_segment", F.col("m.distance")))
+    """Openings with the nearest wall within the tolerance; ties to the wall that comes first. Long walls lie in coarse grids."""
+    box = lambda x1, y1, x2, y2: {"min_x": x1, "min_y": y1, "max_x": x2, "max_y": y2}
+    c = F.col
+    near = walls.withColumns(box(F.least("x1", "x2") - tolerance, F.least("y1", "y2") - tolerance, F.greatest("x1", "x2") + tolerance, F.greatest("y1", "y2") + tolerance))
+    points = openings.select("sheet", "id", "x", "y").withColumns(box(c("x"), c("y"), c("x"), c("y")))
+    distance = spatial.point_segment(*map(c, ("x", "y", "b_x1", "b_y1", "b_x2", "b_y2")))
+    pairs = joins.overlapping(points, near, 4 * tolerance, ("sheet",)).withColumn("distance", distance).where(c("distance") <= tolerance)
+    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "b_idx", "b_id")).alias("m"))
+    return best.select(*relation(c("id"), "hostedBy", c("m.b_id"), 0.9 - 0.3 * c("m.distance") / tolerance, "opening_point_on_wall_segment", c("m.distance")))
+
+
+def one_use(pairs: DataFrame) -> DataFrame:
+    """taker, item, cost of the greedy match in which takers choose in their order, each its cheapest item that is left.
+
+    pairs: taker, place (the taker's turn), item, cost; ties go to the smaller item. Rounds of proposals: every taker asks
+    for its cheapest item, an item keeps the earliest that asks and is lost to all later ones for good. As every item
+    prefers the earlier taker, what remains when no one is refused is the greedy match itself.
+    """
+    left = shared(pairs.select("taker", "place", "item", "cost"), "pairs")
+    while True:
+        asked = left.groupBy("taker", "place").agg(F.min(F.struct("cost", "item")).alias("m")).select("taker", "place", "m.item", "m.cost")
+        kept = asked.groupBy("item").agg(F.min("place").alias("first"), F.count("*").alias("askers"))
+        kept = shared(kept, "kept")
+        if kept.where("askers > 1").isEmpty():
+            return asked.select("taker", "item", "cost")
+        left = shared(left.join(kept.select("item", "first"), "item", "left").where(F.col("first").isNull() | (F.col("place") <= F.col("first"))).drop("first"), "pairs")
 
 
 def area_labels(spaces: DataFrame, labels: DataFrame, tolerance: float) -> DataFrame:
-    """Area texts below room names, each used once, rooms in their order: greedy within a sheet, hence a grouped map.
+    """label, space, area: area texts below room names, each used once, rooms in their order and each its nearest.
 
-    spaces: sheet, id, idx, x, y; labels: sheet, id, value, x, y.
+    spaces: sheet, id, idx (a room's turn on its sheet), x, y; labels: sheet, id, value, x, y. Labels without a positive
+    value use up their place. Rooms meet only labels of neighbouring grid cells.
     """
-    both = spaces.select("sheet", "id", F.col("idx").cast("long").alias("idx"), "x", "y", F.lit(None).cast("double").alias("value")).unionByName(labels.select("sheet", "id", F.lit(-1).cast("long").alias("idx"), "x", "y", "value"))
-    kind = both.schema["id"].dataType.simpleString()
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rooms, texts, used, out = rows[rows.idx >= 0].sort_values("idx"), rows[rows.idx < 0], set(), []
-        for r in rooms.itertuples():
-            below = r.y - texts.y
-            close = texts[(below > 0) & (below <= tolerance) & ((r.x - texts.x).abs() <= tolerance)]
-            near = [(((r.x - t.x) ** 2 + (r.y - t.y) ** 2) ** 0.5, t.id, t.value) for t in close.itertuples() if t.id not in used]
-            if near:
-                _, label, value = min(near)
-                used.add(label)
-                if value > 0:
-                    out.append((label, r.id, value))
-        return pd.DataFrame(out, columns=["label", "space", "area"])
-
-    return both.groupBy("sheet").applyInPandas(one, f"label {kind}, space {kind}, area double")
+    c = F.col
+    grid = lambda x, y: F.struct(F.floor(x / tolerance).alias("cx"), F.floor(y / tolerance).alias("cy"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0)])
+    rooms = spaces.select("sheet", c("id").alias("space"), "idx", "x", "y", F.explode(around).alias("o")).withColumn("cell", F.struct((F.floor(c("x") / tolerance) + c("o.i")).alias("cx"), (F.floor(c("y") / tolerance) + c("o.j")).alias("cy")))
+    texts = labels.select("sheet", c("id").alias("label"), "value", c("x").alias("lx"), c("y").alias("ly"), grid(c("x"), c("y")).alias("cell"))
+    below, aside = c("y") - c("ly"), F.abs(c("x") - c("lx"))
+    pairs = rooms.join(texts, ["sheet", "cell"]).where((below > 0) & (below <= tolerance) & (aside <= tolerance)).withColumn("cost", F.hypot(aside, below))
+    found = one_use(pairs.select(F.struct("sheet", "space").alias("taker"), F.struct("idx", "space").alias("place"), F.struct("sheet", "label", "value").alias("item"), "cost"))
+    return found.select(c("item.label").alias("label"), c("taker.space").alias("space"), c("item.value").alias("area")).where("area > 0")
 
 
 def room_regions(spaces: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -75,25 +88,55 @@ def contents(elements: DataFrame, spaces: DataFrame, regions: DataFrame, walls:
     inside = elements.join(rings, "sheet").where(spatial.in_ring(F.col("ring"), F.col("x"), F.col("y"))).groupBy("id").agg(F.min_by("space", "place").alias("space"))
     first = inside.select(*relation(F.col("space"), "containsElement", F.col("id"), F.lit(0.9), "point_in_room_boundary"))
     rest = elements.join(inside.select("id"), "id", "left_anti")
-    sights = rest.join(spaces.select("sheet", F.col("id").alias("space"), F.col("x").alias("lx"), F.col("y").alias("ly")), "sheet")
-    line = [F.col(c) for c in ("x", "y", "lx", "ly")]
-    hidden = sights.join(walls.select("sheet", "x1", "y1", "x2", "y2"), "sheet").where(spatial.crosses(line, [F.col(c) for c in ("x1", "y1", "x2", "y2")])).select("id", "space").distinct()
-    seen = sights.join(hidden, ["id", "space"], "left_anti").withColumn("distance", F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly")))
-    best = seen.groupBy("id").agg(F.min(F.struct("distance", "space")).alias("m"))
-    second = best.select(*relation(F.col("m.space"), "containsElement", F.col("id"), F.lit(0.7), "nearest_room_label_without_wall_crossing", F.col("m.distance")))
+    second = nearest_in_sight(rest, spaces, walls).select(*relation(F.col("space"), "containsElement", F.col("id"), F.lit(0.7), "nearest_room_label_without_wall_crossing", F.col("distance")))
     return first.unionByName(second)
 
 
+def nearest_in_sight(elements: DataFrame, spaces: DataFrame, walls: DataFrame, across: int = 64) -> DataFrame:
+    """id, space, distance: the nearest label of the sheet whose line of sight no wall crosses.
+
+    Every element looks at its nearest label first; those that see it are done, the others look at the next three, the
+    next nine and so on. A sight and a wall meet only in cells that both run through; a sheet has `across` cells along
+    its longer side, so that no line has more than a few hundred.
+    """
+    c = F.col
+    far = elements.select("sheet", "id", c("x").alias("x1"), c("y").alias("y1")).join(spaces.select("sheet", c("id").alias("space"), c("x").alias("x2"), c("y").alias("y2")), "sheet")
+    far = far.withColumn("distance", F.hypot(c("x1") - c("x2"), c("y1") - c("y2")))
+    sights = shared(far.withColumn("turn", F.row_number().over(Window.partitionBy("sheet", "id").orderBy("distance", "space"))), "sights")
+    ends = lambda df: [df.select("sheet", c(x).alias("x"), c(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y2"))]
+    points = reduce(DataFrame.unionByName, [*ends(walls), *ends(sights)])
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / across
+    sizes = shared(points.groupBy("sheet").agg(F.when(extent > 0, extent).otherwise(1.0).alias("size")), "sizes")
+    run = lambda df: df.join(sizes, "sheet").withColumn("cell", F.explode(spatial.line_cells([c(n) for n in ("x1", "y1", "x2", "y2")], c("size"))))
+    barred = shared(run(walls.select("sheet", "x1", "y1", "x2", "y2")).select("sheet", "cell", *[c(n).alias(f"w_{n}") for n in ("x1", "y1", "x2", "y2")]), "walls")
+    crossed = spatial.crosses([c(n) for n in ("x1", "y1", "x2", "y2")], [c(f"w_{n}") for n in ("x1", "y1", "x2", "y2")])
+    found, low, high = None, 1, 1
+    while True:
+        own = sights.where(c("turn").between(low, high))
+        hidden = run(own).join(barred, ["sheet", "cell"]).where(crossed).select("sheet", "id", "space").distinct()
+        seen = own.join(hidden, ["sheet", "id", "space"], "left_anti").groupBy("sheet", "id").agg(F.min(F.struct("turn", "space", "distance")).alias("m"))
+        seen = shared(seen.select("sheet", "id", "m.space", "m.distance"), "seen")
+        found = seen if found is None else found.unionByName(seen)
+        sights = sights.join(seen.select("sheet", "id"), ["sheet", "id"], "left_anti")
+        low, high = high + 1, 3 * high + 1
+        if sights.where(c("turn") >= low).isEmpty():
+            return found.select("id", "space", "distance")
+        sights = shared(sights, "sights")
+
+
 def profile_labels(profiles: DataFrame, labels: DataFrame, tolerance: float) -> DataFrame:
     """Steel outlines (sheet, id, box) with the nearest section label; those without one are demoted."""
-    box = spatial.box()
-    at = labels.select("sheet", F.col("id").alias("label"), "designation", F.col("x").alias("px"), F.col("y").alias("py"))
-    distance = spatial.box_distance(box, [F.col("px"), F.col("py"), F.col("px"), F.col("py")])
-    size = F.greatest(box[2] - box[0], box[3] - box[1])
-    pairs = profiles.join(at, "sheet").withColumn("distance", distance).where(F.col("distance") <= F.greatest(F.lit(tolerance / 2), size))
+    c, side = F.col, spatial.box()
+    reach = F.greatest(F.lit(tolerance / 2), side[2] - side[0], side[3] - side[1])
+    grown = profiles.withColumns({f"own_{n}": c(n) for n in spatial.BOX} | {"reach": reach})
+    grown = grown.withColumns({"min_x": c("own_min_x") - reach, "min_y": c("own_min_y") - reach, "max_x": c("own_max_x") + reach, "max_y": c("own_max_y") + reach})
+    at = labels.select("sheet", "id", "designation", c("x").alias("min_x"), c("y").alias("min_y"), c("x").alias("max_x"), c("y").alias("max_y"))
+    distance = spatial.box_distance([c(f"own_{n}") for n in spatial.BOX], spatial.box("b_"))
+    pairs = joins.overlapping(grown, at, tolerance, ("sheet",)).withColumn("distance", distance).where(c("distance") <= c("reach"))
+    pairs = pairs.select("id", "distance", c("b_id").alias("label"), c("b_designation").alias("designation"))
     best = pairs.groupBy("id").agg(F.min(F.struct("distance", "label", "designation")).alias("m"))
     out = profiles.select("id").join(best, "id", "left")
-    return out.select("id", F.col("m.label").alias("label"), F.col("m.designation").alias("designation"), F.when(F.col("m.label").isNull(), "BuildingElementProxy").otherwise("SteelSection").alias("type"))
+    return out.select("id", F.col("m.label").alias("label"), F.col("m.designation").alias("designation"), F.col("m.distance").alias("distance"), F.when(F.col("m.label").isNull(), "BuildingElementProxy").otherwise("SteelSection").alias("type"))
 
 
 def wall_pairs(faces: DataFrame, least: float, most: float) -> DataFrame:
@@ -111,22 +154,62 @@ def wall_pairs(faces: DataFrame, least: float, most: float) -> DataFrame:
     b = own.select("sheet", "band", *[F.col(c).alias(f"b_{c}") for c in ("id", "o", "lo", "hi")], F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("o") / (2 * most)) + k)).alias("cell"))
     gap = F.abs(F.col("a_o") - F.col("b_o"))
     pairs = a.join(b, ["sheet", "band", "cell"]).where((F.col("a_id") != F.col("b_id")) & (F.least("a_hi", "b_hi") > F.greatest("a_lo", "b_lo")) & (gap > 0) & (gap <= 2 * most)).withColumn("gap", gap)
-    near = pairs.groupBy("sheet", "a_id").agg(F.min(F.struct("gap", "b_id")).alias("m"), F.slice(F.array_sort(F.collect_list("gap")), 2, 1).alias("second"))
-    near = near.select("sheet", F.col("a_id").alias("id"), F.col("m.b_id").alias("other"), F.col("m.gap").alias("gap"), F.try_element_at("second", F.lit(1)).alias("second"))
+    turn = F.row_number().over(Window.partitionBy("sheet", "a_id").orderBy("gap", "b_id"))
+    first = lambda k, of: F.min(F.when(F.col("turn") == k, of))
+    near = pairs.withColumn("turn", turn).where(F.col("turn") <= 2).groupBy("sheet", F.col("a_id").alias("id"))
+    near = near.agg(first(1, F.col("b_id")).alias("other"), first(1, F.col("gap")).alias("gap"), first(2, F.col("gap")).alias("second"))
     back = near.select("sheet", F.col("id").alias("other"), F.col("other").alias("id"), F.col("second").alias("second_b"))
     both = near.join(back, ["sheet", "id", "other"]).where((F.col("id") < F.col("other")) & F.col("gap").between(least, most))
     free = lambda c: F.col(c).isNull() | (F.col(c) >= 2 * F.col("gap"))
     return both.where(free("second") & free("second_b")).select("sheet", "id", "other", "gap")
 
 
-def sheet_relations(sheets: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Sheets (sheet, number, title, category) depict spaces; a storey named by a plan's title has them."""
-    storey = F.when(F.col("category").isin("plan", "structural_plan"), text.storey_from(F.col("title")))
-    own = sheets.withColumn("storey", storey)
-    both = spaces.select("sheet", F.col("id").alias("space")).join(own, "sheet")
-    depicts = both.select(*relation(F.concat(F.lit("sheet:"), F.coalesce("number", "sheet")), "depicts", F.col("space"), F.lit(0.9), "space_label_on_sheet"))
-    on = both.where("storey is not null").select(*relation(F.col("space"), "onStorey", F.concat(F.lit("storey:"), "storey"), F.lit(0.8), "space_label_on_storey_plan"))
-    return depicts.unionByName(on)
+def sheet_relations(sheets: DataFrame, spaces: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Relations of sheets (sheet, project, number, title, category) whose title block was read.
+
+    The project contains the sheet, and the storey that a plan's title names; the sheet has its first title block (sheet,
+    id, idx), and depicts its spaces (sheet, id) and its storey; the storey has the spaces, which are on it.
+    """
+    c = F.col
+    project = F.concat(F.lit("aec://project/"), "project")
+    own = sheets.withColumns({"storey": text.sheet_storey(c("title"), c("category")), "subject": F.concat(F.lit("sheet:"), F.coalesce(F.nullif(F.trim("number"), F.lit("")), c("sheet").cast("string")))})
+    own = own.withColumn("level", F.concat(F.lit("storey:"), "storey"))
+    both, named = spaces.select("sheet", c("id").alias("space")).join(own, "sheet"), own.where("storey is not null")
+    leveled = both.where("storey is not null")
+    sure, about = F.lit(0.9), F.lit(0.8)
+    out = [
+        own.select(*relation(project, "containsElement", c("subject"), sure, "sheet_metadata")),
+        both.select(*relation(c("subject"), "depicts", c("space"), sure, "space_label_on_sheet")),
+        named.select(*relation(project, "containsElement", c("level"), about, "storey_from_sheet_title")).distinct(),
+        named.select(*relation(c("subject"), "depicts", c("level"), about, "storey_from_sheet_title")),
+        leveled.select(*relation(c("level"), "hasSpace", c("space"), about, "space_label_on_storey_plan")),
+        leveled.select(*relation(c("space"), "onStorey", c("level"), about, "space_label_on_storey_plan")),
+    ]
+    if blocks is not None:
+        first = blocks.groupBy("sheet").agg(F.min_by("id", F.struct("idx", "id")).alias("block")).join(own, "sheet")
+        out.append(first.select(*relation(c("subject"), "hasTitleBlock", c("block"), sure, "title_block_on_sheet")))
+    return union(out)
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    """Relations of several kinds; ids of any type become text."""
+    shown = [f.withColumns({"subject": F.col("subject").cast("string"), "object": F.col("object").cast("string")}) for f in frames]
+    return reduce(DataFrame.unionByName, shown)
+
+
+def build(sheets: DataFrame, openings: DataFrame, walls: DataFrame, spaces: DataFrame, areas: DataFrame, boundaries: DataFrame, elements: DataFrame, profiles: DataFrame, designations: DataFrame, blocks: DataFrame, host_tolerance: float, label_tolerance: float) -> DataFrame:
+    """All spatial relations of a set of sheets: hostedBy, relatedTo (area and section labels), containsElement, depicts, hasTitleBlock, hasSpace, onStorey.
+
+    Inputs are those of the single operators. Every join has the sheet among its keys and, where the number of pairs of a
+    sheet could grow with the square of its contents, a grid cell.
+    """
+    c = F.col
+    hosts = hosted(openings, walls, host_tolerance)
+    labelled = area_labels(spaces, areas, label_tolerance).select(*relation(c("label"), "relatedTo", c("space"), F.lit(0.8), "area_label_below_room_name"))
+    held = contents(elements, spaces, room_regions(spaces, boundaries), walls)
+    steel = profile_labels(profiles, designations, label_tolerance).where("label is not null")
+    steel = steel.select(*relation(c("id"), "relatedTo", c("label"), F.lit(0.8), "section_label_near_profile", c("distance")))
+    return union([hosts, labelled, held, steel, sheet_relations(sheets, spaces, blocks)])
 
 
 #: Semantic type of IFC classes; fixed values.

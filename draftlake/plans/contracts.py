@@ -103,33 +103,81 @@ def name_resolution(t, spark):
     return own.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
 
 
-@query("J-18 J-30")
+@query("J-18 J-30", """WITH RECURSIVE r AS (SELECT id // 4 AS sheet, id, min_x AS x, min_y AS y, row_number() OVER (PARTITION BY id // 4 ORDER BY id) AS k FROM {marks}), l AS (SELECT id // 80 AS sheet, id AS label, max_x - 300 AS value, min_x AS lx, min_y AS ly FROM {frames}),
+p AS (SELECT sheet, k, id, label, value, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS d FROM r JOIN l USING (sheet) WHERE y - ly > 0 AND y - ly <= 300 AND abs(x - lx) <= 300),
+c AS (SELECT r.sheet, r.k, r.id, coalesce(list({{'label': label, 'value': value}} ORDER BY d, label) FILTER (WHERE label IS NOT NULL), []) AS cands FROM r LEFT JOIN p USING (sheet, k) GROUP BY r.sheet, r.k, r.id),
+g AS (SELECT DISTINCT sheet, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS label, CAST(NULL AS DOUBLE) AS value, CAST([] AS BIGINT[]) AS used FROM r
+ UNION ALL SELECT c.sheet, c.k, c.id, f.label, f.value, CASE WHEN f.label IS NULL THEN g.used ELSE list_append(g.used, f.label) END FROM g JOIN c ON c.sheet = g.sheet AND c.k = g.k + 1, LATERAL (SELECT list_filter(c.cands, lambda x: NOT list_contains(g.used, x.label))[1] AS f) t(f))
+SELECT label, id AS space, value AS area FROM g WHERE value > 0""")
 def greedy_area_labels(t, spark):
-    """Area labels used once each, rooms in order; rows only, a greedy match has no SQL form."""
-    spaces = t("marks").select(F.lit("S").alias("sheet"), "id", F.col("id").alias("idx"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
-    labels = t("frames").select(F.lit("S").alias("sheet"), "id", F.col("max_x").alias("value"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
-    return relations.area_labels(spaces, labels, 60.0)
+    """Area labels of every sheet, used once each, rooms in their order."""
+    spaces = t("marks").select(F.floor(F.col("id") / 4).alias("sheet"), "id", F.col("id").alias("idx"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    labels = t("frames").select(F.floor(F.col("id") / 80).alias("sheet"), "id", (F.col("max_x") - 300).alias("value"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    return relations.area_labels(spaces, labels, 300.0)
 
 
-@query("J-20 G-36", """WITH e AS (SELECT id, id // 40 AS sheet, min_x AS x, min_y AS y FROM {marks}), l AS (SELECT id AS space, id // 40 AS sheet, min_x AS lx, min_y + 1.5 AS ly FROM {frames}),
-v AS (SELECT e.id, space, sqrt((x - lx) ** 2 + (y - ly) ** 2) AS d FROM e JOIN l USING (sheet) WHERE NOT ((x - 400.0) * (lx - 400.0) < 0))
-SELECT id, arg_min(space, (d, space)) AS space, round(min(d), 6) AS distance FROM v GROUP BY 1""")
-def line_of_sight_rooms(t, spark):
-    """Elements and rooms of one sheet that no wall parts; each sheet has one wall across."""
-    sheet = F.floor(F.col("id") / 40).cast("string").alias("sheet")
-    elements = t("marks").select(sheet, "id", F.col("min_x").alias("x"), F.col("min_y").alias("y"))
-    spaces = t("frames").select(sheet, "id", F.col("min_x").alias("x"), (F.col("min_y") + 1.5).alias("y"))
-    walls = spaces.select("sheet").distinct().select("sheet", *[F.lit(v).alias(c) for c, v in (("x1", 400.0), ("y1", -1000.0), ("x2", 400.0), ("y2", 3000.0))])
-    none = spark.createDataFrame([], "sheet string, space long, idx long, ring array<struct<x:double,y:double>>")
-    return relations.contents(elements, spaces, none, walls).select(F.col("object").alias("id"), F.col("subject").alias("space"), F.round("distance", 6).alias("distance"))
+#: Sheets of frames: each frame gives two walls, of which the second stands aslant.
+SHEETED = """w AS (SELECT id // 80 AS sheet, CAST(id * 2 AS BIGINT) AS wall, min_x AS x1, min_y AS y1, max_x AS x2, min_y AS y2 FROM {frames} UNION ALL SELECT id // 80, id * 2 + 1, min_x, max_y, min_x + 3 * (max_y - min_y), min_y FROM {frames}),
+ e AS (SELECT id // 4 AS sheet, id, min_x + 0.25 AS x, min_y + 0.125 AS y FROM {marks}), s AS (SELECT id // 80 AS sheet, id AS space, min_x + 1.5 AS lx, min_y + 1.375 AS ly FROM {frames} WHERE id % 10 = 0)"""
+
+
+def sheeted(t):
+    """Walls (sheet, id, idx, x1, y1, x2, y2), elements (sheet, id, x, y) and rooms (sheet, id, x, y): see SHEETED."""
+    c, sheet = F.col, F.floor(F.col("id") / 80).alias("sheet")
+    one = t("frames").select(sheet, (c("id") * 2).alias("id"), c("min_x").alias("x1"), c("min_y").alias("y1"), c("max_x").alias("x2"), c("min_y").alias("y2"))
+    two = t("frames").select(sheet, (c("id") * 2 + 1).alias("id"), c("min_x").alias("x1"), c("max_y").alias("y1"), (c("min_x") + 3 * (c("max_y") - c("min_y"))).alias("x2"), c("min_y").alias("y2"))
+    elements = t("marks").select(F.floor(c("id") / 4).alias("sheet"), "id", (c("min_x") + 0.25).alias("x"), (c("min_y") + 0.125).alias("y"))
+    rooms = t("frames").where("id % 10 = 0").select(sheet, "id", (c("min_x") + 1.5).alias("x"), (c("min_y") + 1.375).alias("y"))
+    return one.unionByName(two).withColumn("idx", c("id")), elements, rooms
+
 
+def sql_turn(*p: str) -> str:
+    """(b - a) x (c - a) of three points."""
+    ax, ay, bx, by, cx, cy = p
+    return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
 
-@query("J-17 X-37", "SELECT s_suppkey AS id, 'p' || s_suppkey % 3 AS host, round(0.9 - 0.3 * (s_suppkey % 10) / 10.0, 4) AS confidence FROM supplier")
+
+CROSSES = f"({sql_turn('x', 'y', 'lx', 'ly', 'x1', 'y1')} * {sql_turn('x', 'y', 'lx', 'ly', 'x2', 'y2')} < 0 AND {sql_turn('x1', 'y1', 'x2', 'y2', 'x', 'y')} * {sql_turn('x1', 'y1', 'x2', 'y2', 'lx', 'ly')} < 0)"
+
+
+@query("J-20 G-36", f"""WITH {SHEETED}, v AS (SELECT e.id, space, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS d FROM e JOIN s USING (sheet) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.sheet = e.sheet AND {CROSSES}))
+SELECT id, arg_min(space, (d, space)) AS space, round(min(d), 6) AS distance FROM v GROUP BY 1""")
+def line_of_sight_rooms(t, spark):
+    """Elements and the nearest rooms of their sheets that no wall parts from them."""
+    walls, elements, rooms = sheeted(t)
+    return relations.nearest_in_sight(elements, rooms, walls).select("id", "space", F.round("distance", 6).alias("distance"))
+
+
+@query("G-36 J-17 J-20 J-21 J-22 J-24", f"""WITH {SHEETED}, t AS (SELECT DISTINCT sheet, 'P' || sheet % 3 AS project, CASE WHEN sheet % 2 = 0 THEN 'A-' || sheet ELSE '' END AS number, CASE WHEN sheet % 3 = 0 THEN sheet % 5 + 1 || '층 평면도' ELSE '상세' END AS title FROM w),
+ sh AS (SELECT *, 'sheet:' || coalesce(nullif(number, ''), CAST(sheet AS VARCHAR)) AS subject, CASE WHEN sheet % 3 = 0 THEN 'storey:' || sheet % 5 + 1 || 'F' END AS level FROM t),
+ q AS (SELECT e.id, wall, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS n, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM e JOIN w USING (sheet)), p AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * dx + (y - y1) * dy) / n)) END AS t FROM q), d AS (SELECT id, wall, sqrt((x - (x1 + t * dx)) * (x - (x1 + t * dx)) + (y - (y1 + t * dy)) * (y - (y1 + t * dy))) AS d FROM p),
+ b AS (SELECT id // 80 AS sheet, min_x, min_y, max_x, max_y, (max_x - min_x) * (max_y - min_y) AS area, id AS boundary FROM {{frames}} WHERE id % 5 = 0), rg AS (SELECT s.sheet, space, arg_min(b, (area, boundary)) AS b FROM s JOIN b ON b.sheet = s.sheet AND lx > min_x AND lx < max_x AND ly > min_y AND ly < max_y GROUP BY 1, 2),
+ i AS (SELECT e.id, min(space) AS space FROM e JOIN rg ON rg.sheet = e.sheet AND x > b.min_x AND x < b.max_x AND y > b.min_y AND y < b.max_y GROUP BY 1), v AS (SELECT e.id, space, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS d FROM e JOIN s USING (sheet) WHERE e.id NOT IN (SELECT id FROM i) AND NOT EXISTS (SELECT 1 FROM w WHERE w.sheet = e.sheet AND {CROSSES})),
+ pr AS (SELECT id // 80 AS sheet, id, min_x, min_y, max_x, max_y, greatest(15.0, max_x - min_x, max_y - min_y) AS reach FROM {{frames}} WHERE id % 7 = 0), ld AS (SELECT pr.id, e.id AS label, sqrt(greatest(pr.min_x - x, x - pr.max_x, 0) ** 2 + greatest(pr.min_y - y, y - pr.max_y, 0) ** 2) AS d, reach FROM pr JOIN e USING (sheet)),
+ u AS (SELECT CAST(id AS VARCHAR) AS subject, 'hostedBy' AS predicate, CAST(arg_min(wall, (d, wall)) AS VARCHAR) AS object, round(min(d), 6) AS distance FROM d WHERE d <= 40 GROUP BY id UNION ALL SELECT CAST(space AS VARCHAR), 'containsElement', CAST(id AS VARCHAR), NULL FROM i UNION ALL SELECT CAST(arg_min(space, (d, space)) AS VARCHAR), 'containsElement', CAST(id AS VARCHAR), round(min(d), 6) FROM v GROUP BY id
+  UNION ALL SELECT CAST(id AS VARCHAR), 'relatedTo', CAST(arg_min(label, (d, label)) AS VARCHAR), round(min(d), 6) FROM ld WHERE d <= reach GROUP BY id UNION ALL SELECT 'aec://project/' || project, 'containsElement', subject, NULL FROM sh UNION ALL SELECT subject, 'depicts', CAST(space AS VARCHAR), NULL FROM sh JOIN s USING (sheet)
+  UNION ALL SELECT DISTINCT 'aec://project/' || project, 'containsElement', level, CAST(NULL AS DOUBLE) FROM sh WHERE level IS NOT NULL UNION ALL SELECT subject, 'depicts', level, NULL FROM sh WHERE level IS NOT NULL UNION ALL SELECT level, 'hasSpace', CAST(space AS VARCHAR), NULL FROM sh JOIN s USING (sheet) WHERE level IS NOT NULL UNION ALL SELECT CAST(space AS VARCHAR), 'onStorey', level, NULL FROM sh JOIN s USING (sheet) WHERE level IS NOT NULL
+  UNION ALL SELECT subject, 'hasTitleBlock', CAST(m AS VARCHAR), NULL FROM sh JOIN (SELECT sheet, min(wall) AS m FROM w WHERE wall % 3 = 0 GROUP BY 1) USING (sheet)) SELECT * FROM u""")
+def spatial_relations_of_sheets(t, spark):
+    """All predicates of all sheets in one plan; area labels have a query of their own."""
+    c = F.col
+    walls, elements, rooms = sheeted(t)
+    rooms = rooms.withColumn("idx", c("id"))
+    sheets = walls.select("sheet").distinct().select("sheet", F.concat(F.lit("P"), c("sheet") % 3).alias("project"), F.when(c("sheet") % 2 == 0, F.concat(F.lit("A-"), "sheet")).otherwise("").alias("number"), F.when(c("sheet") % 3 == 0, F.concat(c("sheet") % 5 + 1, F.lit("층 평면도"))).otherwise("상세").alias("title"), F.when(c("sheet") % 3 == 0, "plan").otherwise("detail").alias("category"))
+    corner = lambda x, y: F.struct(c(x).alias("x"), c(y).alias("y"))
+    boundaries = t("frames").where("id % 5 = 0").select(F.floor(c("id") / 80).alias("sheet"), "id", F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y")).alias("ring"))
+    profiles = t("frames").where("id % 7 = 0").select(F.floor(c("id") / 80).alias("sheet"), "id", "min_x", "min_y", "max_x", "max_y")
+    labels, none = elements.withColumn("designation", F.lit("H-100x50")), elements.limit(0).withColumn("value", F.lit(0.0))
+    out = relations.build(sheets, elements, walls, rooms, none, boundaries, elements, profiles, labels, walls.where("id % 3 = 0"), 40.0, 30.0)
+    return out.select("subject", "predicate", "object", F.round("distance", 6).alias("distance"))
+
+
+@query("J-17 X-37", f"""WITH {SHEETED}, q AS (SELECT e.id, wall, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS n, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM e JOIN w USING (sheet)),
+ p AS (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((x - x1) * dx + (y - y1) * dy) / n)) END AS t FROM q), d AS (SELECT id, wall, sqrt((x - (x1 + t * dx)) * (x - (x1 + t * dx)) + (y - (y1 + t * dy)) * (y - (y1 + t * dy))) AS d FROM p)
+SELECT id, arg_min(wall, (d, wall)) AS host, round(min(d), 6) AS distance FROM d WHERE d <= 40 GROUP BY 1""")
 def opening_hosts(t, spark):
-    walls = spark.createDataFrame([("S", f"p{k}", k, -50.0, 100.0 * k, 5000.0, 100.0 * k) for k in range(3)], "sheet string, id string, idx long, x1 double, y1 double, x2 double, y2 double")
-    n = F.col("s_suppkey")
-    openings = t("supplier").select(F.lit("S").alias("sheet"), n.alias("id"), (n * 7.0).alias("x"), ((n % 3) * 100.0 + n % 10).cast("double").alias("y"))
-    return relations.hosted(openings, walls, 10.0).select(F.col("subject").alias("id"), F.col("object").alias("host"), "confidence")
+    walls, openings, _ = sheeted(t)
+    return relations.hosted(openings, walls, 40.0).select(F.col("subject").alias("id"), F.col("object").alias("host"), F.round("distance", 6).alias("distance"))
 
 
 @query("J-32 G-39", "SELECT a.doc_id AS document, b.page_id AS drawing FROM documents a JOIN pages b ON a.lang = 'en' AND a.doc_id = b.page_id")
@@ -151,13 +199,19 @@ def ordinal_ids(t, spark):
     return t("nation").select("n_nationkey", F.concat(F.lit("K:strategy:"), n.cast("string")).alias("ordinal"))
 
 
-@query("W-10 J-29")
+@query("W-10 J-29", """WITH f AS (SELECT id // 80 AS sheet, id, min_x AS lo, min_x + 80 AS hi, min_y AS o FROM {frames} UNION ALL SELECT id // 80, id + 100000000, min_x, min_x + 80, min_y + 2 + id % 3 FROM {frames} UNION ALL SELECT id // 80, id + 200000000, min_x, min_x + 80, min_y + 5 + id % 7 FROM {frames} WHERE id % 4 = 0),
+ p AS (SELECT a.sheet, a.id, b.id AS other, abs(a.o - b.o) AS gap FROM f a JOIN f b ON a.sheet = b.sheet AND a.id <> b.id AND least(a.hi, b.hi) > greatest(a.lo, b.lo) AND a.o <> b.o AND abs(a.o - b.o) <= 10),
+ n AS (SELECT sheet, id, arg_min(other, (gap, other)) AS other, min(gap) AS gap, (list(gap ORDER BY gap))[2] AS second FROM p GROUP BY 1, 2)
+SELECT a.sheet, a.id, a.other, round(a.gap, 6) AS gap FROM n a JOIN n b ON a.sheet = b.sheet AND a.other = b.id AND b.other = a.id WHERE a.id < a.other AND a.gap BETWEEN 1 AND 5 AND (a.second IS NULL OR a.second >= 2 * a.gap) AND (b.second IS NULL OR b.second >= 2 * a.gap)""")
 def wall_face_pairs(t, spark):
-    """Faces that are each other's nearest parallel; rows only."""
-    x, y = F.col("min_x"), F.col("min_y")
-    faces = t("frames").select(F.lit("S").alias("sheet"), "id", x.alias("x1"), y.alias("y1"), (x + 80).alias("x2"), y.alias("y2"))
-    low = t("frames").select(F.lit("S").alias("sheet"), (F.col("id") + 1_000_000).alias("id"), x.alias("x1"), (y + 2 + F.col("id") % 3).alias("y1"), (x + 80).alias("x2"), (y + 2 + F.col("id") % 3).alias("y2"))
-    return relations.wall_pairs(faces.unionByName(low), 1.0, 5.0)
+    """Faces of every sheet that are each other's nearest parallel, and far from any third."""
+    x, y, sheet = F.col("min_x"), F.col("min_y"), F.floor(F.col("id") / 80).alias("sheet")
+    faces = t("frames").select(sheet, "id", x.alias("x1"), y.alias("y1"), (x + 80).alias("x2"), y.alias("y2"))
+    low = y + 2 + F.col("id") % 3
+    other = t("frames").select(sheet, (F.col("id") + 100_000_000).alias("id"), x.alias("x1"), low.alias("y1"), (x + 80).alias("x2"), low.alias("y2"))
+    far = y + 5 + F.col("id") % 7
+    third = t("frames").where("id % 4 = 0").select(sheet, (F.col("id") + 200_000_000).alias("id"), x.alias("x1"), far.alias("y1"), (x + 80).alias("x2"), far.alias("y2"))
+    return relations.wall_pairs(faces.unionByName(other).unionByName(third), 1.0, 5.0).withColumn("gap", F.round("gap", 6))
 
 
 @query("D-05", "SELECT 'c' AS kind, c_custkey AS key FROM customer UNION ALL SELECT 's', s_suppkey FROM supplier")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import identity, spatial, text
-from draftlake.operators import communities, graph, jobs, joins, knowledge, ranking
+from draftlake.operators import blocks, communities, graph, graph_build, jobs, joins, knowledge, ranking
+from draftlake.operators.tables import shared
 from draftlake.plans.adapters import query
 from draftlake.sinks import text as sinks
 from draftlake.streaming import events as streams
@@ -169,32 +170,111 @@ def kg_stats(t, spark):
     return graph.stats(t("nodes"), t("edges"))
 
 
-def _parts(t):
-    docs = t("drawings").select("document_id", "project_key", "name", F.col("modified").alias("date"))
-    items = t("objects").select("document_id", "storey", "kind", "label", "n").join(docs.select("document_id", "project_key"), "document_id")
-    spaces = items.select("document_id", "project_key", F.nullif("storey", F.lit("")).alias("level"), F.concat(F.lit("Room "), F.col("kind")).alias("room"))
-    sections = items.where("n = 1").select("document_id", "project_key", F.concat(F.lit("h "), (F.col("n") * 100).cast("string"), F.lit("*50")).alias("designation"))
-    return knowledge.build(docs, spaces, sections, items.select("document_id", "project_key", "kind"))
-
-
-KG = """WITH i AS (SELECT o.document_id, project_key, nullif(storey, '') AS level, 'room' || lower(kind) AS room, kind, n FROM {objects} o JOIN {drawings} d USING (document_id)), """
-
-
-@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39 P-20", KG + """n AS (SELECT 'kg:p:' || project_key AS id, project_key, 'Project' AS type, project_key AS name FROM {drawings} UNION ALL SELECT 'kg:d:' || document_id, project_key, 'Drawing', name FROM {drawings}
- UNION ALL SELECT 'kg:se:' || project_key || ':' || substr(sha256('t:planx' || o_custkey), 1, 12), project_key, 'Series', 't:planx' || o_custkey FROM {drawings} UNION ALL SELECT 'kg:st:' || project_key || ':' || level, project_key, 'Storey', level FROM i WHERE level IS NOT NULL
- UNION ALL SELECT 'kg:sp:' || project_key || ':' || coalesce(level, 'NA') || ':' || substr(sha256(room), 1, 12), project_key, 'Space', room FROM i UNION ALL SELECT 'kg:sec:' || project_key || ':H-100x50', project_key, 'Section', 'H-100x50' FROM i WHERE n = 1
- UNION ALL SELECT 'kg:eg:' || document_id || ':' || kind, project_key, 'ElementGroup', kind FROM i) SELECT DISTINCT id, project_key, type, name, type || ' ' || name || ' ' || project_key AS search_text FROM n""")
+def drawn_inserts(t):
+    """Model space places regions, which hold nations, which hold a region each again: see INSERTS."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    document, at = (n % 3).alias("document"), lambda x, y, s, turn: (x.alias("x"), y.alias("y"), s.alias("sx"), s.alias("sy"), turn.alias("rotation"))
+    region = lambda k: F.concat(F.lit("R"), k)
+    top = t("nation").select(document, n.alias("id"), F.lit(None).cast("string").alias("owner"), region(r).alias("block"), *at(n * 10, n % 7, 1 + n % 3, n % 4 * 90))
+    each = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    held = t("nation").withColumn("document", each).select("document", (n + 100).alias("id"), region(r).alias("owner"), F.concat(F.lit("N"), n).alias("block"), *at(n, n * 2, F.lit(2), (n + 1) % 4 * 90))
+    back = t("nation").where(n % 4 == 0).withColumn("document", each).select("document", (n + 200).alias("id"), F.concat(F.lit("N"), n).alias("owner"), region((r + 1) % 5).alias("block"), *at(F.lit(1), n, F.lit(1), F.lit(180)))
+    own = top.unionByName(held).unionByName(back)
+    return own.select("document", "id", "owner", "block", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "sx", "sy", "rotation")])
+
+
+INSERTS = """WITH RECURSIVE k AS (SELECT unnest([0, 1, 2]) AS document), i AS (SELECT n_nationkey % 3 AS document, n_nationkey AS id, NULL AS owner, 'R' || n_regionkey AS block, n_nationkey * 10 AS x, n_nationkey % 7 AS y, 1 + n_nationkey % 3 AS s, n_nationkey % 4 * 90 AS rot FROM nation
+ UNION ALL SELECT document, n_nationkey + 100, 'R' || n_regionkey, 'N' || n_nationkey, n_nationkey, n_nationkey * 2, 2, (n_nationkey + 1) % 4 * 90 FROM nation, k UNION ALL SELECT document, n_nationkey + 200, 'N' || n_nationkey, 'R' || (n_regionkey + 1) % 5, 1, n_nationkey, 1, 180 FROM nation, k WHERE n_nationkey % 4 = 0),
+ m AS (SELECT document, id, owner, block, s * cos(radians(rot)) AS a, s * sin(radians(rot)) AS b, -s * sin(radians(rot)) AS c, s * cos(radians(rot)) AS d, x::DOUBLE AS e, y::DOUBLE AS f FROM i),
+ p AS (SELECT document, id AS root, block, a, b, c, d, e, f, [block] AS path, 1 AS depth FROM m WHERE owner IS NULL UNION ALL SELECT p.document, root, m.block, p.a * m.a + p.c * m.b, p.b * m.a + p.d * m.b, p.a * m.c + p.c * m.d, p.b * m.c + p.d * m.d, p.a * m.e + p.c * m.f + p.e, p.b * m.e + p.d * m.f + p.f, list_append(path, m.block), depth + 1 FROM p JOIN m ON m.document = p.document AND m.owner = p.block WHERE depth < 8 AND NOT list_contains(path, m.block))"""
+
+
+@query("X-21 SC-03", INSERTS + " SELECT CAST(p.document AS INTEGER) AS document, root, s_name AS text, round(a * s_suppkey + c + e, 4) + 0.0 AS x, round(b * s_suppkey + d + f, 4) + 0.0 AS y, CAST(depth AS INTEGER) AS depth FROM p JOIN (SELECT s_name, s_suppkey, 'N' || s_nationkey AS owner FROM supplier) t ON t.owner = p.block")
+def nested_block_texts(t, spark):
+    """Texts of blocks inside blocks in the world's coordinates."""
+    texts = t("supplier").withColumn("document", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("document", F.concat(F.lit("N"), "s_nationkey").alias("owner"), F.col("s_name").alias("text"), F.col("s_suppkey").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    inserts = blocks.inserts_of(drawn_inserts(t)).withColumn("document", F.col("document").cast("int"))
+    out = blocks.texts_in_world(texts, inserts)
+    return out.select("document", "root", "text", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y")], "depth")
+
+
+@query("X-22 SC-03", INSERTS + """, nm AS (SELECT document, CASE WHEN block LIKE 'N%' THEN 'N' || CAST(substr(block, 2) AS INTEGER) // 5 * 5 ELSE block END AS block, count(*) AS n FROM i GROUP BY ALL), o AS (SELECT document, CASE WHEN owner LIKE 'N%' THEN 'N' || CAST(substr(owner, 2) AS INTEGER) // 5 * 5 ELSE owner END AS owner, CASE WHEN block LIKE 'N%' THEN 'N' || CAST(substr(block, 2) AS INTEGER) // 5 * 5 ELSE block END AS block, count(*) AS n FROM i GROUP BY ALL),
+ q AS (SELECT document, block, n, [block] AS path, 1 AS depth FROM o WHERE owner IS NULL UNION ALL SELECT q.document, o.block, q.n * o.n, list_append(path, o.block), depth + 1 FROM q JOIN o ON o.document = q.document AND o.owner = q.block WHERE depth < 8 AND NOT list_contains(path, o.block)), e AS (SELECT document, block, sum(n) AS effective, max(depth) AS deepest FROM q GROUP BY ALL)
+SELECT CAST(nm.document AS INTEGER) AS document, nm.block, CAST(nm.n AS BIGINT) AS inserts, CAST(coalesce(effective, 0) AS BIGINT) AS effective, CAST(deepest AS INTEGER) AS deepest FROM nm LEFT JOIN e USING (document, block)""")
+def effective_insert_counts(t, spark):
+    """Inserts of blocks under the names of their sources, directly and through all nestings."""
+    rows = drawn_inserts(t).withColumn("document", F.col("document").cast("int"))
+    key = F.substring("block", 2, 9).cast("int")
+    names = rows.where("block like 'N%'").select("document", "block").distinct().withColumn("source", F.concat(F.lit("N"), F.floor(key / 5) * 5))
+    return blocks.insert_counts(rows, names)
+
+
+def parts(t) -> graph_build.Parts:
+    """The star schema as document parts: see KG for the same in SQL."""
+    n = F.col("n")
+    docs = t("drawings").select("document_id", "project_key", F.concat(F.lit("Project "), "project_key").alias("project_name"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("Stage "), F.col("o_custkey") % 2)).otherwise("").alias("phase"), "name",
+                              F.when(F.col("document_id") % 2 == 0, F.col("number")).alias("number"), F.concat(F.lit("Title "), F.col("o_custkey")).alias("title"), text.series_key(F.col("name"), F.lit(None).cast("string")).alias("series"), text.date_token(F.col("name")).alias("date"), F.col("modified").cast("date").cast("string").alias("mtime"), "discipline")
+    o = t("objects").select("id", "document_id", "kind", "layout", "label", "state", "category", "n", "storey")
+    sheets = o.where(n == 7).select("id", "document_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("S-"), F.col("id") % 100)).alias("number"), F.when(F.col("id") % 5 > 0, F.col("label")).alias("title"), "layout", "label", F.lit("1:100").alias("scale"), "category", F.when(F.col("id") % 3 == 0, F.concat(F.col("id") % 4 + 1, F.lit("F"))).alias("storey"))
+    spaces = o.where(n.isin(1, 5)).select("id", "document_id", F.concat(F.lit("Room "), "kind").alias("room"), F.when(F.col("id") % 3 > 0, (F.col("id") % 12).cast("string")).alias("number"), F.when(F.col("id") % 4 > 0, F.col("id") % 50).alias("area"), F.nullif("storey", F.lit("")).alias("storey"))
+    sections = o.where(n == 2).select("id", "document_id", F.concat(F.lit("h "), F.col("id") % 3 * 50 + 100, F.lit("*50")).alias("designation"))
+    members = o.where(n == 3).select("document_id", "kind").join(sections.groupBy("document_id").agg(F.min("id").alias("section")), "document_id")
+    return graph_build.Parts(docs, sheets, spaces, o, sections, members)
+
+
+STAGE = "CASE WHEN o_custkey % 3 = 0 THEN 'Stage ' || o_custkey % 2 END"
+#: The document parts, and the graph's own tables over them.
+KG = f"""WITH d AS (SELECT document_id, project_key, 'Project ' || project_key AS project_name, {STAGE} AS phase, name, CASE WHEN document_id % 2 = 0 THEN number END AS number, 'Title ' || o_custkey AS title, 't:planx' || o_custkey AS series, regexp_extract(name, '_([0-9]+)', 1) AS date, CAST(modified::DATE AS VARCHAR) AS mtime, discipline FROM {{drawings}}),
+ o AS (SELECT * FROM {{objects}}), sh AS (SELECT id, document_id, CASE WHEN id % 2 = 0 THEN 'S-' || id % 100 END AS number, CASE WHEN id % 5 > 0 THEN label END AS title, layout, label, category, CASE WHEN id % 3 = 0 THEN id % 4 + 1 || 'F' END AS level, project_key, project_name FROM o JOIN (SELECT document_id, project_key, project_name FROM d) USING (document_id) WHERE n = 7),
+ shown AS (SELECT DISTINCT document_id, level FROM sh WHERE level IS NOT NULL), single AS (SELECT document_id, min(level) AS lone FROM shown GROUP BY 1 HAVING count(*) = 1),
+ sp AS (SELECT o.id AS oid, o.document_id, 'Room ' || kind AS room, 'room' || lower(kind) AS room_key, CASE WHEN o.id % 3 > 0 THEN CAST(o.id % 12 AS VARCHAR) END AS number, CASE WHEN o.id % 4 > 0 THEN o.id % 50 END AS area, coalesce(nullif(storey, ''), lone) AS level, project_key, project_name FROM o JOIN d USING (document_id) LEFT JOIN single USING (document_id) WHERE n IN (1, 5)),
+ spid AS (SELECT *, 'kg:sp:' || project_key || ':' || coalesce(level, 'NA') || ':' || substr(sha256(room_key), 1, 12) AS id FROM sp),
+ eg AS (SELECT 'kg:eg:' || document_id || ':' || kind AS id, document_id, kind, CASE kind WHEN 'Door' THEN '문' WHEN 'Window' THEN '창호' ELSE '벽' END AS ko, project_key, project_name, d.name AS drawing, lone AS level, count(*) AS n, count(*) FILTER (WHERE state = 'OBSERVED') AS observed, list(DISTINCT o.id) AS oids FROM o JOIN d USING (document_id) LEFT JOIN single USING (document_id) GROUP BY ALL),
+ se AS (SELECT o.id AS oid, o.document_id, 'h ' || o.id % 3 * 50 + 100 || '*50' AS spelt, 'H-' || o.id % 3 * 50 + 100 || 'x50' AS des, project_key, project_name FROM o JOIN d USING (document_id) WHERE n = 2), seid AS (SELECT *, 'kg:sec:' || project_key || ':' || des AS id FROM se),
+ us AS (SELECT o.document_id, o.kind, seid.id AS section_id, 'kg:eg:' || o.document_id || ':' || o.kind AS group_id FROM o JOIN (SELECT document_id, min(oid) AS oid FROM se GROUP BY 1) USING (document_id) JOIN seid USING (oid) WHERE n = 3),
+ ch AS (SELECT *, row_number() OVER w AS place, lag('kg:d:' || document_id) OVER w AS before, count(*) OVER (PARTITION BY project_key, series) AS revisions, 'kg:d:' || document_id AS drawing, 'kg:ser:' || project_key || ':' || substr(sha256(series), 1, 12) AS id FROM d WINDOW w AS (PARTITION BY project_key, series ORDER BY date, mtime, name, document_id) QUALIFY revisions > 1),
+ st AS (SELECT DISTINCT 'kg:st:' || project_key || ':' || level AS id, project_key, project_name, level FROM (SELECT project_key, project_name, level FROM shown JOIN d USING (document_id) UNION ALL SELECT project_key, project_name, level FROM sp WHERE level IS NOT NULL)),
+ """
+IDS = "coalesce(array_to_string(list_sort(list_distinct(list({}) FILTER (WHERE {} IS NOT NULL)))[1:20], ','), '')"
+
+
+@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39 P-20", KG + f"""titled AS (SELECT document_id, arg_min(number, id) FILTER (WHERE number IS NOT NULL) AS bn, arg_min(title, id) FILTER (WHERE title IS NOT NULL) AS bt, list_sort(list(DISTINCT category)) AS cats FROM sh GROUP BY 1),
+ ec AS (SELECT document_id, '{{{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}}}' AS counts FROM eg GROUP BY 1), mk AS (SELECT section_id, '{{{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}}}' AS counts FROM (SELECT section_id, kind, count(*) AS n FROM us GROUP BY ALL) GROUP BY 1),
+ ph AS (SELECT DISTINCT project_key, project_name, phase FROM d WHERE phase IS NOT NULL), dc AS (SELECT project_key, '{{{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}}}' AS counts FROM (SELECT project_key, coalesce(discipline, 'UNKNOWN') AS k, count(*) AS n FROM d GROUP BY ALL) GROUP BY 1),
+ space_rows AS (SELECT id, project_key, project_name, level, room_key, min(room) AS name, count(*) AS occ, list_sort(list(DISTINCT number) FILTER (WHERE number IS NOT NULL)) AS numbers, (list(area ORDER BY oid) FILTER (WHERE area IS NOT NULL))[1:10] AS areas, {IDS.format('oid', 'oid')} AS oids, {IDS.format('document_id', 'oid')} AS dids FROM spid GROUP BY ALL),
+ x AS (SELECT 'kg:p:' || p.project_key AS id, p.project_key, 'Project' AS type, project_name AS name, json_object('drawings', drawings, 'storeys', (SELECT count(*) FROM st WHERE st.project_key = p.project_key), 'spaces', (SELECT count(*) FROM space_rows s WHERE s.project_key = p.project_key), 'sections', (SELECT count(DISTINCT id) FROM seid s WHERE s.project_key = p.project_key), 'phases', (SELECT coalesce(list_sort(list(phase)), []) FROM ph WHERE ph.project_key = p.project_key), 'disciplines', dc.counts::JSON, 'file_types', ('{{{{"dwg":' || drawings || '}}}}')::JSON) AS props, '' AS object_ids, dids AS document_ids, '' AS words
+   FROM (SELECT project_key, project_name, count(*) AS drawings, {IDS.format('document_id', 'document_id')} AS dids FROM d GROUP BY ALL) p JOIN dc USING (project_key)
+ UNION ALL SELECT 'kg:ph:' || project_key || ':' || substr(sha256(phase), 1, 10), project_key, 'Phase', phase, json_object('project', project_name), '', '', '' FROM ph
+ UNION ALL SELECT 'kg:d:' || document_id, d.project_key, 'Drawing', d.name, json_object('sheet_number', d.number, 'title', d.title, 'date', d.date, 'discipline', d.discipline, 'phase', d.phase, 'mtime', d.mtime, 'file_type', 'dwg', 'sheet_number_titleblock', bn, 'title_titleblock', bt, 'categories', coalesce(cats, []), 'element_counts', counts::JSON, 'series_latest', place = revisions), '', CAST(document_id AS VARCHAR),
+   '도면 ' || concat_ws(' ', d.number, d.title, bt, CASE d.discipline WHEN 'ARCH' THEN '건축' WHEN 'STRUCT' THEN '구조' WHEN 'MECH' THEN '기계' END, d.phase, array_to_string(cats, ' ')) FROM d LEFT JOIN titled USING (document_id) LEFT JOIN ec USING (document_id) LEFT JOIN (SELECT document_id, place, revisions FROM ch) USING (document_id)
+ UNION ALL SELECT id, project_key, 'DrawingSeries', arg_max(coalesce(number, title), place), json_object('series_key', series, 'revisions', revisions, 'latest', arg_max(drawing, place)), '', array_to_string((list(document_id ORDER BY place))[1:20], ','), '' FROM ch GROUP BY id, project_key, project_name, series, revisions
+ UNION ALL SELECT 'kg:sh:' || id, project_key, 'Sheet', coalesce(nullif(concat_ws(' ', number, title), ''), layout), json_object('layout', layout, 'number', number, 'title', title, 'scale', '1:100', 'category', category, 'storey', level), CAST(id AS VARCHAR), CAST(document_id AS VARCHAR), '시트 도곽 ' || layout || ' ' || category FROM sh
+ UNION ALL SELECT st.id, st.project_key, 'Storey', st.level, json_object('level', st.level, 'order', [1, CAST(left(st.level, length(st.level) - 1) AS INTEGER)], 'project', st.project_name), '', {IDS.format('s.document_id', 's.document_id')}, '층' FROM st LEFT JOIN (SELECT 'kg:st:' || project_key || ':' || level AS id, document_id FROM shown JOIN d USING (document_id)) s ON s.id = st.id GROUP BY st.id, st.project_key, st.level, st.project_name
+ UNION ALL SELECT id, project_key, 'Space', name, json_object('room_key', room_key, 'storey', level, 'areas', coalesce(areas, []), 'room_numbers', coalesce(numbers, []), 'occurrences', occ), oids, dids, '실 공간 ' || concat_ws(' ', level, array_to_string(numbers, ' ')) FROM space_rows
+ UNION ALL SELECT id, project_key, 'ElementGroup', drawing || ' ' || ko, json_object('kind', kind, 'kind_ko', ko, 'count', n, 'observed', observed, 'drawing', drawing, 'storey', level), array_to_string(list_sort(oids)[1:20], ','), CAST(document_id AS VARCHAR), concat_ws(' ', ko, level) FROM eg
+ UNION ALL SELECT id, project_key, 'SteelSection', des, json_object('designation', des, 'occurrences', count(*), 'member_kinds', any_value(counts)::JSON), {IDS.format('oid', 'oid')}, {IDS.format('document_id', 'oid')}, '철골 형강 단면' FROM seid LEFT JOIN mk ON section_id = id GROUP BY id, project_key, project_name, des)
+SELECT id, project_key, type, name, CAST(props AS VARCHAR) AS props, object_ids, document_ids, trim(regexp_replace(type || ' ' || name || ' Project ' || project_key || ' ' || words, '\\s+', ' ', 'g')) AS search_text FROM x""")
 def kg_nodes(t, spark):
-    return _parts(t)[0].select("id", "project_key", "type", "name", "search_text")
+    out = graph_build.build(parts(t)).nodes
+    return out.select("id", "project_key", "type", "name", "props", *[F.array_join(c, ",").alias(c) for c in ("object_ids", "document_ids")], "search_text")
+
+
+@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39", KG + """e AS (SELECT 'kg:p:' || project_key AS src, 'hasDrawing' AS predicate, 'kg:d:' || document_id AS dst, '{{}}' AS props FROM d
+ UNION ALL SELECT DISTINCT 'kg:p:' || project_key, 'hasPhase', 'kg:ph:' || project_key || ':' || substr(sha256(phase), 1, 10), '{{}}' FROM d WHERE phase IS NOT NULL UNION ALL SELECT 'kg:ph:' || project_key || ':' || substr(sha256(phase), 1, 10), 'hasDrawing', 'kg:d:' || document_id, '{{}}' FROM d WHERE phase IS NOT NULL
+ UNION ALL SELECT 'kg:d:' || document_id, 'hasSheet', 'kg:sh:' || id, '{{}}' FROM sh UNION ALL SELECT 'kg:sh:' || id, 'depictsStorey', 'kg:st:' || project_key || ':' || level, '{{}}' FROM sh WHERE level IS NOT NULL
+ UNION ALL SELECT id, 'hasRevision', drawing, '{{"order":' || place - 1 || '}}' FROM ch UNION ALL SELECT drawing, 'supersedes', before, '{{"by":"date"}}' FROM ch WHERE before IS NOT NULL
+ UNION ALL SELECT 'kg:p:' || project_key, 'hasStorey', id, '{{}}' FROM st UNION ALL SELECT 'kg:d:' || document_id, 'depictsStorey', 'kg:st:' || project_key || ':' || level, '{{}}' FROM shown JOIN d USING (document_id)
+ UNION ALL SELECT DISTINCT 'kg:d:' || document_id, 'depictsSpace', id, '{{}}' FROM spid UNION ALL SELECT DISTINCT 'kg:st:' || project_key || ':' || level, 'hasSpace', id, '{{}}' FROM spid WHERE level IS NOT NULL
+ UNION ALL SELECT 'kg:d:' || document_id, 'hasElements', id, '{{}}' FROM eg UNION ALL SELECT 'kg:st:' || project_key || ':' || level, 'hasElements', id, '{{}}' FROM eg WHERE level IS NOT NULL
+ UNION ALL SELECT DISTINCT 'kg:d:' || document_id, 'usesSection', id, '{{}}' FROM seid UNION ALL SELECT DISTINCT 'kg:p:' || project_key, 'usesSection', id, '{{}}' FROM seid UNION ALL SELECT DISTINCT group_id, 'hasSection', section_id, '{{}}' FROM us) SELECT * FROM e""")
+def kg_edges(t, spark):
+    return graph_build.build(parts(t)).edges
 
 
-@query("G-05 G-06 G-07 G-08 G-09 G-10 A-38 A-39", KG + """s AS (SELECT *, 'kg:sp:' || project_key || ':' || coalesce(level, 'NA') || ':' || substr(sha256(room), 1, 12) AS space, 'kg:st:' || project_key || ':' || level AS storey FROM i),
-e AS (SELECT 'kg:p:' || project_key AS src, 'hasDrawing' AS predicate, 'kg:d:' || document_id AS dst FROM {drawings} UNION ALL SELECT 'kg:d:' || document_id, 'inSeries', 'kg:se:' || project_key || ':' || substr(sha256('t:planx' || o_custkey), 1, 12) FROM {drawings}
- UNION ALL SELECT 'kg:p:' || project_key, 'hasStorey', storey FROM s WHERE level IS NOT NULL UNION ALL SELECT storey, 'hasSpace', space FROM s WHERE level IS NOT NULL UNION ALL SELECT 'kg:d:' || document_id, 'depicts', space FROM s
- UNION ALL SELECT 'kg:d:' || document_id, 'uses', 'kg:sec:' || project_key || ':H-100x50' FROM s WHERE n = 1 UNION ALL SELECT 'kg:d:' || document_id, 'hasGroup', 'kg:eg:' || document_id || ':' || kind FROM s
- UNION ALL SELECT src, 'supersedes', dst FROM (SELECT 'kg:d:' || document_id AS src, 'kg:d:' || lag(document_id) OVER (PARTITION BY project_key, o_custkey ORDER BY modified, document_id) AS dst FROM {drawings}) WHERE dst IS NOT NULL) SELECT DISTINCT * FROM e""")
-def kg_edges(t, spark):
-    return _parts(t)[1].select("src", "predicate", "dst")
+@query("G-05 G-06 G-10 S-37", KG + """a AS (SELECT 'project_id' AS alias_type, project_key AS alias, 'kg:p:' || project_key AS node_id FROM d UNION ALL SELECT 'project_name', project_name, 'kg:p:' || project_key FROM d UNION ALL SELECT 'sheet_number', number, 'kg:d:' || document_id FROM d WHERE number IS NOT NULL
+ UNION ALL SELECT 'sheet_number', number, 'kg:sh:' || id FROM sh WHERE number IS NOT NULL UNION ALL SELECT 'room_name', room, id FROM spid UNION ALL SELECT 'section', spelt, id FROM seid) SELECT DISTINCT * FROM a""")
+def kg_aliases(t, spark):
+    return graph_build.build(parts(t)).aliases
 
 
 @query("W-02 G-07 G-26", """SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS place, lag(o_orderkey) OVER w AS supersedes, row_number() OVER w = count(*) OVER (PARTITION BY o_custkey) AS is_latest FROM orders
@@ -213,19 +293,35 @@ def kg_fingerprint_skip(t, spark):
     return knowledge.changed(rows, built, "project_key", F.col("name")).select("project_key", "action")
 
 
-COMMUNITY = """c AS (SELECT 'kc:' || project_key AS id, 0 AS level, count(*) AS members, list_sort(list(document_id))[1:80] AS facts FROM {drawings} GROUP BY project_key
- UNION ALL SELECT 'kc:' || project_key || ':' || discipline, 1, count(*), list_sort(list(document_id))[1:80] FROM {drawings} WHERE discipline IS NOT NULL GROUP BY project_key, discipline HAVING count(*) >= 2)"""
-
-
-@query("G-13 X-34", f"WITH {COMMUNITY} SELECT id, level, members, sha256('prompt-1|' || array_to_string(facts, ',')) AS input_hash FROM c")
+JOINED = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), chr(10))"
+COMMUNITY = KG + f"""titled AS (SELECT document_id, arg_min(title, id) FILTER (WHERE title IS NOT NULL) AS bt FROM sh GROUP BY 1),
+ dr AS (SELECT document_id, project_key, project_name, coalesce(discipline, 'UNKNOWN') AS code, CASE discipline WHEN 'ARCH' THEN '건축' WHEN 'STRUCT' THEN '구조' WHEN 'MECH' THEN '기계' END AS ko, coalesce(number, '~') AS k1, name AS k2, 'kg:d:' || document_id AS k3,
+   '도면: ' || concat_ws(' ', number, title) || ' (' || array_to_string(list_filter([ko, phase, date], lambda x: x IS NOT NULL), ', ') || ')' AS fact FROM d),
+ spn AS (SELECT id, project_key, level, min(room) AS name, (list(area ORDER BY oid) FILTER (WHERE area IS NOT NULL))[1] AS area FROM spid GROUP BY ALL), stl AS (SELECT id, project_key, project_name, des, count(*) AS occ FROM seid GROUP BY ALL),
+ mk AS (SELECT section_id, string_agg(CASE kind WHEN 'Door' THEN '문' WHEN 'Window' THEN '창호' ELSE '벽' END || ' ' || n, ', ' ORDER BY kind) AS uses FROM (SELECT section_id, kind, count(*) AS n FROM us GROUP BY ALL) GROUP BY 1),
+ pk AS (SELECT project_key, string_agg(ko || ' ' || n, ', ' ORDER BY n DESC, kind) AS f FROM (SELECT project_key, kind, ko, sum(n) AS n FROM eg GROUP BY ALL) GROUP BY 1), sk AS (SELECT project_key, level, string_agg(ko || ' ' || n, ', ' ORDER BY n DESC, kind) AS f FROM (SELECT project_key, level, kind, ko, sum(n) AS n FROM eg WHERE level IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ pd AS (SELECT project_key, string_agg(coalesce(ko, '미분류') || ' ' || n, ', ' ORDER BY n DESC, code) AS f FROM (SELECT project_key, code, ko, count(*) AS n FROM dr GROUP BY ALL) GROUP BY 1), ps AS (SELECT project_key, string_agg(level, ', ' ORDER BY CAST(left(level, length(level) - 1) AS INTEGER)) AS f FROM st GROUP BY 1),
+ pr AS (SELECT project_key, array_to_string((list(name ORDER BY n DESC, name))[1:25], ', ') AS f FROM (SELECT project_key, name, count(*) AS n FROM spn GROUP BY ALL) GROUP BY 1), pt AS (SELECT project_key, array_to_string((list(des || '(' || occ || ')' ORDER BY occ DESC, des))[1:15], ', ') AS f FROM stl GROUP BY 1),
+ pp AS (SELECT project_key, string_agg(DISTINCT phase, ', ' ORDER BY phase) AS f FROM d WHERE phase IS NOT NULL GROUP BY 1), pl AS (SELECT project_key, project_name, count(*) AS n, array_to_string((list(fact ORDER BY k1, k2, k3))[1:40], chr(10)) AS f FROM dr GROUP BY ALL),
+ sr AS (SELECT project_key, level, count(*) AS n, array_to_string((list(name || coalesce('(' || area || '㎡)', '') ORDER BY name, id))[1:40], ', ') AS f FROM spn WHERE level IS NOT NULL GROUP BY ALL), sd AS (SELECT project_key, level, count(*) AS n, array_to_string((list(fact ORDER BY k1, k2, k3))[1:30], chr(10)) AS f FROM shown JOIN dr USING (document_id) GROUP BY ALL),
+ c AS (SELECT 'kgc:' || pl.project_key || ':0' AS id, pl.project_key, 0 AS level, project_name || ' 프로젝트 개요' AS title, 1 AS members, {JOINED.format("'프로젝트: ' || project_name, '도면 수: ' || pl.n, '단계 폴더: ' || pp.f, '공종별 도면 수: ' || pd.f, '파일 형식: dwg ' || pl.n, '층: ' || ps.f, '주요 실: ' || pr.f, '도면 요소 수(후보 포함): ' || pk.f, '철골 단면: ' || pt.f, pl.f")} AS facts
+   FROM pl LEFT JOIN pp USING (project_key) LEFT JOIN pd USING (project_key) LEFT JOIN ps USING (project_key) LEFT JOIN pr USING (project_key) LEFT JOIN pk USING (project_key) LEFT JOIN pt USING (project_key)
+  UNION ALL SELECT 'kgc:' || project_key || ':1:disc:' || code, project_key, 1, project_name || ' ' || coalesce(ko, '미분류') || ' 도면', count(*), '프로젝트: ' || project_name || chr(10) || coalesce(ko, '미분류') || ' 도면 ' || count(*) || '건' || chr(10) || array_to_string((list(fact ORDER BY k1, k2, k3))[1:78], chr(10)) FROM dr GROUP BY project_key, project_name, code, ko HAVING count(*) >= 2
+  UNION ALL SELECT 'kgc:' || st.project_key || ':1:storey:' || st.level, st.project_key, 1, project_name || ' ' || st.level, 1 + coalesce(sr.n, 0) + coalesce(sd.n, 0), {JOINED.format("'프로젝트: ' || project_name, '층: ' || st.level, '실: ' || sr.f, '요소 수(후보 포함): ' || sk.f, sd.f")} FROM st LEFT JOIN sr ON sr.project_key = st.project_key AND sr.level = st.level LEFT JOIN sk ON sk.project_key = st.project_key AND sk.level = st.level LEFT JOIN sd ON sd.project_key = st.project_key AND sd.level = st.level
+  UNION ALL SELECT 'kgc:' || project_key || ':1:steel', project_key, 1, project_name || ' 철골 단면', count(*), '프로젝트: ' || project_name || chr(10) || '철골 단면 ' || count(*) || '종' || chr(10) || string_agg('단면 ' || des || ': 표기 ' || occ || '회' || coalesce(', 부재 ' || uses, ''), chr(10) ORDER BY occ DESC, des) FROM stl LEFT JOIN mk ON section_id = id GROUP BY project_key, project_name)"""
+
+
+@query("G-13 X-34 G-16", COMMUNITY + " SELECT id, project_key, CAST(level AS INTEGER) AS level, title, members, facts, sha256('prompt-1' || chr(10) || facts) AS input_hash FROM c")
 def communities_rule(t, spark):
-    return knowledge.communities(t("drawings")).select("id", "level", "members", "input_hash")
+    own = graph_build.build(parts(t))
+    return knowledge.communities(own.nodes, own.edges).select("id", "project_key", "level", "title", "members", F.array_join("facts", "\n").alias("facts"), "input_hash")
 
 
-@query("G-15 G-16", f"WITH {COMMUNITY} SELECT id, CASE WHEN id LIKE 'kc:P1%' THEN 'new' WHEN id LIKE '%:MECH' THEN 'changed' ELSE 'unchanged' END AS status FROM c")
+@query("G-15 G-16", COMMUNITY + " SELECT id, CASE WHEN id LIKE 'kgc:P1%' THEN 'new' WHEN id LIKE '%:MECH' THEN 'changed' ELSE 'unchanged' END AS status FROM c")
 def community_refresh_status(t, spark):
-    now = knowledge.communities(t("drawings"))
-    before = now.where(~F.startswith("id", F.lit("kc:P1"))).withColumn("input_hash", F.when(F.endswith("id", F.lit(":MECH")), "old").otherwise(F.col("input_hash")))
+    own = graph_build.build(parts(t))
+    now = shared(knowledge.communities(own.nodes, own.edges).select("id", "input_hash"), "communities")
+    before = now.where(~F.startswith("id", F.lit("kgc:P1"))).withColumn("input_hash", F.when(F.endswith("id", F.lit(":MECH")), "old").otherwise(F.col("input_hash")))
     return knowledge.refresh(now, before)
 
 

@@ -1,8 +1,10 @@
 """Spatial relations, object constructors, question parsing and retrieval on hand-made sheets."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from draftlake.operators import ask, relations as rel
+from draftlake.operators import ask, joins, relations as rel
 from draftlake.sources import files
 
 WALL = "sheet string, id string, idx long, points array<struct<x:double,y:double>>, closed boolean"
@@ -38,10 +40,74 @@ def test_profiles_and_walls(spark):
     assert [(r.id, r.other, round(r.gap, 6)) for r in rel.wall_pairs(faces, 1.0, 5.0).collect()] == [(1, 2, 2.0)]
 
 
+def test_greedy_match_equals_the_order_of_takers(spark):
+    rng = random.Random(3)
+    for _ in range(3):
+        pairs = [(t, rng.randrange(10), i, float(rng.randrange(6))) for t in range(30) for i in rng.sample(range(25), rng.randrange(6))]
+        place = {t: p for t, p, _, _ in reversed(pairs)}
+        pairs = [(t, place[t] * 100 + t, i, c) for t, _, i, c in pairs]
+        used, want = set(), set()
+        for t in sorted(place, key=lambda t: place[t] * 100 + t):
+            free = [(c, i) for u, _, i, c in pairs if u == t and i not in used]
+            if free:
+                c, i = min(free)
+                used.add(i)
+                want.add((t, i, c))
+        got = rel.one_use(spark.createDataFrame(pairs, "taker int, place int, item int, cost double")).collect()
+        assert {tuple(r) for r in got} == want
+    assert rel.one_use(spark.createDataFrame([], "taker int, place int, item int, cost double")).count() == 0
+
+
+def test_boxes_of_any_size_meet_in_few_cells(spark):
+    rng = random.Random(4)
+
+    def boxes(n):
+        out = []
+        for k in range(n):
+            w, h = 10 ** rng.uniform(-1, 4), 10 ** rng.uniform(-1, 4)
+            x, y = rng.uniform(-2000, 2000), rng.uniform(-2000, 2000)
+            out.append((k, rng.randrange(2), x, y, x + w * (rng.random() > 0.1), y + h))
+        return out
+
+    a, b = boxes(150), boxes(150)
+    schema = "id int, sheet int, min_x double, min_y double, max_x double, max_y double"
+    p, q = (spark.createDataFrame(x, schema) for x in (a, b))
+    want = {(r[0], s[0]) for r in a for s in b if r[1] == s[1] and r[2] <= s[4] and s[2] <= r[4] and r[3] <= s[5] and s[3] <= r[5]}
+    rows = joins.overlapping(p, q, 5.0, ("sheet",)).collect()
+    assert {(r.id, r.b_id) for r in rows} == want and len(rows) == len(want)
+    one = spark.createDataFrame([(0, 0, 0.0, 0.0, 1e9, 1e9)], schema)
+    assert joins.placed(one, 1.0, one, (0, 1), 2).count() <= 2 * 4  # a continent in a grid of ones
+    assert joins.overlapping(p, q.limit(0), 5.0).count() == 0
+
+
+def cross(a, b, c, d):
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+
+
+def test_sights_equal_brute_force(spark):
+    rng = random.Random(5)
+    at = lambda: (float(rng.randrange(100)), float(rng.randrange(60)))
+    walls = [(s, *at(), *at()) for s in range(3) for _ in range(12)] + [(0, 5.0, 5.0, 5.0, 5.0)]
+    elements = [(s, 100 * s + k, *at()) for s in range(4) for k in range(25)]
+    rooms = [(s, 100 * s + k, *at()) for s in range(4) for k in range(12)]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = rel.nearest_in_sight(make(elements, "sheet int, id int, x double, y double"), make(rooms, "sheet int, id int, x double, y double"), make(walls, "sheet int, x1 double, y1 double, x2 double, y2 double")).collect()
+    want = {}
+    for s, e, x, y in elements:
+        seen = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, r) for t, r, u, v in rooms if t == s and not any(w[0] == s and cross((x, y), (u, v), w[1:3], w[3:5]) for w in walls)]
+        if seen:
+            want[e] = min(seen)[1]
+    assert {r.id: r.space for r in got} == want and len(got) == len(want)
+
+
 def test_sheets_and_objects(spark, tmp_path):
-    sheets = spark.createDataFrame([("S", "A-101", "3층 평면도", "plan"), ("T", None, "3층 상세", "detail")], "sheet string, number string, title string, category string")
+    sheets = spark.createDataFrame([("S", "P", "A-101", "3층 평면도", "plan"), ("T", "P", None, "3층 상세", "detail")], "sheet string, project string, number string, title string, category string")
+    blocks = spark.createDataFrame([("S", "b2", 5), ("S", "b1", 3)], "sheet string, id string, idx int")
     spaces = spark.createDataFrame([("S", "r1"), ("T", "r2")], "sheet string, id string")
-    assert {(r.subject, r.predicate, r.object) for r in rel.sheet_relations(sheets, spaces).collect()} == {("sheet:A-101", "depicts", "r1"), ("sheet:T", "depicts", "r2"), ("r1", "onStorey", "storey:3F")}
+    got = {(r.subject, r.predicate, r.object) for r in rel.sheet_relations(sheets, spaces, blocks).collect()}
+    project, storey = "aec://project/P", "storey:3F"
+    assert got == {(project, "containsElement", "sheet:A-101"), (project, "containsElement", "sheet:T"), (project, "containsElement", storey), ("sheet:A-101", "depicts", storey), ("sheet:A-101", "depicts", "r1"), ("sheet:T", "depicts", "r2"), (storey, "hasSpace", "r1"), ("r1", "onStorey", storey), ("sheet:A-101", "hasTitleBlock", "b1")}
     path = tmp_path / "h.ifc"
     path.write_text("DATA;\n#1=IFCWALL('g',$,'W',$);\n#2=IFCPIPE('p',$,$,$);\n#3=IFCRELAGGREGATES('r',$,$,$,#1,(#2));\nENDSEC;")
     assert {(r.entity_id, r.type, r.confidence) for r in rel.ifc_objects(files.ifc(spark, str(path)), "P").collect()} == {(1, "Wall", 1.0), (2, "IFCEntity", 0.65)}
