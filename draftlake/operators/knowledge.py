@@ -138,10 +138,10 @@ def citations(items: DataFrame, objects: DataFrame, documents: DataFrame) -> Dat
 
 
 def extract_answer(contexts: DataFrame, most: int = 5) -> DataFrame:
-    """Extractive answer of each question: its best contexts, cited; a refusal where there is none."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cid", "text"))), 1, most)
-    lines = F.array_join(F.transform("best", lambda x: F.concat(F.lit("["), x["cid"], F.lit("] "), x["text"])), "\n")
-    return contexts.groupBy("question_id").agg(best.alias("best")).select("question_id", F.when(F.size("best") > 0, lines).otherwise("no evidence").alias("answer"))
+    """Extractive answer of each question: its best contexts, cited. A window limits the contexts before they are gathered."""
+    cited = F.concat(F.lit("["), "cid", F.lit("] "), "text")
+    best = listed(contexts, ["question_id"], [F.desc("score"), F.col("cid"), F.col("text")], cited, most, "lines")
+    return best.select("question_id", F.array_join("lines", "\n").alias("answer"))
 
 
 def valid_citations(answer: Column, known: Column) -> Column:

@@ -110,12 +110,17 @@ def memory(objects: DataFrame, project_of: str, question: str, k: int) -> DataFr
 
 
 def similar_projects(features: DataFrame, k: int) -> DataFrame:
-    """Pairs of projects (project, feature) by Jaccard: shared features by an equi-join, sizes added after."""
-    own = features.distinct()
+    """The k pairs of projects (project, feature) of largest Jaccard coefficient, with their scores.
+
+    Features that the same projects have count together: pairs are made of the distinct sets of projects, not of every
+    feature, so that what all projects share is one row.
+    """
+    own = features.where(F.col("project").isNotNull() & F.col("feature").isNotNull()).distinct()
     size = own.groupBy("project").agg(F.count("*").alias("n"))
-    a, b = own.alias("a"), own.alias("b")
-    both = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("a.project") < F.col("b.project")))
-    common = both.groupBy(F.col("a.project").alias("project"), F.col("b.project").alias("other")).agg(F.count("*").alias("common"))
+    sets = own.groupBy("feature").agg(F.array_sort(F.collect_list("project")).alias("projects")).groupBy("projects").agg(F.count("*").alias("common"))
+    each = sets.where(F.size("projects") > 1).select("projects", "common", F.posexplode("projects").alias("at", "project"))
+    pairs = each.select("project", "common", F.explode(F.slice("projects", F.col("at") + 2, F.size("projects"))).alias("other"))
+    common = pairs.groupBy("project", "other").agg(F.sum("common").alias("common"))
     out = common.join(size, "project").join(size.select(F.col("project").alias("other"), F.col("n").alias("m")), "other")
     return out.select("project", "other", (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("score")).orderBy(F.desc("score"), "project", "other").limit(k)
 

@@ -273,7 +273,7 @@ def layer_classifiers(t, spark):
     layer = F.when(F.col("p_type") == "ECONOMY", "A-ELEV-OTLN").when(F.col("p_type") == "SMALL", "S-STL").otherwise("X-0")
     none = F.lit(None).cast("string")
     own = t("part").select("p_partkey", F.lit("LINE").alias("entity_type"), layer.alias("layer"), none.alias("block"), none.alias("attributes"))
-    return rules.classified(own).select("p_partkey", "label")
+    return rules.classified(own, distinct=True).select("p_partkey", "label")
 
 
 @query("S-32 G-27 G-29", "SELECT id, name FROM {nodes} WHERE contains(lower(name), 'nation_2') ORDER BY length(name), name, id LIMIT 10")

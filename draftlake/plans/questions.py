@@ -92,6 +92,9 @@ RULE_CASES = [
     ("LINE", "BED", None, None, "Furniture", 0.86, "hybrid_rules"),
     ("LINE", "BEDROOM", None, None, "CADEntity", 0.35, "fallback"),
     ("LINE", "MARKET", None, None, "CADEntity", 0.35, "fallback"),
+    ("INSERT", "0", "A1_TITLE", None, "TitleBlock", 0.9, "attribute_rules"),
+    ("INSERT", "도곽", "X", None, "TitleBlock", 0.9, "attribute_rules"),
+    ("INSERT", "BORDER-LINE", "DOOR", None, "TitleBlock", 0.9, "attribute_rules"),
 ]
 #: Question; route, intents, storeys, kinds, sections, sheets, rooms, refusal, asked attribute, memory route.
 QUESTIONS = [

@@ -263,7 +263,7 @@ def rule_classify(t, spark):
     layer = F.when(k == 1, "A-WALL").when(k == 2, "S_STRS").when(k == 3, "A-DOOR").otherwise("0")
     block = F.when(k == 0, "DOOR_900").when(k == 4, "AW")
     own = t("part").select("p_partkey", kind.alias("entity_type"), layer.alias("layer"), block.alias("block"), F.lit(None).cast("string").alias("attributes"))
-    return rules.classified(own).select("p_partkey", "label", "confidence")
+    return rules.classified(own, distinct=True).select("p_partkey", "label", "confidence")
 
 
 @query("S-28 S-60")

@@ -167,3 +167,11 @@ def test_ingest(spark, tmp_path):
         streams.ingest(spark, str(tmp_path / "in"), str(tmp_path / "c"), handle, "*.txt").awaitTermination()
         (tmp_path / "in" / name).write_text("y")
     assert len(seen) == 2
+
+
+def test_distinct_inputs_give_the_same(spark):
+    rows = [(k, kind, layer, block, None, {"DWG_NO": "1"} if k % 7 == 0 else None) for k, (kind, layer, block) in enumerate([("INSERT", "0", "DOOR_900"), ("LINE", "A-WALL", None), ("INSERT", "BORDER", None), (None, None, None), ("INSERT", "0", "X")] * 6)]
+    df = spark.createDataFrame(rows, "id int, entity_type string, layer string, block string, attributes string, fields map<string,string>")
+    plain, once = ({tuple(map(str, r)) for r in rules.classified(df, distinct=d).collect()} for d in (False, True))
+    assert plain == once and len(plain) == 30
+    assert {r.label for r in rules.classified(df).where("entity_type = 'INSERT' and fields is not null").collect()} == {"TitleBlock"}
