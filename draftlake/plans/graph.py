@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import identity, spatial, text
-from draftlake.operators import blocks, communities, graph, graph_build, jobs, joins, knowledge, ranking
+from draftlake.operators import blocks, communities, graph, graph_build, jobs, joins, knowledge, ranking, shapes
 from draftlake.operators.tables import shared
 from draftlake.plans.adapters import query
 from draftlake.sinks import text as sinks
@@ -385,6 +387,31 @@ def shacl_value_shapes(t, spark):
     return graph.shape(triples, "segment", F.col("object").rlike("^[A-G]"), "pattern")
 
 
+@query("G-37", """WITH c AS (SELECT 'c' || c_custkey AS f, c_custkey AS k, c_nationkey AS n, c_acctbal AS b FROM customer), s AS (SELECT 's' || s_suppkey AS f, s_suppkey AS k, s_nationkey AS n FROM supplier),
+ v AS (SELECT 'CAIRObjectShape' AS shape, f AS focus, 'aec:sourceFile' AS path, NULL AS value, 'minCount' AS why FROM c WHERE k % 7 = 0 UNION ALL SELECT 'CAIRObjectShape', f, 'aec:projectId', NULL, 'maxCount' FROM c WHERE k % 11 = 0 UNION ALL SELECT 'CAIRObjectShape', f, 'aec:projectId', 'P' || n, 'datatype' FROM c WHERE k % 5 = 0
+  UNION ALL SELECT 'CAIRObjectShape', f, 'aec:classificationConfidence', CAST(k % 13 AS VARCHAR), 'maxInclusive' FROM c WHERE k % 13 > 1 UNION ALL SELECT 'CAIRObjectShape', f, 'aec:classificationState', 'UNKNOWN', 'in' FROM c WHERE k % 3 = 0 UNION ALL SELECT 'CAIRObjectShape', f, 'aec:hasGeometry', 'geom ' || k, 'nodeKind' FROM c WHERE k % 4 = 0
+  UNION ALL SELECT 'OnStoreyShape', f, 'aec:onStorey', NULL, 'maxCount' FROM c WHERE k % 2 = 0 UNION ALL SELECT 'OnStoreyShape', f, 'aec:onStorey', 'n' || n, 'class' FROM c WHERE n % 3 = 0 UNION ALL SELECT 'OnStoreyShape', f, 'aec:onStorey', 'x' || n, 'class' FROM c WHERE k % 2 = 0
+  UNION ALL SELECT 'SteelMemberShape', f, 'aec:hasSection', NULL, 'minCount' FROM s WHERE k % 5 = 0 UNION ALL SELECT 'SteelMemberShape', f, 'aec:hasSection', 'sec' || k, 'class' FROM s WHERE k % 5 > 0 AND k % 2 = 1
+  UNION ALL SELECT 'SteelSectionShape', 'sec' || k, 'aec:sectionDesignation', 'X' || k, 'pattern' FROM s WHERE k % 5 > 0 AND k % 2 = 0 AND k % 3 = 0) SELECT * FROM v""")
+def shape_violations(t, spark):
+    """Customers as objects on storeys, suppliers as members of steel: every violation of every shape in one plan."""
+    n, k, m = F.col("n_nationkey"), F.col("c_custkey"), F.col("s_suppkey")
+    fact = lambda rows, ok, s, p, o, kind="literal", datatype="xsd:string": rows.where(ok).select(s.alias("subject"), F.lit(p).alias("predicate"), o.cast("string").alias("object"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(datatype) if isinstance(datatype, str) or datatype is None else datatype).alias("datatype"))
+    c, s, yes = t("customer"), t("supplier"), F.lit(True)
+    me, you, section = F.concat(F.lit("c"), k), F.concat(F.lit("s"), m), F.concat(F.lit("sec"), m)
+    project, nation = F.concat(F.lit("P"), "c_nationkey"), F.concat(F.lit("n"), "c_nationkey")
+    iri = lambda rows, ok, x, p, o: fact(rows, ok, x, p, o, "IRI", None)
+    rows = [
+        fact(c, yes, me, "aec:projectId", project, "literal", F.when(k % 5 == 0, "xsd:integer").otherwise("xsd:string")), fact(c, k % 11 == 0, me, "aec:projectId", F.lit("second")), fact(c, k % 7 != 0, me, "aec:sourceFile", F.lit("f.dwg")),
+        fact(c, yes, me, "aec:classificationConfidence", k % 13, "literal", "xsd:decimal"), fact(c, yes, me, "aec:classificationState", F.when(k % 3 == 0, "UNKNOWN").otherwise("AUTO_ACCEPT")),
+        fact(c, yes, me, "aec:hasGeometry", F.concat(F.lit("geom "), k), F.when(k % 4 == 0, "literal").otherwise("IRI"), None), iri(c, yes, me, "aec:onStorey", nation), iri(c, k % 2 == 0, me, "aec:onStorey", F.concat(F.lit("x"), "c_nationkey")),
+        iri(t("nation"), n % 3 != 0, F.concat(F.lit("n"), n), "rdf:type", F.when(n % 3 == 1, "aec:Storey").otherwise("aec:Basement")),
+        iri(s, yes, you, "rdf:type", F.lit("aec:Column")), iri(s, m % 5 > 0, you, "aec:hasSection", section), iri(s, (m % 5 > 0) & (m % 2 == 0), section, "rdf:type", F.lit("aec:SteelSection")), fact(s, (m % 5 > 0) & (m % 2 == 0), section, "aec:sectionDesignation", F.when(m % 3 == 0, F.concat(F.lit("X"), m)).otherwise(F.concat(F.lit("H-"), m))),
+    ]
+    known = spark.createDataFrame([("aec:Basement", "aec:Underground"), ("aec:Underground", "aec:Storey"), ("aec:Column", "aec:SteelMember")], "sub string, super string")
+    return shapes.violations(reduce(DataFrame.unionByName, rows), known)
+
+
 @query("G-38", "SELECT count(*) > 0 AS has_orders, count(*) FILTER (WHERE o_custkey IS NULL) = 0 AS all_owned, count(DISTINCT o_orderkey) = count(*) AS unique_keys FROM orders")
 def repository_audit(t, spark):
     return t("orders").agg((F.count("*") > 0).alias("has_orders"), (F.count_if(F.col("o_custkey").isNull()) == 0).alias("all_owned"), (F.countDistinct("o_orderkey") == F.count("*")).alias("unique_keys"))
