@@ -3,8 +3,9 @@
 The distinct 5-word shingles of a text (fewer words: the whole sequence as one) are hashed once. The upper bits of a hash
 name its bin, the rest is its value, and each bin keeps its least. An empty bin borrows by optimal densification: bin i
 looks at the bins start(i), start(i) + step(i), start(i) + 2 step(i), ... modulo the number of bins, an order of its own
-that meets every bin once, and takes the value of the first that is filled. Of every bin the low-order bits are kept,
-packed into 64-bit numbers. Two fingerprints agree in a bin with probability J + (1 - J) / 2**bits, which the likeness
+that meets every bin once, and takes the value of the first that is filled. Of every bin's value a few low-order bits are
+kept, packed into 64-bit numbers; where they begin differs from bin to bin, so that bins that borrow one and the same
+value do not all agree by one chance. Two fingerprints agree in a bin with probability J + (1 - J) / 2**bits, which the likeness
 solves for the Jaccard coefficient J.
 """
 
@@ -62,7 +63,8 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS, bits: int =
     none = (1 << low) - 1
     width = bins.bit_length()
     field = lambda o, k: F.shiftright(o, k * width).bitwiseAND(F.lit((1 << width) - 1))
-    order = numbers([sum(v << k * width for k, v in enumerate(x)) for x in zip(*orders(bins), strict=True)], "bigint")
+    shifts = [bits * (i % (low // bits)) for i in range(bins)]
+    order = numbers([sum(v << k * width for k, v in enumerate(x)) for x in zip(*orders(bins), shifts, strict=True)], "bigint")
     value = lambda x: x.bitwiseAND(F.lit(none))
     bin_of = lambda x: F.shiftright(x, low)
     within = lambda x: x.bitwiseAND(F.lit(bins - 1))
@@ -80,10 +82,11 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS, bits: int =
 
         probed = lambda d, o: F.coalesce(*[F.get(d, within(field(o, 0) + t * field(o, 1)).cast("int")) for t in range(PROBES)])
         borrowed = lambda d, some, o: F.coalesce(F.when(F.size(some) >= FEW, probed(d, o)), first(some, o))
-        return let(dense, lambda d: let(filled, lambda some: F.zip_with(d, order, lambda x, o: F.coalesce(x, borrowed(d, some, o)))))
+        kept = lambda x, o: F.call_function("shiftright", x, field(o, 3).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
+        return let(dense, lambda d: let(filled, lambda some: F.zip_with(d, order, lambda x, o: kept(F.coalesce(x, borrowed(d, some, o)), o))))
 
     def packed(full: Column) -> Column:
-        one = lambda j: F.aggregate(F.slice(full, j * per + 1, F.lit(per)), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, bits).bitwiseOR(x.bitwiseAND(F.lit((1 << bits) - 1))))
+        one = lambda j: F.aggregate(F.slice(full, j * per + 1, F.lit(per)), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, bits).bitwiseOR(x))
         return F.transform(F.sequence(F.lit(0), F.lit(bins // per - 1)), one)
 
     def binned(hashes: Column) -> Column:

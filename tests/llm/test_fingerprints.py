@@ -40,7 +40,7 @@ def packed(text, bins, bits):
     values = []
     for i, (a, s, _) in enumerate(zip(*fp.orders(bins), strict=True)):
         at = i if i in least else next(p for t in range(bins) if (p := (a + t * s) % bins) in least)
-        values.append(least[at] & ((1 << bits) - 1))
+        values.append(least[at] >> bits * (i % (low // bits)) & ((1 << bits) - 1))
     return values
 
 
@@ -116,6 +116,13 @@ def test_likeness_is_the_jaccard_coefficient(spark):
     assert (sum(d * d for d in off) / len(off)) ** 0.5 < 0.04 and max(map(abs, off)) < 0.15
 
 
+def test_likeness_of_short_texts(spark):
+    """A text of few shingles fills few bins, but what the others borrow does not agree by one chance."""
+    docs = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k}", f"a{k} b{k} c{k} d{k} e{k} g{k}") for k in range(300)]
+    near = [r[0] for r in spark.createDataFrame(docs, "id int, a string, b string").select(fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b")))).collect()]
+    assert max(abs(x - 1 / 3) for x in near) < 0.2 and abs(sum(near) / len(near) - 1 / 3) < 0.01
+
+
 def test_query_columns(spark):
     from draftlake.llm.registry import op11_document_fingerprints
 
