@@ -268,6 +268,13 @@ def title_terms(t, spark):
     return t("supplier").select("s_suppkey", F.array_join(text.relevance_terms(F.lit("H, (1.5) m.")), ";").alias("terms"))
 
 
+@query("S-62", "SELECT p_partkey, replace(p_name, ' ', ';') || ';' || p_size || '.5;' || p_type AS terms FROM part")
+def title_term_lists(t, spark):
+    """Terms of every title: punctuation goes, decimal points stay."""
+    title = F.concat("p_name", F.lit(", ("), "p_size", F.lit(".5) "), "p_type", F.lit("."))
+    return t("part").select("p_partkey", F.array_join(text.relevance_terms(title), ";").alias("terms"))
+
+
 @query("S-31 S-24", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'Wall' WHEN p_type = 'SMALL' THEN 'SteelSection' ELSE 'CADEntity' END AS label FROM part")
 def layer_classifiers(t, spark):
     layer = F.when(F.col("p_type") == "ECONOMY", "A-ELEV-OTLN").when(F.col("p_type") == "SMALL", "S-STL").otherwise("X-0")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.operators import relations
 from draftlake.operators.tables import shared_dir
 from draftlake.plans.adapters import query
 from draftlake.sources import files
@@ -239,8 +240,7 @@ def section_catalog_rows(t, spark):
 def worker_logs(t, spark):
     kind = F.col("event_type")
     line = text_of(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " worker ", F.when(kind == "view", "claim").when(kind == "click", "done").otherwise("idle"), " job=", F.col("event_id"))
-    own = t("events").groupBy((F.col("event_id") % 8).alias("name")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-    rows = files.worker_log(spark, stored(own, "name", F.col("body")) + "/*")
+    rows = files.worker_log(spark, stored_lines(t("events").withColumn("name", F.col("event_id") % 8), "name", "event_id", line) + "/*")
     return rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "job", "event")
 
 
@@ -259,6 +259,39 @@ def reader_dispatch(t, spark):
     return files.read(spark, path).select(owner().alias("file"), "vertices")
 
 
+@query("P-13 SC-07", """SELECT CAST(s_suppkey AS VARCHAR) AS feature_id, CASE s_suppkey % 4 WHEN 0 THEN 'Building' WHEN 1 THEN 'Road' WHEN 2 THEN 'OpenSpace' ELSE 'GISFeature' END AS type, CASE WHEN s_suppkey % 4 = 3 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
+ CASE WHEN s_suppkey % 4 = 3 THEN 'REQUIRES_REVIEW' ELSE 'ACCEPT_WITH_WARNING' END AS state, s_suppkey::DOUBLE AS min_x, s_suppkey::DOUBLE AS max_x FROM supplier""")
+def gis_object_types(t, spark):
+    """Objects of features by the first known property; other features stay generic and go to review."""
+    n = F.col("s_suppkey")
+    kind = F.when(n % 4 == 0, '"kind":"Building","landuse":"park"').when(n % 4 == 1, '"name":"x","category":"STREET"').when(n % 4 == 2, '"landuse":"park"').otherwise('"kind":"tunnel"')
+    one = text_of('{"type":"Feature","id":"', n, '","properties":{', kind, '},"geometry":{"type":"Point","coordinates":[', n, ",1]}}")
+    own = t("supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(one), ",").alias("body"))
+    rows = files.geojson(spark, stored(own, "s_nationkey", text_of('{"type":"FeatureCollection","features":[', F.col("body"), "]}")))
+    return relations.gis_objects(rows).select("feature_id", "type", "confidence", "state", "min_x", "max_x")
+
+
+@query("P-12 SC-06", """SELECT s_suppkey AS entity_id, CASE s_suppkey % 3 WHEN 0 THEN 'Wall' WHEN 1 THEN 'Storey' ELSE 'IFCEntity' END AS type, CASE WHEN s_suppkey % 3 = 2 THEN 0.65::DOUBLE ELSE 1.0::DOUBLE END AS confidence, CASE WHEN s_suppkey % 3 = 2 THEN 'REQUIRES_REVIEW' ELSE 'AUTO_ACCEPT' END AS state, s_name AS name FROM supplier""")
+def ifc_object_types(t, spark):
+    """Objects of entities by their class, without the relations between them."""
+    n = F.col("s_suppkey")
+    kind = F.when(n % 3 == 0, "IFCWALLSTANDARDCASE").when(n % 3 == 1, "IFCBUILDINGSTOREY").otherwise("IFCFLOWSEGMENT")
+    body = text_of("#", n, "=", kind, "('g", n, "',#5,'", F.col("s_name"), "',$);#", n + 1_000_000, "=IFCRELAGGREGATES('r", n, "',$,$,$,#", n, ",(#1));")
+    path = stored(*lines(t("supplier"), "s_nationkey", "s_suppkey", body, "ISO-10303-21;\nDATA;\n", "\nENDSEC;"))
+    return relations.ifc_objects(files.ifc(spark, path), "P").select("entity_id", "type", "confidence", "state", "name")
+
+
+@query("P-26 P-27 X-24 S-04", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN 'A-' || s_suppkey END AS number, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS title, CASE WHEN s_suppkey % 5 > 0 THEN '1:100' END AS scale FROM supplier
+ WHERE CAST(s_suppkey % 3 > 0 AS INTEGER) + CAST(s_suppkey % 2 = 0 AS INTEGER) + CAST(s_suppkey % 5 > 0 AS INTEGER) >= 2 AND (s_suppkey % 3 > 0 OR s_suppkey % 2 = 0)""")
+def title_block_fields(t, spark):
+    """Attributes of inserts as the fields of title blocks: two known ones at least, a number or title among them."""
+    n = F.col("s_suppkey")
+    tags = [(n % 3 > 0, F.when(n % 2 == 0, "DWG NO").otherwise("sheet_no"), F.concat(F.lit("A-"), n)), (n % 2 == 0, F.when(n % 4 == 0, "Drawing-Title").otherwise("도면명"), F.col("s_name")), (n % 5 > 0, F.lit("SCALE.A1"), F.lit("1:100")), (F.lit(True), F.lit("CHECKED BY"), F.lit("x"))]
+    rows = t("supplier").select(n.alias("id"), F.posexplode(F.array_compact(F.array(*[F.when(ok, F.struct(tag.alias("tag"), value.alias("value"))) for ok, tag, value in tags]))).alias("pos", "a"))
+    found = relations.attribute_map(rows.select("id", "pos", "a.tag", "a.value")).withColumn("block", relations.title_block(F.col("attributes")))
+    return found.where("block is not null").select("id", F.col("block.drawingNumber").alias("number"), F.col("block.drawingTitle").alias("title"), "block.scale")
+
+
 @query("P-13", "SELECT s_suppkey AS id, s_name AS label FROM supplier WHERE s_suppkey % 2 = 0")
 def gis_objects(t, spark):
     """Features with a name become objects of the canonical form."""
