@@ -103,14 +103,30 @@ def name_resolution(t, spark):
     return own.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
 
 
-@query("J-18 J-30", """WITH RECURSIVE r AS (SELECT id // 4 AS sheet, id, min_x AS x, min_y AS y, row_number() OVER (PARTITION BY id // 4 ORDER BY id) AS k FROM {marks}), l AS (SELECT id // 80 AS sheet, id AS label, max_x - 300 AS value, min_x AS lx, min_y AS ly FROM {frames}),
-p AS (SELECT sheet, k, id, label, value, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS d FROM r JOIN l USING (sheet) WHERE y - ly > 0 AND y - ly <= 300 AND abs(x - lx) <= 300),
+AREA_LABELS = """WITH RECURSIVE r AS (SELECT {sheet4} AS sheet, id, min_x AS x, min_y AS y, row_number() OVER (PARTITION BY {sheet4} ORDER BY id) AS k FROM {marks}), l AS (SELECT {sheet80} AS sheet, id AS label, {value} AS value, min_x AS lx, min_y AS ly FROM {frames}),
+p AS (SELECT sheet, k, id, label, value, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly)) AS d FROM r JOIN l USING (sheet) WHERE y - ly > 0 AND y - ly <= {reach} AND abs(x - lx) <= {reach}),
 c AS (SELECT r.sheet, r.k, r.id, coalesce(list({{'label': label, 'value': value}} ORDER BY d, label) FILTER (WHERE label IS NOT NULL), []) AS cands FROM r LEFT JOIN p USING (sheet, k) GROUP BY r.sheet, r.k, r.id),
 g AS (SELECT DISTINCT sheet, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS label, CAST(NULL AS DOUBLE) AS value, CAST([] AS BIGINT[]) AS used FROM r
  UNION ALL SELECT c.sheet, c.k, c.id, f.label, f.value, CASE WHEN f.label IS NULL THEN g.used ELSE list_append(g.used, f.label) END FROM g JOIN c ON c.sheet = g.sheet AND c.k = g.k + 1, LATERAL (SELECT list_filter(c.cands, lambda x: NOT list_contains(g.used, x.label))[1] AS f) t(f))
-SELECT label, id AS space, value AS area FROM g WHERE value > 0""")
+SELECT label, id AS space, value AS area FROM g WHERE value > 0"""
+
+
+def area_labels_sql(room_sheet: str, label_sheet: str, value: str, reach: int) -> str:
+    """The greedy match in the order of rooms, by recursion over each sheet's rooms."""
+    return AREA_LABELS.replace("{sheet4}", room_sheet).replace("{sheet80}", label_sheet).replace("{value}", value).replace("{reach}", str(reach))
+
+
+@query("J-18 J-30", area_labels_sql("0", "0", "max_x", 60))
 def greedy_area_labels(t, spark):
-    """Area labels of every sheet, used once each, rooms in their order."""
+    """Area labels of one sheet, used once each, rooms in their order."""
+    spaces = t("marks").select(F.lit("S").alias("sheet"), "id", F.col("id").alias("idx"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    labels = t("frames").select(F.lit("S").alias("sheet"), "id", F.col("max_x").alias("value"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+    return relations.area_labels(spaces, labels, 60.0)
+
+
+@query("J-18 J-30", area_labels_sql("id // 4", "id // 80", "max_x - 300", 300))
+def sheet_area_labels(t, spark):
+    """Area labels of every sheet; those without a positive area use up their place."""
     spaces = t("marks").select(F.floor(F.col("id") / 4).alias("sheet"), "id", F.col("id").alias("idx"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
     labels = t("frames").select(F.floor(F.col("id") / 80).alias("sheet"), "id", (F.col("max_x") - 300).alias("value"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
     return relations.area_labels(spaces, labels, 300.0)
