@@ -64,7 +64,11 @@ def words_of(docs: DataFrame, every: int = 97, least: int = 5, times: int = 3) -
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """Each two words (distinct) that differ by exactly one inserted, deleted or replaced code point: a, b, once."""
+    """Each two words (distinct) that differ by exactly one inserted, deleted or replaced code point: a, b, once.
+
+    Here as in what follows both sides of a join grow with the vocabulary, and a small file unfolds to many entries: the
+    size that a planner reads off it would have them broadcast, so joins are by sorting.
+    """
     own = words.select("word", mask(F.col("word")).alias("mask"), F.char_length("word").alias("size"))
     band = lambda m, k: F.shiftright(m, k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
 
@@ -84,7 +88,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = F.floor(F.col("shorter") / 2).cast("int")
     one_half = (F.col("slot") % 2 == 0) | (F.substring("a", F.lit(1), first) != F.substring("b", F.lit(1), first))
     once = (F.col("size") > F.col("shorter")) | (F.col("a") < F.col("b"))
-    met = left.join(right, keys).where(once & (F.bit_count(differ) <= 2) & reduce(lambda p, q: p & q, earlier) & one_half)
+    met = left.hint("merge").join(right, keys).where(once & (F.bit_count(differ) <= 2) & reduce(lambda p, q: p & q, earlier) & one_half)
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b")
 
 
@@ -95,9 +99,9 @@ def roots(forms: DataFrame) -> DataFrame:
     longer than the digits of a count and six rounds are enough for any.
     """
     reached = shared_table(forms.select("word", F.col("form").alias("root")), "variants")
-    while not reached.join(reached.select(F.col("word").alias("root")), "root", "left_semi").isEmpty():
+    while not reached.hint("merge").join(reached.select(F.col("word").alias("root")), "root", "left_semi").isEmpty():
         onward = reached.select(F.col("word").alias("root"), F.col("root").alias("onward"))
-        reached = shared_table(reached.join(onward, "root", "left").select("word", F.coalesce("onward", "root").alias("root")), "variants")
+        reached = shared_table(reached.hint("merge").join(onward, "root", "left").select("word", F.coalesce("onward", "root").alias("root")), "variants")
     return reached
 
 
@@ -114,13 +118,13 @@ def group(words: DataFrame, factor: int = 2) -> DataFrame:
     words = shared_table(words.select("word", F.col("n").cast("long").alias("n")), "words")
     pairs = shared_table(near_pairs(words), "near")
     both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
-    counted = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    counted = both.hint("merge").join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    chosen = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.other").alias("other"), (-F.col("best.less")).alias("other_n"))
+    chosen = words.hint("merge").join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.other").alias("other"), (-F.col("best.less")).alias("other_n"))
     formed = F.col("other_n") >= factor * F.col("n")
     chosen = shared_table(chosen.select("word", F.when(formed, F.col("other")).alias("form"), "n", "n_near", F.when(formed, F.col("other_n")).alias("form_n")), "chosen")
     ends = roots(chosen.where(F.col("form").isNotNull()))
-    return chosen.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return chosen.hint("merge").join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def oracle(every: int = 97, least: int = 5, times: int = 3, factor: int = 2) -> str:

@@ -89,3 +89,10 @@ def test_query_equals_its_sql(spark):
     assert got == sorted(con.execute(oracle_sql()["op12_spelling_variants"]).fetchall(), key=str)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {r[0]: r[3] for r in got} == brute_words(docs)
+
+
+def test_joins_are_not_broadcast(spark):
+    """A vocabulary whose file is small unfolds to twelve entries a word, which must not pass through the driver."""
+    words = spark.createDataFrame([(f"word{k}", 3 + k % 9) for k in range(50)], "word string, n long")
+    for df in (variants.near_pairs(words), variants.group(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
