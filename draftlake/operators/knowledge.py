@@ -131,8 +131,12 @@ def refresh(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def citations(items: DataFrame, objects: DataFrame, documents: DataFrame) -> DataFrame:
-    """Items (cid, object_ids) with their primary object (one with a box first, then the smallest id) and its document."""
-    each = items.select("cid", F.explode("object_ids").alias("id")).join(objects.select("id", "document_id", F.col("min_x").isNull().alias("boxless")), "id")
+    """Items (cid, object_ids) with their primary object (one with a box first, then the smallest id) and its document.
+
+    Object ids need be distinct within a document only if the items name the document they are of (document_id).
+    """
+    own = ["document_id"] if "document_id" in items.columns else []
+    each = items.select("cid", *own, F.explode("object_ids").alias("id")).join(objects.select("id", "document_id", F.col("min_x").isNull().alias("boxless")), ["id", *own])
     first = each.groupBy("cid").agg(F.min(F.struct("boxless", "id", "document_id")).alias("m")).select("cid", F.col("m.id").alias("object_id"), "m.document_id")
     return first.join(documents, "document_id", "left")
 

@@ -352,7 +352,7 @@ def entity_link(t, spark):
 @query("G-31 P-19", """WITH x AS (SELECT document_id AS cid, arg_min(id, (block IS NULL, id)) AS object_id FROM {objects} GROUP BY 1) SELECT cid, object_id, name FROM x LEFT JOIN {drawings} d ON d.document_id = x.cid""")
 def ask_citations(t, spark):
     objects = t("objects").select("id", "document_id", F.when(F.col("block").isNotNull(), F.col("min_x")).alias("min_x"))
-    items = objects.groupBy(F.col("document_id").alias("cid")).agg(F.collect_list("id").alias("object_ids"))
+    items = objects.groupBy("document_id").agg(F.collect_list("id").alias("object_ids")).withColumn("cid", F.col("document_id"))
     return knowledge.citations(items, objects, t("drawings").select("document_id", "name")).select("cid", "object_id", "name")
 
 

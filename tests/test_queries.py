@@ -59,3 +59,12 @@ def test_area_labels_of_late_frames(spark, tmp_path):
     spark.createDataFrame([(920, 5)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     assert [tuple(r) for r in QUERIES["greedy_area_labels"].run(spark, str(tmp_path)).collect()] == [(920, 1, 10.0)]
+
+
+def test_citations_of_ids_that_documents_share(spark, tmp_path):
+    """Part keys beyond 100,000 give lines of two orders the same id: each order still cites a line of its own."""
+    day = datetime.datetime(2020, 1, 2)
+    items = [(1, 6, 500005, 1, "A", "O", 5.0, 0.0, day), (1, 3, 9, 1, "A", "O", 5.0, 0.0, day), (2, 1, 5, 1, "A", "O", 5.0, 0.0, day)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_discount double, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, 1, "O", 1.0, day, "5-LOW") for k in (1, 2)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {(r.cid, r.object_id) for r in QUERIES["ask_citations"].run(spark, str(tmp_path)).collect()} == {(1, 1300009), (2, 2100005)}
