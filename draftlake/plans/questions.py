@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.operators import ask, evaluation, graph, routing, rules, search
@@ -170,8 +172,17 @@ def title_blocks(t, spark):
     return own.select("p_partkey", rules.title_block(F.col("block"), fields, F.col("layer")).alias("why"))
 
 
-def asked(t, spark):
-    return cases(t, spark, QUESTIONS, "q string", 1).withColumn("link", routing.linked(F.col("q")))
+def of_texts(own: DataFrame, texts: list[str], **made: Column) -> DataFrame:
+    """own with columns that its texts alone decide: equal texts are read once, however many rows have them."""
+    each = own.select(*texts).distinct()
+    for name, value in made.items():
+        each = each.select("*", F.explode(F.array(value)).alias(name))  # fixed: several readers would compute it again
+    same = reduce(lambda a, b: a & b, (own[c].eqNullSafe(each[c]) for c in texts))
+    return own.join(each, same, "left").select(own["*"], *made)
+
+
+def asked(t, spark, **made: Column) -> DataFrame:
+    return of_texts(cases(t, spark, QUESTIONS, "q string", 1), ["q"], **made)
 
 
 NAMES = "q, route, intents, storeys, kinds, sections, sheets, rooms, refusal, attribute, memory"
@@ -179,34 +190,34 @@ NAMES = "q, route, intents, storeys, kinds, sections, sheets, rooms, refusal, at
 
 @query("G-18", f"SELECT p_partkey, route FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
 def ask_route(t, spark):
-    return asked(t, spark).select("p_partkey", routing.route(F.col("link")).alias("route"))
+    return asked(t, spark, link=routing.linked(F.col("q")), route=routing.route(F.col("link"))).select("p_partkey", "route")
 
 
 @query("S-36", f"SELECT p_partkey, intents FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
 def ask_intents(t, spark):
-    return asked(t, spark).select("p_partkey", F.array_join("link.intents", ",").alias("intents"))
+    return asked(t, spark, link=routing.linked(F.col("q"))).select("p_partkey", F.array_join("link.intents", ",").alias("intents"))
 
 
 @query("S-37 S-35 G-17", f"SELECT p_partkey, storeys, kinds, sections, sheets, rooms FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
 def ask_links(t, spark):
-    return asked(t, spark).select("p_partkey", *[F.array_join(f"link.{c}", ",").alias(c) for c in ("storeys", "kinds", "sections", "sheets", "rooms")])
+    return asked(t, spark, link=routing.linked(F.col("q"))).select("p_partkey", *[F.array_join(f"link.{c}", ",").alias(c) for c in ("storeys", "kinds", "sections", "sheets", "rooms")])
 
 
 @query("F-27", f"SELECT p_partkey, refusal, attribute FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
 def ask_gate(t, spark):
-    own = asked(t, spark)
-    return own.select("p_partkey", F.coalesce(routing.refusal(F.col("q"), F.col("link")), F.lit("")).alias("refusal"), F.coalesce(routing.attribute(F.col("q")), F.lit("")).alias("attribute"))
+    refusal = F.coalesce(routing.refusal(F.col("q"), F.col("link")), F.lit(""))
+    return asked(t, spark, link=routing.linked(F.col("q")), refusal=refusal, attribute=F.coalesce(routing.attribute(F.col("q")), F.lit(""))).select("p_partkey", "refusal", "attribute")
 
 
 @query("F-27", f"SELECT p_partkey, missing FROM part JOIN {values(GATED, 'q, c, missing')} ON p_partkey % {len(GATED)} = k")
 def ask_evidence(t, spark):
     own = cases(t, spark, GATED, "q string, c string", 2)
-    return own.select("p_partkey", routing.missing(F.col("q"), F.array("c")).alias("missing"))
+    return of_texts(own, ["q", "c"], missing=routing.missing(F.col("q"), F.array("c"))).select("p_partkey", "missing")
 
 
 @query("G-19", f"SELECT p_partkey, memory AS route FROM part JOIN {values(QUESTIONS, NAMES)} ON p_partkey % {len(QUESTIONS)} = k")
 def memory_route(t, spark):
-    return asked(t, spark).select("p_partkey", routing.memory_route(F.col("q")).alias("route"))
+    return asked(t, spark, route=routing.memory_route(F.col("q"))).select("p_partkey", "route")
 
 
 @query("S-59", f"SELECT p_partkey, shown FROM part JOIN {values(TOPICS, 'w, shown')} ON p_partkey % {len(TOPICS)} = k")

@@ -121,3 +121,11 @@ def test_knn_batch_equals_brute_force(spark):
     for q in range(0, 300, 50):
         want = sorted((-s[q, i], i) for i in range(300) if i != q)[:7]
         assert [i for _, i in sorted(got[q])] == [i for _, i in want]
+
+
+def test_equal_texts_are_read_once(spark):
+    from draftlake.plans.questions import of_texts
+
+    own = spark.createDataFrame([(k, None if k % 3 == 2 else f"q{k % 3}") for k in range(60)], "k long, q string")
+    rows = of_texts(own, ["q"], made=F.rand(), again=F.col("made") + 1).collect()
+    assert len(rows) == 60 and len({r.made for r in rows}) == 3 and all(r.again == r.made + 1 for r in rows)
