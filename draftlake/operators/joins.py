@@ -74,9 +74,28 @@ def within(a: DataFrame, b: DataFrame, distance: float, size: float) -> DataFram
     return pairs.drop("min_x", "min_y", "max_x", "max_y").withColumnsRenamed({"_x1": "min_x", "_y1": "min_y", "_x2": "max_x", "_y2": "max_y"})
 
 
+BOX = ("min_x", "min_y", "max_x", "max_y")
+
+
+def distinct_boxes(rows: DataFrame) -> DataFrame:
+    """Each box once: the least id that has it, and how many rows have it (copies)."""
+    return rows.groupBy(*BOX).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
+def best_of(rows: DataFrame, pairs: DataFrame, best: Column) -> DataFrame:
+    """id, m: the least of a value over the pairs of a row's box.
+
+    pairs come from distinct_boxes() of both sides, so that copies of boxes meet once, not each with each. Of equal hosts
+    the least id is preferred, which is the one that distinct_boxes() keeps.
+    """
+    found = pairs.groupBy(*BOX).agg(F.min(best).alias("m"))
+    return rows.select("id", *BOX).join(found, [*BOX]).groupBy("id").agg(F.min("m").alias("m"))
+
+
 def nearest(a: DataFrame, b: DataFrame, distance: float, size: float) -> DataFrame:
     """id, host, distance of the nearest b within a distance; ties to the smaller id."""
-    return within(a, b, distance, size).groupBy("id").agg(F.min(F.struct("distance", F.col("b_id").alias("host"))).alias("m")).select("id", "m.host", "m.distance")
+    pairs = within(distinct_boxes(a), distinct_boxes(b), distance, size)
+    return best_of(a, pairs, F.struct("distance", F.col("b_id").alias("host"))).select("id", "m.host", "m.distance")
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, distance: float, size: float) -> DataFrame:
@@ -90,14 +109,14 @@ def smallest_container(points: DataFrame, frames: DataFrame, size: float) -> Dat
     """id, host: the smallest frame that contains a row's centre; ties to the smaller id."""
     x, y = spatial.centre(spatial.box())
     centred = points.select("id", x.alias("min_x"), y.alias("min_y"), x.alias("max_x"), y.alias("max_y"))
-    pairs = overlapping(centred, frames, size)
-    return pairs.groupBy("id").agg(F.min(F.struct(spatial.area(spatial.box("b_")).alias("area"), F.col("b_id").alias("host"))).alias("m")).select("id", "m.host", "m.area")
+    pairs = overlapping(distinct_boxes(centred), distinct_boxes(frames), size)
+    return best_of(centred, pairs, F.struct(spatial.area(spatial.box("b_")).alias("area"), F.col("b_id").alias("host"))).select("id", "m.host", "m.area")
 
 
 def best_overlap(a: DataFrame, b: DataFrame, least: float, size: float) -> DataFrame:
     """id, host, iou of the best overlap of at least `least`; ties to the smaller id."""
-    pairs = overlapping(a, b, size).withColumn("iou", spatial.iou(spatial.box(), spatial.box("b_"))).where(F.col("iou") >= least)
-    best = pairs.groupBy("id").agg(F.min(F.struct((-F.col("iou")).alias("worse"), F.col("b_id").alias("host"))).alias("m"))
+    pairs = overlapping(distinct_boxes(a), distinct_boxes(b), size).withColumn("iou", spatial.iou(spatial.box(), spatial.box("b_"))).where(F.col("iou") >= least)
+    best = best_of(a, pairs, F.struct((-F.col("iou")).alias("worse"), F.col("b_id").alias("host")))
     return best.select("id", "m.host", (-F.col("m.worse")).alias("iou"))
 
 
@@ -105,7 +124,9 @@ def only_container(points: DataFrame, frames: DataFrame, size: float) -> DataFra
     """id, host for rows whose centre lies in exactly one frame."""
     x, y = spatial.centre(spatial.box())
     centred = points.select("id", x.alias("min_x"), y.alias("min_y"), x.alias("max_x"), y.alias("max_y"))
-    return overlapping(centred, frames, size).groupBy("id").agg(F.count("*").alias("n"), F.min("b_id").alias("host")).where("n = 1").select("id", "host")
+    pairs = overlapping(distinct_boxes(centred), distinct_boxes(frames), size)
+    found = pairs.groupBy(*BOX).agg(F.sum("b_copies").alias("n"), F.min("b_id").alias("host"))
+    return centred.join(found, [*BOX]).groupBy("id").agg(F.sum("n").alias("n"), F.min("host").alias("host")).where("n = 1").select("id", "host")
 
 
 def dangling(edges: DataFrame, column: str, nodes: DataFrame, key: str) -> DataFrame:

@@ -175,3 +175,16 @@ def test_distinct_inputs_give_the_same(spark):
     plain, once = ({tuple(map(str, r)) for r in rules.classified(df, distinct=d).collect()} for d in (False, True))
     assert plain == once and len(plain) == 30
     assert {r.label for r in rules.classified(df).where("entity_type = 'INSERT' and fields is not null").collect()} == {"TitleBlock"}
+
+
+def test_copies_of_boxes_meet_once(spark):
+    box = "id long, min_x double, min_y double, max_x double, max_y double"
+    a = spark.createDataFrame([(k, 1.0, 1.0, 2.0, 2.0) for k in range(40)], box)
+    b = spark.createDataFrame([(100 + k, 0.0, 0.0, 4.0, 4.0) for k in range(50)] + [(99, 9.0, 9.0, 9.5, 9.5)], box)
+    assert joins.overlapping(joins.distinct_boxes(a), joins.distinct_boxes(b), 16.0).count() == 1
+    assert {tuple(r) for r in joins.nearest(a, b, 5.0, 16.0).collect()} == {(k, 100, 0.0) for k in range(40)}
+    assert {tuple(r) for r in joins.nearest(b, a, 50.0, 64.0).select("id", "host").collect()} == {(k, 0) for k in range(99, 150)}
+    assert {tuple(r) for r in joins.smallest_container(a, b, 16.0).collect()} == {(k, 100, 16.0) for k in range(40)}
+    assert joins.only_container(a, b, 16.0).count() == 0
+    assert {r.id for r in joins.only_container(a, b.where("id < 101"), 16.0).collect()} == set(range(40))
+    assert {(r.id, r.host) for r in joins.best_overlap(a, b, 0.01, 16.0).collect()} == {(k, 100) for k in range(40)}
