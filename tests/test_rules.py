@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftlake.functions import identity, similarity, spatial, text
-from draftlake.operators import dedup, jobs, joins, ranking, rules
+from draftlake.operators import dedup, graph, jobs, joins, ranking, rules
 from draftlake.streaming import events as streams
 
 
@@ -188,3 +188,23 @@ def test_copies_of_boxes_meet_once(spark):
     assert joins.only_container(a, b, 16.0).count() == 0
     assert {r.id for r in joins.only_container(a, b.where("id < 101"), 16.0).collect()} == set(range(40))
     assert {(r.id, r.host) for r in joins.best_overlap(a, b, 0.01, 16.0).collect()} == {(k, 100) for k in range(40)}
+
+
+def test_hops_of_a_hub_are_not_grouped(spark):
+    """Leaves with a single neighbour go around the aggregation; roots with several neighbours, loops and containers as before."""
+    edges = [("hub", "has", f"l{k}") for k in range(30)] + [("l0", "has", "x"), ("l0", "has", "hub"), ("l1", "see", "l1"), ("y", "hold", "z"), ("y", "hold", "w")]
+    roots = [f"l{k}" for k in range(30)] + ["z", "x"]
+    ways = {(a, p, b, "out") for a, p, b in edges} | {(b, p, a, "in") for a, p, b in edges}
+    want = {}
+    for root in roots:
+        one = {w for w in ways if w[0] == root}
+        for _, p, mid, d in one:
+            want[root, mid] = 1
+        for mid in {m for _, p, m, d in one if not (p == "hold" and d == "in")}:
+            for w in ways:
+                if w[0] == mid:
+                    want.setdefault((root, w[2]), 2)
+    got = graph.hops(spark.createDataFrame([(r,) for r in roots], "node string"), spark.createDataFrame(edges, "src string, predicate string, dst string"), "hold")
+    rows = got.collect()
+    assert {(r.root, r.node): r.hop for r in rows} == {k: v for k, v in want.items() if k[0] != k[1]} and len(rows) == len({(r.root, r.node) for r in rows})
+    assert "shuffledhashjoin" in got._jdf.queryExecution().executedPlan().toString().lower()
