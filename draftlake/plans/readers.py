@@ -16,9 +16,14 @@ STEM = r"name=([^/]+)"
 
 
 def stored(df: DataFrame, name: str, body: Column) -> str:
-    """One text file for each row, under a folder that names it; the path of them all."""
+    """One text file for each row, under a folder that names it; the path of them all.
+
+    Files are dealt to many tasks, which put them in their place themselves: the driver does not rename one after another.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/draftlake/files-{uuid.uuid4().hex}"
-    df.select(F.col(name).cast("string").alias("name"), body.alias("value")).write.partitionBy("name").text(path)
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.select(F.col(name).cast("string").alias("name"), body.alias("value")).repartition(parts, "name")
+    own.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(path)
     return path
 
 

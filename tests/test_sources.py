@@ -224,3 +224,12 @@ def test_entity_of_a_megabyte(spark, tmp_path):
     assert relations.count() == 200_000 and {r.subject for r in relations.select("subject").distinct().collect()} == {2}
     got = entities.where("id = 3").select(F.size(statements.arguments(F.col("e"))).alias("n"), F.element_at(statements.arguments(F.col("e")), 5).alias("last")).first()
     assert got.n == 5 and got.last == "((1,(2,3)),IFCLABEL('x)'))"
+
+
+def test_files_are_written_by_many_tasks(spark):
+    """One task does not write all files: a table of one partition gives files of several tasks."""
+    from draftlake.plans.readers import stored
+
+    path = stored(spark.range(40).coalesce(1), "id", F.lit("x"))
+    names = [r.p.rsplit("/", 1)[-1].split("-")[1] for r in files.binary(spark, path).select(F.col("path").alias("p")).collect()]
+    assert len(names) == 40 and len(set(names)) > 4
