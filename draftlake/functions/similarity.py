@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,20 +136,24 @@ def hash_vector(text: Column, width: int = 64) -> Column:
     return F.aggregate(hash_buckets(text, width), zeros, add, unit)
 
 
+@lru_cache(1 << 16)
+def token_seed(token: str) -> bytes:
+    """Sixteen words of four bytes; tokens recur, so that the last ones are kept."""
+    return hashlib.sha256(token.encode()).digest() + hashlib.sha256(b"+" + token.encode()).digest()
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def signed_hash_vector(text: pd.Series) -> pd.Series:
     """1024 dimensions, 16 signed bumps for each token with repeats; unit length, rounded to 6 places; e0 if empty."""
     import re
+    from collections import Counter
 
     import numpy as np
 
     def one(t: str | None):
-        v = np.zeros(1024)
-        for token in re.findall("[0-9a-z가-힣]+", (t or "").lower()):
-            seed = hashlib.sha256(token.encode()).digest() + hashlib.sha256(b"+" + token.encode()).digest()
-            for k in range(16):
-                word = int.from_bytes(seed[4 * k : 4 * k + 4], "big")
-                v[word % 1024] += 1 if word >> 31 else -1
+        n = Counter(re.findall("[0-9a-z가-힣]+", (t or "").lower()))
+        words = np.frombuffer(b"".join(map(token_seed, n)), ">u4").astype(np.int64)
+        v = np.bincount(words % 1024, np.where(words >> 31, 1.0, -1.0) * np.repeat(list(n.values()), 16), 1024) if n else np.zeros(1024)
         norm = np.linalg.norm(v)
         if norm == 0:
             v[0] = norm = 1.0

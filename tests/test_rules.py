@@ -208,3 +208,11 @@ def test_hops_of_a_hub_are_not_grouped(spark):
     rows = got.collect()
     assert {(r.root, r.node): r.hop for r in rows} == {k: v for k, v in want.items() if k[0] != k[1]} and len(rows) == len({(r.root, r.node) for r in rows})
     assert "shuffledhashjoin" in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_tokens_of_hash_vectors_are_hashed_once():
+    import pandas as pd
+
+    similarity.token_seed.cache_clear()
+    a, b = similarity.signed_hash_vector.func(pd.Series(["x y x x", "y x x x"]))
+    assert (a == b).all() and similarity.token_seed.cache_info().misses == 2
