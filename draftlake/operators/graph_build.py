@@ -48,9 +48,9 @@ class Parts:
 class Graph:
     """nodes: id, project_key, type, name, props (JSON), object_ids, document_ids, search_text; edges: src, predicate, dst, props; aliases."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    aliases: DataFrame
+    nodes: DataFrame | None
+    edges: DataFrame | None
+    aliases: DataFrame | None
 
 
 def named(table: dict[str, str], code: Column) -> Column:
@@ -100,14 +100,15 @@ def storey_id() -> Column:
     return F.concat(F.lit("kg:st:"), "project_key", F.lit(":"), "level")
 
 
-def build(parts: Parts) -> Graph:
-    """The graph of all projects.
+def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -> Graph:
+    """The graph of all projects; tables that are not wanted are None, and what only they need is not computed.
 
     What several nodes and edges are made of is written once to the shared folder. Null or unreadable rooms, designations and levels make no node; a space or element group without a storey of its own
     takes that of a document that shows exactly one. Of several spellings the smallest object's counts. Repeated rows
     count as repeated occurrences, empty tables give no nodes. document_id and object ids must be distinct.
     """
     c = F.col
+    full = "nodes" in want  # facts and evidence are of nodes only
     docs = parts.documents
     keys = docs.select("document_id", "project_key", "project_name")
     sheets = parts.sheets.withColumn("level", text.normal_storey(c("storey"))).join(docs.select("document_id", "project_key", "project_name"), "document_id")
@@ -129,17 +130,21 @@ def build(parts: Parts) -> Graph:
     order = Window.partitionBy(*by).orderBy("id")
     areas = spaces.where("area is not null").withColumn("_nth", F.row_number().over(order)).where(c("_nth") <= AREAS)
     areas = areas.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "area"))), lambda x: x["area"]).alias("areas"))
-    for more in (areas, evidence(spaces, by, "id", "object_ids"), evidence(spaces, by, "document_id", "document_ids")):
-        merged = merged.join(more, by, "left")
-    space_rows = shared(with_id(merged), "space-rows")
+    if full:
+        for more in (areas, evidence(spaces, by, "id", "object_ids"), evidence(spaces, by, "document_id", "document_ids")):
+            merged = merged.join(more, by, "left")
+    space_rows = shared(with_id(merged), "space-rows") if full else with_id(merged)
     placed = with_id(spaces.select("document_id", *by).distinct())
 
     # element groups and sections
     groups = parts.elements.where(c("kind").isin(list(KINDS))).groupBy("document_id", "kind").agg(F.count("*").alias("count"), F.count_if(c("state") == "OBSERVED").alias("observed"))
-    groups = groups.join(evidence(parts.elements, ["document_id", "kind"], "id", "object_ids"), ["document_id", "kind"]).join(single, "document_id", "left")
+    if full:
+        groups = groups.join(evidence(parts.elements, ["document_id", "kind"], "id", "object_ids"), ["document_id", "kind"])
+    groups = groups.join(single, "document_id", "left")
     groups = groups.join(docs.select("document_id", "project_key", "project_name", c("name").alias("drawing")), "document_id").withColumnRenamed("only", "level")
     groups = groups.withColumns({"id": F.concat(F.lit("kg:eg:"), c("document_id").cast("string"), F.lit(":"), "kind"), "kind_ko": named(KINDS, c("kind")), "document_ids": F.array(c("document_id").cast("string"))})
-    groups = shared(groups.withColumn("name", F.concat_ws(" ", "drawing", "kind_ko")), "groups")
+    groups = groups.withColumn("name", F.concat_ws(" ", "drawing", "kind_ko"))
+    groups = shared(groups, "groups") if full or "edges" in want else groups
     spelt = parts.sections.where("designation is not null").groupBy("document_id", "designation").agg(F.count("*").alias("n")).withColumn("section", text.section(c("designation"))).where("section is not null").join(keys, "document_id")
     section = F.concat(F.lit("kg:sec:"), "project_key", F.lit(":"), "section")
     spelt = shared(spelt.withColumn("id", section), "sections")
@@ -149,7 +154,7 @@ def build(parts: Parts) -> Graph:
     used = used.join(groups.select("document_id", "kind", c("id").alias("group_id")), ["document_id", "kind"])
     for more in (evidence(objects, ["id"], "object_id", "object_ids"), evidence(objects, ["id"], "document_id", "document_ids"), counted(used.withColumnRenamed("section_id", "id"), ["id"], "kind", F.count("*"), "member_kinds")):
         steel = steel.join(more, "id", "left")
-    steel = shared(steel, "steel")
+    steel = shared(steel, "steel") if full else steel
 
     # series of two drawings or more, in the order of dates
     turn = Window.partitionBy("project_key", "series").orderBy(F.coalesce("date", F.lit("")), F.coalesce("mtime", F.lit("")), "name", "document_id")
@@ -157,7 +162,7 @@ def build(parts: Parts) -> Graph:
     chain = docs.withColumns({"place": F.row_number().over(turn), "before": F.lag(drawing_id()).over(turn), "revisions": F.count("*").over(whole)}).where("revisions > 1")
     chain = chain.withColumns({"drawing": drawing_id(), "id": F.concat(F.lit("kg:ser:"), "project_key", F.lit(":"), identity.short_hash(c("series"), n=12)), "last": c("place") == c("revisions")})
     title = F.coalesce(F.nullif("number", F.lit("")), F.nullif("title", F.lit("")), "name")
-    chain = shared(chain, "chain")
+    chain = shared(chain, "chain") if full or "edges" in want else chain
     series = chain.groupBy("id", "project_key", "project_name", "series", "revisions").agg(F.max_by(title, "place").alias("name"), F.max_by("drawing", "place").alias("latest"))
     first = chain.where(c("place") <= EVIDENCE).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", c("document_id").cast("string").alias("d")))), lambda x: x["d"]).alias("document_ids"))
     series = series.join(first, "id")
@@ -169,7 +174,9 @@ def build(parts: Parts) -> Graph:
 
     # drawings with what their sheets, groups and series say
     titled = sheets.groupBy("document_id").agg(F.min_by("number", F.when(c("number").isNotNull(), c("id"))).alias("block_number"), F.min_by("title", F.when(c("title").isNotNull(), c("id"))).alias("block_title"), F.array_sort(F.collect_set(F.when(c("category") != "기타", c("category")))).alias("categories"))
-    drawings = docs.join(titled, "document_id", "left").join(counted(groups, ["document_id"], "kind", F.max("count"), "element_counts"), "document_id", "left").join(chain.select("document_id", "last"), "document_id", "left")
+    drawings = docs
+    if full:
+        drawings = docs.join(titled, "document_id", "left").join(counted(groups, ["document_id"], "kind", F.max("count"), "element_counts"), "document_id", "left").join(chain.select("document_id", "last"), "document_id", "left")
     drawings = drawings.withColumns({"id": drawing_id(), "document_ids": F.array(c("document_id").cast("string")), "file_type": F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)), "phase": F.nullif("phase", F.lit(""))})
     phases = drawings.where("phase is not null").select("project_key", "project_name", c("phase").alias("name")).distinct().withColumn("id", F.concat(F.lit("kg:ph:"), "project_key", F.lit(":"), identity.short_hash(c("name"), n=10)))
     sheet_rows = sheets.withColumns({"object_ids": F.array(c("id").cast("string")), "document_ids": F.array(c("document_id").cast("string"))})
@@ -181,11 +188,11 @@ def build(parts: Parts) -> Graph:
     sizes = lambda df, name: df.groupBy("project_key").agg(F.count("*").alias(name))
     more = [sizes(storeys, "storeys"), sizes(space_rows, "spaces"), sizes(steel, "sections"), phases.groupBy("project_key").agg(F.array_sort(F.collect_list("name")).alias("phases"))]
     more += [counted(drawings.withColumn("d", F.coalesce("discipline", F.lit("UNKNOWN"))), ["project_key"], "d", F.count("*"), "disciplines"), counted(drawings, ["project_key"], "file_type", F.count("*"), "file_types"), evidence(docs, ["project_key"], "document_id", "document_ids")]
-    projects = reduce(lambda a, b: a.join(b, "project_key", "left"), more, projects).withColumns({"id": project_id(), "name": c("project_name")})
+    projects = reduce(lambda a, b: a.join(b, "project_key", "left"), more if full else [], projects).withColumns({"id": project_id(), "name": c("project_name")})
     n = lambda name: F.coalesce(c(name), F.lit(0))
     none = F.array().cast("array<string>")
 
-    nodes = [
+    nodes = [] if not full else [
         nodes_of(projects, "Project", json(drawings=c("drawings"), storeys=n("storeys"), spaces=n("spaces"), sections=n("sections"), phases=F.coalesce("phases", none), disciplines=c("disciplines"), file_types=c("file_types"))),
         nodes_of(phases, "Phase", json(project=c("project_name"))),
         nodes_of(drawings, "Drawing", json(sheet_number=c("number"), title=c("title"), date=c("date"), discipline=c("discipline"), phase=c("phase"), mtime=c("mtime"), file_type=c("file_type"), sheet_number_titleblock=c("block_number"), title_titleblock=c("block_title"), categories=F.coalesce("categories", none), element_counts=c("element_counts"), series_latest=c("last")),
@@ -229,4 +236,4 @@ def build(parts: Parts) -> Graph:
         alias(spelt.select("designation", "id").distinct(), "section", "designation", "id"),
     ]
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    return Graph(union(nodes), union(edges), union(aliases).distinct())
+    return Graph(union(nodes) if full else None, union(edges) if "edges" in want else None, union(aliases).distinct() if "aliases" in want else None)

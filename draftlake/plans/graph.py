@@ -270,13 +270,13 @@ def kg_nodes(t, spark):
  UNION ALL SELECT 'kg:d:' || document_id, 'hasElements', id, '{{}}' FROM eg UNION ALL SELECT 'kg:st:' || project_key || ':' || level, 'hasElements', id, '{{}}' FROM eg WHERE level IS NOT NULL
  UNION ALL SELECT DISTINCT 'kg:d:' || document_id, 'usesSection', id, '{{}}' FROM seid UNION ALL SELECT DISTINCT 'kg:p:' || project_key, 'usesSection', id, '{{}}' FROM seid UNION ALL SELECT DISTINCT group_id, 'hasSection', section_id, '{{}}' FROM us) SELECT * FROM e""")
 def kg_edges(t, spark):
-    return graph_build.build(parts(t)).edges
+    return graph_build.build(parts(t), ("edges",)).edges
 
 
 @query("G-05 G-06 G-10 S-37", KG + """a AS (SELECT 'project_id' AS alias_type, project_key AS alias, 'kg:p:' || project_key AS node_id FROM d UNION ALL SELECT 'project_name', project_name, 'kg:p:' || project_key FROM d UNION ALL SELECT 'sheet_number', number, 'kg:d:' || document_id FROM d WHERE number IS NOT NULL
  UNION ALL SELECT 'sheet_number', number, 'kg:sh:' || id FROM sh WHERE number IS NOT NULL UNION ALL SELECT 'room_name', room, id FROM spid UNION ALL SELECT 'section', spelt, id FROM seid) SELECT DISTINCT * FROM a""")
 def kg_aliases(t, spark):
-    return graph_build.build(parts(t)).aliases
+    return graph_build.build(parts(t), ("aliases",)).aliases
 
 
 @query("W-02 G-07 G-26", """SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS place, lag(o_orderkey) OVER w AS supersedes, row_number() OVER w = count(*) OVER (PARTITION BY o_custkey) AS is_latest FROM orders

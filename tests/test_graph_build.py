@@ -84,3 +84,10 @@ def test_communities_of_the_graph(built, spark):
 def test_empty_parts(spark):
     made = graph_build.build(graph_build.Parts(**{k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()}))
     assert made.nodes.count() == made.edges.count() == made.aliases.count() == 0
+
+
+def test_only_wanted_tables_are_computed(spark):
+    parts = graph_build.Parts(**{k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()})
+    made = graph_build.build(parts, ("aliases",))
+    assert made.nodes is None and made.edges is None
+    assert "row_number" not in made.aliases._jdf.queryExecution().analyzed().toString()
