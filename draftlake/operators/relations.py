@@ -44,34 +44,53 @@ def hosted(openings: DataFrame, walls: DataFrame, tolerance: float) -> DataFrame
 def one_use(pairs: DataFrame) -> DataFrame:
     """taker, item, cost of the greedy match in which takers choose in their order, each its cheapest item that is left.
 
-    pairs: taker, place (the taker's turn), item, cost; ties go to the smaller item. Rounds of proposals: every taker asks
-    for its cheapest item, an item keeps the earliest that asks and is lost to all later ones for good. As every item
-    prefers the earlier taker, what remains when no one is refused is the greedy match itself.
+    pairs: taker, place (the taker's turn), item, cost; ties go to the smaller item.
     """
-    left = shared(pairs.select("taker", "place", "item", "cost"), "pairs")
+    wishes = pairs.select("taker", "place", F.col("item").alias("pool"), "cost")
+    return used_in_turn(wishes, pairs.select(F.col("item").alias("pool"), "item").distinct())
+
+
+def used_in_turn(wishes: DataFrame, items: DataFrame) -> DataFrame:
+    """taker, item, cost of the greedy match in which takers choose in their order, each its cheapest item that is left.
+
+    wishes: taker, place (the taker's turn), pool, cost; items: pool, item. A taker pays the same for all items of a pool,
+    so each pool is used up from its smallest item on, and how many earlier takers chose it says which item is next. Ties
+    go to the smaller item. Every round all takers choose anew, by the choices that those before them made in the round
+    before, until no choice changes. The first taker's choice is right from the first round on, and a taker's from the
+    round after those before it are right, so that what stays is the greedy match itself. Rounds follow the longest chain
+    of takers that push one another out of a pool, not the number of takers or items, unless pools of equal cost run dry.
+    """
+    c = F.col
+    nth = Window.partitionBy("pool").orderBy("item")
+    numbered = shared(items.withColumn("k", F.row_number().over(nth)), "items")
+    state = shared(wishes.select("taker", "place", "pool", "cost", F.lit(False).alias("chosen")), "wishes")
+    earlier = F.sum(c("chosen").cast("long")).over(Window.partitionBy("pool").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     while True:
-        asked = left.groupBy("taker", "place").agg(F.min(F.struct("cost", "item")).alias("m")).select("taker", "place", "m.item", "m.cost")
-        kept = asked.groupBy("item").agg(F.min("place").alias("first"), F.count("*").alias("askers"))
-        kept = shared(kept, "kept")
-        if kept.where("askers > 1").isEmpty():
-            return asked.select("taker", "item", "cost")
-        left = shared(left.join(kept.select("item", "first"), "item", "left").where(F.col("first").isNull() | (F.col("place") <= F.col("first"))).drop("first"), "pairs")
+        left = state.withColumn("k", 1 + F.coalesce(earlier, F.lit(0))).join(numbered, ["pool", "k"])
+        picks = left.groupBy("taker").agg(F.min(F.struct("cost", "item", "pool")).alias("m"))
+        state = shared(state.withColumn("was", c("chosen")).drop("chosen").join(picks, "taker", "left").withColumn("chosen", F.coalesce(c("pool") == c("m.pool"), F.lit(False))), "wishes")
+        if state.where("was != chosen").isEmpty():
+            return state.where("chosen").select("taker", "m.item", "cost")
+        state = state.select("taker", "place", "pool", "cost", "chosen")
 
 
 def area_labels(spaces: DataFrame, labels: DataFrame, tolerance: float) -> DataFrame:
     """label, space, area: area texts below room names, each used once, rooms in their order and each its nearest.
 
     spaces: sheet, id, idx (a room's turn on its sheet), x, y; labels: sheet, id, value, x, y. Labels without a positive
-    value use up their place. Rooms meet only labels of neighbouring grid cells.
+    value use up their place. Points of rooms meet points of labels in neighbouring grid cells, each once; the labels of
+    a point are a pool.
     """
     c = F.col
     grid = lambda x, y: F.struct(F.floor(x / tolerance).alias("cx"), F.floor(y / tolerance).alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0)])
-    rooms = spaces.select("sheet", c("id").alias("space"), "idx", "x", "y", F.explode(around).alias("o")).withColumn("cell", F.struct((F.floor(c("x") / tolerance) + c("o.i")).alias("cx"), (F.floor(c("y") / tolerance) + c("o.j")).alias("cy")))
-    texts = labels.select("sheet", c("id").alias("label"), "value", c("x").alias("lx"), c("y").alias("ly"), grid(c("x"), c("y")).alias("cell"))
+    rooms = spaces.select("sheet", "x", "y").distinct().withColumn("o", F.explode(around)).withColumn("cell", F.struct((F.floor(c("x") / tolerance) + c("o.i")).alias("cx"), (F.floor(c("y") / tolerance) + c("o.j")).alias("cy"))).drop("o")
+    texts = labels.select("sheet", c("x").alias("lx"), c("y").alias("ly")).distinct().withColumn("cell", grid(c("lx"), c("ly")))
     below, aside = c("y") - c("ly"), F.abs(c("x") - c("lx"))
-    pairs = rooms.join(texts, ["sheet", "cell"]).where((below > 0) & (below <= tolerance) & (aside <= tolerance)).withColumn("cost", F.hypot(aside, below))
-    found = one_use(pairs.select(F.struct("sheet", "space").alias("taker"), F.struct("idx", "space").alias("place"), F.struct("sheet", "label", "value").alias("item"), "cost"))
+    points = rooms.join(texts, ["sheet", "cell"]).where((below > 0) & (below <= tolerance) & (aside <= tolerance)).withColumn("cost", F.sqrt(aside * aside + below * below))
+    wishes = spaces.join(points, ["sheet", "x", "y"]).select(F.struct("sheet", c("id").alias("space")).alias("taker"), F.struct("idx", c("id").alias("space")).alias("place"), F.struct("sheet", "lx", "ly").alias("pool"), "cost")
+    items = labels.select(F.struct("sheet", c("x").alias("lx"), c("y").alias("ly")).alias("pool"), F.struct("sheet", c("id").alias("label"), "value").alias("item"))
+    found = used_in_turn(wishes, items)
     return found.select(c("item.label").alias("label"), c("taker.space").alias("space"), c("item.value").alias("area")).where("area > 0")
 
 

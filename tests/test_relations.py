@@ -32,6 +32,28 @@ def test_greedy_area_labels(spark):
     assert {tuple(r) for r in rel.area_labels(spaces, labels, 3.0).collect()} == {("t1", "a", 12.5), ("t2", "b", 7.0)}
 
 
+def test_area_labels_of_shared_points(spark, monkeypatch):
+    """Rooms and labels that share points, pools that run dry, equal costs: as by turns, in a few rounds."""
+    rng = random.Random(6)
+    spots = [(5.0, 9.0), (5.0, 9.0), (5.0, 9.0), (6.0, 9.0), (11.0, 12.0)]
+    rooms = [("S", k, k, *rng.choice(spots)) for k in range(60)]
+    labels = [("S", k, float(k % 4), *rng.choice([(4.0, 2.0), (0.0, 4.0), (10.0, 4.0), (5.0, 8.0), (12.0, 5.0)])) for k in range(50)]  # the first three are at equal costs of the first spot
+    used, want = set(), set()
+    for _, room, _, x, y in rooms:
+        free = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, label, value) for _, label, value, u, v in labels if label not in used and 0 < y - v <= 8 and abs(x - u) <= 8]
+        if free:
+            used.add(min(free)[1])
+            want |= {(min(free)[1], room, min(free)[2])} if min(free)[2] > 0 else set()
+    schema = "sheet string, id int, idx int, x double, y double"
+    assert {tuple(r) for r in rel.area_labels(spark.createDataFrame(rooms, schema), spark.createDataFrame(labels, "sheet string, id int, value double, x double, y double"), 8.0).collect()} == want
+    written, shared = [], rel.shared
+    monkeypatch.setattr(rel, "shared", lambda df, name: written.append(name) or shared(df, name))
+    alone = spark.createDataFrame([("S", k, k, 5.0, 9.0) for k in range(60)], schema)
+    texts = spark.createDataFrame([("S", k, 1.0, 5.0, 8.0 - k % 2) for k in range(100)], "sheet string, id int, value double, x double, y double")
+    got = {(r.space, r.label) for r in rel.area_labels(alone, texts, 8.0).collect()}
+    assert got == {(k, 2 * k if k < 50 else 2 * k - 99) for k in range(60)} and len(written) < 8
+
+
 def test_profiles_and_walls(spark):
     profiles = spark.createDataFrame([("S", "p1", 0.0, 0.0, 2.0, 2.0), ("S", "p2", 50.0, 50.0, 52.0, 52.0)], "sheet string, id string, min_x double, min_y double, max_x double, max_y double")
     labels = spark.createDataFrame([("S", "l1", "H-2x2", 3.0, 3.0)], "sheet string, id string, designation string, x double, y double")
