@@ -94,7 +94,10 @@ def ifc_entities(t, spark):
     n = F.col("s_suppkey")
     long = F.when(n % 50 == 0, text_of("'", F.repeat(F.lit("'';x"), F.lit(1 << 18)), "'")).otherwise("$")
     body = text_of("#", n, "=", F.when(n % 2 == 0, "IFCWALL").otherwise("IFCDOOR"), "('g", n, "',#5,'it''s; ", F.col("s_name"), "',", long, ",$);")
-    path = stored(*lines(t("supplier"), "s_nationkey", "s_suppkey", body, "ISO-10303-21;\nDATA;\n", "\nENDSEC;"))
+    own = t("supplier").select("s_nationkey", n.cast("long").alias("k"), body.alias("line"))
+    rim = lambda k, line: t("supplier").select("s_nationkey").distinct().select("s_nationkey", F.lit(k).cast("long").alias("k"), F.lit(line).alias("line"))
+    every = rim(-1 << 63, "ISO-10303-21;\nDATA;").unionByName(own).unionByName(rim((1 << 63) - 1, "ENDSEC;"))
+    path = stored_lines(every, "s_nationkey", "k", F.col("line"))
     return files.ifc(spark, path).select(owner().alias("file"), "id", "type", "global_id", "name")
 
 

@@ -9,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draftlake.operators.tables import broadcast_if_small, shared
+
 #: Columns of a record's place, in order.
 PLACE = ("path", "block", "at")
 
 
-def records(spark: SparkSession, path: str, glob: str = "*", separator: str | None = None) -> DataFrame:
-    """path, block, at, value: the records of text files, which end with the separator (a line end by default).
+def records(spark: SparkSession, path: str, glob: str = "*", separator: str | None = None, *more: Column) -> DataFrame:
+    """path, block, at, value: the records of text files, which end with the separator (a line end by default), and what is asked for besides.
 
     Files of any size are read in splits of spark.sql.files.maxPartitionBytes; within a file (block, at) ascends.
     """
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     read = read if separator is None else read.option("lineSep", separator)
-    return read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", *more)
 
 
 def place() -> Column:
@@ -28,14 +30,16 @@ def place() -> Column:
 
 
 def statements(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, block, at, value: the statements of Part-21 files, without their semicolon, in file order by (block, at).
+    """path, block, at, nth, value: the statements of Part-21 files, without their semicolon, in file order by (block, at, nth).
 
-    Records end at semicolons. One inside a quoted string cuts its statement: the piece before has an odd number of
-    quotes, and so has the piece where the string ends. These odd pieces, which are few, are paired in file order; the
-    pieces between two of a pair are put together, across splits too. All other statements stay where they were read.
-    Blank ones are left out; an open string at the end of a file gives the rest of the file as one statement.
+    Records end at `);`, as entities do, so that semicolons within strings make no records of their own. A string that
+    holds `);` cuts its statement: the piece before has an odd number of quotes, and so has the piece where the string
+    ends. These odd pieces, which are few, are paired in file order; the pieces between two of a pair are put together,
+    across splits too. All other records stay where they were read, and are cut at the semicolons outside of strings.
+    Blank statements are left out; an open string at the end of a file gives the rest of the file as one statement.
     """
-    own = records(spark, path, glob, ";")
+    end = ");"
+    own = records(spark, path, glob, end, F.col("_metadata.file_size").alias("size"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit("'"), F.lit("")))
     odd = own.where(quotes % 2 == 1).select(*PLACE)
     turn = Window.partitionBy("path").orderBy("block", "at")
@@ -43,18 +47,28 @@ def statements(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     # A string that stays open ends with its file. Places within a split are consecutive, so a span lists its pieces.
     last = F.lit((1 << 63) - 1)
     spans = odd.select("path", F.struct("block", "at").alias("begin"), F.coalesce("end", F.struct(last.alias("block"), last.alias("at"))).alias("end"))
-    blocks = own.groupBy("path", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    read = own.groupBy("path", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum(F.octet_length("value") + len(end)).alias("bytes"), F.max("size").alias("size"))
+    blocks = shared(read, "blocks")
     met = spans.join(blocks, "path").where(F.col("block").between(F.col("begin.block"), F.col("end.block")))
     low = F.when(F.col("block") == F.col("begin.block"), F.col("begin.at")).otherwise(F.col("first"))
     high = F.when(F.col("block") == F.col("end.block"), F.col("end.at")).otherwise(F.col("last"))
-    inside = met.select("path", "block", F.explode(F.sequence(low, high)).alias("at"), "begin")
-    met = own.join(inside, list(PLACE), "left")
+    inside = met.select("path", "block", F.explode(F.sequence(low, high)).alias("at"), "begin", F.lit(False).alias("open"))
+    # A file's last record ended without `);` unless the records make up its size, but for a byte order mark.
+    ends = blocks.groupBy("path").agg(F.max(F.struct("block", "last")).alias("m"), (F.sum("bytes") - F.max("size")).alias("more")).where(~F.col("more").isin(0, -3))
+    ends = ends.select("path", "m.block", F.col("m.last").alias("at"), F.lit(None).cast(inside.schema["begin"].dataType).alias("begin"), F.lit(True).alias("open"))
+    marks = shared(inside.unionByName(ends).groupBy(*PLACE).agg(F.max("begin").alias("begin"), F.max("open").alias("open")), "marks")
+    met = own.join(broadcast_if_small(marks, 100_000), list(PLACE), "left")
+    met = met.withColumn("value", F.concat("value", F.when(F.coalesce("open", F.lit(False)), "").otherwise(")")))
     whole = met.where(F.col("begin").isNull()).select(*PLACE, "value")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"])
     mended = met.where(F.col("begin").isNotNull()).groupBy("path", "begin").agg(F.array_join(pieces, ";").alias("value")).select("path", "begin.block", "begin.at", "value")
-    return whole.unionByName(mended).withColumn("value", F.btrim("value", F.lit(" \t\r\n"))).where(F.col("value") != "")
+    parts = F.when(F.contains("value", F.lit(";")), F.regexp_extract_all("value", F.lit(UNCUT), F.lit(0))).otherwise(F.array("value"))
+    out = whole.unionByName(mended).select(*PLACE, F.posexplode(parts).alias("nth", "value"))
+    return out.withColumn("value", F.btrim("value", F.lit(" \t\r\n"))).where(F.col("value") != "")
 
 
+#: A stretch without semicolons but in strings, of which the last may be open.
+UNCUT = r"(?:[^';]++|'(?:[^']++|'')*+'?)++"
 QUOTED = r"'(?:[^']++|'')*+'"
 
 

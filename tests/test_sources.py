@@ -226,6 +226,20 @@ def test_entity_of_a_megabyte(spark, tmp_path):
     assert got.n == 5 and got.last == "((1,(2,3)),IFCLABEL('x)'))"
 
 
+def test_quoted_semicolons_are_no_records(spark, tmp_path, monkeypatch):
+    """Only `);` in a string cuts a statement; ends of any form, a cut file and a byte order mark are read as they stand."""
+    marks, shared = {}, statements.shared
+    monkeypatch.setattr(statements, "shared", lambda df, name: marks.setdefault(name, shared(df, name)))
+    long = "'" + "'';x" * 5000 + "'"
+    want = ["ISO", "#1=A('x;);y);')", f"#2=B({long})", "#3=C('z' )", "ENDSEC"]
+    for name, tail in (("a", ";"), ("b", ";\r\n#4=D('e',$"), ("c", ";#5=E('open;);("), ("d", ";#6=F();")):
+        marks.clear()
+        path = put(tmp_path, f"{name}.ifc", ("\ufeff" if name in "bd" else "") + ";\r\n".join(want[:3]) + " ; ;" + ";".join(want[3:]) + tail)
+        got = [r.value.removeprefix("\ufeff") for r in statements.statements(spark, path).orderBy("block", "at", "nth").collect()]
+        assert got == want + ([tail.strip(";\r\n")] if len(tail) > 1 else [])
+        assert marks["blocks"].agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] < 10 and marks["marks"].count() < 10
+
+
 def test_files_are_written_by_many_tasks(spark):
     """One task does not write all files: a table of one partition gives files of several tasks."""
     from draftlake.plans.readers import stored
