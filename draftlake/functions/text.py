@@ -40,6 +40,8 @@ RANGE = r"(?i)(?:지하|지상|(?<![A-Z0-9])B)?\s*\d{1,3}\s*(?:층|FL|F)?\s*[~\-
 BASEMENT = [r"(?i)지하\s*(\d{1,2})\s*층", r"(?i)(?<![A-Z0-9])B\s*(\d{1,2})\s*(?:FL|F|층)?(?![A-Z0-9])"]
 ROOF = r"(?i)(지붕|옥상|옥탑|(?<![A-Z0-9])(?:RF|ROOF)(?![A-Z0-9]))"
 FLOOR = r"(?i)(?<![A-Z0-9~\-])(\d{1,3})\s*(?:층|(?:FL|F)(?![A-Z0-9]))"
+#: Every text that names a storey has one of these.
+STOREY_LETTERS = "(?i)[BF층지옥]"
 EMAIL, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+?[0-9]{2,4}[- ][0-9]{3,4}[- ][0-9]{4}"
 
 
@@ -73,7 +75,7 @@ def storeys(text: Column) -> Column:
     left = F.regexp_replace(left, ROOF, " ")
     floors = F.filter(F.transform(every(left, FLOOR, 1), lambda n: n.cast("int")), lambda n: n > 0)
     found.append(F.transform(floors, lambda n: F.concat(n.cast("string"), F.lit("F"))))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    return F.when(text.rlike(STOREY_LETTERS), F.array_sort(F.array_distinct(F.concat(*found)))).otherwise(F.array().cast("array<string>"))
 
 
 def only(values: Column) -> Column:
@@ -97,6 +99,7 @@ def normal_storey(text: Column) -> Column:
     basement = F.regexp_extract(own, r"(?i)^B\s*(\d{1,2})$", 1)
     return (
         F.when(own.isNull() | (own == ""), F.lit(None))
+        .when(own.rlike(r"\A[1-9]\d{0,2}F\z"), own)
         .when(F.size(named) == 1, F.element_at(named, 1))
         .when(basement != "", F.concat(F.lit("B"), basement.cast("int").cast("string")))
         .when(own.rlike(r"^\d+$") & (own.cast("int") > 0), F.concat(own.cast("int").cast("string"), F.lit("F")))

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from draftlake.functions import identity, text
 from draftlake.operators.tables import shared
@@ -26,6 +27,10 @@ KINDS = {
 }
 
 
+#: Facts of nodes that communities are told.
+PROPS = "struct<sheet_number:string,title:string,title_titleblock:string,discipline:string,phase:string,date:string,kind:string,count:long,occurrences:long,level:string,areas:array<string>,phases:array<string>,drawings:long,disciplines:map<string,long>,file_types:map<string,long>,member_kinds:map<string,long>,description:string,category:string,pack:boolean>"
+
+
 @dataclass
 class Parts:
     """What documents hold.
@@ -46,11 +51,15 @@ class Parts:
 
 @dataclass
 class Graph:
-    """nodes: id, project_key, type, name, props (JSON), object_ids, document_ids, search_text; edges: src, predicate, dst, props; aliases."""
+    """nodes: id, project_key, type, name, props (JSON), object_ids, document_ids, search_text; edges: src, predicate, dst, props; aliases.
+
+    facts: what communities are told of: project_key, id, type, name, p (the PROPS), storey (the id of the one it lies in).
+    """
 
     nodes: DataFrame | None
     edges: DataFrame | None
     aliases: DataFrame | None
+    facts: DataFrame | None = None
 
 
 def named(table: dict[str, str], code: Column) -> Column:
@@ -68,16 +77,23 @@ def counted(rows: DataFrame, by: list[str], key: str, n: Column, name: str) -> D
 
 
 def evidence(rows: DataFrame, by: list[str], item: str, name: str, most: int = EVIDENCE) -> DataFrame:
-    """by, and the first distinct items of each group."""
-    own = rows.where(F.col(item).isNotNull()).select(*by, item).distinct()
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(item))
-    return own.withColumn("_nth", nth).where(F.col("_nth") <= most).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")).alias(name))
+    """by, and the first distinct items of each group: equal items share a rank, so rows are shuffled once, after the window limits them."""
+    own = rows.where(F.col(item).isNotNull()).select(*by, item)
+    nth = F.dense_rank().over(Window.partitionBy(*by).orderBy(item))
+    return own.withColumn("_nth", nth).where(F.col("_nth") <= most).groupBy(*by).agg(F.array_sort(F.collect_set(item)).alias(name))
+
+
+def facts_of(rows: DataFrame, kind: str, /, **props: Column) -> DataFrame:
+    """Facts of nodes without evidence and search text; rows of a storey name it."""
+    own = [props.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DataType.fromDDL(PROPS)]
+    storey = F.col("storey") if "storey" in rows.columns else F.lit(None).cast("string").alias("storey")
+    return rows.select("id", "project_key", F.lit(kind).alias("type"), F.substring("name", 1, 200).alias("name"), F.struct(*own).alias("p"), storey)
 
 
 def nodes_of(rows: DataFrame, kind: str, props: Column, *words: Column | str) -> DataFrame:
     """Nodes from rows of id, project_key, project_name, name and what else there is; words follow in the search text."""
     none = F.array().cast("array<string>")
-    ids = [F.coalesce(F.col(c), none).alias(c) if c in rows.columns else none.alias(c) for c in ("object_ids", "document_ids")]
+    ids = [F.coalesce(F.col(c).cast("array<string>"), none).alias(c) if c in rows.columns else none.alias(c) for c in ("object_ids", "document_ids")]
     said = F.concat_ws(" ", F.lit(kind), "name", "project_name", *[F.lit(w) if isinstance(w, str) else w for w in words])
     found = F.substring(F.trim(F.regexp_replace(said, r"\s+", " ")), 1, 2000)
     return rows.select("id", "project_key", F.lit(kind).alias("type"), F.substring("name", 1, 200).alias("name"), props.alias("props"), *ids, found.alias("search_text"))
@@ -103,12 +119,13 @@ def storey_id() -> Column:
 def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -> Graph:
     """The graph of all projects; tables that are not wanted are None, and what only they need is not computed.
 
+    With "facts" there are the facts of communities, and of the edges, unless wanted, those from drawings to storeys only.
     What several nodes and edges are made of is written once to the shared folder. Null or unreadable rooms, designations and levels make no node; a space or element group without a storey of its own
     takes that of a document that shows exactly one. Of several spellings the smallest object's counts. Repeated rows
     count as repeated occurrences, empty tables give no nodes. document_id and object ids must be distinct.
     """
     c = F.col
-    full = "nodes" in want  # facts and evidence are of nodes only
+    full, told = "nodes" in want, "facts" in want  # evidence is of nodes only
     docs = parts.documents
     keys = docs.select("document_id", "project_key", "project_name")
     sheets = parts.sheets.withColumn("level", text.normal_storey(c("storey"))).join(docs.select("document_id", "project_key", "project_name"), "document_id")
@@ -130,9 +147,8 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
     order = Window.partitionBy(*by).orderBy("id")
     areas = spaces.where("area is not null").withColumn("_nth", F.row_number().over(order)).where(c("_nth") <= AREAS)
     areas = areas.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "area"))), lambda x: x["area"]).alias("areas"))
-    if full:
-        for more in (areas, evidence(spaces, by, "id", "object_ids"), evidence(spaces, by, "document_id", "document_ids")):
-            merged = merged.join(more, by, "left")
+    for more in ([areas] if full or told else []) + ([evidence(spaces, by, "id", "object_ids"), evidence(spaces, by, "document_id", "document_ids")] if full else []):
+        merged = merged.join(more, by, "left")
     space_rows = shared(with_id(merged), "space-rows") if full else with_id(merged)
     placed = with_id(spaces.select("document_id", *by).distinct())
 
@@ -142,9 +158,10 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
         groups = groups.join(evidence(parts.elements, ["document_id", "kind"], "id", "object_ids"), ["document_id", "kind"])
     groups = groups.join(single, "document_id", "left")
     groups = groups.join(docs.select("document_id", "project_key", "project_name", c("name").alias("drawing")), "document_id").withColumnRenamed("only", "level")
+    if full or told or "edges" in want:  # short keys only: ids and names are made of them where they are read
+        groups = shared(groups if full or "edges" in want else groups.select("document_id", "kind", "count", "project_key", "project_name", "level", F.lit("").alias("drawing")), "groups")
     groups = groups.withColumns({"id": F.concat(F.lit("kg:eg:"), c("document_id").cast("string"), F.lit(":"), "kind"), "kind_ko": named(KINDS, c("kind")), "document_ids": F.array(c("document_id").cast("string"))})
     groups = groups.withColumn("name", F.concat_ws(" ", "drawing", "kind_ko"))
-    groups = shared(groups, "groups") if full or "edges" in want else groups
     spelt = parts.sections.where("designation is not null").groupBy("document_id", "designation").agg(F.count("*").alias("n")).withColumn("section", text.section(c("designation"))).where("section is not null").join(keys, "document_id")
     section = F.concat(F.lit("kg:sec:"), "project_key", F.lit(":"), "section")
     spelt = shared(spelt.withColumn("id", section), "sections")
@@ -152,14 +169,14 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
     steel = spelt.groupBy("id", "project_key", "project_name", c("section").alias("name")).agg(F.sum("n").alias("occurrences"))
     used = parts.members.join(objects.select(c("object_id").alias("section"), c("id").alias("section_id")), "section").select("document_id", "kind", "section_id")
     used = used.join(groups.select("document_id", "kind", c("id").alias("group_id")), ["document_id", "kind"])
-    for more in (evidence(objects, ["id"], "object_id", "object_ids"), evidence(objects, ["id"], "document_id", "document_ids"), counted(used.withColumnRenamed("section_id", "id"), ["id"], "kind", F.count("*"), "member_kinds")):
+    for more in ([evidence(objects, ["id"], "object_id", "object_ids"), evidence(objects, ["id"], "document_id", "document_ids")] if full else []) + [counted(used.withColumnRenamed("section_id", "id"), ["id"], "kind", F.count("*"), "member_kinds")]:
         steel = steel.join(more, "id", "left")
     steel = shared(steel, "steel") if full else steel
 
     # series of two drawings or more, in the order of dates
     turn = Window.partitionBy("project_key", "series").orderBy(F.coalesce("date", F.lit("")), F.coalesce("mtime", F.lit("")), "name", "document_id")
     whole = Window.partitionBy("project_key", "series")
-    chain = docs.withColumns({"place": F.row_number().over(turn), "before": F.lag(drawing_id()).over(turn), "revisions": F.count("*").over(whole)}).where("revisions > 1")
+    chain = docs.drop("phase", "discipline").withColumns({"place": F.row_number().over(turn), "before": F.lag(drawing_id()).over(turn), "revisions": F.count("*").over(whole)}).where("revisions > 1")
     chain = chain.withColumns({"drawing": drawing_id(), "id": F.concat(F.lit("kg:ser:"), "project_key", F.lit(":"), identity.short_hash(c("series"), n=12)), "last": c("place") == c("revisions")})
     title = F.coalesce(F.nullif("number", F.lit("")), F.nullif("title", F.lit("")), "name")
     chain = shared(chain, "chain") if full or "edges" in want else chain
@@ -170,11 +187,14 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
     # storeys from documents, sheets and spaces
     seen = shown.join(keys, "document_id")
     levels = seen.select("project_key", "project_name", "level").union(spaces.where("level is not null").select("project_key", "project_name", "level")).distinct()
-    storeys = levels.withColumns({"id": storey_id(), "name": c("level")}).join(evidence(seen.withColumn("id", storey_id()), ["id"], "document_id", "document_ids"), "id", "left")
+    storeys = levels.withColumns({"id": storey_id(), "name": c("level")})
+    storeys = storeys.join(evidence(seen.withColumn("id", storey_id()), ["id"], "document_id", "document_ids"), "id", "left") if full else storeys
 
     # drawings with what their sheets, groups and series say
     titled = sheets.groupBy("document_id").agg(F.min_by("number", F.when(c("number").isNotNull(), c("id"))).alias("block_number"), F.min_by("title", F.when(c("title").isNotNull(), c("id"))).alias("block_title"), F.array_sort(F.collect_set(F.when(c("category") != "기타", c("category")))).alias("categories"))
     drawings = docs
+    if told and not full:
+        drawings = docs.join(titled, "document_id", "left")
     if full:
         drawings = docs.join(titled, "document_id", "left").join(counted(groups, ["document_id"], "kind", F.max("count"), "element_counts"), "document_id", "left").join(chain.select("document_id", "last"), "document_id", "left")
     drawings = drawings.withColumns({"id": drawing_id(), "document_ids": F.array(c("document_id").cast("string")), "file_type": F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)), "phase": F.nullif("phase", F.lit(""))})
@@ -186,9 +206,10 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
     # projects with counts of what they have
     projects = docs.groupBy("project_key").agg(F.min("project_name").alias("project_name"), F.count("*").alias("drawings"))
     sizes = lambda df, name: df.groupBy("project_key").agg(F.count("*").alias(name))
-    more = [sizes(storeys, "storeys"), sizes(space_rows, "spaces"), sizes(steel, "sections"), phases.groupBy("project_key").agg(F.array_sort(F.collect_list("name")).alias("phases"))]
-    more += [counted(drawings.withColumn("d", F.coalesce("discipline", F.lit("UNKNOWN"))), ["project_key"], "d", F.count("*"), "disciplines"), counted(drawings, ["project_key"], "file_type", F.count("*"), "file_types"), evidence(docs, ["project_key"], "document_id", "document_ids")]
-    projects = reduce(lambda a, b: a.join(b, "project_key", "left"), more if full else [], projects).withColumns({"id": project_id(), "name": c("project_name")})
+    more = [sizes(storeys, "storeys"), sizes(space_rows, "spaces"), sizes(steel, "sections"), evidence(docs, ["project_key"], "document_id", "document_ids")] if full else []
+    more += [phases.groupBy("project_key").agg(F.array_sort(F.collect_list("name")).alias("phases"))]
+    more += [counted(drawings.withColumn("d", F.coalesce("discipline", F.lit("UNKNOWN"))), ["project_key"], "d", F.count("*"), "disciplines"), counted(drawings, ["project_key"], "file_type", F.count("*"), "file_types")]
+    projects = reduce(lambda a, b: a.join(b, "project_key", "left"), more if full or told else [], projects).withColumns({"id": project_id(), "name": c("project_name")})
     n = lambda name: F.coalesce(c(name), F.lit(0))
     none = F.array().cast("array<string>")
 
@@ -204,6 +225,15 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
         nodes_of(groups, "ElementGroup", json(kind=c("kind"), kind_ko=c("kind_ko"), count=c("count"), observed=c("observed"), drawing=c("drawing"), storey=c("level")), c("kind_ko"), F.coalesce("level", F.lit(""))),
         nodes_of(steel, "SteelSection", json(designation=c("name"), occurrences=c("occurrences"), member_kinds=c("member_kinds")), "철골", "형강", "단면"),
     ]
+    sites = lambda df: df.withColumn("storey", F.when(c("level").isNotNull(), storey_id()))
+    facts = [] if not told else [
+        facts_of(projects, "Project", drawings=c("drawings"), phases=F.coalesce("phases", none), disciplines=c("disciplines"), file_types=c("file_types")),
+        facts_of(drawings, "Drawing", sheet_number=c("number"), title=c("title"), title_titleblock=c("block_title"), discipline=c("discipline"), phase=c("phase"), date=c("date")),
+        facts_of(storeys, "Storey", level=c("level")),
+        facts_of(sites(space_rows), "Space", areas=c("areas")),
+        facts_of(sites(groups), "ElementGroup", kind=c("kind"), count=c("count")),
+        facts_of(steel, "SteelSection", occurrences=c("occurrences"), member_kinds=c("member_kinds")),
+    ]
     held = lambda df, **more: df.withColumns({"project": project_id(), "drawing_id": drawing_id()} | more) if "document_id" in df.columns else df.withColumns({"project": project_id()} | more)
     phased = held(drawings.where("phase is not null"), phase_id=F.concat(F.lit("kg:ph:"), "project_key", F.lit(":"), identity.short_hash(c("phase"), n=10)))
     steel_of = held(spelt.select("document_id", "project_key", "id").distinct())
@@ -236,4 +266,5 @@ def build(parts: Parts, want: tuple[str, ...] = ("nodes", "edges", "aliases")) -
         alias(spelt.select("designation", "id").distinct(), "section", "designation", "id"),
     ]
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    return Graph(union(nodes) if full else None, union(edges) if "edges" in want else None, union(aliases).distinct() if "aliases" in want else None)
+    shows = edges_of(held(seen, storey=storey_id()), "drawing_id", "depictsStorey", "storey") if told else None
+    return Graph(union(nodes) if full else None, union(edges) if "edges" in want else shows, union(aliases).distinct() if "aliases" in want else None, union(facts) if told else None)

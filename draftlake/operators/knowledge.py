@@ -26,7 +26,7 @@ def changed(rows: DataFrame, built: DataFrame, key: str, member: Column) -> Data
 
 #: Facts of a community, and of them drawings of a project, drawings of a storey, spaces, sections and room names, at most.
 FACTS, PROJECT_DRAWINGS, STOREY_DRAWINGS, SPACES, SECTIONS, ROOMS = 80, 40, 30, 40, 15, 25
-PROPS = "struct<sheet_number:string,title:string,title_titleblock:string,discipline:string,phase:string,date:string,kind:string,count:long,occurrences:long,level:string,areas:array<string>,phases:array<string>,drawings:long,disciplines:map<string,long>,file_types:map<string,long>,member_kinds:map<string,long>,description:string,category:string,pack:boolean>"
+PROPS = graph_build.PROPS
 
 
 def listed(rows: DataFrame, by: list[str], order: list[Column], shown: Column, most: int, name: str) -> DataFrame:
@@ -56,13 +56,19 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame
     Level 0 is each project; level 1 its disciplines of `least` drawings or more, its storeys that show something, its
     steel sections, and for an asset pack its types of nodes. Facts are the texts that a summary is made of, in a fixed
     order; where order was left to chance, ties go to names and ids.
+
+    nodes can be the facts of graph_build as well, which are parsed and name their storeys: then no edges of spaces and
+    element groups are needed, and groups are added up before anything is written.
     """
     c = F.col
-    own = shared(nodes.select("id", "project_key", "type", "name", F.from_json("props", PROPS).alias("p")), "nodes")
+    told = "p" in nodes.columns
+    grouped = nodes.where(c("type") == "ElementGroup").groupBy("project_key", "storey", "p.kind").agg(F.sum("p.count").alias("count")) if told else None
+    own = nodes.where(c("type") != "ElementGroup") if told else nodes.select("id", "project_key", "type", "name", F.from_json("props", PROPS).alias("p"))
+    own = shared(own, "nodes")
     edges = shared(edges.where(F.col("predicate").isin("hasSpace", "hasElements", "depictsStorey")).select("src", "predicate", "dst"), "edges")
     of = lambda kind: own.where(c("type") == kind)
     projects = of("Project").select("project_key", c("name").alias("project"), "p")
-    drawings, spaces, groups, steel = of("Drawing"), of("Space"), of("ElementGroup").select("id", "project_key", "p.kind", "p.count"), of("SteelSection")
+    drawings, spaces, groups, steel = of("Drawing"), of("Space"), shared(grouped, "groups") if told else of("ElementGroup").select("id", "project_key", "p.kind", "p.count"), of("SteelSection")
     by_sheet = [F.coalesce(F.nullif("p.sheet_number", F.lit("")), F.lit("~")), c("name"), c("id")]
     head = lambda: F.concat(F.lit("프로젝트: "), "project")
     pair = lambda label, values: F.when(F.size(values) > 0, F.concat(F.lit(label), F.array_join(values, ", ")))
@@ -99,7 +105,8 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame
     out.append(finish(kinds, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:disc:"), "code"), F.concat("project", F.lit(" "), "label", F.lit(" 도면")), one(head(), F.concat("label", F.lit(" 도면 "), "members", F.lit("건"))), c("shown")))
 
     towards = lambda predicate, end, ids: edges.where(c("predicate") == predicate).select(c("src" if end == "dst" else "dst").alias("storey"), c(end).alias("id")).join(ids, "id")
-    held, made, shown = towards("hasSpace", "dst", spaces), towards("hasElements", "dst", groups), towards("depictsStorey", "src", drawings)
+    inner = lambda predicate, df: df.where("storey is not null") if told else towards(predicate, "dst", df)
+    held, made, shown = inner("hasSpace", spaces), inner("hasElements", groups), towards("depictsStorey", "src", drawings.drop("storey"))
     area = F.get("p.areas", F.lit(0))
     spoken = F.concat("name", F.when(area.isNotNull(), F.concat(F.lit("("), area, F.lit("㎡)"))).otherwise(""))
     sizes = [df.groupBy("storey").agg(F.count("*").alias(n)) for df, n in ((held, "n_spaces"), (shown, "n_drawings"))]
@@ -115,12 +122,19 @@ def communities(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame
     sections = sections.join(listed(steel, key, [F.desc("p.occurrences"), c("name")], F.concat(F.lit("단면 "), "name", F.lit(": "), said), FACTS - 2, "shown"), "project_key")
     out.append(finish(sections, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:steel")), F.concat("project", F.lit(" 철골 단면")), one(head(), F.concat(F.lit("철골 단면 "), "members", F.lit("종"))), c("shown")))
 
+    if told:  # what is built from document parts is no pack
+        return hashed(out)
     packed = own.where("type != 'Project'").join(projects.where("p.pack").select("project_key", "project"), "project_key")
     text_of = F.coalesce(F.nullif("p.description", F.lit("")), F.nullif("p.category", F.lit("")))
     types = packed.groupBy("project_key", "project", "type").agg(F.count("*").alias("members"))
     types = types.join(listed(packed, ["project_key", "type"], [c("name"), c("id")], F.concat_ws(": ", "name", text_of), FACTS - 2, "shown"), ["project_key", "type"])
     out.append(finish(types, 1, F.concat(F.lit("kgc:"), "project_key", F.lit(":1:type:"), "type"), F.concat_ws(" ", "project", "type"), one(head(), F.concat("type", F.lit(" "), "members", F.lit("건"))), c("shown")))
-    found = reduce(DataFrame.unionByName, out)
+    return hashed(out)
+
+
+def hashed(communities: list[DataFrame]) -> DataFrame:
+    """All communities with the hash of what a summary is made of."""
+    found = reduce(DataFrame.unionByName, communities)
     return found.withColumn("input_hash", F.sha2(F.concat(F.lit("prompt-1\n"), F.array_join("facts", "\n")), 256))
 
 

@@ -257,7 +257,7 @@ IDS = "coalesce(array_to_string(list_sort(list_distinct(list({}) FILTER (WHERE {
  UNION ALL SELECT id, project_key, 'SteelSection', des, json_object('designation', des, 'occurrences', count(*), 'member_kinds', any_value(counts)::JSON), {IDS.format('oid', 'oid')}, {IDS.format('document_id', 'oid')}, '철골 형강 단면' FROM seid LEFT JOIN mk ON section_id = id GROUP BY id, project_key, project_name, des)
 SELECT id, project_key, type, name, CAST(props AS VARCHAR) AS props, object_ids, document_ids, trim(regexp_replace(type || ' ' || name || ' Project ' || project_key || ' ' || words, '\\s+', ' ', 'g')) AS search_text FROM x""")
 def kg_nodes(t, spark):
-    out = graph_build.build(parts(t)).nodes
+    out = graph_build.build(parts(t), ("nodes",)).nodes
     return out.select("id", "project_key", "type", "name", "props", *[F.array_join(c, ",").alias(c) for c in ("object_ids", "document_ids")], "search_text")
 
 
@@ -315,14 +315,14 @@ COMMUNITY = KG + f"""titled AS (SELECT document_id, arg_min(title, id) FILTER (W
 
 @query("G-13 X-34 G-16", COMMUNITY + " SELECT id, project_key, CAST(level AS INTEGER) AS level, title, members, facts, sha256('prompt-1' || chr(10) || facts) AS input_hash FROM c")
 def communities_rule(t, spark):
-    own = graph_build.build(parts(t))
-    return knowledge.communities(own.nodes, own.edges).select("id", "project_key", "level", "title", "members", F.array_join("facts", "\n").alias("facts"), "input_hash")
+    own = graph_build.build(parts(t), ("facts",))
+    return knowledge.communities(own.facts, own.edges).select("id", "project_key", "level", "title", "members", F.array_join("facts", "\n").alias("facts"), "input_hash")
 
 
 @query("G-15 G-16", COMMUNITY + " SELECT id, CASE WHEN id LIKE 'kgc:P1%' THEN 'new' WHEN id LIKE '%:MECH' THEN 'changed' ELSE 'unchanged' END AS status FROM c")
 def community_refresh_status(t, spark):
-    own = graph_build.build(parts(t))
-    now = shared(knowledge.communities(own.nodes, own.edges).select("id", "input_hash"), "communities")
+    own = graph_build.build(parts(t), ("facts",))
+    now = shared(knowledge.communities(own.facts, own.edges).select("id", "input_hash"), "communities")
     before = now.where(~F.startswith("id", F.lit("kgc:P1"))).withColumn("input_hash", F.when(F.endswith("id", F.lit(":MECH")), "old").otherwise(F.col("input_hash")))
     return knowledge.refresh(now, before)
 

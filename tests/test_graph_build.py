@@ -16,8 +16,7 @@ SCHEMAS = {
 }
 
 
-@pytest.fixture(scope="module")
-def built(spark):
+def made_parts(spark):
     rows = {
         "documents": [
             (1, "p", "House", "허가", "2층 평면도.dwg", "A-101", "평면도", "no:A-101", "240101", None, "ARCH"),
@@ -30,10 +29,34 @@ def built(spark):
         "sections": [(30, 3, "H 300*150"), (31, 3, "h-300x150"), (32, 3, None), (33, 1, "odd")],
         "members": [(1, "Door", 30), (3, "Wall", 30), (1, "Door", 33)],
     }
-    made = graph_build.build(graph_build.Parts(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()}))
+    return graph_build.Parts(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()})
+
+
+@pytest.fixture(scope="module")
+def built(spark):
+    made = graph_build.build(made_parts(spark))
     return made, {r.id: r for r in made.nodes.collect()}, {(r.src, r.predicate, r.dst): r.props for r in made.edges.collect()}
 
 
+def test_facts_tell_the_same_as_nodes(built, spark):
+    """Communities of the facts, which have no evidence, are those of the whole graph."""
+    made, _, _ = built
+    told = graph_build.build(made_parts(spark), ("facts",))
+    assert told.nodes is None and told.aliases is None and {r.predicate for r in told.edges.collect()} == {"depictsStorey"}
+    plan = told.facts._jdf.queryExecution().analyzed().toString()
+    assert "dense_rank" not in plan and "object_ids" not in plan
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    assert shown(knowledge.communities(told.facts, told.edges)) == shown(knowledge.communities(made.nodes, made.edges))
+
+
+def test_evidence_of_repeated_rows(spark):
+    """The first distinct items, by one shuffle of the rows."""
+    rows = spark.createDataFrame([("a", k // 3) for k in range(90)] + [("b", None), ("c", 7)], "g string, id int")
+    found = graph_build.evidence(rows, ["g"], "id", "ids")
+    assert {r.g: list(r.ids) for r in found.collect()} == {"a": list(range(20)), "c": [7]}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_nodes(built):
     made, nodes, edges = built
     assert made.nodes.count() == len(nodes) and made.edges.count() == len(edges)
