@@ -29,15 +29,27 @@ def segments(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("points") > 1).select("sheet", "id", "idx", F.explode(pairs).alias("s")).select("sheet", "id", "idx", "s.*")
 
 
-def hosted(openings: DataFrame, walls: DataFrame, tolerance: float) -> DataFrame:
-    """Openings with the nearest wall within the tolerance; ties to the wall that comes first. Long walls lie in coarse grids."""
+def crowded(walls: DataFrame, most: int) -> DataFrame:
+    """Sheets of more walls than `most`, which need a grid. On all others a point or a sight may meet every wall of its sheet."""
+    return shared(walls.groupBy("sheet").count().where(F.col("count") > most).select("sheet"), "crowded")
+
+
+def hosted(openings: DataFrame, walls: DataFrame, tolerance: float, most: int = 512) -> DataFrame:
+    """Openings with the nearest wall within the tolerance; ties to the wall that comes first.
+
+    Walls lie in grids, long ones in coarse grids, where their sheet has more than `most`.
+    """
     box = lambda x1, y1, x2, y2: {"min_x": x1, "min_y": y1, "max_x": x2, "max_y": y2}
     c = F.col
-    near = walls.withColumns(box(F.least("x1", "x2") - tolerance, F.least("y1", "y2") - tolerance, F.greatest("x1", "x2") + tolerance, F.greatest("y1", "y2") + tolerance))
-    points = openings.select("sheet", "id", "x", "y").withColumns(box(c("x"), c("y"), c("x"), c("y")))
+    grids = crowded(walls, most)
+    own = openings.select("sheet", "id", "x", "y")
+    near = walls.join(grids, "sheet", "left_semi").withColumns(box(F.least("x1", "x2") - tolerance, F.least("y1", "y2") - tolerance, F.greatest("x1", "x2") + tolerance, F.greatest("y1", "y2") + tolerance))
+    points = own.join(grids, "sheet", "left_semi").withColumns(box(c("x"), c("y"), c("x"), c("y")))
+    parts = ["id", "x", "y", *[f"b_{n}" for n in ("id", "idx", "x1", "y1", "x2", "y2")]]
+    every = own.join(grids, "sheet", "left_anti").join(walls.select("sheet", *[c(n).alias(f"b_{n}") for n in ("id", "idx", "x1", "y1", "x2", "y2")]), "sheet")
+    pairs = every.select(*parts).unionByName(joins.overlapping(points, near, 4 * tolerance, ("sheet",)).select(*parts))
     distance = spatial.point_segment(*map(c, ("x", "y", "b_x1", "b_y1", "b_x2", "b_y2")))
-    pairs = joins.overlapping(points, near, 4 * tolerance, ("sheet",)).withColumn("distance", distance).where(c("distance") <= tolerance)
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "b_idx", "b_id")).alias("m"))
+    best = pairs.withColumn("distance", distance).where(c("distance") <= tolerance).groupBy("id").agg(F.min(F.struct("distance", "b_idx", "b_id")).alias("m"))
     return best.select(*relation(c("id"), "hostedBy", c("m.b_id"), 0.9 - 0.3 * c("m.distance") / tolerance, "opening_point_on_wall_segment", c("m.distance")))
 
 
@@ -94,40 +106,59 @@ def area_labels(spaces: DataFrame, labels: DataFrame, tolerance: float) -> DataF
     return found.select(c("item.label").alias("label"), c("taker.space").alias("space"), c("item.value").alias("area")).where("area > 0")
 
 
+def around(ring: Column, x: Column, y: Column, low: Column, high: Column) -> Column:
+    """Whether a point is in a ring whose corners lie between low and high: most points are ruled out by these alone."""
+    edge = (F.abs(low["x"]) + F.abs(high["x"])) * 1e-9
+    return y.between(low["y"], high["y"]) & x.between(low["x"] - edge, high["x"] + edge) & spatial.in_ring(ring, x, y)
+
+
+def cornered(rings: DataFrame) -> DataFrame:
+    """Rows with a ring, and the least (low) and greatest (high) x and y of its points."""
+    of = lambda pick: F.struct(*[pick(f"ring.{n}").alias(n) for n in ("x", "y")])
+    return rings.withColumns({"low": of(F.array_min), "high": of(F.array_max)})
+
+
 def room_regions(spaces: DataFrame, boundaries: DataFrame) -> DataFrame:
     """The smallest boundary ring that contains a room's label: sheet, space, idx, ring."""
-    pairs = spaces.join(boundaries.select("sheet", F.col("id").alias("boundary"), "ring"), "sheet").where(spatial.in_ring(F.col("ring"), F.col("x"), F.col("y")))
+    c = F.col
+    rings = cornered(boundaries.select("sheet", c("id").alias("boundary"), "ring"))
+    pairs = spaces.join(rings, "sheet").where(around(c("ring"), c("x"), c("y"), c("low"), c("high")))
     best = pairs.groupBy("sheet", "id", "idx").agg(F.min_by("ring", F.struct(spatial.ring_area(F.col("ring")).alias("a"), "boundary")).alias("ring"))
     return best.select("sheet", F.col("id").alias("space"), "idx", "ring")
 
 
 def contents(elements: DataFrame, spaces: DataFrame, regions: DataFrame, walls: DataFrame) -> DataFrame:
     """Elements in the first room region around them; else in the room of the nearest label that no wall hides."""
-    rings = regions.select("sheet", "space", F.col("idx").alias("place"), "ring")
-    inside = elements.join(rings, "sheet").where(spatial.in_ring(F.col("ring"), F.col("x"), F.col("y"))).groupBy("id").agg(F.min_by("space", "place").alias("space"))
+    c = F.col
+    rings = cornered(regions.select("sheet", "space", c("idx").alias("place"), "ring"))
+    pairs = elements.join(rings, "sheet").where(around(c("ring"), c("x"), c("y"), c("low"), c("high")))
+    inside = shared(pairs.groupBy("id").agg(F.min_by("space", "place").alias("space")), "inside")
     first = inside.select(*relation(F.col("space"), "containsElement", F.col("id"), F.lit(0.9), "point_in_room_boundary"))
     rest = elements.join(inside.select("id"), "id", "left_anti")
     second = nearest_in_sight(rest, spaces, walls).select(*relation(F.col("space"), "containsElement", F.col("id"), F.lit(0.7), "nearest_room_label_without_wall_crossing", F.col("distance")))
     return first.unionByName(second)
 
 
-def nearest_in_sight(elements: DataFrame, spaces: DataFrame, walls: DataFrame, across: int = 64) -> DataFrame:
+def nearest_in_sight(elements: DataFrame, spaces: DataFrame, walls: DataFrame, across: int = 64, most: int = 512) -> DataFrame:
     """id, space, distance: the nearest label of the sheet whose line of sight no wall crosses.
 
     Every element looks at its nearest label first; those that see it are done, the others look at the next three, the
-    next nine and so on. A sight and a wall meet only in cells that both run through; a sheet has `across` cells along
-    its longer side, so that no line has more than a few hundred.
+    next nine and so on. A sight and a wall meet only in cells that both run through; a sheet of more than `most` walls
+    has `across` cells along its longer side, so that no line has more than a few hundred. Any other sheet is one cell.
     """
     c = F.col
     far = elements.select("sheet", "id", c("x").alias("x1"), c("y").alias("y1")).join(spaces.select("sheet", c("id").alias("space"), c("x").alias("x2"), c("y").alias("y2")), "sheet")
     far = far.withColumn("distance", F.hypot(c("x1") - c("x2"), c("y1") - c("y2")))
     sights = shared(far.withColumn("turn", F.row_number().over(Window.partitionBy("sheet", "id").orderBy("distance", "space"))), "sights")
     ends = lambda df: [df.select("sheet", c(x).alias("x"), c(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y2"))]
-    points = reduce(DataFrame.unionByName, [*ends(walls), *ends(sights)])
+    points = reduce(DataFrame.unionByName, [*ends(walls), *ends(sights)]).join(crowded(walls, most), "sheet", "left_semi")
     extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / across
     sizes = shared(points.groupBy("sheet").agg(F.when(extent > 0, extent).otherwise(1.0).alias("size")), "sizes")
-    run = lambda df: df.join(sizes, "sheet").withColumn("cell", F.explode(spatial.line_cells([c(n) for n in ("x1", "y1", "x2", "y2")], c("size"))))
-    barred = shared(run(walls.select("sheet", "x1", "y1", "x2", "y2")).select("sheet", "cell", *[c(n).alias(f"w_{n}") for n in ("x1", "y1", "x2", "y2")]), "walls")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))
+    cells = F.when(c("size").isNull(), one).otherwise(spatial.line_cells([c(n) for n in ("x1", "y1", "x2", "y2")], c("size")))
+    run = lambda df: df.join(sizes, "sheet", "left").withColumn("cell", F.explode(cells))
+    dealt = walls.select("sheet", "x1", "y1", "x2", "y2").repartition("sheet", "x1", "y1")  # to all tasks, however few read them
+    barred = shared(run(dealt).select("sheet", "cell", *[c(n).alias(f"w_{n}") for n in ("x1", "y1", "x2", "y2")]), "walls")
     crossed = spatial.crosses([c(n) for n in ("x1", "y1", "x2", "y2")], [c(f"w_{n}") for n in ("x1", "y1", "x2", "y2")])
     found, low, high = None, 1, 1
     while True:
@@ -191,6 +222,7 @@ def sheet_relations(sheets: DataFrame, spaces: DataFrame, blocks: DataFrame | No
     """
     c = F.col
     project = F.concat(F.lit("aec://project/"), "project")
+    sheets = shared(sheets, "sheets")  # titles are read once a sheet, not in every row that sheets are derived from
     own = sheets.withColumns({"storey": text.sheet_storey(c("title"), c("category")), "subject": F.concat(F.lit("sheet:"), F.coalesce(F.nullif(F.trim("number"), F.lit("")), c("sheet").cast("string")))})
     own = own.withColumn("level", F.concat(F.lit("storey:"), "storey"))
     both, named = spaces.select("sheet", c("id").alias("space")).join(own, "sheet"), own.where("storey is not null")

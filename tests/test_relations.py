@@ -123,6 +123,69 @@ def test_sights_equal_brute_force(spark):
     assert {r.id: r.space for r in got} == want and len(got) == len(want)
 
 
+def test_sheets_with_and_without_a_grid(spark):
+    """Sheets of few walls are one cell, those of many have grids: hosts and sights as by brute force, whatever the bound."""
+    rng = random.Random(8)
+    at = lambda: (float(rng.randrange(100)), float(rng.randrange(60)))
+    walls = [(s, k, k, *at(), *at()) for s, n in ((0, 14), (1, 2), (2, 5)) for k in range(100 * s, 100 * s + n)]
+    points = [(s, 100 * s + k, *at()) for s in range(4) for k in range(30)]
+    rooms = [(s, 100 * s + k, *at()) for s in range(4) for k in range(9)]
+
+    def distance(x, y, x1, y1, x2, y2):
+        dx, dy = x2 - x1, y2 - y1
+        n = dx * dx + dy * dy
+        t = min(1.0, max(0.0, ((x - x1) * dx + (y - y1) * dy) / n)) if n else 0.0
+        return ((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2) ** 0.5
+
+    hosts, sights = {}, {}
+    for s, e, x, y in points:
+        near = [(distance(x, y, *w[3:]), w[1]) for w in walls if w[0] == s]
+        hosts |= {str(e): str(min(near)[1])} if near and min(near)[0] <= 6 else {}
+        seen = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, r) for t, r, u, v in rooms if t == s and not any(w[0] == s and cross((x, y), (u, v), w[3:5], w[5:7]) for w in walls)]
+        sights |= {e: min(seen)[1]} if seen else {}
+    w = spark.createDataFrame(walls, "sheet int, id int, idx int, x1 double, y1 double, x2 double, y2 double")
+    p, r = (spark.createDataFrame(x, "sheet int, id int, x double, y double") for x in (points, rooms))
+    for most in (0, 4, 512):
+        assert sorted((str(f.subject), str(f.object)) for f in rel.hosted(p, w, 6.0, most=most).collect()) == sorted(hosts.items())
+        assert sorted((f.id, f.space) for f in rel.nearest_in_sight(p, r, w, most=most).collect()) == sorted(sights.items())
+
+
+def test_rings_are_told_by_their_corners_first(spark):
+    """Points on, in and around rings that lean or are level: regions and contents as by ray parity alone."""
+    rng = random.Random(9)
+    at = lambda: (float(rng.randrange(12)), float(rng.randrange(12)))
+    rings = [(0, k, [at() for _ in range(rng.randrange(3, 7))]) for k in range(40)]
+    points = [(0, 100 * x + y, 0, float(x), float(y)) for x in range(-1, 13) for y in range(-1, 13)]
+    r = spark.createDataFrame(rings, "sheet int, id int, ring array<struct<x:double,y:double>>")
+    p = spark.createDataFrame(points, "sheet int, id int, idx int, x double, y double")
+    pairs = p.join(r.withColumnRenamed("id", "ring_id"), "sheet")
+    here = rel.cornered(pairs).where(rel.around(F.col("ring"), F.col("x"), F.col("y"), F.col("low"), F.col("high")))
+    plain = pairs.where(rel.spatial.in_ring(F.col("ring"), F.col("x"), F.col("y")))
+    got, want = (sorted(map(tuple, x.select("id", "ring_id").collect())) for x in (here, plain))
+    assert got == want and len(want) > 100
+
+
+def test_titles_are_read_once_a_sheet(spark, monkeypatch):
+    """Sheets that are derived from walls come down to one row before titles are read; a small sheet's walls stay one row each."""
+    rows, shared = {}, rel.shared
+
+    def counted(df, name):
+        out = shared(df, name)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(rel, "shared", counted)
+    rng = random.Random(10)
+    at = lambda: (float(rng.randrange(900)), float(rng.randrange(900)))
+    walls = spark.createDataFrame([(k % 3, k, k, *at(), *at()) for k in range(300)], "sheet int, id int, idx int, x1 double, y1 double, x2 double, y2 double")
+    spaces = spark.createDataFrame([(s, 10 * s + k, *at()) for s in range(3) for k in range(4)], "sheet int, id int, x double, y double")
+    sheets = walls.select("sheet").distinct().select("sheet", F.lit("P").alias("project"), F.lit("").alias("number"), F.concat(F.col("sheet") + 1, F.lit("층 평면도")).alias("title"), F.lit("plan").alias("category"))
+    got = {(r.subject, r.object) for r in rel.sheet_relations(sheets, spaces).where("predicate = 'hasSpace'").collect()}
+    assert got == {(f"storey:{s + 1}F", str(10 * s + k)) for s in range(3) for k in range(4)} and rows["sheets"] == 3
+    rel.nearest_in_sight(spaces, spaces, walls)
+    assert rows["walls"] == 300
+
+
 def test_sheets_and_objects(spark, tmp_path):
     sheets = spark.createDataFrame([("S", "P", "A-101", "3층 평면도", "plan"), ("T", "P", None, "3층 상세", "detail")], "sheet string, project string, number string, title string, category string")
     blocks = spark.createDataFrame([("S", "b2", 5), ("S", "b1", 3)], "sheet string, id string, idx int")
