@@ -216,3 +216,14 @@ def test_tokens_of_hash_vectors_are_hashed_once():
     similarity.token_seed.cache_clear()
     a, b = similarity.signed_hash_vector.func(pd.Series(["x y x x", "y x x x"]))
     assert (a == b).all() and similarity.token_seed.cache_info().misses == 2
+
+
+def test_hubs_are_dealt_to_cells_of_a_bound(spark):
+    """Cells of two roots by eight neighbours, some of which are roots themselves, give the pairs of one."""
+    edges = [(f"h{k % 2}", "has", f"l{k}") for k in range(40)] + [("top", "has", "h0"), ("top", "has", "h1"), ("l0", "see", "l0")]
+    graph_edges = spark.createDataFrame(edges, "src string, predicate string, dst string")
+    roots = [f"l{k}" for k in range(0, 40, 3)]
+    own = lambda n: {b if a == n else a for a, _, b in edges if n in (a, b)}
+    want = {(r, o): 2 for r in roots for m in own(r) for o in own(m)} | {(r, o): 1 for r in roots for o in own(r)}
+    rows = graph.hops(spark.createDataFrame([(r,) for r in roots], "node string"), graph_edges, block=2).collect()
+    assert sorted((r.root, r.node, r.hop) for r in rows) == sorted((*k, hop) for k, hop in want.items() if k[0] != k[1])
