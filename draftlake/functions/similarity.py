@@ -138,25 +138,29 @@ def hash_vector(text: Column, width: int = 64) -> Column:
 
 @lru_cache(1 << 16)
 def token_seed(token: str) -> bytes:
-    """Sixteen words of four bytes; tokens recur, so that the last ones are kept."""
-    return hashlib.sha256(token.encode()).digest() + hashlib.sha256(b"+" + token.encode()).digest()
+    """Sixteen pairs of bytes; short tokens recur, so that the last ones are kept."""
+    return hashlib.sha256(token.encode()).digest()
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def signed_hash_vector(text: pd.Series) -> pd.Series:
-    """1024 dimensions, 16 signed bumps for each token with repeats; unit length, rounded to 6 places; e0 if empty."""
-    import re
+    """1024 dimensions, 16 signed bumps for each token with repeats; unit length, rounded to 6 places; e0 if empty.
+
+    A token is whatever stands between white space, in any script; a text of white space alone is one token itself.
+    """
     from collections import Counter
 
     import numpy as np
 
     def one(t: str | None):
-        n = Counter(re.findall("[0-9a-z가-힣]+", (t or "").lower()))
-        words = np.frombuffer(b"".join(map(token_seed, n)), ">u4").astype(np.int64)
-        v = np.bincount(words % 1024, np.where(words >> 31, 1.0, -1.0) * np.repeat(list(n.values()), 16), 1024) if n else np.zeros(1024)
+        low = (t or "").lower()
+        n = Counter(low.split() or [low] * bool(low))
+        seeds = [token_seed(x) if len(x) <= 64 else token_seed.__wrapped__(x) for x in n]
+        pairs = np.frombuffer(b"".join(seeds), np.uint8).reshape(-1, 2).astype(np.int64)
+        v = np.bincount((pairs[:, 0] * 256 + pairs[:, 1]) % 1024, (pairs[:, 0] - 128) / 128 * np.repeat(list(n.values()), 16), 1024)
         norm = np.linalg.norm(v)
-        if norm == 0:
-            v[0] = norm = 1.0
+        if norm <= 1e-9:
+            v, norm = np.eye(1, 1024)[0], 1.0
         return np.round(v / norm, 6).astype(np.float32)
 
     return text.map(one)

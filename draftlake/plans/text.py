@@ -41,8 +41,9 @@ def hash_vector64(t, spark):
 
 @query("S-46")
 def hash_vector1024(t, spark):
-    """Signed hash vectors; rows only, the bumps have no SQL form."""
-    return t("documents").select("doc_id", F.aggregate(similarity.signed_hash_vector(F.col("text")), F.lit(0.0), lambda s, x: s + x * x).alias("norm"))
+    """Signed hash vectors with their squared norms; rows only, as SQL has not the white space and lower case of all scripts."""
+    own = t("documents").select("doc_id", similarity.signed_hash_vector(F.col("text")).alias("vector"))
+    return own.withColumn("norm", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
 
 
 @query("S-39", """SELECT doc_id, round(((length(lower(text)) - length(replace(lower(text), 'the', '')))::DOUBLE / 3 + (length(lower(text)) - length(replace(lower(text), 'ation', '')))::DOUBLE / 5) / (1 + length(text)::DOUBLE / 400), 6) AS score FROM documents""")

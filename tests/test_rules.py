@@ -227,3 +227,26 @@ def test_hubs_are_dealt_to_cells_of_a_bound(spark):
     want = {(r, o): 2 for r in roots for m in own(r) for o in own(m)} | {(r, o): 1 for r in roots for o in own(r)}
     rows = graph.hops(spark.createDataFrame([(r,) for r in roots], "node string"), graph_edges, block=2).collect()
     assert sorted((r.root, r.node, r.hop) for r in rows) == sorted((*k, hop) for k, hop in want.items() if k[0] != k[1])
+
+
+def test_hash_vectors_count_every_token():
+    """Tokens of all scripts and signs, cell by cell as the formula says it."""
+    import hashlib
+    import math
+
+    import pandas as pd
+
+    def plain(text):
+        v = [0.0] * 1024
+        for token in text.lower().split() or [text.lower()]:
+            digest = hashlib.sha256(token.encode()).digest()
+            for i in range(0, 32, 2):
+                v[int.from_bytes(digest[i : i + 2], "big") % 1024] += (digest[i] - 128) / 128
+        norm = math.sqrt(sum(x * x for x in v))
+        return [round(x / norm, 6) for x in v]
+
+    texts = ["a b a", "\u00c9t\u00e9 \u00e9t\u00e9", "\u6771\u4eac \u041f\u043b\u0430\u043d", "door, door. --- (A-101)", "one\u00a0two\u3000three", " \t", "\ubb38 \ubb38\u00e9"]
+    got = similarity.signed_hash_vector.func(pd.Series(texts))
+    for text, v in zip(texts, got):
+        assert [float(x) for x in v] == pytest.approx(plain(text), abs=1e-7)
+    assert [list(v) for v in similarity.signed_hash_vector.func(pd.Series(["", None]))] == [[1.0] + [0.0] * 1023] * 2
